@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass handles at once; a single longer text is handled alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Words of 64 bits in the fixed-size id filter (512 KB): its size doesn't depend on the data.
 FILTER_WORDS = 1 << 16
 
@@ -152,3 +152,44 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def lower_ascii(raw: np.ndarray) -> np.ndarray:
     """A-Z lower-cased, every other byte as it is (UTF-8 stays valid)."""
     return np.frombuffer(raw.tobytes().lower(), np.uint8)
+
+#: White space that ends a word: [\x20\x09-\x0D].
+IS_SPACE = np.zeros(256, bool)
+IS_SPACE[[32, *range(9, 14)]] = True
+
+_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * GOLDEN)
+_POWERS: dict[str, np.ndarray] = {}
+
+
+def _powers(name: str, base: np.uint64, length: int) -> np.ndarray:
+    found = _POWERS.get(name)
+    if found is None or len(found) < length:
+        size = max(length, SLICE_BYTES + 16)
+        with np.errstate(over="ignore"):
+            found = np.concatenate([np.ones(1, np.uint64), np.full(size - 1, base, np.uint64)]).cumprod(dtype=np.uint64)
+        if length <= SLICE_BYTES + 16:
+            _POWERS[name] = found
+    return found
+
+
+def words(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, row) of the words [^\\x20\\x09-\\x0D]+ of the texts raw[bounds[i]:bounds[i+1]]."""
+    if not len(raw):
+        empty = np.zeros(0, np.int64)
+        return empty, empty, empty
+    inner = ~IS_SPACE[raw]
+    cut = np.zeros(len(raw) + 1, bool)
+    cut[bounds] = True
+    starts = np.flatnonzero(inner & (cut[:-1] | np.concatenate([[True], ~inner[:-1]])))
+    ends = np.flatnonzero(inner & (cut[1:] | np.concatenate([~inner[1:], [True]]))) + 1
+    return starts, ends, np.searchsorted(bounds, starts, "right") - 1
+
+
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte spans: equal bytes give equal hashes wherever they stand."""
+    with np.errstate(over="ignore"):
+        total = np.concatenate([np.zeros(1, np.uint64), (_BYTE[raw] * _powers("up", _BASE, len(raw) + 1)[: len(raw)]).cumsum(dtype=np.uint64)])
+        found = (total[ends] - total[starts]) * _powers("down", _INVERSE, len(raw) + 1)[starts]
+        return mix64(found + (ends - starts).astype(np.uint64) * GOLDEN)
