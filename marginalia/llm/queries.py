@@ -15,6 +15,12 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_dedup
+
+    return near_dedup(spark, _table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
 
@@ -35,6 +41,7 @@ ORACLES = {
 def queries() -> dict:
     return {
         "op2_quality_classifier": op2_quality_classifier,
+        "op4_near_dedup": op4_near_dedup,
         "op7_exact_dedup": op7_exact_dedup,
     }
 
