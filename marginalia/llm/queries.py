@@ -27,6 +27,12 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(spark, _table(spark, sf_dir, "documents"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(spark, _table(spark, sf_dir, "documents"))
+
+
 #: ASCII-only lower-casing of a text, null as empty.
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -35,6 +41,31 @@ ORACLES = {
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256({_LOWER}) AS text_sha256
         FROM documents WINDOW g AS (PARTITION BY {_LOWER})
     """,
+    "op4_near_dedup": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+                     ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' '))) END AS sh FROM w),
+        e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+        p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c, any_value(a.n) AS n, any_value(b.n) AS m FROM e a JOIN e b USING (g) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+        links AS (SELECT x, y FROM p WHERE 100 * c >= 75 * (n + m - c)),
+        both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+        reach AS (SELECT x AS doc_id, x AS low FROM both_ways UNION SELECT b.y, r.low FROM reach r JOIN both_ways b ON b.x = r.doc_id WHERE r.low < b.y)
+        SELECT s.doc_id, len(sh) AS n_shingles, coalesce(least(s.doc_id, r.low), s.doc_id) AS component_id, coalesce(least(s.doc_id, r.low), s.doc_id) = s.doc_id AS kept
+        FROM s LEFT JOIN (SELECT doc_id, min(low) AS low FROM reach GROUP BY 1) r USING (doc_id)
+    """,
+    "op10_mixing": """
+        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
+                          substr(md5('mix-1-' || coalesce(doc_id::VARCHAR, 'null')), 1, 16) AS h FROM documents),
+        s AS (SELECT source, sum(size)::BIGINT AS source_size, [5, 2, 1][((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::INT]::DOUBLE AS w FROM d GROUP BY source),
+        r AS (SELECT *, 2.0::DOUBLE * source_size AS cap,
+                     (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(2.0::DOUBLE * source_size) OVER (ORDER BY 2.0::DOUBLE * source_size / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                       / sum(w) OVER (ORDER BY 2.0::DOUBLE * source_size / w, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s),
+        t AS (SELECT source, source_size, coalesce(least(cap, (SELECT arg_min(level, cap / w) FROM r WHERE level * w <= cap) * w), cap) AS target FROM r),
+        q AS (SELECT d.doc_id, d.size, d.h, t.*, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS base,
+                     coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ahead
+              FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+        SELECT doc_id, size, source_size, target, (base * size + greatest(0, least(size, floor(target + 0.5)::BIGINT - base * source_size - ahead)))::BIGINT AS taken FROM q
+    """,
 }
 
 
@@ -43,6 +74,7 @@ def queries() -> dict:
         "op2_quality_classifier": op2_quality_classifier,
         "op4_near_dedup": op4_near_dedup,
         "op7_exact_dedup": op7_exact_dedup,
+        "op10_mixing": op10_mixing,
     }
 
 
