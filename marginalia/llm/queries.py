@@ -35,6 +35,12 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(spark, _table(spark, sf_dir, "documents"))
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import url_filter
+
+    return url_filter(spark, _table(spark, sf_dir, "pages"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -83,6 +89,7 @@ def queries() -> dict:
         "op4_near_dedup": op4_near_dedup,
         "op6_pieces": op6_pieces,
         "op7_exact_dedup": op7_exact_dedup,
+        "op9_url_filter": op9_url_filter,
         "op10_mixing": op10_mixing,
         "pipeline": corpus_pipeline.run,
     }
