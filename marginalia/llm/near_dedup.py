@@ -6,8 +6,9 @@ any size gets a whole sketch with concentrated agreement.
 
 Candidates never become all pairs of a bucket. Equal sets are one node. Then, round by round, a bucket whose nodes
 aren't all in one component yet offers one pivot, and each outside node is verified against the likeliest pivot of
-its buckets. When few outsiders are left, each is compared with every node of its bucket in another component, so
-no pair that shares a bucket and isn't connected otherwise goes untested. Before a text is read, a pair must agree in
+its buckets. At last each outsider that is left is compared with every node of its bucket in another component, so
+no pair that shares a bucket and isn't connected otherwise goes untested: in small buckets as rows, in large ones in
+blocks of sets that emit only the links found. Before a text is read for a pair of rows, it must agree in
 length (exact bound) and in 128 one-bit coordinates (`MOST_BITS`, over five standard deviations below 0.75).
 """
 
@@ -29,7 +30,9 @@ LEAST = 75
 #: One-bit coordinates that may differ: 16 are expected at 0.75, with a standard deviation of 3.7.
 MOST_BITS = 36
 #: Rounds of pivots at most, and the comparisons for each bucket member from which a further round is worth it.
-PIVOT_ROUNDS, WORK = 8, 64
+PIVOT_ROUNDS, WORK = 3, 64
+#: Nodes of a bucket up to which its open pairs are rows, and shingles of a block in larger ones.
+SMALL, BLOCK = 64, 1 << 19
 
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _PLACE = mix64(np.arange(11, 11 + SHINGLE, dtype=np.uint64) * GOLDEN) | np.uint64(1)
@@ -128,10 +131,7 @@ def _verified(ws: Workspace, docs: DataFrame, nodes: DataFrame, pairs: DataFrame
             sets = []
             for (raw, bounds), f in zip(sides, (f_a, f_b), strict=True):
                 hashes, at = shingles(raw[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
-                with np.errstate(over="ignore"):
-                    s = np.concatenate([np.zeros(1, np.uint64), mix64(hashes + np.uint64(1)).cumsum(dtype=np.uint64)])
-                # an id that several rows share brings more texts: only the node's own counts
-                sets.append((hashes, at, (s[at[1:]] - s[at[:-1]]).view(np.int64) == f[i:j]))
+                sets.append((hashes, at, _own(hashes, at, f[i:j])))
             (x, xa, x_own), (y, ya, y_own) = sets
             linked = np.zeros(j - i, bool)
             for k in np.flatnonzero(x_own & y_own):
@@ -145,6 +145,74 @@ def _verified(ws: Workspace, docs: DataFrame, nodes: DataFrame, pairs: DataFrame
     return links
 
 
+def _own(hashes: np.ndarray, at: np.ndarray, f1: np.ndarray) -> np.ndarray:
+    """Which sets have the fingerprint: an id that several rows share brings more texts than the node's own."""
+    with np.errstate(over="ignore"):
+        s = np.concatenate([np.zeros(1, np.uint64), mix64(hashes + np.uint64(1)).cumsum(dtype=np.uint64)])
+        return (s[at[1:]] - s[at[:-1]]).view(np.int64) == f1
+
+
+def _sets(ws: Workspace, docs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """(row, set) of the nodes in `rows`, from their whole texts."""
+    known = ws.put(nodes.select("row", "rep", "f1").join(rows, "row", "left_semi"), "known")
+    texts = keep_ids(docs, "doc_id", known.select("rep").distinct())
+    texts = texts.join(known, texts["doc_id"].eqNullSafe(known["rep"])).select("row", "f1", "text")
+
+    def make(batch):
+        raw, bounds = text_buffers(batch.column(2))
+        f1 = batch.column(1).to_numpy(zero_copy_only=False)
+        for i, j in slices(bounds):
+            hashes, at = shingles(raw[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
+            own = pa.array(_own(hashes, at, f1[i:j]))
+            lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(hashes.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).filter(own), lists.filter(own)], ["row", "set"])
+
+    return ws.put(map_arrow(texts, make, "row long, set array<long>").dropDuplicates(["row"]), "sets")
+
+
+def _block_links(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Links of the outsiders on the left with the nodes on the right, one for each other component, from full sets."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    if not left.num_rows or not right.num_rows:
+        return schema.empty_table()
+    rows, comps, sets, sizes = [], [], [], []
+    for side, mark in ((left, "x_"), (right, "")):
+        lists = side[f"{mark}set"].combine_chunks()
+        rows.append(side[f"{mark}row"].to_numpy())
+        comps.append(side[f"{mark}comp"].to_numpy())
+        sets.append(lists.flatten().to_numpy())
+        sizes.append(lists.value_lengths().to_numpy().astype(np.int64))
+    known, place = np.unique(sets[1], return_inverse=True)
+    first = np.concatenate([[0], sizes[1].cumsum()[:-1]])
+    a, b, at = [], [], 0
+    for row, comp, n in zip(rows[0], comps[0], sizes[0], strict=True):
+        own = sets[0][at : at + n]
+        at += n
+        found = np.minimum(np.searchsorted(known, own), len(known) - 1)
+        mark = np.zeros(len(known), np.int64)
+        mark[found[known[found] == own]] = 1
+        common = np.add.reduceat(mark[place], first)
+        linked = np.flatnonzero((common > 0) & (100 * common >= LEAST * (n + sizes[1] - common)) & (comps[1] != comp))
+        linked = linked[np.unique(comps[1][linked], return_index=True)[1]]
+        a += [row] * len(linked)
+        b += rows[1][linked].tolist()
+    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
+
+
+def _large_links(ws: Workspace, docs: DataFrame, nodes: DataFrame, large: DataFrame) -> DataFrame:
+    """Links of the outsiders of large buckets (key, row, comp, mode, m, top, total). Hashed blocks of nodes meet hashed
+    blocks of outsiders: a group of any size is spread over tasks, and only links come out."""
+    large = large.withColumn("blocks", F.ceil(F.col("total") / BLOCK)).withColumn("parts", F.ceil(F.col("blocks") * (F.col("m") - F.col("top")) / F.col("m")))
+    large = ws.put(large, "large")
+    sets = _sets(ws, docs, nodes, large.select("row").distinct())
+    own = large.join(sets, "row").withColumns({"i": F.pmod(F.xxhash64("row", F.lit(1)), "parts"), "j": F.pmod(F.xxhash64("row", F.lit(2)), "blocks")})
+    targets = own.select("key", F.explode(F.expr("sequence(0L, parts - 1L)")).alias("i"), "j", "row", "comp", "set")
+    outsiders = own.filter("comp != mode").select("key", "i", F.explode(F.expr("sequence(0L, blocks - 1L)")).alias("j"), "row", "comp", "set")
+    outsiders = outsiders.toDF("x_key", "x_i", "x_j", "x_row", "x_comp", "x_set")
+    found = outsiders.groupBy("x_key", "x_i", "x_j").cogroup(targets.groupBy("key", "i", "j")).applyInArrow(_block_links, "a long, b long")
+    return ws.put(found.distinct(), "links")
+
+
 def _near(n: str, m: str, x1: str, y1: str, x2: str, y2: str) -> str:
     """Pairs that length and one-bit coordinates don't rule out."""
     return f"100 * least({n}, {m}) >= {LEAST} * greatest({n}, {m}) AND bit_count({x1} ^ {y1}) + bit_count({x2} ^ {y2}) <= {MOST_BITS}"
@@ -174,9 +242,9 @@ def near_dedup(spark: SparkSession, documents: DataFrame, id_col: str = "doc_id"
     for round_no in range(PIVOT_ROUNDS + 1):
         placed = ws.put(members.join(comps, "row"), "placed")
         order = F.xxhash64("row", F.lit(round_no))
-        parts = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), *(F.min_by(x, order).alias(f"p_{x}") for x in ("row", "n", "b1", "b2")))
+        parts = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("shingles"), *(F.min_by(x, order).alias(f"p_{x}") for x in ("row", "n", "b1", "b2")))
         rank = F.col("c") * F.lit(1 << 40) + F.col("comp").bitwiseAND(F.lit((1 << 40) - 1))
-        split = parts.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.sum("c").alias("m"), F.max("c").alias("top"), *(F.max_by(x, rank).alias(x) for x in ("comp", "p_row", "p_n", "p_b1", "p_b2")))
+        split = parts.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.sum("c").alias("m"), F.max("c").alias("top"), F.sum("shingles").alias("total"), *(F.max_by(x, rank).alias(x) for x in ("comp", "p_row", "p_n", "p_b1", "p_b2")))
         split = ws.put(split.filter("k > 1").withColumnRenamed("comp", "mode"), "split")
         work = split.agg(F.sum(F.expr("(m - top) * m"))).first()[0] or 0
         if not work:
@@ -187,11 +255,13 @@ def near_dedup(spark: SparkSession, documents: DataFrame, id_col: str = "doc_id"
             near = outside.filter("comp != mode").filter(_near("n", "p_n", "b1", "p_b1", "b2", "p_b2"))
             pairs = near.groupBy(F.col("row").alias("a")).agg(F.min_by("p_row", F.expr("bit_count(b1 ^ p_b1) + bit_count(b2 ^ p_b2)")).alias("b"))
         else:
-            open_rows = ws.put(outside.select("key", "row", "comp", "n", "b1", "b2", "mode"), "open")
+            open_rows = ws.put(outside.filter(F.col("m") <= SMALL).select("key", "row", "comp", "n", "b1", "b2", "mode"), "open")
             x = open_rows.filter("comp != mode").select("key", *(F.col(c).alias(f"x_{c}") for c in ("row", "comp", "n", "b1", "b2")))
             near = (F.col("x_comp") != F.col("comp")) & ((F.col("comp") == F.col("mode")) | (F.col("x_row") < F.col("row"))) & F.expr(_near("x_n", "n", "x_b1", "b1", "x_b2", "b2"))
             pairs = x.join(open_rows, (x["key"] == open_rows["key"]) & near).select(F.col("x_row").alias("a"), F.col("row").alias("b")).distinct()
         links = _verified(ws, docs, nodes, pairs)
+        if last:
+            links = links.unionByName(_large_links(ws, docs, nodes, outside.filter(F.col("m") > SMALL).select("key", "row", "comp", "mode", "m", "top", "total")))
         known = comps.select("row", "comp")
         edges = links.join(known.toDF("a", "ca"), "a").join(known.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
         joined = connected_components(ws, edges)
