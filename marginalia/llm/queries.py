@@ -35,6 +35,18 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(spark, _table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    return identify(spark, _table(spark, sf_dir, "documents"))
+
+
+def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_k
+
+    return top_k(spark, _table(spark, sf_dir, "embeddings"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_filter import url_filter
 
@@ -67,6 +79,13 @@ ORACLES = {
         SELECT s.doc_id, len(sh) AS n_shingles, coalesce(least(s.doc_id, r.low), s.doc_id) AS component_id, coalesce(least(s.doc_id, r.low), s.doc_id) = s.doc_id AS kept
         FROM s LEFT JOIN (SELECT doc_id, min(low) AS low FROM reach GROUP BY 1) r USING (doc_id)
     """,
+    "op8_exact_topk": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS x FROM embeddings
+                   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.x, c.x)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.x) = len(c.x))
+        SELECT query_id, rank, vec_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s) WHERE rank <= 20
+    """,
     "op10_mixing": """
         WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
                           substr(md5('mix-1-' || coalesce(doc_id::VARCHAR, 'null')), 1, 16) AS h FROM documents),
@@ -86,9 +105,11 @@ ORACLES = {
 def queries() -> dict:
     return {
         "op2_quality_classifier": op2_quality_classifier,
+        "op3_language_id": op3_language_id,
         "op4_near_dedup": op4_near_dedup,
         "op6_pieces": op6_pieces,
         "op7_exact_dedup": op7_exact_dedup,
+        "op8_exact_topk": op8_exact_topk,
         "op9_url_filter": op9_url_filter,
         "op10_mixing": op10_mixing,
         "pipeline": corpus_pipeline.run,
