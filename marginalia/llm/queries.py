@@ -23,6 +23,12 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(spark, _table(spark, sf_dir, "documents"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract_pages
+
+    return extract_pages(spark, _table(spark, sf_dir, "pages"))
+
+
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pieces import encode_documents
 
@@ -107,6 +113,7 @@ def queries() -> dict:
         "op2_quality_classifier": op2_quality_classifier,
         "op3_language_id": op3_language_id,
         "op4_near_dedup": op4_near_dedup,
+        "op5_html_text": op5_html_text,
         "op6_pieces": op6_pieces,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_exact_topk": op8_exact_topk,
