@@ -11,6 +11,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan_documents
+
+    return scan_documents(spark, _table(spark, sf_dir, "documents"))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality
 
@@ -110,6 +116,7 @@ ORACLES = {
 
 def queries() -> dict:
     return {
+        "op1_license_scan": op1_license_scan,
         "op2_quality_classifier": op2_quality_classifier,
         "op3_language_id": op3_language_id,
         "op4_near_dedup": op4_near_dedup,
