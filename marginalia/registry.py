@@ -4,7 +4,9 @@ from __future__ import annotations
 
 
 def modules() -> list:
-    return []
+    from .plans import span_queries
+
+    return [span_queries]
 
 
 def queries() -> dict:
@@ -16,4 +18,6 @@ def oracle_sql() -> dict:
 
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    from .plans.span_queries import character_scores
+
+    return character_scores(spark, sf_dir)
