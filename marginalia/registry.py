@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def modules() -> list:
-    from .plans import span_queries
+    from .plans import link_queries, span_queries
 
-    return [span_queries]
+    return [span_queries, link_queries]
 
 
 def queries() -> dict:
