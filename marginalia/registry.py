@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def modules() -> list:
-    from .plans import link_queries, span_queries
+    from .plans import analysis_queries, link_queries, span_queries
 
-    return [span_queries, link_queries]
+    return [span_queries, link_queries, analysis_queries]
 
 
 def queries() -> dict:
