@@ -241,3 +241,51 @@ def mention_features(texts: Column) -> dict[str, Column]:
         "greek": texts.rlike(r"\p{IsGreek}"),
         "acronym": texts.rlike(r"^[\p{Lu}\p{Nd}.-]{2,6}$") & texts.rlike(r"\p{Lu}.*\p{Lu}"),
     }
+
+
+def confidence_sweep(gold: DataFrame, predicted: DataFrame, points: int = 20) -> DataFrame:
+    """threshold, n_pred, tp, precision, recall, f1 of strict matching at the distinct quantiles of the score.
+
+    Each equal span pairs off one to one, best scores first, so one pass of matching serves every threshold.
+    """
+    cuts = predicted.agg(F.percentile("score", F.array(*(F.lit(i / points) for i in range(points + 1)))).alias("e")).first()["e"]
+    n_gold = gold.count()
+    g = gold.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_gold"))
+    nth = F.row_number().over(W.partitionBy(*KEY).orderBy(F.desc("score")))
+    p = predicted.withColumn("nth", nth).join(g, KEY, "left").select("score", (F.col("nth") <= F.coalesce("n_gold", F.lit(0))).cast("int").alias("hit"))
+    # a row for each score and threshold that it reaches
+    at = p.groupBy("score").agg(F.count(F.lit(1)).alias("n"), F.sum("hit").alias("hit")).select("n", "hit", F.explode(F.filter(F.array(*map(F.lit, sorted(set(cuts or [])))), lambda c: F.col("score") >= c)).alias("threshold"))
+    sums = at.groupBy("threshold").agg(F.sum("n").alias("n_pred"), F.sum("hit").alias("tp"))
+    return sums.select("threshold", "n_pred", "tp", ratio(F.col("tp"), F.col("n_pred")).alias("precision"), ratio(F.col("tp"), F.lit(n_gold)).alias("recall"), ratio(2 * F.col("tp"), F.col("n_pred") + F.lit(n_gold)).alias("f1"))
+
+
+def overlap_sensitivity(gold: DataFrame, predicted: DataFrame, thresholds: list[float]) -> DataFrame:
+    """threshold, error_type, n: the units' types when pairing needs more or less overlap."""
+    out = None
+    for t in thresholds:
+        one = pair_errors(gold, predicted, t).groupBy("error_type").agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("threshold"), "error_type", "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def error_surfaces(events: DataFrame) -> DataFrame:
+    """surface with a count for each outcome (TP, FN, FP), of events (text, outcome); most errors first."""
+    counts = events.groupBy(F.lower(F.trim("text")).alias("surface")).pivot("outcome", ["TP", "FN", "FP"]).count().na.fill(0)
+    return counts.filter("FN + FP > 0")
+
+
+def subgroup_recall(mentions: DataFrame, families: dict[str, Column]) -> DataFrame:
+    """family, value, support, found, recall of gold mentions (outcome, ...) by each family's values."""
+    pairs = F.array(*(F.struct(F.lit(n).alias("family"), c.cast("string").alias("value")) for n, c in families.items()))
+    rows = mentions.select(F.inline(pairs), "outcome")
+    sums = rows.groupBy("family", "value").agg(F.count(F.lit(1)).alias("support"), F.count_if(F.col("outcome") == "TP").alias("found"))
+    return sums.withColumn("recall", ratio(F.col("found"), F.col("support")))
+
+
+def boundary_errors(units: DataFrame, gold: DataFrame, predicted: DataFrame) -> DataFrame:
+    """filename, error_type, gold_text, predicted_text, off_by_one of the boundary units; spans have a text."""
+    ids = lambda df, name: df.select("filename", F.row_number().over(W.partitionBy("filename").orderBy("start_span", "end_span", "label")).cast("long").alias("id"), F.col("text").alias(name))
+    kinds = units.filter(F.col("error_type").isin("TOO_LONG", "TOO_SHORT", "SHIFTED_LEFT", "SHIFTED_RIGHT"))
+    one = kinds.withColumns({"g": F.col("gold_ids")[0], "p": F.col("pred_ids")[0]})
+    one = one.join(ids(gold, "gold_text").withColumnRenamed("id", "g"), ["filename", "g"]).join(ids(predicted, "predicted_text").withColumnRenamed("id", "p"), ["filename", "p"])
+    return one.select("filename", "error_type", "gold_text", "predicted_text", (F.abs("start_offset") + F.abs("end_offset") == 1).alias("off_by_one"))

@@ -145,3 +145,74 @@ def complete(spans: DataFrame, linked: DataFrame) -> DataFrame:
     joined = spans.join(linked.select("mention_id", F.col("code").alias("_c"), "code_term", "code_score", "candidates_json"), "mention_id", "left")
     blank = lambda c: F.when(gold.isNull(), F.col(c)).alias(c)
     return joined.select(*spans.columns, F.coalesce(gold, "_c").alias("code"), *map(blank, ("code_term", "code_score", "candidates_json")), F.when(gold.isNotNull(), "gold").when(F.col("_c").isNotNull(), "predicted").alias("code_source"))
+
+
+def word_ngrams(text: Column, high: int = 2) -> Column:
+    """Words and runs of up to `high` words."""
+    t = tokens(text)
+    return F.flatten(F.transform(F.sequence(F.lit(1), F.lit(high)), lambda n: F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, n), " "))).otherwise(F.array().cast("array<string>"))))
+
+
+def char_ngrams(text: Column, low: int = 3, high: int = 5) -> Column:
+    """n-grams across words, of the normalised text."""
+    t = normalize(text)
+    return F.flatten(F.transform(F.sequence(F.lit(low), F.lit(high)), lambda n: F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substring(t, i, n))).otherwise(F.array().cast("array<string>"))))
+
+
+def sparse(mentions: DataFrame, gazetteer: DataFrame, k: int = 25, word_weight: float = 0.25) -> DataFrame:
+    """Character n-gram cosine plus `word_weight` times the word n-gram cosine, one inverted index for both."""
+    n = gazetteer.count()
+    both = lambda c: F.concat(F.transform(char_ngrams(c), lambda g: F.concat(F.lit("c:"), g)), F.transform(word_ngrams(c), lambda g: F.concat(F.lit("w:"), g)))
+
+    def vectors(rows: DataFrame, key: str, column: str, idf: DataFrame | None):
+        tf = rows.select(key, F.explode(both(F.col(column))).alias("g")).groupBy(key, "g").agg(F.count(F.lit(1)).alias("tf"))
+        idf = tf.groupBy("g").agg((F.log((1.0 + F.lit(n)) / (1 + F.count(F.lit(1)))) + 1).alias("idf")) if idf is None else idf
+        w = tf.join(idf, "g").select(key, "g", F.substring("g", 1, 1).alias("kind"), (F.col("tf") * F.col("idf")).alias("w"))
+        size = w.groupBy(key, "kind").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
+        return w.join(size, [key, "kind"]).select(key, "g", "kind", (F.col("w") / F.col("size")).alias("w")), idf
+
+    entries, idf = vectors(gazetteer, "entry_id", "term", None)
+    q, _ = vectors(mentions.select("text").distinct(), "text", "text", idf)
+    part = F.when(F.col("kind") == "w", word_weight).otherwise(1.0) * F.col("qw") * F.col("w")
+    scored = q.select("text", "g", F.col("w").alias("qw")).join(entries, "g").groupBy("text", "entry_id").agg(F.sum(part).alias("score")).join(gazetteer.select("entry_id", "term", "code"), "entry_id")
+    return top_candidates(mentions.select("mention_id", "text").join(scored, "text").drop("text"), k)
+
+
+def fill_zero(candidates: DataFrame, mentions: DataFrame, gazetteer: DataFrame, k: int) -> DataFrame:
+    """Rankings of fewer than `k` codes filled with unseen codes at score 0, in the order of entry_id.
+
+    A mention needs no entry beyond the k + k first codes, so the filling is bounded by k."""
+    first = gazetteer.groupBy("code").agg(F.min(F.struct("entry_id", "term")).alias("e")).select("code", "e.entry_id", "e.term").orderBy("entry_id").limit(2 * k)
+    have = mentions.select("mention_id").join(candidates.groupBy("mention_id").agg(F.count(F.lit(1)).alias("n")), "mention_id", "left").na.fill(0, ["n"]).filter(F.col("n") < k)
+    listed = first.agg(F.array_sort(F.collect_list(F.struct("entry_id", "code", "term"))).alias("all")).first()["all"]
+    spare = F.array(*(F.struct(F.lit(r["entry_id"]).alias("entry_id"), F.lit(r["code"]).alias("code"), F.lit(r["term"]).alias("term")) for r in listed))
+    more = have.select("mention_id", "n", F.inline(spare)).join(candidates.select("mention_id", "code"), ["mention_id", "code"], "left_anti")
+    place = F.row_number().over(W.partitionBy("mention_id").orderBy("entry_id"))
+    filled = more.withColumn("rank", (F.col("n") + place).cast("int")).filter(F.col("rank") <= k).select("mention_id", "code", "term", F.lit(0.0).alias("score"), "rank")
+    return candidates.unionByName(filled)
+
+
+def fuzzy(mentions: DataFrame, gazetteer: DataFrame, method: str = "jaro_winkler", threshold: float = 0.8, k: int = 25) -> DataFrame:
+    """Jaro-Winkler or token-set similarity of distinct texts to the terms that share a character bigram with them."""
+    from ..functions.text import similarity
+
+    texts = mentions.select(normalize(F.col("text")).alias("text")).distinct()
+    terms = gazetteer.select("entry_id", "term", "code", normalize(F.col("term")).alias("norm"))
+    key = lambda c: F.when(F.length(c) < 3, F.array(c)).otherwise(F.array_distinct(_grams(c, 2)))
+    near = texts.select("text", F.explode(key(F.col("text"))).alias("g")).join(terms.select("entry_id", F.explode(key(F.col("norm"))).alias("g")), "g").select("text", "entry_id").distinct()
+    scored = near.join(terms, "entry_id").withColumn("score", similarity(F.col("text"), F.col("norm"), method)).filter(F.col("score") >= threshold)
+    return top_candidates(mentions.select("mention_id", normalize(F.col("text")).alias("text")).join(scored.drop("norm"), "text").drop("text"), k)
+
+
+def ranking_examples(triplets: DataFrame) -> DataFrame:
+    """query, positives, negatives of triplets (anchor, positive, negative); blanks go, a negative that is a positive goes."""
+    clean = triplets.select(*(F.nullif(F.trim(c), F.lit("")).alias(c) for c in ("anchor", "positive", "negative"))).filter("anchor IS NOT NULL")
+    sets = clean.groupBy("anchor").agg(F.array_sort(F.collect_set("positive")).alias("positives"), F.array_sort(F.collect_set("negative")).alias("negatives"))
+    return sets.select(F.col("anchor").alias("query"), "positives", F.array_except("negatives", "positives").alias("negatives"))
+
+
+def labelled_pairs(triplets: DataFrame) -> DataFrame:
+    """mention, candidate, label: distinct positives (1) and negatives (0) of triplets."""
+    rows = triplets.select(F.inline(F.array(F.struct(F.col("anchor").alias("mention"), F.col("positive").alias("candidate"), F.lit(1).alias("label")), F.struct(F.col("anchor").alias("mention"), F.col("negative").alias("candidate"), F.lit(0).alias("label")))))
+    rows = rows.filter("trim(mention) <> '' AND trim(candidate) <> ''")
+    return rows.groupBy("mention", "candidate").agg(F.max("label").alias("label"))
