@@ -1,9 +1,9 @@
 """Licence scans: sparse TF-IDF cosine of headers and licence files to templates, then inheritance by directories.
 
-The terms of the templates are the vocabulary. One pass over every whole text counts the documents that hold each term
-and keeps the passages (lines, and whole texts) that could reach the threshold: a term outside the vocabulary weighs the
-most that any can, so a passage whose vocabulary terms have too small a part of its squared counts is out for certain.
-The few passages left are then weighed. Files without a licence of their own take that of the nearest directory
+The terms of the templates are the vocabulary. A first pass over every whole text counts the documents that hold each
+term. A second one weighs the passages (lines, and whole texts) that could reach the threshold: a passage needs a term
+that isn't too common to matter in any template, and enough of its squared counts in the vocabulary, as a term outside
+it weighs the most that any can. Files without a licence of their own take that of the nearest directory
 above them that holds a licence file, by joins on directory paths.
 """
 
@@ -71,6 +71,21 @@ def cosines(counts: dict[str, int], templates: list[tuple[str, dict[str, float],
     return [(sum(w * weights[t] for t, w in vector.items() if t in weights) / (norm * size) if norm and size else 0.0, name) for name, vector, size in templates]
 
 
+def strong_terms(vectors: list[tuple[str, dict[str, float], float]], idf: dict[str, float], threshold: float) -> frozenset[str]:
+    """Terms of which a passage must have one: the others hold too little of any template for the threshold.
+
+    A cosine is at most the square root of the shared terms' part of a template's squared weights. The most common
+    terms are weak as long as all weak terms together stay below that part in every template.
+    """
+    weak: set[str] = set()
+    for term in sorted(idf, key=lambda t: (idf[t], t)):
+        more = weak | {term}
+        if any(sum(v[t] ** 2 for t in more if t in v) >= 0.999 * (threshold * size) ** 2 for _, v, size in vectors):
+            break
+        weak = more
+    return frozenset(idf) - weak
+
+
 def scan(spark: SparkSession, files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """(file_id, path, license, score, origin, from_dir) of every row of `files` (file_id, path, text).
 
@@ -86,29 +101,13 @@ def scan(spark: SparkSession, files: DataFrame, templates: list[tuple[str, str]]
     id_type = docs.schema["file_id"].dataType.simpleString()
 
     def first(batch):
-        df, rows = Counter(), []
-        ids, texts = batch.column(0), batch.column(2)
-        for i in range(batch.num_rows):
-            text = texts[i].as_py() or ""
-            df.update(vocabulary.intersection(TERM.findall(text.lower())))
-            rows += [(i, whole, c) for whole, c in passages(text, vocabulary, threshold)]
-        n, at = len(df) + 1, [i for i, _, _ in rows]
-        nothing = pa.nulls(len(rows), pa.string())
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.concat_arrays([pa.nulls(n, ids.type), ids.take(pa.array(at, pa.int64()))]),
-                pa.array(["", *df] + nothing.to_pylist(), pa.string()),
-                pa.array([batch.num_rows, *df.values()] + [None] * len(rows), pa.int64()),
-                pa.array([None] * n + [whole for _, whole, _ in rows], pa.bool_()),
-                pa.array([None] * n + [sorted(c) for _, _, c in rows], pa.list_(pa.string())),
-                pa.array([None] * n + [[c[t] for t in sorted(c)] for _, _, c in rows], pa.list_(pa.int32())),
-            ],
-            ["file_id", "term", "n", "whole", "terms", "counts"],
-        )
+        df = Counter()
+        for text in batch.column(2):
+            df.update(vocabulary.intersection(TERM.findall((text.as_py() or "").lower())))
+        yield pa.RecordBatch.from_arrays([pa.array(["", *df], pa.string()), pa.array([batch.num_rows, *df.values()], pa.int64())], ["term", "n"])
 
-    read = ws.put(map_arrow(docs, first, f"file_id {id_type}, term string, n long, whole boolean, terms array<string>, counts array<int>"), "passages")
     # a row for each term of the templates
-    df = {r["term"]: r["n"] for r in read.filter("term IS NOT NULL").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    df = {r["term"]: r["n"] for r in map_arrow(docs, first, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     total = df.pop("", 0)
     unseen = math.log(1 + total) + 1
     idf = {t: math.log((1 + total) / (1 + df.get(t, 0))) + 1 for t in vocabulary}
@@ -116,20 +115,25 @@ def scan(spark: SparkSession, files: DataFrame, templates: list[tuple[str, str]]
     for name, text in templates:
         vector = {t: n * idf[t] for t, n in terms(text).items()}
         vectors.append((name, vector, math.sqrt(sum(w * w for w in vector.values()))))
+    strong = strong_terms(vectors, idf, threshold)
 
     def second(batch):
         out = []
-        for i in range(batch.num_rows):
-            counts = dict(zip(batch.column(2)[i].as_py(), batch.column(3)[i].as_py(), strict=True))
-            score, name = min(((-s, n) for s, n in cosines(counts, vectors, idf, unseen)), default=(0.0, ""))
-            if -score >= threshold:
-                out.append((i, name, min(-score, 1.0), bool(batch.column(1)[i].as_py())))
+        for i, text in enumerate(batch.column(2)):
+            text = text.as_py() or ""
+            if strong.isdisjoint(TERM.findall(text.lower())):
+                continue
+            for whole, counts in passages(text, vocabulary, threshold):
+                if not strong.isdisjoint(counts):
+                    score, name = min(((-s, n) for s, n in cosines(counts, vectors, idf, unseen)), default=(0.0, ""))
+                    if -score >= threshold:
+                        out.append((i, name, min(-score, 1.0), whole))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0).take(pa.array([o[0] for o in out], pa.int64())), pa.array([o[1] for o in out], pa.string()), pa.array([o[2] for o in out], pa.float64()), pa.array([o[3] for o in out], pa.bool_())],
             ["file_id", "license", "score", "whole"],
         )
 
-    scored = map_arrow(read.filter("term IS NULL").select("file_id", "whole", "terms", "counts"), second, f"file_id {id_type}, license string, score double, whole boolean")
+    scored = map_arrow(docs, second, f"file_id {id_type}, license string, score double, whole boolean")
     best = scored.groupBy("file_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"), F.max("whole").alias("whole"))
     own = ws.put(best.select(F.col("file_id").alias("own_id"), F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"), "whole"), "own")
 

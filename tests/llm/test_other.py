@@ -36,6 +36,18 @@ def test_licence_prune_is_safe():
             assert max(s for s, _ in licenses.cosines(c, vectors, idf, 3.0)) < 0.6
 
 
+def test_licence_weak_terms_are_safe():
+    vocabulary = frozenset(t for _, text in licenses.TEMPLATES for t in licenses.terms(text))
+    idf = {t: 1.0 + (hash_ % 97) / 10 for hash_, t in enumerate(sorted(vocabulary))}
+    vectors = [(n, v := {t: c * idf[t] for t, c in licenses.terms(text).items()}, math.sqrt(sum(w * w for w in v.values()))) for n, text in licenses.TEMPLATES]
+    strong = licenses.strong_terms(vectors, idf, 0.6)
+    weak = sorted(vocabulary - strong)
+    assert weak and strong
+    assert max(s for s, _ in licenses.cosines(dict.fromkeys(weak, 1), vectors, idf, 12.0)) < 0.6
+    for _, text in licenses.TEMPLATES:
+        assert max(s for s, _ in licenses.cosines({t: n for t, n in licenses.terms(text).items() if t in weak}, vectors, idf, 12.0)) < 0.6
+
+
 def brute_top(data, k):
     ok = {}
     for i, v in data:
