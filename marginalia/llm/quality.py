@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, slices, span_hashes, text_buffers, words
+from .common import map_arrow, slices, small_batches, span_hashes, text_buffers, words
 
 #: Labelled rows that a fit may read at most.
 SAMPLE = 20_000
@@ -227,6 +227,7 @@ def quality(spark: SparkSession, documents: DataFrame, labels: DataFrame) -> Dat
     Null and empty texts get the score of a text without bytes. A null doc_id isn't held out. Repeated rows get
     equal scores. Without labelled rows each score is 0.5. Other columns of either table are ignored.
     """
+    small_batches(spark)
     score = scorer(train(documents, labels, learnable()))
     return documents.select("doc_id", F.coalesce(~learnable(), F.lit(False)).alias("held_out"), score(F.col("text")).alias("score")).select(
         "*", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
@@ -235,5 +236,6 @@ def quality(spark: SparkSession, documents: DataFrame, labels: DataFrame) -> Dat
 
 def keep_good(spark: SparkSession, documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `documents`, all columns, that score THRESHOLD or more."""
+    small_batches(spark)
     score = scorer(train(documents, labels, learnable()))
     return documents.filter(score(F.col("text")) >= THRESHOLD)
