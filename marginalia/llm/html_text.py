@@ -63,7 +63,10 @@ class _Page:
         self._parse(page)
 
     def _flush(self, node: int) -> None:
+        """The pending text becomes a block of `node`, or of the live element around it: dropped ones collect no text."""
         if self._text:
+            while self.drop[node]:
+                node = self.parent[node]
             text = " ".join("".join(self._text).split())
             if text:
                 self.blocks.append((node, text, min(self._linked, len(text))))
@@ -78,7 +81,8 @@ class _Page:
         stack.append(len(self.tag) - 1)
 
     def _close(self, stack: list[int], depth: int) -> None:
-        self._flush(stack[-1])
+        if not self.drop[stack[depth]]:
+            self._flush(stack[-1])
         while len(stack) > depth:
             self.last[stack.pop()] = len(self.blocks)
 
@@ -110,9 +114,11 @@ class _Page:
                         break
                 continue
             if tag == "br":
-                self._text.append(" ")
+                if not self.drop[stack[-1]]:
+                    self._text.append(" ")
             elif tag == "hr":
-                self._flush(stack[-1])
+                if not self.drop[stack[-1]]:
+                    self._flush(stack[-1])
             elif tag == "a":
                 links += not m[3].rstrip().endswith("/")
             elif tag in VOID:
@@ -123,7 +129,8 @@ class _Page:
                 close = page.find(">", end) if end >= 0 else -1
                 at = close + 1 if close >= 0 else len(page)
             elif tag in BLOCKS:
-                self._flush(stack[-1])
+                if not self.drop[stack[-1]]:
+                    self._flush(stack[-1])
                 for depth in range(len(stack) - 1, 0, -1):
                     other = self.tag[stack[depth]]
                     if other == "p" or other in CLOSED_BY.get(tag, ()):
@@ -134,17 +141,11 @@ class _Page:
                         break
                 self._open(stack, tag, tag in DROPPED or _unlikely(tag, m[3]))
             elif self.drop[stack[-1]] or _unlikely(tag, m[3]):
+                # an inline element that is dropped: what stands before and after it stays in the block
                 if not m[3].rstrip().endswith("/"):
-                    if not self.drop[stack[-1]]:
-                        self._keep_inline(stack, tag)
-                    else:
-                        self._open(stack, tag, True)
+                    self._open(stack, tag, True)
         self._close(stack, 0)
 
-    def _keep_inline(self, stack: list[int], tag: str) -> None:
-        """An inline element that is dropped: what stands before it stays in the block."""
-        self._open(stack, tag, True)
-
 
 def extract(page: str | None) -> str:
     """Main text of a page: its blocks in page order, joined by line ends."""

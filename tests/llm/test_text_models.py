@@ -129,6 +129,14 @@ PAGE = """<html><head><title>t</title><style>p{}</style></head><body><header><p>
 <aside><p>Side, bar, text, with, many, commas, and, length.</p></aside><div id="comments"><p>Reader, comment, with, many, commas, and, length, too.</p></div><footer>Foot</footer>"""
 
 
+def test_extraction_keeps_text_around_dropped_inline_elements():
+    assert extract('<p>Alpha beta <i aria-hidden="true"></i> gamma</p>') == "Alpha beta gamma"
+    assert extract('<div><i hidden>x</i>One <span class="share">Share <b>this</b></span>two <i class="ad">Buy</i><i hidden>y</i> three<span class="share">z</span></div>') == "One two three"
+    assert extract('<p>Ends in a span <span class="share">Share</span></p><p>Next <span hidden>x<br>y<hr>z</span>one</p>') == "Ends in a span\nNext one"
+    assert extract('<div>Before <span class="ad"><div>Buy</div><ul><li>now</li></ul></span> after</div>') == "Before after"
+    assert extract('<p>Not closed <span hidden>gone</p><p>Next.</p>') == "Not closed\nNext."
+
+
 def test_extraction():
     assert extract(PAGE) == "Head & line\nFirst paragraph, with commas, of some length, to score.\nSecond one here, which also has some length and a comma, surely.\nShort."
     assert extract(None) == extract("") == extract("<p></p>") == ""
