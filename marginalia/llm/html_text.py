@@ -17,8 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import map_arrow
 
 #: Markup names. Fixed values.
-RAW = frozenset("script style noscript template iframe object textarea title svg math select canvas audio video".split())
-DROPPED = frozenset("nav header footer aside form menu dialog button fieldset head figcaption".split())
+RAW = frozenset("script style noscript template iframe object textarea title svg annotation annotation-xml select canvas audio video".split())
+#: Raw elements that have no text to skip when they are closed by a slash.
+EMPTY = frozenset("svg annotation annotation-xml object canvas audio video".split())
+DROPPED = frozenset("nav header footer aside form menu dialog button fieldset head".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("br hr img input meta link area base col embed source track wbr param".split())
 CLOSED_BY = {"li": ("li",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "dd": ("dd", "dt"), "dt": ("dd", "dt")}
@@ -33,6 +35,7 @@ KEPT_TAGS = frozenset("html body main h1 h2 h3 h4 h5 h6".split())
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)(?:>|\Z)|[^<]+|<""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z][\w:-]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I | re.A) for tag in RAW}
 #: Characters of a paragraph that scores, and those for a further point (three at most).
 LEAST, LENGTH = 25, 100
 
@@ -88,7 +91,6 @@ class _Page:
 
     def _parse(self, page: str) -> None:
         stack, links, at = [0], 0, 0
-        low = None
         find = TOKEN.match
         while m := find(page, at):
             at = m.end()
@@ -124,10 +126,10 @@ class _Page:
             elif tag in VOID:
                 pass
             elif tag in RAW:
-                low = low or page.lower()
-                end = low.find(f"</{tag}", at)
-                close = page.find(">", end) if end >= 0 else -1
-                at = close + 1 if close >= 0 else len(page)
+                if tag not in EMPTY or not m[3].rstrip().endswith("/"):
+                    end = RAW_END[tag].search(page, at)
+                    close = page.find(">", end.end()) if end else -1
+                    at = close + 1 if close >= 0 else len(page)
             elif tag in BLOCKS:
                 if not self.drop[stack[-1]]:
                     self._flush(stack[-1])
@@ -160,7 +162,7 @@ def extract(page: str | None) -> str:
             continue
         length[node] += len(text)
         linked[node] += link
-        if len(text) >= LEAST and tree.tag[node][0] != "h":
+        if len(text) >= LEAST and tree.tag[node][0] != "h" and tree.tag[node] != "figcaption":
             points = (1 + text.count(",") + text.count("،") + text.count("、") + min(len(text) // LENGTH, 3)) * (1 - link / len(text))
             # a paragraph's points go to what holds it; a container with text of its own holds it itself
             up = tree.parent[node] if tree.tag[node] in ("p", "pre", "td", "li", "blockquote", "dd") and tree.parent[node] >= 0 else node

@@ -137,6 +137,12 @@ def test_extraction_keeps_text_around_dropped_inline_elements():
     assert extract('<p>Not closed <span hidden>gone</p><p>Next.</p>') == "Not closed\nNext."
 
 
+def test_extraction_of_foreign_elements_and_captions():
+    assert extract('<article><p>One<svg viewBox="0 0 1 1"/> two.</p><p>Three.</p><svg><text>no</text></SVG><p>Four.</p></article>') == "One two.\nThree.\nFour."
+    assert extract('<p>\u0130\u0130\u0130\u0130 a<script>var x = "</scripts>";</SCRIPT >b c d e f g</p>') == "\u0130\u0130\u0130\u0130 ab c d e f g"
+    assert extract("<article><p>Text of the article.</p><figure><img><figcaption>The caption.</figcaption></figure><p>So <math><semantics><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></semantics></math> holds.</p></article>") == "Text of the article.\nThe caption.\nSo x=2 holds."
+
+
 def test_extraction():
     assert extract(PAGE) == "Head & line\nFirst paragraph, with commas, of some length, to score.\nSecond one here, which also has some length and a comma, surely.\nShort."
     assert extract(None) == extract("") == extract("<p></p>") == ""
