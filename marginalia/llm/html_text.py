@@ -3,7 +3,8 @@
 One pass over the markup builds a flat tree of block elements and the text blocks in them. Each paragraph gives points
 for its length and its commas to its ancestors, less the farther they are; an element's points are discounted by the
 share of its text that stands in links. The best container is kept with those of its siblings that look alike.
-Navigation, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments never count.
+Navigation, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments never count. Elements that
+only a word of their class or id marks as such are judged by what they hold, see `_judge`.
 """
 
 from __future__ import annotations
@@ -31,6 +32,12 @@ UNLIKELY = frozenset(
 )
 UNLIKELY_ROLES = frozenset("navigation banner complementary contentinfo dialog alert alertdialog menu menubar search form toolbar".split())
 KEPT_TAGS = frozenset("html body main h1 h2 h3 h4 h5 h6".split())
+#: Words that name a part of a page together with an unlikely one; with any other word the unlikely one is a weak sign.
+NEUTRAL = frozenset("site page global top bottom left right main primary secondary wrap wrapper container inner outer box bar block area section region list lists item items link links button buttons icon icons post posts entry article articles content body text form widget widgets group row col column unit slot label title this us the and s".split())
+#: Unlikely words that layouts put around whole pages too.
+LAYOUT = frozenset("header masthead banner nav navbar navigation menu search overlay modal popup toolbar tags social sidebar skip".split())
+#: How an element stands: live, unlikely by a word among others, by words of layouts alone, by other words alone, dropped whatever it holds.
+LIVE, WEAK, WRAP, STRONG, DROP = range(5)
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)(?:>|\Z)|[^<]+|<""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z][\w:-]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -38,28 +45,37 @@ WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I | re.A) for tag in RAW}
 #: Characters of a paragraph that scores, and those for a further point (three at most).
 LEAST, LENGTH = 25, 100
+#: A text of fewer characters is little for a page.
+LITTLE = 200
 
 
-def _unlikely(tag: str, attributes: str) -> bool:
+def _unlikely(tag: str, attributes: str) -> int:
     if not attributes or tag in KEPT_TAGS:
-        return False
+        return LIVE
+    found = LIVE
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
-            if any(w.lower() in UNLIKELY for w in WORDS.findall(value)):
-                return True
+            for part in value.split():
+                words = [w.lower() for w in WORDS.findall(part)]
+                if hits := [w for w in words if w in UNLIKELY]:
+                    if any(w not in UNLIKELY and w not in NEUTRAL and not w.isdigit() for w in words):
+                        found = max(found, WEAK)
+                    else:
+                        found = max(found, WRAP if all(w in LAYOUT for w in hits) else STRONG)
         elif (name == "role" and value.lower() in UNLIKELY_ROLES) or name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
+            return DROP
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return DROP
+    return found
 
 
 class _Page:
-    """Flat tree: for each node its tag, parent, whether it is dropped, and the range of blocks inside it."""
+    """Flat tree: for each node its tag, parent, whether it is dropped, how its words mark it, and the range of blocks inside it."""
 
-    def __init__(self, page: str):
-        self.tag, self.parent, self.drop, self.first, self.last = ["#"], [-1], [False], [0], [0]
+    def __init__(self, page: str, lifted: int = LIVE):
+        self.lifted = lifted
+        self.tag, self.parent, self.drop, self.mark, self.first, self.last = ["#"], [-1], [False], [LIVE], [0], [0]
         self.blocks: list[tuple[int, str, int]] = []
         self._text: list[str] = []
         self._linked = 0
@@ -75,10 +91,11 @@ class _Page:
                 self.blocks.append((node, text, min(self._linked, len(text))))
             self._text, self._linked = [], 0
 
-    def _open(self, stack: list[int], tag: str, drop: bool) -> None:
+    def _open(self, stack: list[int], tag: str, drop: bool, mark: int = LIVE) -> None:
         self.tag.append(tag)
         self.parent.append(stack[-1])
         self.drop.append(drop or self.drop[stack[-1]])
+        self.mark.append(mark)
         self.first.append(len(self.blocks))
         self.last.append(0)
         stack.append(len(self.tag) - 1)
@@ -89,6 +106,11 @@ class _Page:
         while len(stack) > depth:
             self.last[stack.pop()] = len(self.blocks)
 
+    def _marked(self, tag: str, attributes: str) -> int:
+        """The mark of an element, live up to the mark that is lifted."""
+        mark = _unlikely(tag, attributes)
+        return mark if mark > self.lifted else LIVE
+
     def _parse(self, page: str) -> None:
         stack, links, at = [0], 0, 0
         find = TOKEN.match
@@ -141,19 +163,71 @@ class _Page:
                             break
                     elif other in SCOPE.get(tag, ()) or (tag not in CLOSED_BY and other in BLOCKS):
                         break
-                self._open(stack, tag, tag in DROPPED or _unlikely(tag, m[3]))
-            elif self.drop[stack[-1]] or _unlikely(tag, m[3]):
+                mark = self._marked(tag, m[3])
+                self._open(stack, tag, tag in DROPPED or mark == DROP, mark)
+            elif self.drop[stack[-1]] or self._marked(tag, m[3]) > WEAK:
                 # an inline element that is dropped: what stands before and after it stays in the block
                 if not m[3].rstrip().endswith("/"):
                     self._open(stack, tag, True)
         self._close(stack, 0)
 
 
+def _points(text: str, link: int) -> float:
+    return (1 + text.count(",") + text.count("،") + text.count("、") + min(len(text) // LENGTH, 3)) * (1 - link / len(text))
+
+
+def _judge(tree: _Page) -> None:
+    """Drops the elements that words of their class or id mark, but for those that hold the text of the page.
+
+    An article, an element around the unmarked article or main element with text, and one with at least half of the
+    page's points stay, unless its words are those of comments, adverts, notices and the like alone. Where the unlikely
+    word is one among others (`related-work`), text that isn't mostly links stays too.
+    """
+    nodes = len(tree.tag)
+    points, prose, linked = [0.0] * nodes, [0] * nodes, [0] * nodes
+    for node, text, link in tree.blocks:
+        if not tree.drop[node] and tree.tag[node][0] != "h":
+            prose[node] += len(text)
+            linked[node] += link
+            if len(text) >= LEAST and tree.tag[node] != "figcaption":
+                points[node] += _points(text, link)
+    for n in range(nodes - 1, 0, -1):
+        points[tree.parent[n]] += points[n]
+        prose[tree.parent[n]] += prose[n]
+        linked[tree.parent[n]] += linked[n]
+    holds = [False] * nodes
+    for n in range(nodes - 1, 0, -1):
+        holds[n] = holds[n] or (tree.tag[n] in ("article", "main") and tree.mark[n] < STRONG and not tree.drop[n] and points[n] > 0)
+        # what stands among comments or adverts doesn't speak for what is around them
+        if holds[n] and tree.mark[n] < STRONG:
+            holds[tree.parent[n]] = True
+    for n in range(1, nodes):
+        if tree.drop[tree.parent[n]]:
+            tree.drop[n] = True
+        elif WEAK <= tree.mark[n] <= STRONG:
+            whole = tree.mark[n] < STRONG and (tree.tag[n] == "article" or holds[n] or (points[n] > 0 and 2 * points[n] >= points[0]))
+            tree.drop[n] = tree.drop[n] or not (whole or (tree.mark[n] == WEAK and prose[n] > 0 and linked[n] < 0.25 * prose[n]))
+
+
 def extract(page: str | None) -> str:
-    """Main text of a page: its blocks in page order, joined by line ends."""
+    """Main text of a page: its blocks in page order, joined by line ends.
+
+    Where less than LITTLE characters are left, the page is scored again without a look at words of layouts, and where
+    nothing is, without any words of classes and ids.
+    """
     if not page:
         return ""
-    tree = _Page(page)
+    text = _main_text(page, LIVE)
+    if len(text) < LITTLE and any(w in UNLIKELY for w in WORDS.findall(page.lower())):
+        again = _main_text(page, WRAP)
+        if len(again) >= 4 * len(text):
+            text = again
+    return text or _main_text(page, STRONG)
+
+
+def _main_text(page: str, lifted: int) -> str:
+    tree = _Page(page, lifted)
+    _judge(tree)
     nodes = len(tree.tag)
     live = [not tree.drop[n] for n, _, _ in tree.blocks]
     score, length, linked = [0.0] * nodes, [0] * nodes, [0] * nodes
@@ -163,7 +237,7 @@ def extract(page: str | None) -> str:
         length[node] += len(text)
         linked[node] += link
         if len(text) >= LEAST and tree.tag[node][0] != "h" and tree.tag[node] != "figcaption":
-            points = (1 + text.count(",") + text.count("،") + text.count("、") + min(len(text) // LENGTH, 3)) * (1 - link / len(text))
+            points = _points(text, link)
             # a paragraph's points go to what holds it; a container with text of its own holds it itself
             up = tree.parent[node] if tree.tag[node] in ("p", "pre", "td", "li", "blockquote", "dd") and tree.parent[node] >= 0 else node
             for level in range(5):

@@ -143,6 +143,20 @@ def test_extraction_of_foreign_elements_and_captions():
     assert extract("<article><p>Text of the article.</p><figure><img><figcaption>The caption.</figcaption></figure><p>So <math><semantics><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></semantics></math> holds.</p></article>") == "Text of the article.\nThe caption.\nSo x=2 holds."
 
 
+PROSE = "A first sentence of the article, of some length, with commas. "
+
+
+def test_extraction_judges_unlikely_words_by_content():
+    for around in ('<div class="layout has-sidebar">', '<div id="page-header-wrap">', '<div class="header">', '<article class="post comments-open">', '<div class="search"><article>', '<x-page class="sidebar">'):
+        assert extract(f"<body>{around}<p>{PROSE}</p><p>And more.</p>") == f"{PROSE.strip()}\nAnd more.", around
+    for part in ('section id="related-work"', 'p id="search-methods"', 'div class="social-history"'):
+        assert extract(f"<article><p>{PROSE * 3}</p><{part}>Short.</{part.split()[0]}><p>{PROSE}</p></article>") == f"{(PROSE * 3).strip()}\nShort.\n{PROSE.strip()}", part
+    for part in ('div class="related-posts"', 'div class="ad-box"', 'div id="comments"', 'article class="comment"', 'div class="social-media"><a href=x>Follow us</a><a href=y'):
+        assert extract(f"<body><div><p>{PROSE * 3}</p></div><{part}>{PROSE * 9}</{part.split()[0]}></body>") == (PROSE * 3).strip(), part
+    assert extract(f'<body><div class="notice"><p>{PROSE}</p></div></body>') == PROSE.strip()
+    assert extract(f'<body><p>Tiny.</p><x-page class="sidebar"><p>{PROSE * 5}</p></x-page></body>') == "Tiny.\n" + (PROSE * 5).strip()
+
+
 def test_extraction():
     assert extract(PAGE) == "Head & line\nFirst paragraph, with commas, of some length, to score.\nSecond one here, which also has some length and a comma, surely.\nShort."
     assert extract(None) == extract("") == extract("<p></p>") == ""
