@@ -21,8 +21,6 @@ from pyspark.sql import functions as F
 from .common import Workspace, map_arrow
 
 THRESHOLD = 0.6
-#: Characters up to which a whole text is itself a passage: licence files are short.
-WHOLE = 40_000
 TERM = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 
 #: Short forms of public licences: (licence, notice). Fixed values.
@@ -52,10 +50,10 @@ def terms(text: str) -> Counter:
 
 
 def passages(text: str, vocabulary: frozenset[str], threshold: float) -> list[tuple[bool, Counter]]:
-    """(is the whole text, term counts) of the lines, and of a text of up to WHOLE characters, that could reach the threshold."""
+    """(is the whole text, term counts) of the lines and of the whole text that could reach the threshold."""
     lines = [line for line in text.split("\n") if line]
     found = [(len(lines) == 1, c) for line in lines if _possible(c := terms(line), vocabulary, threshold)]
-    if len(lines) > 1 and len(text) <= WHOLE and _possible(c := terms(text), vocabulary, threshold):
+    if len(lines) > 1 and _possible(c := terms(text), vocabulary, threshold):
         found.append((True, c))
     return found
 

@@ -26,6 +26,12 @@ def test_licences(spark):
     assert licenses.scan(spark, spark.createDataFrame([], "file_id long, path string, text string")).count() == 0
 
 
+def test_licence_files_of_any_length(spark):
+    data = [(1, "a/COPYING", "Released under\nthe MIT License.\n" * 3000), (2, "a/b/one.py", "code")]
+    got = {r.file_id: (r.license, r.origin, r.from_dir) for r in licenses.scan(spark, spark.createDataFrame(data, "file_id long, path string, text string")).collect()}
+    assert got == {1: ("MIT", "file", None), 2: ("MIT", "inherited", "a")}
+
+
 def test_licence_prune_is_safe():
     vocabulary = frozenset(t for _, text in licenses.TEMPLATES for t in licenses.terms(text))
     idf = {t: 1.0 + i / 100 for i, t in enumerate(sorted(vocabulary))}
