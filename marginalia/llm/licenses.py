@@ -1,9 +1,9 @@
 """Licence scans: sparse TF-IDF cosine of headers and licence files to templates, then inheritance by directories.
 
 The terms of the templates are the vocabulary. A first pass over every whole text counts the documents that hold each
-term. A second one weighs the passages (lines, and whole texts) that could reach the threshold: a passage needs a term
-that isn't too common to matter in any template, and enough of its squared counts in the vocabulary, as a term outside
-it weighs the most that any can. Files without a licence of their own take that of the nearest directory
+term. A second one weighs the passages (lines, sentences, paragraphs, whole texts, and every run of as many terms as a
+template has) that could reach the threshold: a passage needs a term that isn't too common to matter in any template, and
+enough of its squared counts in the vocabulary, as a term outside it weighs the most that any can. Files without a licence of their own take that of the nearest directory
 above them that holds a licence file, by joins on directory paths.
 """
 
@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -22,6 +24,8 @@ from .common import Workspace, map_arrow
 
 THRESHOLD = 0.6
 TERM = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
+#: Ends of lines, of sentences, and of paragraphs (runs of lines that hold a letter or digit).
+CUTS = re.compile(r"\n"), re.compile(r"[.!?;](?=\s)"), re.compile(r"\n(?:[^\w\n]*\n)+")
 
 #: Short forms of public licences: (licence, notice). Fixed values.
 TEMPLATES = [
@@ -49,13 +53,63 @@ def terms(text: str) -> Counter:
     return Counter(TERM.findall(text.lower()))
 
 
-def passages(text: str, vocabulary: frozenset[str], threshold: float) -> list[tuple[bool, Counter]]:
-    """(is the whole text, term counts) of the lines and of the whole text that could reach the threshold."""
-    lines = [line for line in text.split("\n") if line]
-    found = [(len(lines) == 1, c) for line in lines if _possible(c := terms(line), vocabulary, threshold)]
-    if len(lines) > 1 and _possible(c := terms(text), vocabulary, threshold):
-        found.append((True, c))
-    return found
+def passages(low: str, tokens: list[str], strong: frozenset[str]) -> list[tuple[int, int]]:
+    """The lines, sentences and paragraphs of a lower-cased text that hold a strong term, and the whole, as ranges of its terms."""
+    places = [i for i, t in enumerate(tokens) if t in strong]
+    if not places:
+        return []
+    starts = [m.start() for m in TERM.finditer(low)]
+    found = {(0, len(tokens))}
+    for cut in CUTS:
+        bounds = [0, *(bisect_left(starts, m.end()) for m in cut.finditer(low)), len(tokens)]
+        at = 0
+        for first, last in zip(bounds, bounds[1:]):
+            while at < len(places) and places[at] < first:
+                at += 1
+            if at < len(places) and places[at] < last:
+                found.add((first, last))
+    return sorted(found)
+
+
+class Windows:
+    """Runs of as many terms as a template has, over a whole text, against that template.
+
+    Running sums give each run's product with the template, and a bound of its cosine, as repeated terms weigh more
+    than the sum of their single squares; only runs whose bound reaches the threshold are weighed in full.
+    """
+
+    def __init__(self, templates: list[tuple[str, dict[str, float], float]], sizes: list[int], idf: dict[str, float], unseen: float, threshold: float):
+        self.templates, self.sizes, self.idf, self.unseen, self.threshold = templates, sizes, idf, unseen, threshold
+        names = sorted(idf)
+        self.number = {t: i for i, t in enumerate(names)}
+        self.product = np.array([[vector.get(t, 0.0) * idf[t] for _, vector, _ in templates] for t in names] + [[0.0] * len(templates)])
+        self.square = np.array([idf[t] ** 2 for t in names] + [unseen**2])
+
+    def best(self, tokens: list[str]) -> tuple[float, str] | None:
+        """(-score, licence) of the best run that reaches the threshold; ties go to the first licence by name."""
+        other = len(self.number)
+        ids = np.array([self.number.get(t, other) for t in tokens], np.int64)
+        known = np.flatnonzero(ids < other)
+        if not len(known):
+            return None
+        squares = np.concatenate([[0.0], self.square[ids].cumsum()])
+        found = None
+        for k, ((name, vector, size), n) in enumerate(zip(self.templates, self.sizes, strict=True)):
+            if n > len(ids) or not size:
+                continue
+            product = np.concatenate([[0.0], self.product[ids, k].cumsum()])
+            bound = (product[n:] - product[:-n]) / (size * np.sqrt(squares[n:] - squares[:-n]))
+            seen = set()
+            for i in np.flatnonzero(bound >= self.threshold - 1e-9).tolist():
+                if found and -bound[i] > found[0] + 1e-9:
+                    continue
+                run = tuple(tokens[i : i + n])
+                if run not in seen:
+                    seen.add(run)
+                    score = cosines(Counter(run), [(name, vector, size)], self.idf, self.unseen)[0][0]
+                    if score >= self.threshold and (found is None or (-score, name) < found):
+                        found = -score, name
+        return found
 
 
 def _possible(counts: Counter, vocabulary: frozenset[str], threshold: float) -> bool:
@@ -87,9 +141,10 @@ def strong_terms(vectors: list[tuple[str, dict[str, float], float]], idf: dict[s
 def scan(spark: SparkSession, files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """(file_id, path, license, score, origin, from_dir) of every row of `files` (file_id, path, text).
 
-    origin is `file` where the whole text is a licence, `header` where a line of it is, `inherited` where the nearest
-    directory above holds a licence file (from_dir), else `none` with a null license and the score 0. Ties of scores go
-    to the first licence by name; a directory with several licence files takes the licence of most, then the first by
+    origin is `file` where the whole text is a licence, `header` where a line, a sentence, a paragraph or a run of as
+    many terms as a template has is one, `inherited` where the nearest directory above holds a licence file (from_dir),
+    else `none` with a null license and the score 0. A `file` has the licence of its whole text, a `header` that of its
+    best passage. Ties of scores go to the first licence by name; a directory with several licence files takes the licence of most, then the first by
     name. The documents of idf are all rows. Null texts count as empty, null paths as the root; rows that repeat count
     each; an empty table gives an empty result; other columns are ignored.
     """
@@ -115,24 +170,36 @@ def scan(spark: SparkSession, files: DataFrame, templates: list[tuple[str, str]]
         vectors.append((name, vector, math.sqrt(sum(w * w for w in vector.values()))))
     strong = strong_terms(vectors, idf, threshold)
 
+    windows = Windows(vectors, [terms(text).total() for _, text in templates], idf, unseen, threshold)
+
     def second(batch):
         out = []
         for i, text in enumerate(batch.column(2)):
-            text = text.as_py() or ""
-            if strong.isdisjoint(TERM.findall(text.lower())):
-                continue
-            for whole, counts in passages(text, vocabulary, threshold):
-                if not strong.isdisjoint(counts):
-                    score, name = min(((-s, n) for s, n in cosines(counts, vectors, idf, unseen)), default=(0.0, ""))
-                    if -score >= threshold:
-                        out.append((i, name, min(-score, 1.0), whole))
+            low = (text.as_py() or "").lower()
+            tokens = TERM.findall(low)
+            whole, part = None, None
+            ranges = passages(low, tokens, strong)
+            for first, last in ranges:
+                counts = Counter(tokens[first:last])
+                if _possible(counts, vocabulary, threshold):
+                    found = min(((-s, n) for s, n in cosines(counts, vectors, idf, unseen)), default=(0.0, ""))
+                    if -found[0] >= threshold:
+                        if last - first == len(tokens):
+                            whole = found
+                        else:
+                            part = min(part or found, found)
+            if ranges and not whole and (run := windows.best(tokens)):
+                part = min(part or run, run)
+            if whole or part:
+                score, name = whole or part
+                out.append((i, name, min(-score, 1.0), whole is not None))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0).take(pa.array([o[0] for o in out], pa.int64())), pa.array([o[1] for o in out], pa.string()), pa.array([o[2] for o in out], pa.float64()), pa.array([o[3] for o in out], pa.bool_())],
             ["file_id", "license", "score", "whole"],
         )
 
     scored = map_arrow(docs, second, f"file_id {id_type}, license string, score double, whole boolean")
-    best = scored.groupBy("file_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"), F.max("whole").alias("whole"))
+    best = scored.groupBy("file_id").agg(F.min(F.struct((~F.col("whole")).alias("part"), (-F.col("score")).alias("s"), "license")).alias("b"), F.max("whole").alias("whole"))
     own = ws.put(best.select(F.col("file_id").alias("own_id"), F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"), "whole"), "own")
 
     placed = docs.select("file_id", "path", F.regexp_extract(F.coalesce("path", F.lit("")), r"^(.*)/[^/]*$", 1).alias("dir"))

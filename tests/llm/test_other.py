@@ -32,6 +32,41 @@ def test_licence_files_of_any_length(spark):
     assert got == {1: ("MIT", "file", None), 2: ("MIT", "inherited", "a")}
 
 
+def test_licence_headers_beside_other_words(spark):
+    mit = licenses.TEMPLATES[2][1]
+    texts = {
+        "Copyright 2020 Jane Doe. All rights reserved.": "Proprietary",
+        "Copyright 2020 Jane Doe. Released under the MIT License.": "MIT",
+        "(c) 2020 Example Corp. Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+        "one two three four five six seven eight nine ten Released under the MIT License.": "MIT",
+        "word " * 3000 + mit + " word" * 3000: "MIT",
+        "# code\n# This work is licensed under the GNU General Public License,\n# version 3.\n\ncode " + "more " * 50: "GPL-3.0",
+        "some ordinary words, none of which is a notice of any kind": None,
+    }
+    data = [(i, f"d{i}/x", t) for i, t in enumerate(texts)] + [(100 + i, f"e{i}/x", "plain words") for i in range(40)]
+    got = {r.file_id: (r.license, r.origin) for r in licenses.scan(spark, spark.createDataFrame(data, "file_id long, path string, text string")).collect()}
+    for i, (text, name) in enumerate(texts.items()):
+        assert got[i][0] == name and (got[i][1] in ("header", "file")) == (name is not None), text[:80]
+
+
+def test_licence_windows_equal_brute_force():
+    rng = np.random.default_rng(3)
+    vocabulary = sorted({t for _, text in licenses.TEMPLATES for t in licenses.terms(text)})
+    idf = {t: 1.0 + i / 100 for i, t in enumerate(vocabulary)}
+    vectors = [(n, v := {t: c * idf[t] for t, c in licenses.terms(text).items()}, math.sqrt(sum(w * w for w in v.values()))) for n, text in licenses.TEMPLATES]
+    sizes = [licenses.terms(text).total() for _, text in licenses.TEMPLATES]
+    windows, hits = licenses.Windows(vectors, sizes, idf, 4.0, 0.6), 0
+    for _ in range(40):
+        tokens = []
+        while len(tokens) < 60:
+            text = licenses.TERM.findall(licenses.TEMPLATES[rng.integers(len(sizes))][1].lower())
+            tokens += [t if rng.random() < 0.7 else f"x{rng.integers(9)}" for t in text] + ["other"] * int(rng.integers(4))
+        runs = [(-licenses.cosines(licenses.Counter(tokens[i : i + n]), [v], idf, 4.0)[0][0], v[0]) for v, n in zip(vectors, sizes, strict=True) for i in range(len(tokens) - n + 1)]
+        assert windows.best(tokens) == min((r for r in runs if -r[0] >= 0.6), default=None)
+        hits += windows.best(tokens) is not None
+    assert hits
+
+
 def test_licence_prune_is_safe():
     vocabulary = frozenset(t for _, text in licenses.TEMPLATES for t in licenses.terms(text))
     idf = {t: 1.0 + i / 100 for i, t in enumerate(sorted(vocabulary))}
