@@ -90,7 +90,8 @@ def mixed_documents(spark: SparkSession, documents: DataFrame, seed: str = SEED)
 
     A fractional repetition holds the first words of its text with the white space before them; there is at most one
     for each source. Texts don't move: each row finds its count from the table of sources, and only rows of the cut
-    buckets are looked up by id.
+    buckets are looked up, by source, id and size. Rows that share all three are told apart only where the target is
+    reached among them, at most once for each source.
     """
     ws = Workspace(spark, "mix-rows")
     rows, plan = _plan(ws, documents, seed)
@@ -99,11 +100,17 @@ def mixed_documents(spark: SparkSession, documents: DataFrame, seed: str = SEED)
     inside = F.coalesce(F.col("_bucket") == F.col("_cut"), F.lit(False))
     easy = joined.filter(~inside).withColumn("_copies", F.col("_base") + F.when(F.col("_bucket") < F.col("_cut"), 1).otherwise(0))
     _, hard = _placed(ws, rows, plan)
-    hard = ws.put(hard.groupBy("doc_id").agg(F.min("more").alias("_more"), F.min("size").alias("_size")).withColumnRenamed("doc_id", "_id"), "hard")
-    near = joined.filter(inside)
-    near = near.join(hard, near["doc_id"].eqNullSafe(hard["_id"])).withColumn("_copies", F.col("_base") + F.when((F.col("_more") >= F.col("_size")) & (F.col("_size") > 0), 1).otherwise(0))
+    whole, some = (F.col("more") >= F.col("size")) & (F.col("size") > 0), (F.col("more") > 0) & (F.col("more") < F.col("size"))
+    alike = hard.groupBy(F.col("source").alias("_source"), F.col("doc_id").alias("_id"), F.col("size").alias("_size"))
+    hard = ws.put(alike.agg(F.count(F.lit(1)).alias("_n"), F.count_if(whole).alias("_whole"), F.max(F.when(some, F.col("more")).otherwise(0)).alias("_more")), "hard")
+    near = joined.filter(inside).withColumn("_words", words_of(F.col("text")))
+    near = near.join(hard, near["source"].eqNullSafe(hard["_source"]) & near["doc_id"].eqNullSafe(hard["_id"]) & (near["_words"] == hard["_size"]))
+    mixed = (F.col("_n") > 1) & ((F.col("_whole") > 0) | (F.col("_more") > 0)) & (F.col("_whole") < F.col("_n"))
+    numbered = near.filter(mixed).withColumn("_nr", F.row_number().over(W.partitionBy("_source", "_id", "_size").orderBy("text")))
+    near = near.filter(~mixed).withColumn("_nr", F.lit(1)).unionByName(numbered)
+    near = near.withColumn("_copies", F.col("_base") + F.when(F.col("_nr") <= F.col("_whole"), 1).otherwise(0))
     part = F.array_join(F.slice(F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), F.lit(1), F.col("_more").cast("int")), "")
-    partial = near.filter("_more > 0 AND _more < _size").withColumn("text", part)
+    partial = near.filter("_more > 0 AND _nr = _whole + 1").withColumn("text", part)
     columns = documents.columns
     repeated = [x.filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies").cast("long")))).select(columns) for x in (easy, near)]
     return repeated[0].unionByName(repeated[1]).unionByName(partial.select(columns))

@@ -199,3 +199,28 @@ def test_mixed_rows_hold_the_taken_words(spark):
         got[r.doc_id] = got.get(r.doc_id, 0) + len((r.text or "").split())
     assert got == {d: n for d, n in want.items() if n or d in got}
     assert mixed_documents(spark, frame(spark, [])).count() == 0
+
+
+def test_mixed_documents_place_rows_of_equal_ids_singly(spark):
+    def words(n, i):
+        return " ".join([f"w{i}"] * n)
+
+    data = [(None, words(4 + i % 3, i), "a") for i in range(30)] + [(i, words(5, i), "a") for i in range(3)]
+    data += [(7, words(3, i), s) for i in range(9) for s in ("b", "c")] + [(None, words(6, i), "c") for i in range(20)] + [(None, None, "c"), (8, words(2, 0), None)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    want, got = {}, {}
+    for r in mix(spark, df).groupBy("source_size").sum("taken").collect():
+        want[r.source_size] = r[1]
+    sizes = {}
+    for _, text, source in data:
+        sizes[source] = sizes.get(source, 0) + len((text or "").split())
+    taken, per = {}, {}
+    for r in mixed_documents(spark, df).collect():
+        taken[r.source] = taken.get(r.source, 0) + len(r.text.split())
+        per.setdefault((r.source, r.doc_id), []).append(r.text)
+    for source, n in sizes.items():
+        got[n] = got.get(n, 0) + taken.get(source, 0)
+    assert got == want
+    for (source, doc_id), texts in per.items():
+        rows = [t for d, t, s in data if (d, s) == (doc_id, source) and t]
+        assert all(any(t.startswith(x) for t in rows) for x in texts)
