@@ -192,15 +192,56 @@ def fill_zero(candidates: DataFrame, mentions: DataFrame, gazetteer: DataFrame,
     return candidates.unionByName(filled)
 
 
+def _numbered_characters(text: Column) -> Column:
+    """Each character of `text` with its number among the equal ones: as a set they are the text's multiset of characters."""
+    head = lambda i: F.substring(text, F.lit(1), i)
+    number = lambda i: F.length(head(i)) - F.length(F.replace(head(i), F.substring(text, i, F.lit(1)), F.lit("")))
+    return F.when(F.length(text) > 0, F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.concat(F.substring(text, i, F.lit(1)), number(i).cast("string"))))
+
+
+def _pairs_by_characters(texts: DataFrame, norms: DataFrame, method: str, threshold: float) -> DataFrame:
+    """(text, norm) that may reach the threshold by the characters they have in common, none left out but those that a
+    shared key finds.
+
+    Jaro is at most (c / a + c / b + 1) / 3 for c common characters, and Jaro-Winkler raises it by the first character
+    at most where no bigram is shared; without a shared word the token set ratio is at most 2 c / (a + b). So each side
+    needs a least c, and two sets with that many in common share one of their rarest len - c + 1 elements.
+    """
+    jaro = method == "jaro_winkler"
+    form = (lambda c: c) if jaro else (lambda c: F.array_join(F.array_distinct(F.filter(F.split(c, " "), lambda t: t != "")), " "))
+    least = 3 * (threshold - 0.1) / 0.9 - 1 if jaro else threshold
+    share = least - 1 if jaro else threshold / (2 - threshold)
+    sides = [rows.select(F.col(c).alias("value"), _numbered_characters(form(F.col(c))).alias("chars")).filter("chars IS NOT NULL") for rows, c in ((texts, "text"), (norms, "norm"))]
+    rarity = sides[1].select(F.explode("chars").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+
+    def prefix(rows: DataFrame, name: str) -> DataFrame:
+        ranked = rows.select("value", F.explode("chars").alias("g")).join(rarity, "g", "left").groupBy("value").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g"))).alias("chars"))
+        ranked = ranked.select("value", F.transform("chars", lambda x: x["g"]).alias("chars"))
+        kept = F.size("chars") - F.greatest(F.lit(1), F.ceil(F.size("chars") * F.lit(share) - 1e-9)).cast("int") + 1
+        return ranked.select(F.col("value").alias(name), F.col("chars").alias(f"{name}_chars"), F.explode(F.slice("chars", F.lit(1), kept)).alias("g"))
+
+    a, b = F.size("text_chars"), F.size("norm_chars")
+    reach = lambda c: (c / a + c / b if jaro else 2 * c / (a + b)) >= least - 1e-9
+    near = prefix(sides[0], "text").join(prefix(sides[1], "norm"), "g").filter(reach(F.least(a, b)))
+    return near.filter(reach(F.size(F.array_intersect("text_chars", "norm_chars")))).select("text", "norm").distinct()
+
+
 def fuzzy(mentions: DataFrame, gazetteer: DataFrame, method: str = "jaro_winkler", threshold: float = 0.8, k: int = 25) -> DataFrame:
-    """Jaro-Winkler or token-set similarity of distinct texts to the terms that share a character bigram with them."""
+    """Jaro-Winkler or token-set similarity of at least `threshold` of distinct texts to the terms.
+
+    Pairs come from shared character bigrams (and words for token sets), and from common characters where there are
+    enough of them for the threshold without either, so no pair that reaches it is left out."""
     from ..functions.text import similarity
 
     texts = mentions.select(normalize(F.col("text")).alias("text")).distinct()
     terms = gazetteer.select("entry_id", "term", "code", normalize(F.col("term")).alias("norm"))
-    key = lambda c: F.when(F.length(c) < 3, F.array(c)).otherwise(F.array_distinct(_grams(c, 2)))
-    near = texts.select("text", F.explode(key(F.col("text"))).alias("g")).join(terms.select("entry_id", F.explode(key(F.col("norm"))).alias("g")), "g").select("text", "entry_id").distinct()
-    scored = near.join(terms, "entry_id").withColumn("score", similarity(F.col("text"), F.col("norm"), method)).filter(F.col("score") >= threshold)
+    norms = terms.select("norm").distinct()
+    grams = lambda c: F.when(F.length(c) < 3, F.array(c)).otherwise(F.array_distinct(_grams(c, 2)))
+    words = lambda c: F.array_distinct(F.transform(tokens(c), lambda t: F.concat(F.lit(" "), t, F.lit(" "))))
+    key = (lambda c: F.concat(grams(c), words(c))) if method == "token_set" else grams
+    near = texts.select("text", F.explode(key(F.col("text"))).alias("g")).join(norms.select("norm", F.explode(key(F.col("norm"))).alias("g")), "g").select("text", "norm")
+    near = near.unionByName(_pairs_by_characters(texts, norms, method, threshold)).distinct()
+    scored = near.withColumn("score", similarity(F.col("text"), F.col("norm"), method)).filter(F.col("score") >= threshold).join(terms, "norm")
     return top_candidates(mentions.select("mention_id", normalize(F.col("text")).alias("text")).join(scored.drop("norm"), "text").drop("text"), k)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from marginalia import tasks
 from marginalia.functions import text
-from marginalia.operators import analysis, corpus, encoding, intervals, scoring, sequence, spans, split, stats
+from marginalia.operators import analysis, corpus, encoding, intervals, linking, scoring, sequence, spans, split, stats
 from marginalia.sources import sinks, tables
 from marginalia.streaming import ingest
 
@@ -204,3 +204,19 @@ def test_streams(spark, tmp_path):
     stream = ingest.document_stream(spark, str(tmp_path / "in"))
     out = ingest.drain(stream.select("doc_id", F.size(stats.words(F.col("text"))).alias("n")), "streamed", str(tmp_path / "cp"))
     assert sorted(map(tuple, out.collect())) == [(1, 2), (2, 0)]
+
+
+@pytest.mark.parametrize(("method", "threshold"), [("jaro_winkler", 0.9), ("jaro_winkler", 0.8), ("token_set", 0.9), ("token_set", 0.8)])
+def test_fuzzy_linking_scores_every_pair_that_reaches_the_threshold(spark, method, threshold):
+    rng = random.Random(4)
+    terms = ["from", "axc", "vitamin k", "axb", "acbed", "badcfehg", *("".join(rng.choice("abcd ") for _ in range(rng.randint(1, 9))) for _ in range(60))]
+    texts = ["form", "abc", "k", "ab", "abcde", "abcdefgh", *("".join(rng.choice("abcd ") for _ in range(rng.randint(1, 9))) for _ in range(60))]
+    norm = lambda t: " ".join(t.split(" ")).strip() and " ".join(t.split())
+    plain = text.jaro_winkler if method == "jaro_winkler" else text.token_set_ratio
+    want = {(i, j) for i, x in enumerate(texts) for j, y in enumerate(terms) if norm(x) and norm(y) and plain(norm(x), norm(y)) >= threshold}
+    mentions = spark.createDataFrame(list(enumerate(texts)), "mention_id int, text string")
+    gazetteer = spark.createDataFrame([(j, y, str(j)) for j, y in enumerate(terms)], "entry_id int, term string, code string")
+    got = {(r.mention_id, int(r.code)) for r in linking.fuzzy(mentions, gazetteer, method, threshold, 200).collect()}
+    blank = {i for i, x in enumerate(texts) if not norm(x)}
+    assert {g for g in got if g[0] not in blank} == want
+
