@@ -141,7 +141,7 @@ def balance_report(spark, sf):
 def stratified_split(spark, sf):
     docs = table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("doc_id"), F.concat(F.lit("quality"), "quality").alias("a"), F.concat(F.lit("toxic"), "toxic").alias("b"))
     items = F.to_json(F.array(*(F.struct(F.lit(i).cast("string").alias("id"), F.lit(0).alias("start"), F.lit(1).alias("end"), F.col(c).alias("label")) for i, c in enumerate("ab"))))
-    return split.assign_partitions(docs.select("doc_id", F.lit("x").alias("text"), items.alias("entities_json"), F.lit(2).alias("n_entities")), [0.7, 0.2, 0.1], n_restarts=8)
+    return split.assign_partitions(docs.select("doc_id", F.lit("x").alias("text"), items.alias("entities_json"), F.lit(2).alias("n_entities")), [0.7, 0.2, 0.1])
 
 
 def text_statistics(spark, sf):

@@ -220,3 +220,28 @@ def test_fuzzy_linking_scores_every_pair_that_reaches_the_threshold(spark, metho
     blank = {i for i, x in enumerate(texts) if not norm(x)}
     assert {g for g in got if g[0] not in blank} == want
 
+
+def test_bootstrap_draws_and_intervals(spark):
+    rng = np.random.default_rng(1)
+    columns = sorted({c for num, den, _ in analysis.INTERVAL_METRICS.values() for c in (num, *den)})
+    data = [(f"d{i}", *map(int, rng.integers(0, 9, len(columns)))) for i in range(12)]
+    docs = spark.createDataFrame(data, "filename string, " + ", ".join(f"{c} long" for c in columns))
+    draws = analysis.bootstrap_draws(docs).toPandas()
+    assert draws.groupby("sample").weight.sum().tolist() == [12] * 2000
+    again = analysis.bootstrap_draws(docs).toPandas()
+    assert sorted(map(tuple, again.to_numpy())) == sorted(map(tuple, draws.to_numpy()))
+    weights = draws.pivot(index="sample", columns="filename", values="weight").fillna(0)[[d[0] for d in data]]
+    assert len(weights.drop_duplicates()) > 1900
+    sums = lambda w: dict(zip(columns, (w @ np.array([d[1:] for d in data])).T, strict=True))
+
+    def metrics(c):
+        out = {m: k * c[num] / (sum(c[x] for x in den) + (k - 1) * c[num]) for m, (num, den, k) in analysis.INTERVAL_METRICS.items()}
+        p, r = out["entity_char_precision"], out["entity_char_recall"]
+        return out | {"entity_char_f1": 2 * p * r / (p + r)}
+
+    one, many = metrics(sums(np.ones((1, 12)))), metrics(sums(weights.to_numpy()))
+    got = {r.metric: (r.estimate, r.low, r.high) for r in analysis.bootstrap_intervals(docs, spark.createDataFrame(draws)).collect()}
+    assert set(got) == set(one) and len(got) == 9
+    for m, found in got.items():
+        assert found == pytest.approx((one[m][0], *np.quantile(many[m], [0.025, 0.975])))
+
