@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,9 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass handles at once; a single longer text is handled alone.
-SLICE_BYTES = 1 << 20
-#: Rows of an Arrow batch at most: texts of some kilobytes then take a few megabytes on either side.
-BATCH_ROWS = 1000
+SLICE_BYTES = 1 << 18
+#: Rows and bytes of an Arrow batch at most: a Python worker never holds more texts at once, but for a single longer one.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 #: Words of 64 bits in the fixed-size id filter (512 KB): its size doesn't depend on the data.
 FILTER_WORDS = 1 << 16
 
@@ -131,9 +133,20 @@ def slices(bounds: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lowers the session's Arrow batches to BATCH_ROWS rows, so that a Python worker holds few texts at once."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, BATCH_ROWS + 1):
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Lowers the session's bounds of Arrow batches to BATCH_ROWS rows and BATCH_BYTES bytes where they are higher."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key)
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
+
+
+def give_back() -> None:
+    """Returns a worker's free memory to the system: workers are used again, and would keep their peaks between stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def map_arrow(df: DataFrame, make: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -143,6 +156,8 @@ def map_arrow(df: DataFrame, make: Callable[[pa.RecordBatch], Iterator[pa.Record
     def run(batches):
         for batch in batches:
             yield from make(batch)
+            del batch
+        give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -166,21 +181,8 @@ def lower_ascii(raw: np.ndarray) -> np.ndarray:
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, *range(9, 14)]] = True
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * GOLDEN)
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers(name: str, base: np.uint64, length: int) -> np.ndarray:
-    found = _POWERS.get(name)
-    if found is None or len(found) < length:
-        size = max(length, SLICE_BYTES + 16)
-        with np.errstate(over="ignore"):
-            found = np.concatenate([np.ones(1, np.uint64), np.full(size - 1, base, np.uint64)]).cumprod(dtype=np.uint64)
-        if length <= SLICE_BYTES + 16:
-            _POWERS[name] = found
-    return found
+#: Bytes from which a span is hashed on its own instead of by eights beside the others.
+LONG_SPAN = 64
 
 
 def words(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -196,9 +198,32 @@ def words(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, np.searchsorted(bounds, starts, "right") - 1
 
 
-def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans: equal bytes give equal hashes wherever they stand."""
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, *seeds: int) -> np.ndarray:
+    """64-bit hashes of the byte spans: equal bytes give equal hashes wherever they stand.
+
+    A span is taken eight bytes at a time, each eight mixed into the state in full, so that no sum over places is left
+    that could cancel out; spans of over LONG_SPAN bytes go through a cryptographic hash. With several seeds the result
+    has a row of independent hashes for each.
+    """
+    seeds = seeds or (0,)
+    size = ends - starts
+    eights = np.concatenate([raw, np.zeros(8, np.uint8)]).astype(np.uint64)
+    for k in (1, 2, 4):
+        eights = eights[:-k] | (eights[k:] << np.uint64(8 * k))
+    found = np.empty((len(seeds), len(size)), np.uint64)
     with np.errstate(over="ignore"):
-        total = np.concatenate([np.zeros(1, np.uint64), (_BYTE[raw] * _powers("up", _BASE, len(raw) + 1)[: len(raw)]).cumsum(dtype=np.uint64)])
-        found = (total[ends] - total[starts]) * _powers("down", _INVERSE, len(raw) + 1)[starts]
-        return mix64(found + (ends - starts).astype(np.uint64) * GOLDEN)
+        for state, seed in zip(found, seeds, strict=True):
+            state[:] = mix64(size.astype(np.uint64) * GOLDEN + np.uint64(seed + 1))
+        live = np.flatnonzero((size > 0) & (size <= LONG_SPAN))
+        at, left = starts[live], size[live]
+        while len(live):
+            part = eights[at] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(8) * (8 - np.minimum(left, 8)).astype(np.uint64)))
+            for state, seed in zip(found, seeds, strict=True):
+                state[live] = mix64((state[live] ^ part) * GOLDEN + np.uint64(seed + 1))
+            more = left > 8
+            live, at, left = live[more], at[more] + 8, left[more] - 8
+    for k in np.flatnonzero(size > LONG_SPAN).tolist():
+        data = raw[starts[k] : ends[k]].tobytes()
+        for state, seed in zip(found, seeds, strict=True):
+            state[k] = int.from_bytes(hashlib.blake2b(data, digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little")
+    return found if len(seeds) > 1 else found[0]

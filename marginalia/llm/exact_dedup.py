@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Workspace, drop_ids, keep_ids, lower_ascii, map_arrow, maybe_in, id_filter, slices, text_buffers
+from .common import Workspace, drop_ids, give_back, keep_ids, lower_ascii, map_arrow, maybe_in, id_filter, slices, text_buffers
 
 #: Bytes of the first two digits; later ones grow by GROWTH.
 FIRST, SECOND, GROWTH = 64, 1024, 16
@@ -118,6 +118,8 @@ def normalised_sha256(text: pa.Array) -> pa.Array:
     for i, j in slices(bounds):
         data, at = lower_ascii(raw[bounds[i] : bounds[j]]).tobytes(), bounds[i : j + 1] - bounds[i]
         found += [hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(at[:-1], at[1:], strict=True)]
+        del data
+    give_back()
     return pa.array(found, pa.string())
 
 

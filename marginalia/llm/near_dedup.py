@@ -14,6 +14,8 @@ length (exact bound) and in 128 one-bit coordinates (`MOST_BITS`, over five stan
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,22 +33,43 @@ LEAST = 75
 MOST_BITS = 36
 #: Rounds of pivots at most, and the comparisons for each bucket member from which a further round is worth it.
 PIVOT_ROUNDS, WORK = 3, 64
-#: Nodes of a bucket up to which its open pairs are rows, and shingles of a block in larger ones.
-SMALL, BLOCK = 64, 1 << 19
+#: Nodes of a bucket up to which its open pairs are rows, and shingles and nodes of a block in larger ones.
+SMALL, BLOCK, BLOCK_NODES = 64, 1 << 19, 512
+#: Partners of a text that are compared with it in one task, about; a pivot with more is copied to several.
+PARTNERS = 128
 
+#: A word of a text's bytes.
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _PLACE = mix64(np.arange(11, 11 + SHINGLE, dtype=np.uint64) * GOLDEN) | np.uint64(1)
 
 
-def shingles(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def shingles(raw: np.ndarray, bounds: np.ndarray, again: bool = False) -> tuple[np.ndarray, ...]:
     """(hashes, row bounds) of the distinct shingles of each text, sorted within a row.
 
-    A text of one to four words has its whole sequence as its only shingle, a text without words none.
+    A text of one to four words has its whole sequence as its only shingle, a text without words none. With `again`,
+    a third array has independent second hashes of the same shingles.
     """
     rows = len(bounds) - 1
     raw = lower_ascii(raw)
     starts, ends, row = words(raw, bounds)
-    hashes = span_hashes(raw, starts, ends)
+    if again:
+        first_hashes, second_hashes = span_hashes(raw, starts, ends, 1, 2)
+        found, of = _of_words(first_hashes, row, rows)
+        second, _ = _of_words(second_hashes, row, rows)
+    else:
+        found, of = _of_words(span_hashes(raw, starts, ends, 1), row, rows)
+    order = np.lexsort((found, of))
+    found, of = found[order], of[order]
+    fresh = np.ones(len(found), bool)
+    fresh[1:] = (found[1:] != found[:-1]) | (of[1:] != of[:-1])
+    found, of = found[fresh], of[fresh]
+    at = np.concatenate([[0], np.bincount(of, minlength=rows).cumsum()])
+    return (found, at, second[order][fresh]) if again else (found, at)
+
+
+def _of_words(hashes: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, row) of every run of five words, and of the whole of a shorter text."""
     per_row = np.bincount(row, minlength=rows)
     first = np.concatenate([[0], per_row.cumsum()])
     with np.errstate(over="ignore"):
@@ -57,13 +80,19 @@ def shingles(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
         for k in range(SHINGLE - 1):
             has = per_row[short] > k
             total[has] += hashes[first[short[has]] + k] * _PLACE[k]
-        found, of = np.concatenate([found, mix64(total ^ GOLDEN)]), np.concatenate([of, short])
-    order = np.lexsort((found, of))
-    found, of = found[order], of[order]
-    fresh = np.ones(len(found), bool)
-    fresh[1:] = (found[1:] != found[:-1]) | (of[1:] != of[:-1])
-    found, of = found[fresh], of[fresh]
-    return found, np.concatenate([[0], np.bincount(of, minlength=rows).cumsum()])
+        return np.concatenate([found, mix64(total ^ GOLDEN)]), np.concatenate([of, short])
+
+
+def word_shingles(text: bytes) -> set[tuple[bytes, ...]]:
+    """The shingles of a text as the words themselves."""
+    found = WORD.findall(text.lower())
+    if len(found) < SHINGLE:
+        return {tuple(found)} if found else set()
+    return set(zip(*(found[k:] for k in range(SHINGLE)), strict=False))
+
+
+def alike(common: int, n: int, m: int) -> bool:
+    return common > 0 and 100 * common >= LEAST * (n + m - common)
 
 
 def sketches(hashes: np.ndarray, at: np.ndarray, bins: int = BINS) -> np.ndarray:
@@ -92,11 +121,10 @@ def _signatures(df: DataFrame, id_type: str) -> DataFrame:
     def make(batch):
         raw, bounds = text_buffers(batch.column(1))
         for i, j in slices(bounds):
-            hashes, at = shingles(raw[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
+            hashes, at, second = shingles(raw[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], again=True)
             n = np.diff(at)
             with np.errstate(over="ignore"):
-                sums = [np.concatenate([np.zeros(1, np.uint64), mix64(hashes + np.uint64(salt)).cumsum(dtype=np.uint64)]) for salt in (1, 2)]
-                prints = [(s[at[1:]] - s[at[:-1]]).view(np.int64) for s in sums]
+                prints = [_fingerprints(h, at) for h in (hashes, second)]
                 sketch = mix64(sketches(hashes, at))
                 bits = np.packbits((sketch & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
                 bands = sketch.reshape(len(n), BINS // BAND, BAND)
@@ -113,17 +141,23 @@ def _signatures(df: DataFrame, id_type: str) -> DataFrame:
     return map_arrow(df, make, f"doc_id {id_type}, n long, f1 long, f2 long, b1 long, b2 long, bands array<long>")
 
 
+def _texts(ws: Workspace, docs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """(row, f1, text) of the nodes in `rows` (row): each text moves once. An id that several rows share brings all their texts."""
+    known = ws.put(nodes.select("row", "rep", "f1").join(rows, "row", "left_semi"), "known")
+    texts = keep_ids(docs, "doc_id", known.select("rep").distinct())
+    return texts.join(known, texts["doc_id"].eqNullSafe(known["rep"])).select("row", "f1", "text")
+
+
 def _verified(ws: Workspace, docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole texts' shingle sets are similar enough, from the texts themselves."""
-    known = nodes.select("row", "rep", "f1")
-    for side in ("a", "b"):
-        pairs = pairs.join(known.select(F.col("row").alias(side), F.col("rep").alias(f"id_{side}"), F.col("f1").alias(f"f_{side}")), side)
-    pairs = ws.put(pairs, "pairs")
-    ids = pairs.select(F.col("id_a").alias("id")).unionByName(pairs.select(F.col("id_b").alias("id"))).distinct()
-    texts = ws.put(keep_ids(docs, "doc_id", ids), "texts")
-    for side in ("a", "b"):
-        one = texts.select(F.col("doc_id").alias(f"t_{side}"), F.col("text").alias(f"text_{side}"))
-        pairs = pairs.join(one, pairs[f"id_{side}"].eqNullSafe(one[f"t_{side}"]))
+    """The pairs (a, b) of nodes whose whole texts are similar enough: by hashes of all shingles, and where those agree by
+    the words themselves. A text with many partners, as a pivot has, is copied to one task for every PARTNERS of them."""
+    pairs = ws.put(pairs.select("a", "b"), "pairs")
+    texts = ws.put(_texts(ws, docs, nodes, pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()), "texts")
+    fan = pairs.groupBy(F.col("b").alias("row")).agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("parts"))
+    dealt = pairs.join(fan.withColumnRenamed("row", "b"), "b").withColumn("part", F.pmod(F.xxhash64("a"), "parts")).select("a", "b", "part")
+    x, y = (texts.select(F.col("row").alias(side), F.col("f1").alias(f"f_{side}"), F.col("text").alias(f"text_{side}")) for side in ("a", "b"))
+    copies = y.join(fan.withColumnRenamed("row", "b"), "b").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    met = dealt.join(x, "a").join(copies.drop("parts"), ["b", "part"])
 
     def make(batch):
         a, b, f_a, f_b = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
@@ -132,39 +166,38 @@ def _verified(ws: Workspace, docs: DataFrame, nodes: DataFrame, pairs: DataFrame
             sets = []
             for (raw, bounds), f in zip(sides, (f_a, f_b), strict=True):
                 hashes, at = shingles(raw[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
-                sets.append((hashes, at, _own(hashes, at, f[i:j])))
-            (x, xa, x_own), (y, ya, y_own) = sets
+                sets.append((hashes, at, _fingerprints(hashes, at) == f[i:j]))
+            (p, p_at, p_own), (q, q_at, q_own) = sets
             linked = np.zeros(j - i, bool)
-            for k in np.flatnonzero(x_own & y_own):
-                p, q = x[xa[k] : xa[k + 1]], y[ya[k] : ya[k + 1]]
-                common = len(np.intersect1d(p, q, assume_unique=True))
-                linked[k] = common > 0 and 100 * common >= LEAST * (len(p) + len(q) - common)
+            for k in np.flatnonzero(p_own & q_own):
+                one, other = p[p_at[k] : p_at[k + 1]], q[q_at[k] : q_at[k + 1]]
+                if alike(len(np.intersect1d(one, other, assume_unique=True)), len(one), len(other)):
+                    one, other = (word_shingles(raw[bounds[i + k] : bounds[i + k + 1]].tobytes()) for raw, bounds in sides)
+                    linked[k] = alike(len(one & other), len(one), len(other))
             yield pa.RecordBatch.from_arrays([pa.array(a[i:j][linked]), pa.array(b[i:j][linked])], ["a", "b"])
 
-    links = ws.put(map_arrow(pairs.select("a", "b", "f_a", "f_b", "text_a", "text_b"), make, "a long, b long").distinct(), "links")
+    links = ws.put(map_arrow(met.select("a", "b", "f_a", "f_b", "text_a", "text_b"), make, "a long, b long").distinct(), "links")
     ws.drop(texts)
     return links
 
 
-def _own(hashes: np.ndarray, at: np.ndarray, f1: np.ndarray) -> np.ndarray:
-    """Which sets have the fingerprint: an id that several rows share brings more texts than the node's own."""
+def _fingerprints(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """One number for each row's set."""
     with np.errstate(over="ignore"):
         s = np.concatenate([np.zeros(1, np.uint64), mix64(hashes + np.uint64(1)).cumsum(dtype=np.uint64)])
-        return (s[at[1:]] - s[at[:-1]]).view(np.int64) == f1
+        return (s[at[1:]] - s[at[:-1]]).view(np.int64)
 
 
 def _sets(ws: Workspace, docs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
     """(row, set) of the nodes in `rows`, from their whole texts."""
-    known = ws.put(nodes.select("row", "rep", "f1").join(rows, "row", "left_semi"), "known")
-    texts = keep_ids(docs, "doc_id", known.select("rep").distinct())
-    texts = texts.join(known, texts["doc_id"].eqNullSafe(known["rep"])).select("row", "f1", "text")
+    texts = _texts(ws, docs, nodes, rows)
 
     def make(batch):
         raw, bounds = text_buffers(batch.column(2))
         f1 = batch.column(1).to_numpy(zero_copy_only=False)
         for i, j in slices(bounds):
             hashes, at = shingles(raw[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
-            own = pa.array(_own(hashes, at, f1[i:j]))
+            own = pa.array(_fingerprints(hashes, at) == f1[i:j])
             lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(hashes.view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).filter(own), lists.filter(own)], ["row", "set"])
 
@@ -194,6 +227,7 @@ def _block_links(left: pa.Table, right: pa.Table) -> pa.Table:
         mark[found[known[found] == own]] = 1
         common = np.add.reduceat(mark[place], first)
         linked = np.flatnonzero((common > 0) & (100 * common >= LEAST * (n + sizes[1] - common)) & (comps[1] != comp))
+        # one link to a component connects it
         linked = linked[np.unique(comps[1][linked], return_index=True)[1]]
         a += [row] * len(linked)
         b += rows[1][linked].tolist()
@@ -203,7 +237,7 @@ def _block_links(left: pa.Table, right: pa.Table) -> pa.Table:
 def _large_links(ws: Workspace, docs: DataFrame, nodes: DataFrame, large: DataFrame) -> DataFrame:
     """Links of the outsiders of large buckets (key, row, comp, mode, m, top, total). Hashed blocks of nodes meet hashed
     blocks of outsiders: a group of any size is spread over tasks, and only links come out."""
-    large = large.withColumn("blocks", F.ceil(F.col("total") / BLOCK)).withColumn("parts", F.ceil(F.col("blocks") * (F.col("m") - F.col("top")) / F.col("m")))
+    large = large.withColumn("blocks", F.greatest(F.ceil(F.col("total") / BLOCK), F.ceil(F.col("m") / BLOCK_NODES))).withColumn("parts", F.ceil(F.col("blocks") * (F.col("m") - F.col("top")) / F.col("m")))
     large = ws.put(large, "large")
     sets = _sets(ws, docs, nodes, large.select("row").distinct())
     own = large.join(sets, "row").withColumns({"i": F.pmod(F.xxhash64("row", F.lit(1)), "parts"), "j": F.pmod(F.xxhash64("row", F.lit(2)), "blocks")})
@@ -244,10 +278,10 @@ def near_dedup(spark: SparkSession, documents: DataFrame, id_col: str = "doc_id"
         placed = ws.put(members.join(comps, "row"), "placed")
         order = F.xxhash64("row", F.lit(round_no))
         parts = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("shingles"), *(F.min_by(x, order).alias(f"p_{x}") for x in ("row", "n", "b1", "b2")))
-        rank = F.col("c") * F.lit(1 << 40) + F.col("comp").bitwiseAND(F.lit((1 << 40) - 1))
+        rank = F.struct("c", "comp")
         split = parts.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.sum("c").alias("m"), F.max("c").alias("top"), F.sum("shingles").alias("total"), *(F.max_by(x, rank).alias(x) for x in ("comp", "p_row", "p_n", "p_b1", "p_b2")))
         split = ws.put(split.filter("k > 1").withColumnRenamed("comp", "mode"), "split")
-        work = split.agg(F.sum(F.expr("(m - top) * m"))).first()[0] or 0
+        work = split.agg(F.sum(F.expr("double(m - top) * m"))).first()[0] or 0
         if not work:
             break
         last = round_no == PIVOT_ROUNDS or (round_no > 0 and work <= WORK * total)
@@ -260,9 +294,8 @@ def near_dedup(spark: SparkSession, documents: DataFrame, id_col: str = "doc_id"
             x = open_rows.filter("comp != mode").select("key", *(F.col(c).alias(f"x_{c}") for c in ("row", "comp", "n", "b1", "b2")))
             near = (F.col("x_comp") != F.col("comp")) & ((F.col("comp") == F.col("mode")) | (F.col("x_row") < F.col("row"))) & F.expr(_near("x_n", "n", "x_b1", "b1", "x_b2", "b2"))
             pairs = x.join(open_rows, (x["key"] == open_rows["key"]) & near).select(F.col("x_row").alias("a"), F.col("row").alias("b")).distinct()
+            pairs = pairs.unionByName(_large_links(ws, docs, nodes, outside.filter(F.col("m") > SMALL).select("key", "row", "comp", "mode", "m", "top", "total"))).distinct()
         links = _verified(ws, docs, nodes, pairs)
-        if last:
-            links = links.unionByName(_large_links(ws, docs, nodes, outside.filter(F.col("m") > SMALL).select("key", "row", "comp", "mode", "m", "top", "total")))
         known = comps.select("row", "comp")
         edges = links.join(known.toDF("a", "ca"), "a").join(known.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
         joined = connected_components(ws, edges)

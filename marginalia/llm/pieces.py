@@ -24,7 +24,7 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SMOOTHING, BYTE_WEIGHT = 1.0, 1e-5
 SPACE = 32
 #: Bytes of text encoded at once: so few that the lattice of the distinct segments stays near the CPU.
-PIECE_SLICE = 1 << 20
+PIECE_SLICE = 1 << 18
 #: Positions between two rescalings of the forward weights: they stay inside the range of a double.
 RESCALE = 24
 
@@ -117,18 +117,20 @@ def build(spellings: list[bytes], byte_piece: np.ndarray, scores: np.ndarray, sm
 def _lattice(v: Pieces, raw: np.ndarray, at: np.ndarray):
     """Edges (source node, target node, piece, weight) of the segments raw[at[i]:at[i+1]]; node at[i] + i + p is place p."""
     n, length = len(raw), np.diff(at)
-    of = np.repeat(np.arange(len(length)), length)
-    node, end = np.arange(n) + of, at[1:][of]
+    kind = np.int32 if n + len(length) < 1 << 30 else np.int64
+    of = np.repeat(np.arange(len(length), dtype=kind), length)
+    every = np.arange(n, dtype=kind)
+    node, end = every + of, at[1:].astype(kind)[of]
     # characters: a start byte, and the continuation bytes that belong to it
-    follows = ((raw & 0xC0) == 0x80) & (np.arange(n) > at[:-1][of])
-    char_start = np.maximum.accumulate(np.where(follows, 0, np.arange(n))) if n else np.zeros(0, np.int64)
-    char_end = np.append(np.flatnonzero(~follows), n)[np.cumsum(~follows)] if n else np.zeros(0, np.int64)
+    follows = ((raw & 0xC0) == 0x80) & (every > at[:-1][of])
+    char_start = np.maximum.accumulate(np.where(follows, kind(0), every)) if n else every
+    char_end = np.append(np.flatnonzero(~follows), n).astype(kind)[np.cumsum(~follows)] if n else every
     whole = np.zeros(n, bool)
-    where, state = np.arange(n), np.zeros(n, np.int64)
+    where, state = every, np.zeros(n, np.int32)
     sources, targets, pieces = [], [], []
     step = 0
     while len(where):
-        child = v.base[state].astype(np.int64) + raw[where + step]
+        child = v.base[state] + raw[where + step]
         ok = v.check[child] == state
         where, state = where[ok], child[ok]
         step += 1
@@ -137,20 +139,20 @@ def _lattice(v: Pieces, raw: np.ndarray, at: np.ndarray):
         start = where[hit]
         sources.append(node[start])
         targets.append(node[start] + step)
-        pieces.append(found[hit].astype(np.int64))
+        pieces.append(found[hit])
         whole[start[start + step == char_end[start]]] = True
         more = where + step < end[where]
         where, state = where[more], state[more]
-    alone = np.flatnonzero(~whole[char_start]) if n else np.zeros(0, np.int64)
+    alone = np.flatnonzero(~whole[char_start]).astype(kind)
     sources.append(node[alone])
     targets.append(node[alone] + 1)
-    pieces.append(v.byte_piece[raw[alone]])
+    pieces.append(v.byte_piece[raw[alone]].astype(np.int32))
     source, target, piece = np.concatenate(sources), np.concatenate(targets), np.concatenate(pieces)
     return source, target, piece, v.weight[piece]
 
 
 def _forward(v: Pieces, raw: np.ndarray, at: np.ndarray):
-    """Forward filtering: for each node, in the order of `rank`, its edges' running probability of being the last one."""
+    """Forward filtering: for each node, in the order of `rank`, its edges' probabilities of being the last one."""
     length = np.diff(at)
     nodes = len(raw) + len(length)
     first = at[:-1] + np.arange(len(length))
@@ -160,6 +162,7 @@ def _forward(v: Pieces, raw: np.ndarray, at: np.ndarray):
     # longest edges of a target first; no two have one length, so their order doesn't depend on the batch
     order = np.argsort((place[target] * np.int64(len(length) + 1) + seg[target]) * np.int64(v.longest + 1) + v.longest - (target - source))
     source, target, piece, weight = source[order], target[order], piece[order], weight[order]
+    del order
     new = np.flatnonzero(np.concatenate([[True], target[1:] != target[:-1]])) if len(target) else np.zeros(0, np.int64)
     rank = np.full(nodes, -1)
     rank[target[new]] = np.arange(len(new))
@@ -178,7 +181,7 @@ def _forward(v: Pieces, raw: np.ndarray, at: np.ndarray):
         if p % RESCALE == 0:
             back = target[new[lo:hi]][:, None] - np.arange(min(v.longest, p) + 1)[None, :]
             alpha[back] = alpha[back] / total[:, None]
-    return rank, new, group_end, np.cumsum(share), source, piece
+    return rank, new, group_end, share, source, piece
 
 
 def encode(v: Pieces, raw: np.ndarray, bounds: np.ndarray, keys: np.ndarray, seed: int, share: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -207,7 +210,7 @@ def encode(v: Pieces, raw: np.ndarray, bounds: np.ndarray, keys: np.ndarray, see
         distinct = data[np.repeat(starts[example] - at[:-1], size) + np.arange(at[-1])]
     else:
         distinct = data[:0]
-    rank, begin, end, running, source, piece = _forward(v, distinct, at)
+    rank, begin, end, odds, source, piece = _forward(v, distinct, at)
     # backward sampling, segments in the order of their kinds so that neighbours read neighbouring edges
     with np.errstate(over="ignore"):
         salt = mix64(keys[row[order]] + np.uint64(seed) * GOLDEN) + (starts - edge[row])[order].astype(np.uint64) * GOLDEN
@@ -219,13 +222,14 @@ def encode(v: Pieces, raw: np.ndarray, bounds: np.ndarray, keys: np.ndarray, see
     while len(who):
         with np.errstate(over="ignore"):
             u = (mix64(salt[who] ^ ((here - root[who]).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))) >> np.uint64(11)).astype(float) * 2.0**-53
+        # the draw is spent on the node's own edges in turn: nothing beside them has a say
         g = rank[here]
-        e, goal = begin[g], g + u
-        open_ = np.flatnonzero((running[e] <= goal) & (e < end[g] - 1))
+        e, last_ = begin[g], end[g] - 1
+        open_ = np.flatnonzero((odds[e] <= u) & (e < last_))
         while len(open_):
+            u[open_] -= odds[e[open_]]
             e[open_] += 1
-            at_ = e[open_]
-            open_ = open_[(running[at_] <= goal[open_]) & (at_ < end[g[open_]] - 1)]
+            open_ = open_[(odds[e[open_]] <= u[open_]) & (e[open_] < last_[open_])]
         drawn_by.append(who)
         drawn.append(piece[e])
         drawn_at.append(np.full(len(who), step))

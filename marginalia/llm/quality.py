@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, slices, small_batches, span_hashes, text_buffers, words
+from .common import give_back, map_arrow, slices, small_batches, span_hashes, text_buffers, words
 
 #: Labelled rows that a fit may read at most.
 SAMPLE = 20_000
@@ -190,15 +190,15 @@ def labelled(documents: DataFrame, labels: DataFrame, learn: Column, sample: int
         .groupBy("doc_id").agg((F.avg("y") >= 0.5).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     )
     docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    # at most `sample` rows of an id and a label
+    # at most `sample` rows of an id and a label; an id may have more rows, of which the first by hash and features count
     rows = docs.join(F.broadcast(chosen), "doc_id").select("text", F.xxhash64("doc_id").alias("h"), "y")
 
     def make(batch):
         x = features(batch.column(0))
-        yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column(1), batch.column(2)], ["x", "h", "y"])
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(FEATURES)), pa.array(x.ravel()))
+        yield pa.RecordBatch.from_arrays([lists, batch.column(1), batch.column(2)], ["x", "h", "y"])
 
-    got = map_arrow(rows, make, "x array<double>, h long, y int").limit(2 * sample).collect()
-    got.sort(key=lambda r: (r.h, r.x))
+    got = map_arrow(rows, make, "x array<double>, h long, y int").orderBy("h", "x", "y").limit(sample).collect()
     return np.array([r.x for r in got], float).reshape(-1, len(FEATURES)), np.array([r.y for r in got], float)
 
 
@@ -211,7 +211,9 @@ def scorer(model: GA2M):
 
     @F.arrow_udf(T.DoubleType())
     def score(text: pa.Array) -> pa.Array:
-        return pa.array(model.score(features(text)), pa.float64())
+        found = pa.array(model.score(features(text)), pa.float64())
+        give_back()
+        return found
 
     return score
 
