@@ -39,7 +39,7 @@ LAYOUT = frozenset("header masthead banner nav navbar navigation menu search ove
 #: How an element stands: live, unlikely by a word among others, by words of layouts alone, by other words alone, dropped whatever it holds.
 LIVE, WEAK, WRAP, STRONG, DROP = range(5)
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)(?:>|\Z)|[^<]+|<""", re.S)
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:=\s*+(?:"[^"]*+"|'[^']*+')|[^>])*+)(?:>|\Z)|[^<]+|<""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z][\w:-]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I | re.A) for tag in RAW}
@@ -47,6 +47,8 @@ RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I | re.A) for tag in RAW
 LEAST, LENGTH = 25, 100
 #: A text of fewer characters is little for a page.
 LITTLE = 200
+#: Characters of a menu's entry, in the mean, at most.
+MENU = 40
 
 
 def _unlikely(tag: str, attributes: str) -> int:
@@ -77,6 +79,8 @@ class _Page:
         self.lifted = lifted
         self.tag, self.parent, self.drop, self.mark, self.first, self.last = ["#"], [-1], [False], [LIVE], [0], [0]
         self.blocks: list[tuple[int, str, int]] = []
+        #: Depths of the open elements of each tag, and under the empty name of the blocks that aren't paragraphs.
+        self._places: dict[str, list[int]] = {}
         self._text: list[str] = []
         self._linked = 0
         self._parse(page)
@@ -99,12 +103,26 @@ class _Page:
         self.first.append(len(self.blocks))
         self.last.append(0)
         stack.append(len(self.tag) - 1)
+        for name in self._names(tag):
+            self._places.setdefault(name, []).append(len(stack) - 1)
+
+    @staticmethod
+    def _names(tag: str) -> tuple[str, ...]:
+        return (tag, "") if tag in BLOCKS and tag != "p" else (tag,)
+
+    def _place(self, *names: str) -> int:
+        """Depth of the innermost open element of these tags, 0 if there is none."""
+        return max((found[-1] for n in names if (found := self._places.get(n))), default=0)
 
     def _close(self, stack: list[int], depth: int) -> None:
         if not self.drop[stack[depth]]:
             self._flush(stack[-1])
         while len(stack) > depth:
-            self.last[stack.pop()] = len(self.blocks)
+            node = stack.pop()
+            self.last[node] = len(self.blocks)
+            if stack:
+                for name in self._names(self.tag[node]):
+                    self._places[name].pop()
 
     def _marked(self, tag: str, attributes: str) -> int:
         """The mark of an element, live up to the mark that is lifted."""
@@ -130,12 +148,10 @@ class _Page:
             if m[1]:
                 if tag == "a":
                     links = max(0, links - 1)
-                for depth in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[depth]] == tag:
-                        self._close(stack, depth)
-                        if tag in BLOCKS:
-                            links = 0
-                        break
+                if depth := self._place(tag):
+                    self._close(stack, depth)
+                    if tag in BLOCKS:
+                        links = 0
                 continue
             if tag == "br":
                 if not self.drop[stack[-1]]:
@@ -155,17 +171,13 @@ class _Page:
             elif tag in BLOCKS:
                 if not self.drop[stack[-1]]:
                     self._flush(stack[-1])
-                for depth in range(len(stack) - 1, 0, -1):
-                    other = self.tag[stack[depth]]
-                    if other == "p" or other in CLOSED_BY.get(tag, ()):
-                        self._close(stack, depth)
-                        if other != "p":
-                            break
-                    elif other in SCOPE.get(tag, ()) or (tag not in CLOSED_BY and other in BLOCKS):
-                        break
+                while (depth := self._place("p")) > self._place(""):
+                    self._close(stack, depth)
+                if tag in CLOSED_BY and (depth := self._place(*CLOSED_BY[tag])) > self._place(*SCOPE[tag]):
+                    self._close(stack, depth)
                 mark = self._marked(tag, m[3])
                 self._open(stack, tag, tag in DROPPED or mark == DROP, mark)
-            elif self.drop[stack[-1]] or self._marked(tag, m[3]) > WEAK:
+            elif self.drop[stack[-1]] or tag in DROPPED or self._marked(tag, m[3]) > WEAK:
                 # an inline element that is dropped: what stands before and after it stays in the block
                 if not m[3].rstrip().endswith("/"):
                     self._open(stack, tag, True)
@@ -266,17 +278,19 @@ def _main_text(page: str, lifted: int) -> str:
                 density = linked[n] / length[n]
                 if total[n] >= bar or (tree.tag[n] == "p" and density < 0.25 and length[n] > 80):
                     chosen.add(n)
-    # lists of links inside what is kept are menus
-    menu = [tree.tag[n] in ("ul", "ol", "table", "dl") and length[n] > 0 and linked[n] > 0.6 * length[n] and tree.last[n] - tree.first[n] >= 3 for n in range(nodes)]
+    # lists of short links are menus, but for those in an article, where only marks and nav elements tell
+    inside = [False] * nodes
+    for n in range(1, nodes):
+        inside[n] = inside[tree.parent[n]] or tree.tag[n] == "article"
+    menu = [False] * nodes
+    for n in range(nodes):
+        if n not in chosen:
+            parts = tree.last[n] - tree.first[n]
+            short = tree.tag[n] in ("ul", "ol", "table", "dl") and not inside[n] and parts >= 3 and linked[n] > 0.6 * length[n] and length[n] <= MENU * parts
+            menu[n] = short or (n > 0 and menu[tree.parent[n]])
     out = []
     for n in sorted(chosen, key=lambda n: tree.first[n]):
-        for b in range(tree.first[n], tree.last[n]):
-            if live[b]:
-                up = tree.blocks[b][0]
-                while up > n and not menu[up]:
-                    up = tree.parent[up]
-                if up <= n or not menu[up]:
-                    out.append(tree.blocks[b][1])
+        out += [tree.blocks[b][1] for b in range(tree.first[n], tree.last[n]) if live[b] and not menu[tree.blocks[b][0]]]
     return "\n".join(out)
 
 

@@ -1,6 +1,10 @@
+import time
+from html.parser import HTMLParser
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from marginalia.llm import langid, pieces, quality
@@ -164,6 +168,56 @@ def test_extraction():
     assert extract("<div>" * 3000 + "deep text" + "</div>" * 3000) == "deep text"
 
 
+def test_extraction_of_buttons_odd_quotes_and_references():
+    around = lambda inner: f"<body><article><p>{PROSE * 3}</p>{inner}<p>{PROSE}</p></article></body>"
+    want = lambda *inner: "\n".join([(PROSE * 3).strip(), *inner, PROSE.strip()])
+    assert extract(around("<p>Some text.<button type=button>Share</button></p>")) == want("Some text.")
+    assert extract(around("<p title=it's>One.</p><p data-x='a>b' title=\"it's\">Two.</p>")) == want("One.", "Two.")
+    assert extract(around("<h2>References</h2><ul><li><a href=a>First work</a><li><a href=b>Second work</a><li><a href=c>Third work</a></ul>")) == want("References", "First work", "Second work", "Third work")
+    menu = "<ul><li><a href=a>Home</a><li><a href=b>News</a><li><a href=c>About</a></ul>"
+    assert extract(f"<body><div><p>{PROSE * 3}</p>{menu}<p>{PROSE}</p></div></body>") == want()
+
+
+@pytest.mark.parametrize("page", ["<div>" * 20000 + "x" + "</span>" * 20000, "<div>text " * 20000, "<ul><li><ul>" + "<div>" * 20000 + "<li>a</li>" * 20000, "<span hidden>" * 20000 + "<p>a</p>" * 20000, "<a b='" * 50000, '<p a="x' * 50000, "<!--" * 50000])
+def test_extraction_is_linear(page):
+    began = time.perf_counter()
+    extract(page)
+    assert time.perf_counter() - began < 5
+
+
+class Article(HTMLParser):
+    """The text blocks of the article element, by the standard library's parser."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.inside, self.blocks = False, [""]
+        self.feed(page)
+        self.text = "\n".join(t for b in self.blocks if (t := " ".join(b.split())))
+
+    def handle_starttag(self, tag, attrs):
+        self.inside |= tag == "article"
+        if tag in ("p", "h1", "article"):
+            self.blocks.append("")
+        if tag == "br":
+            self.blocks[-1] += " "
+
+    def handle_endtag(self, tag):
+        self.inside &= tag != "article"
+        if tag in ("p", "h1", "article"):
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if self.inside:
+            self.blocks[-1] += data
+
+
+def test_extraction_equals_the_planted_articles():
+    pages = pq.read_table(f"{SF}/pages.parquet").to_pylist()
+    assert len(pages) > 200
+    for page in pages:
+        assert extract(page["html"]) == Article(page["html"] or "").text, page["page_id"]
+
+
 def test_pages(spark):
     data = [(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, None), (2, "v", "", "y")]
     got = extract_pages(spark, spark.createDataFrame(data, "page_id long, url string, html string, text string")).collect()
