@@ -2,8 +2,10 @@
 
 Every text is cut in windows of WINDOW bytes, the last one padded. A window's bytes are embedded, filters of several
 widths run over them, the largest answer of each filter goes through a softmax layer, and a text's probabilities are
-its windows' mean, weighed by their letters. The fit sees a bounded sample: PER_LANGUAGE documents of each language
-(the smallest by a hash of the id) and WINDOWS_PER_DOC windows of each; prediction reads every byte of every text.
+its windows' mean, weighed by their letters. The fit sees a bounded sample of labelled rows, with the whole texts of
+them: those whose hash lies below a bound that lets PER_LANGUAGE rows of a language through in the mean (fewer where
+there are more than SAMPLE / PER_LANGUAGE languages), and of these the first by the hash up to FIT_BYTES bytes of a
+language. Prediction reads every byte of every text.
 """
 
 from __future__ import annotations
@@ -14,14 +16,13 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import map_arrow, slices, text_buffers
 
 WINDOW, EMBEDDING, WIDTHS, FILTERS = 128, 8, (2, 3, 4), 16
-PER_LANGUAGE, WINDOWS_PER_DOC, SAMPLE = 1200, 4, 40_000
-EPOCHS, BATCH, RATE = 6, 128, 3e-3
+PER_LANGUAGE, FIT_BYTES, SAMPLE = 600, 1 << 20, 12_000
+EPOCHS, BATCH, RATE = 4, 128, 3e-3
 
 _LETTER = np.zeros(256, np.int64)
 _LETTER[[*range(65, 91), *range(97, 123), *range(0xC3, 0x100)]] = 1
@@ -129,34 +130,43 @@ def learnable() -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % 3 != 1
 
 
-def fit(documents: DataFrame, learn: Column, per_language: int = PER_LANGUAGE) -> Network | None:
-    """A network of the learnable rows (doc_id, text, lang); None where there are none."""
-    named = documents.select("doc_id", "lang").filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & learn)
-    place = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = named.withColumn("place", place).filter(F.col("place") <= per_language).orderBy("place", "lang").limit(SAMPLE).select("doc_id", F.col("lang").alias("y")).distinct()
-    # at most SAMPLE rows of an id and a language
-    texts = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
+def sample(documents: DataFrame, learn: Column, per_language: int = PER_LANGUAGE, fit_bytes: int = FIT_BYTES, most: int = SAMPLE) -> list[tuple[str, bytes]]:
+    """(language, text) of the rows that a fit learns from, in a fixed order; rows that repeat count once.
 
-    def make(batch):
-        raw, bounds = text_buffers(batch.column(2))
-        h, y, x = [], [], []
-        for i, j in slices(bounds):
-            found, row = windows(raw[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
-            for r in range(j - i):
-                lo, hi = np.searchsorted(row, [r, r + 1])
-                for k in np.unique(np.linspace(lo, hi - 1, WINDOWS_PER_DOC).astype(int)) if hi > lo else []:
-                    h.append(str(batch.column(0)[i + r]))
-                    y.append(batch.column(1)[i + r].as_py())
-                    x.append(found[k].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(h, pa.string()), pa.array(y, pa.string()), pa.array(x, pa.binary())], ["h", "y", "x"])
-
-    got = map_arrow(texts, make, "h string, y string, x binary").limit(2 * SAMPLE * WINDOWS_PER_DOC).collect()
-    if not got:
+    Rows are chosen by a hash of id and text against a bound for their language: no language gathers in a task. Each
+    language has its share of `most` rows, in the mean; of a language's rows the first by the hash stay that fit in
+    `fit_bytes` together (one at least). Texts of no other rows leave their tasks.
+    """
+    named = documents.select("text", F.col("lang").alias("y"), F.xxhash64(F.col("doc_id").cast("string"), "text").alias("h"), "doc_id", "lang")
+    named = named.filter(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & F.col("text").isNotNull() & learn).select("y", "h", "text")
+    counts = named.groupBy("y").agg(F.count(F.lit(1)).alias("n"))
+    languages = counts.count()
+    share = max(1, min(per_language, most // max(languages, 1)))
+    # a part of all hashes, so that some `share` rows of a language lie in it; all of them where there are few
+    part = F.least(F.lit(1.0), F.lit(float(share)) / F.col("n"))
+    below = named.join(counts, "y").filter((F.pmod(F.col("h"), F.lit(1 << 40)).cast("double") < part * float(1 << 40)))
+    # a bounded number of rows without their texts: twice the share of each language at most, the least by the hash
+    sizes = below.groupBy("h", "y").agg(F.max(F.octet_length("text")).alias("size")).orderBy("h", "y").limit(2 * share * max(languages, 1)).collect()
+    used: dict[str, int] = {}
+    chosen = []
+    for r in sizes:
+        if not used.get(r["y"]) or used[r["y"]] + r["size"] <= fit_bytes:
+            used[r["y"]] = used.get(r["y"], 0) + max(r["size"], 1)
+            chosen.append((r["h"], r["y"]))
+    keys = documents.sparkSession.createDataFrame(chosen, "h long, y string")
+    got = named.join(F.broadcast(keys), ["h", "y"]).groupBy("h", "y").agg(F.min("text").alias("text")).collect()
+    return [(r["y"], r["text"].encode()) for r in sorted(got, key=lambda r: (r["h"], r["y"]))]
+
+
+def fit(documents: DataFrame, learn: Column, per_language: int = PER_LANGUAGE) -> Network | None:
+    """A network of the learnable rows (doc_id, text, lang), from every window of the chosen texts; None where there are none."""
+    chosen = sample(documents, learn, per_language)
+    languages = sorted({y for y, _ in chosen})
+    if not languages:
         return None
-    got.sort(key=lambda r: (r.y, r.h, bytes(r.x)))
-    languages = sorted({r.y for r in got})
     index = {name: i for i, name in enumerate(languages)}
-    return train(np.frombuffer(b"".join(bytes(r.x) for r in got), np.uint8).reshape(-1, WINDOW), np.array([index[r.y] for r in got]), languages)
+    x, row = windows(np.frombuffer(b"".join(t for _, t in chosen), np.uint8), np.cumsum([0, *(len(t) for _, t in chosen)]))
+    return train(x, np.array([index[chosen[r][0]] for r in row], int), languages)
 
 
 def predict(net: Network | None, text: pa.Array) -> tuple[list[str], np.ndarray]:

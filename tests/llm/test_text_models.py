@@ -71,6 +71,35 @@ def test_language_awkward_rows(spark):
     assert langid.identify(spark, frame(spark, [])).count() == 0
 
 
+def test_language_sample_is_bounded_and_holds_every_language(spark):
+    data = [(i, f"text {i} " * (1 + i % 7), f"l{i % 40}") for i in range(4000)] + [(5000 + i, "hot text", "hot") for i in range(6000)] + [(7, None, "l1"), (8, "x", None), (None, "x", "l2")]
+    df = spark.createDataFrame([*data, *data[:50]], "doc_id long, text string, lang string")
+    every = langid.F.lit(True)
+    got = langid.sample(df, every, most=400)
+    per = pd.Series([y for y, _ in got]).value_counts()
+    assert len(per) == 41 and per.max() <= 30 and got == langid.sample(df.repartition(7), every, most=400)
+    small = langid.sample(df, every, per_language=50, fit_bytes=100)
+    sizes = {}
+    for y, t in small:
+        sizes.setdefault(y, []).append(len(t))
+    assert all(sum(n) <= 100 or len(n) == 1 for n in sizes.values()) and len(sizes) == 41
+
+
+def test_language_network_matches_plain_python():
+    rng = np.random.default_rng(3)
+    x, y = rng.integers(1, 256, (40, langid.WINDOW)).astype(np.uint8), rng.integers(0, 3, 40)
+    net = langid.train(x, y, ["a", "b", "c"])
+    for row, got in zip(x[:5], net.probabilities(x)[:5], strict=True):
+        hidden = []
+        for w, weight, bias in zip(langid.WIDTHS, net.filters, net.bias, strict=True):
+            for f in range(langid.FILTERS):
+                answers = [sum(float(net.embedding[row[i + k]] @ weight[k][:, f]) for k in range(w)) for i in range(len(row) - w + 1)]
+                hidden.append(max(0.0, max(answers) + float(bias[f])))
+        z = np.array([sum(h * float(net.out[i, c]) for i, h in enumerate(hidden)) + float(net.out_bias[c]) for c in range(3)])
+        want = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert got == pytest.approx(want, abs=1e-4)
+
+
 def test_windows_hold_every_byte():
     texts = ["", "a" * 128, "b" * 129, "é" * 300]
     raw, bounds = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *(len(t.encode()) for t in texts)])
