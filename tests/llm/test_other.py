@@ -1,6 +1,9 @@
 import math
+import re
+from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from marginalia.llm import licenses, topk, url_filter
@@ -49,44 +52,70 @@ def test_licence_headers_beside_other_words(spark):
         assert got[i][0] == name and (got[i][1] in ("header", "file")) == (name is not None), text[:80]
 
 
-def test_licence_windows_equal_brute_force():
+def plain_terms(text):
+    found = re.findall(r"spdx-license-identifier:[ \t]*[a-z0-9.+-]+|[a-z0-9]+(?:\.[0-9]+)*", (text or "").lower())
+    return [re.sub(r"[ \t]", "", t) for t in found]
+
+
+def plain_scan(data, short, long, threshold=0.6):
+    """(licence, score, whole) of every text: every passage and every run against every template, with plain loops."""
+    idf = Counter(t for _, text in data for t in set(plain_terms(text)))
+    weigh = lambda t: math.log((1 + len(data)) / (1 + idf[t])) + 1
+    damp = lambda c: {t: 1 + math.log(n) for t, n in c.items()}
+
+    def cosine(x, y):
+        norm = lambda v: math.sqrt(sum((n * weigh(t)) ** 2 for t, n in v.items()))
+        return sum(n * y[t] * weigh(t) ** 2 for t, n in x.items() if t in y) / (norm(x) * norm(y)) if x and y else 0.0
+
+    out = {}
+    for i, text in data:
+        tokens, low = plain_terms(text), (text or "").lower()
+        found = [(0, -cosine(damp(Counter(tokens)), damp(Counter(plain_terms(t)))), n) for n, t in long]
+        passages = [low, *low.split("\n"), *re.split(r"(?<=[.!?;])(?=\s)", low), *re.split(r"\n(?:[^\w\n]*\n)+", low)]
+        pieces = {tuple(plain_terms(p)) for p in passages}
+        for n, t in short:
+            want = Counter(plain_terms(t))
+            size = want.total()
+            for p in pieces | {tuple(tokens[k : k + size]) for k in range(len(tokens) - size + 1)}:
+                found.append((len(p) != len(tokens), -cosine(Counter(p), want), n))
+        found = [f for f in found if -f[1] >= threshold]
+        if found:
+            part, score, name = min((p, round(s, 9), n) for p, s, n in found)
+            out[i] = (name, round(-score, 6), not part)
+    return out
+
+
+def test_licence_scan_equals_brute_force(spark):
     rng = np.random.default_rng(3)
-    vocabulary = sorted({t for _, text in licenses.TEMPLATES for t in licenses.terms(text)})
-    idf = {t: 1.0 + i / 100 for i, t in enumerate(vocabulary)}
-    vectors = [(n, v := {t: c * idf[t] for t, c in licenses.terms(text).items()}, math.sqrt(sum(w * w for w in v.values()))) for n, text in licenses.TEMPLATES]
-    sizes = [licenses.terms(text).total() for _, text in licenses.TEMPLATES]
-    windows, hits = licenses.Windows(vectors, sizes, idf, 4.0, 0.6), 0
-    for _ in range(40):
-        tokens = []
-        while len(tokens) < 60:
-            text = licenses.TERM.findall(licenses.TEMPLATES[rng.integers(len(sizes))][1].lower())
-            tokens += [t if rng.random() < 0.7 else f"x{rng.integers(9)}" for t in text] + ["other"] * int(rng.integers(4))
-        runs = [(-licenses.cosines(licenses.Counter(tokens[i : i + n]), [v], idf, 4.0)[0][0], v[0]) for v, n in zip(vectors, sizes, strict=True) for i in range(len(tokens) - n + 1)]
-        assert windows.best(tokens) == min((r for r in runs if -r[0] >= 0.6), default=None)
-        hits += windows.best(tokens) is not None
-    assert hits
-
-
-def test_licence_prune_is_safe():
-    vocabulary = frozenset(t for _, text in licenses.TEMPLATES for t in licenses.terms(text))
-    idf = {t: 1.0 + i / 100 for i, t in enumerate(sorted(vocabulary))}
-    vectors = [(n, v := {t: c * idf[t] for t, c in licenses.terms(text).items()}, math.sqrt(sum(w * w for w in v.values()))) for n, text in licenses.TEMPLATES]
-    for line in ("licensed under foo bar", "the MIT license and other words", "a b c license version", "All rights reserved by me"):
-        c = licenses.terms(line)
-        if not licenses._possible(c, vocabulary, 0.6):
-            assert max(s for s, _ in licenses.cosines(c, vectors, idf, 3.0)) < 0.6
+    docs = [r for r in pq.read_table("/root/testdata/sf0.001/documents.parquet").to_pylist() if len(r["text"] or "") < 3000][:60]
+    data = [(r["doc_id"], r["text"]) for r in docs]
+    short, long = licenses.notices(), licenses.licence_texts()
+    filler = [t for r in docs for t in r["text"].split()[:5]]
+    for k in range(60):
+        words_ = []
+        for _ in range(int(rng.integers(1, 4))):
+            text = short[int(rng.integers(len(licenses.TEMPLATES)))][1].split()
+            words_ += [t if rng.random() < 0.8 else f"x{rng.integers(9)}" for t in text] + [filler[int(i)] for i in rng.integers(len(filler), size=int(rng.integers(6)))]
+            words_.append("\n" if rng.random() < 0.5 else ".")
+        data.append((10_000 + k, " ".join(words_)))
+    data += [(20_000 + k, text) for k, (_, text) in enumerate(long)] + [(30_000, "# SPDX-License-Identifier:  MIT\ncode"), (30_001, "// SPDX-License-Identifier: EPL-1.0"), (30_002, None), (30_003, ""), (30_004, long[0][1][:4000])]
+    df = spark.createDataFrame([(i, f"d{i}/x", t) for i, t in data], "file_id long, path string, text string")
+    got = {r.file_id: (r.license, round(r.score, 6), r.origin == "file") for r in licenses.scan(spark, df).collect() if r.origin in ("file", "header")}
+    want = plain_scan(data, short, long)
+    assert got == want and len(got) > 60
+    assert all(got[20_000 + k] == (name, pytest.approx(1.0), True) for k, (name, _) in enumerate(long))
+    assert got[30_000][0] == "MIT" and 30_001 not in got
 
 
 def test_licence_weak_terms_are_safe():
-    vocabulary = frozenset(t for _, text in licenses.TEMPLATES for t in licenses.terms(text))
-    idf = {t: 1.0 + (hash_ % 97) / 10 for hash_, t in enumerate(sorted(vocabulary))}
-    vectors = [(n, v := {t: c * idf[t] for t, c in licenses.terms(text).items()}, math.sqrt(sum(w * w for w in v.values()))) for n, text in licenses.TEMPLATES]
+    idf = {t: 1.0 + (i % 97) / 10 for i, t in enumerate(sorted({t for _, text in licenses.notices() for t in licenses.terms(text)}))}
+    vectors = [licenses.vector_of(n, licenses.terms(text), idf) for n, text in licenses.notices()]
     strong = licenses.strong_terms(vectors, idf, 0.6)
-    weak = sorted(vocabulary - strong)
+    weak = sorted(idf.keys() - strong)
     assert weak and strong
-    assert max(s for s, _ in licenses.cosines(dict.fromkeys(weak, 1), vectors, idf, 12.0)) < 0.6
-    for _, text in licenses.TEMPLATES:
-        assert max(s for s, _ in licenses.cosines({t: n for t, n in licenses.terms(text).items() if t in weak}, vectors, idf, 12.0)) < 0.6
+    assert max(licenses.cosines(dict.fromkeys(weak, 1), vectors, idf))[0] < 0.6
+    for _, text in licenses.notices():
+        assert max(licenses.cosines({t: n for t, n in licenses.terms(text).items() if t in weak}, vectors, idf))[0] < 0.6
 
 
 def brute_top(data, k):
