@@ -127,7 +127,8 @@ def brute_top(data, k):
     out = []
     for q in ok:
         if q % 20 == 0:
-            scored = sorted((-sum(a * b for a, b in zip(ok[q], ok[c])), c) for c in ok if c != q and len(ok[c]) == len(ok[q]))
+            held = lambda s: max(min(s, 2**63 - 1), -(2**63))
+            scored = sorted((-held(sum(a * b for a, b in zip(ok[q], ok[c]))), c) for c in ok if c != q and len(ok[c]) == len(ok[q]))
             out += [(q, r + 1, c, -s) for r, (s, c) in enumerate(scored[:k])]
     return sorted(out)
 
@@ -144,14 +145,32 @@ def test_top_k(spark):
     assert [g[:3] for g in got if g[0] in big] and topk.top_k(spark, frame_.limit(0)).count() == 0
 
 
-def test_top_k_reads_few_exact_vectors():
+def test_top_k_bounds_and_reads():
     rng = np.random.default_rng(4)
-    x = rng.integers(-40, 40, (500, 16))
-    low, width = x.min(0).astype(float), np.full(16, 3.0)
-    cells = ((x - low) // width).astype(np.uint8)
-    q, ids, s = topk.search(np.array([1000]), x[:1], np.arange(500), x, low, width, cells, 5)
-    want = sorted((-int(v), i) for i, v in enumerate(x @ x[0]))[:5]
-    assert list(zip((-s).tolist(), ids.tolist())) == want
+    x = rng.integers(-400, 400, (2000, 16))
+    low = x.min(0).astype(float)
+    width = np.maximum(1, np.ceil((x.max(0) - low + 1) / topk.CELLS))
+    cells = ((x - low) // width).astype(float)
+    ids, q_ids, q = np.arange(2000), np.array([7, 5000]), np.stack([x[7], rng.integers(-400, 400, 16)]).astype(float)
+    middle, slack = topk.bounds(q, low, width, cells)
+    assert (np.abs(q @ x.T - middle) <= slack[:, None] + 1e-6).all()
+    least = topk.least_scores(q_ids, q, ids, low, width, cells, 5)
+    row, column, upper = topk.survivors(q_ids, q, least, ids, low, width, cells)
+    assert len(row) < 400
+    got = topk.refine(q_ids, q, ids, x, row, column, upper, 5)
+    want = [(int(i), v, -s) for i, one in zip(q_ids, q, strict=True) for s, v in sorted((-int(s), v) for v, s in enumerate(x @ one) if v != i)[:5]]
+    assert list(zip(*(g.tolist() for g in got), strict=True)) == want
+    assert list(zip(*(g.tolist() for g in topk.whole_scores(q_ids, q.astype(np.int64), ids, x, 5)), strict=True)) == want
+
+
+def test_top_k_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 40)
+    monkeypatch.setattr(topk, "QUERIES", 3)
+    rng = np.random.default_rng(5)
+    data = [(i, rng.normal(0, 0.2, 6).astype(np.float32).tolist()) for i in range(300)] + [(1000 + i, [0.5] * 6) for i in range(150)]
+    data += [(i, rng.normal(0, 0.2, 6).astype(np.float32).tolist()) for i in (20, 40, 41)] + [(2000, [2.0**40] * 6), (2001, [2.0**45, *[1.0] * 5]), (2002, [2.0**52, *[1.0] * 5])]
+    got = sorted(tuple(r) for r in topk.top_k(spark, spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect())
+    assert got == brute_top(data, 20)
 
 
 def test_urls(spark):
