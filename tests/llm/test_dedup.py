@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 
+from marginalia.llm import common
 from marginalia.llm import near_dedup as N
 from marginalia.llm.exact_dedup import drop_exact_copies, exact_dedup
 from marginalia.llm.near_dedup import drop_near_copies, near_dedup
@@ -96,3 +97,62 @@ def test_sketches_estimate_similarity():
     sketch = N.sketches(np.concatenate(sets), np.array([0, len(sets[0]), len(sets[0]) + len(sets[1])]), 1024)
     assert abs((sketch[0] == sketch[1]).mean() - 0.6) < 0.06
     assert (N.sketches(np.array([7], np.uint64), np.array([0, 1]), 128) != N._NONE).all()
+
+
+def thue_morse(n, a="a", b="b"):
+    word = "0"
+    for _ in range(n):
+        word += word.translate(str.maketrans("01", "10"))
+    return word.translate(str.maketrans("01", a + b))
+
+
+def test_hashes_have_no_ring_collisions(spark):
+    words = [thue_morse(n, *pair) for n in (3, 4, 5, 6, 10, 11) for pair in ("ab", "ba", "xy", "yx")]
+    raw = np.frombuffer("".join(words).encode(), np.uint8)
+    edges = np.cumsum([0, *map(len, words)])
+    assert len(set(common.span_hashes(raw, edges[:-1], edges[1:]).tolist())) == len(words)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup(spark, spark.createDataFrame([(1, thue_morse(10)), (2, thue_morse(10, "b", "a"))], "doc_id long, text string")).collect()}
+    assert got == {1: (1, 1), 2: (1, 2)}
+
+
+def test_span_hashes_depend_on_the_bytes_alone():
+    rng = np.random.default_rng(1)
+    spans = [bytes(rng.integers(97, 100, int(n)).astype(np.uint8)) for n in rng.integers(1, 90, 400)] * 2
+    order = rng.permutation(len(spans))
+    raw = np.frombuffer(b"".join(spans[i] for i in order), np.uint8)
+    edges = np.cumsum([0, *(len(spans[i]) for i in order)])
+    first, second = common.span_hashes(raw, edges[:-1], edges[1:], 1, 2)
+    seen = {}
+    for i, h, g in zip(order, first.tolist(), second.tolist(), strict=True):
+        assert seen.setdefault(spans[i], (h, g)) == (h, g)
+    assert len({h for h, _ in seen.values()}) == len({g for _, g in seen.values()}) == len(seen) and not {h for h, _ in seen.values()} & {g for _, g in seen.values()}
+
+
+def test_candidates_hold_pairs_at_the_edge():
+    """Pairs just at 0.75, of sets of 4 to 400 shingles: banding and the one-bit filter find all but a few of a million."""
+    rng = np.random.default_rng(8)
+    sets, pairs = [], 1500
+    for i in range(pairs):
+        rest = 1 + i % 50
+        both = rng.integers(0, 2**63, 6 * rest, dtype=np.uint64)
+        sets += [np.unique(np.concatenate([both, rng.integers(0, 2**63, rest, dtype=np.uint64)])) for _ in range(2)]
+    sketch = N.mix64(N.sketches(np.concatenate(sets), np.cumsum([0, *map(len, sets)])))
+    a, b = sketch[::2], sketch[1::2]
+    band = (a == b).reshape(pairs, -1, N.BAND).all(2).any(1)
+    bits = ((a ^ b) & np.uint64(1)).sum(1)
+    assert band.all() and (bits <= N.MOST_BITS).all()
+
+
+def test_many_near_copies_are_one_component_spread_over_tasks(spark):
+    rng = np.random.default_rng(2)
+    base = [f"w{i}" for i in range(80)]
+    data = [(i, " ".join([*base[:k], f"x{i}", *base[k + 1 :]])) for i, k in enumerate(rng.integers(80, size=3000).tolist())]
+    data += [(10_000 + i, " ".join(f"v{rng.integers(10**6)}" for _ in range(60))) for i in range(200)]
+    got = near_dedup(spark, spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert {r.component_id for r in got if r.doc_id < 10_000} == {0} and all(r.kept for r in got if r.doc_id >= 10_000)
+
+
+
+def test_word_shingles_equal_the_plain_ones():
+    for _, text in [(r[0], r[1]) for r in rows()]:
+        assert {tuple(w.decode() for w in s) for s in N.word_shingles((text or "").encode())} == shingles(text)

@@ -1,3 +1,4 @@
+import re
 import time
 from html.parser import HTMLParser
 
@@ -45,6 +46,51 @@ def test_quality_features_match_plain_python():
     assert (quality.features(pa.array([None, ""])) >= 0).all()
 
 
+def plain_features(text):
+    raw = (text or "").encode()
+    counts = {name: sum(b in members for b in raw) for name, members in quality.CLASSES.items()}
+    words = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+    n, size = len(words), len(raw)
+    many, some = max(n, 1), max(size, 1)
+    letters = counts["upper"] + counts["lower"]
+    more = [np.log1p(size), np.log1p(n), sum(map(len, words)) / many, sum(len(w) <= 3 for w in words) / many, sum(len(w) > 15 for w in words) / many]
+    more += [sum(a == b for a, b in zip(words, words[1:])) / many, len(set(words)) / many, counts["upper"] / max(letters, 1), n / (counts["stop"] + 1), size / (counts["line"] + 1)]
+    return [counts[c] / some for c in quality.CLASSES] + more
+
+
+def test_quality_features_and_scores_match_plain_python(spark, tables):
+    docs, labels = tables
+    texts = [r.text for r in docs.select("text").limit(300).collect()] + [r[1] for r in rows()]
+    assert np.allclose(quality.features(pa.array(texts)), [plain_features(t) for t in texts])
+    x, y = quality.labelled(docs, labels, quality.learnable(), 500)
+    assert len(x) <= 500 and (quality.labelled(docs.repartition(5), labels.repartition(3), quality.learnable(), 500)[0] == x).all()
+    model = quality.fit(x, y)
+    for row, got in zip(x[:50], model.score(x[:50]), strict=True):
+        at = [sum(e <= v for e in edges) for v, edges in zip(row, model.edges, strict=True)]
+        total = model.intercept + sum(t[b] for t, b in zip(model.tables, at, strict=True)) + sum(t[at[i]][at[j]] for (i, j), t in zip(model.pairs, model.pair_tables, strict=True))
+        assert got == pytest.approx(1 / (1 + np.exp(-total)))
+
+
+def test_quality_first_step_matches_a_plain_tree():
+    """One round on one feature: the best two-level tree by exhaustive search over its cuts."""
+    rng = np.random.default_rng(7)
+    x = rng.random((400, 1))
+    y = ((x[:, 0] > 0.3) & (x[:, 0] < 0.7)).astype(float)
+    model = quality.fit(x, y, bins=8, rounds=1, pair_rounds=0, n_pairs=0, rate=1.0)
+    b, p = model.bins(x)[:, 0], 1 / (1 + np.exp(-model.intercept))
+    g, h = np.array([(y - p)[b == k].sum() for k in range(8)]), np.array([(b == k).sum() * p * (1 - p) for k in range(8)])
+    gain = lambda i, j: g[i:j].sum() ** 2 / (h[i:j].sum() + 1)
+
+    def tree(i, j, depth):
+        cuts = [(gain(i, c) + gain(c, j), c) for c in range(i + 1, j)] if depth else []
+        if not cuts or max(cuts)[0] - gain(i, j) <= 1e-9:
+            return [g[i:j].sum() / (h[i:j].sum() + 1)] * (j - i)
+        c = max(cuts, key=lambda t: t[0])[1]
+        return tree(i, c, depth - 1) + tree(c, j, depth - 1)
+
+    assert np.allclose(model.tables[0], tree(0, 8, 2))
+
+
 def test_ga2m_learns_an_interaction():
     rng = np.random.default_rng(1)
     x = rng.random((3000, 3))
@@ -127,6 +173,41 @@ def test_pieces_round_trip_and_batches(vocabulary):
         assert flat[at[i] : at[i + 1]].tolist() == alone.tolist()
 
 
+def test_pieces_of_a_text_do_not_depend_on_the_others(vocabulary):
+    rng = np.random.default_rng(6)
+    texts = ["".join(rng.choice(list("abcdeit no"), 60)) for _ in range(3000)]
+    flat, at, _ = encode(vocabulary, texts)
+    for i in (0, 1500, 2999):
+        alone, _, _ = encode(vocabulary, [texts[i]], keys=np.array([i], np.uint64))
+        assert flat[at[i] : at[i + 1]].tolist() == alone.tolist()
+    half, half_at, _ = encode(vocabulary, texts[1000:], keys=np.arange(1000, 3000, dtype=np.uint64))
+    assert flat[at[1000] :].tolist() == half.tolist() and (np.diff(at)[1000:] == np.diff(half_at)).all()
+
+
+def test_pieces_follow_the_enumerated_distribution(vocabulary):
+    """All segmentations of short words, their odds by enumeration, against 20,000 draws each."""
+    spelled = {bytes(vocabulary.spelling[vocabulary.spelling_at[i] : vocabulary.spelling_at[i + 1]]): i for i in range(len(vocabulary.weight)) if vocabulary.weight[i] > pieces.BYTE_WEIGHT * 1.01}
+    for word in ("in", "and", "\u00e9t"):
+        text = (" " + word).encode()
+
+        def every(at=0):
+            if at == len(text):
+                yield (), 1.0
+            for end in range(at + 1, len(text) + 1):
+                if (i := spelled.get(text[at:end])) is not None:
+                    for rest, w in every(end):
+                        yield (i, *rest), w * vocabulary.weight[i]
+
+        odds = dict(every())
+        total, n = sum(odds.values()), 20_000
+        flat, at, _ = encode(vocabulary, [word] * n)
+        seen = pd.Series([tuple(flat[at[i] : at[i + 1]]) for i in range(n)]).value_counts()
+        for found, w in odds.items():
+            p = w / total
+            assert abs(seen.get(found, 0) - n * p) < 5 * (n * p * (1 - p)) ** 0.5 + 3, (word, found)
+        assert set(seen.index) <= set(odds)
+
+
 def test_pieces_are_sampled_by_their_probability(vocabulary):
     word = "that"
     n = 4000
