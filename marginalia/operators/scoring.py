@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .intervals import union_intervals
+from .intervals import clusters, overlap_join, shared_length
 
 KEY = ["filename", "label"]
 SCENARIOS = ("strict", "exact", "partial", "ent_type")
@@ -32,20 +31,15 @@ def span_dice(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
 def character_scores(gold: DataFrame, predicted: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Characters right, too many and missed, by `by` (default: label), from the unions of each document and label."""
     by = by or ["label"]
-    g, p = union_intervals(gold, KEY), union_intervals(predicted, KEY)
-    length = F.sum(F.col("end_span") - F.col("start_span"))
-    totals = g.groupBy(*KEY).agg(length.alias("gold")).join(p.groupBy(*KEY).agg(length.alias("pred")), KEY, "full")
-    both = g.join(p.withColumnsRenamed({"start_span": "_s", "end_span": "_e"}), KEY).filter("_s < end_span AND start_span < _e")
-    shared = both.groupBy(*KEY).agg(F.sum(F.least("end_span", "_e") - F.greatest("start_span", "_s")).alias("tp"))
-    joined = totals.join(shared, KEY, "left").na.fill(0, ["gold", "pred", "tp"])
+    joined = shared_length(gold, predicted, KEY)
     sums = joined.groupBy(*by) if by != [""] else joined.groupBy()
-    return with_prf(sums.agg(F.sum("tp").alias("tp"), (F.sum("pred") - F.sum("tp")).alias("fp"), (F.sum("gold") - F.sum("tp")).alias("fn")))
+    return with_prf(sums.agg(F.sum("shared").alias("tp"), (F.sum("right") - F.sum("shared")).alias("fp"), (F.sum("left") - F.sum("shared")).alias("fn")))
 
 
 def entity_credits(spans: DataFrame, other: DataFrame) -> DataFrame:
     """`spans` (with a unique span_id) and each one's best Dice with the other side's spans of its document and label."""
     o = other.select(*KEY, F.col("start_span").alias("_s"), F.col("end_span").alias("_e"))
-    best = spans.join(o, KEY).filter("_s < end_span AND start_span < _e").groupBy("span_id").agg(F.max(span_dice(F.col("start_span"), F.col("end_span"), F.col("_s"), F.col("_e"))).alias("credit"))
+    best = overlap_join(spans, o, KEY).groupBy("span_id").agg(F.max(span_dice(F.col("start_span"), F.col("end_span"), F.col("_s"), F.col("_e"))).alias("credit"))
     return spans.join(best, "span_id", "left").na.fill(0.0, ["credit"])
 
 
@@ -80,71 +74,94 @@ def strict_scores(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     return with_prf(sums)
 
 
-def match_document(gold: list[tuple], predicted: list[tuple], least: float = 40.0) -> dict[str, dict]:
-    """Greedy matching of one document's (label, start, end), in list order, for each scenario.
+def numbered(spans: DataFrame) -> DataFrame:
+    """`spans` with `at`, a span's place in its document: by the column `position` where there is one (the order of a list),
+    else by offsets and label."""
+    order = ["position"] if "position" in spans.columns else [c for c in ("start_span", "end_span", "label", "score") if c in spans.columns]
+    return spans.withColumn("at", F.row_number().over(W.partitionBy("filename").orderBy(*order)).cast("long"))
 
-    Each prediction takes the first free gold span equal to it under the scenario, else the first free one that it
-    overlaps (in partial and ent_type by at least `least` per cent of the gold span); what is left over is spurious or
-    missed. Gives counts and the index pairs.
+
+def _taken(scenario: str, least: float) -> Column:
+    """Events (kind, gold_at, pred_at) of a cluster's arrays `gold` and `predicted` under a scenario.
+
+    Predictions come in list order. Each takes the first free gold span, in list order, that it shares a character with (in
+    partial and ent_type: at least `least` per cent of the gold span); whether that is right, wrong or partial depends
+    on offsets and labels. What finds none is spurious, what is never taken missed.
     """
-    out = {}
-    for scenario in SCENARIOS:
-        free = list(range(len(gold)))
-        counts = dict.fromkeys(("correct", "incorrect", "partial", "spurious", "missed"), 0)
-        pairs = []
-        for j, (label, start, end) in enumerate(predicted):
-            hit, kind = None, ""
-            for i in free:
-                g_label, g_start, g_end = gold[i]
-                same, same_label = (g_start, g_end) == (start, end), g_label == label
-                overlap = min(g_end, end) - max(g_start, start)
-                if same and (same_label or scenario in ("exact", "partial")):
-                    hit, kind = i, "correct"
-                elif overlap > 0 and scenario in ("strict", "exact"):
-                    hit, kind = i, "incorrect"
-                elif overlap > 0 and 100 * overlap >= least * (g_end - g_start):
-                    hit, kind = i, "partial" if scenario == "partial" else ("correct" if same_label else "incorrect")
-                if hit is not None:
-                    break
-            if hit is None:
-                counts["spurious"] += 1
-            else:
-                free.remove(hit)
-                counts[kind] += 1
-                pairs.append((hit, j, kind))
-        counts["missed"] = len(free)
-        out[scenario] = counts | {"pairs": pairs}
-    return out
+    shared = lambda g, p: F.least(g["e"], p["e"]) - F.greatest(g["s"], p["s"])
+    fits = (lambda g, p: shared(g, p) > 0) if scenario in ("strict", "exact") else (lambda g, p: (shared(g, p) > 0) & (100 * shared(g, p) >= least * (g["e"] - g["s"])))
+
+    def kind(g: Column, p: Column) -> Column:
+        same, label = (g["s"] == p["s"]) & (g["e"] == p["e"]), g["label"].eqNullSafe(p["label"])
+        right, other = {"strict": (same & label, "incorrect"), "exact": (same, "incorrect"), "partial": (same, "partial"), "ent_type": (label, "incorrect")}[scenario]
+        return F.when(g.isNull(), "spurious").when(right, "correct").otherwise(other)
+
+    def step(state: Column, p: Column) -> Column:
+        first = F.array(F.get(F.filter(state["free"], lambda g: fits(g, p)), F.lit(0)))
+        return F.transform(
+            first,
+            lambda g: F.struct(
+                F.filter(state["free"], lambda x: ~x["at"].eqNullSafe(g["at"])).alias("free"),
+                F.concat(state["events"], F.array(F.struct(kind(g, p).alias("kind"), g["at"].alias("gold_at"), p["at"].alias("pred_at")))).alias("events"),
+            ),
+        )[0]
+
+    none = F.array().cast("array<struct<kind:string,gold_at:bigint,pred_at:bigint>>")
+    missed = lambda state: F.concat(state["events"], F.transform(state["free"], lambda g: F.struct(F.lit("missed").alias("kind"), g["at"].alias("gold_at"), F.lit(None).cast("long").alias("pred_at"))))
+    return F.aggregate("predicted", F.struct(F.col("gold").alias("free"), none.alias("events")), step, missed)
+
+
+def greedy_events(gold: DataFrame, predicted: DataFrame, least: float = 40.0, key: list[str] | None = None, scenarios: tuple[str, ...] = SCENARIOS) -> DataFrame:
+    """key, scenario, kind, gold_at, pred_at: one row for each pair, spurious prediction and missed gold span.
+
+    Matching is greedy and depends on the order of the lists (`at`, see `numbered`), within `key`: documents, or documents
+    and labels. Only spans that overlap, directly or through others, meet; so a cluster is the unit of work, not a document.
+    """
+    key = key or ["filename"]
+    ready = [df if "at" in df.columns else numbered(df) for df in (gold, predicted)]
+    each = F.array(*(F.struct(F.lit(s).alias("scenario"), _taken(s, least).alias("events")) for s in scenarios))
+    return clusters(*ready, key).select(*key, F.inline(each)).select(*key, "scenario", F.inline("events"))
 
 
 def greedy_scores(gold: DataFrame, predicted: DataFrame, least: float = 40.0) -> DataFrame:
-    """scenario, correct, incorrect, partial, spurious, missed, precision, recall, f1 summed over documents.
+    """scenario, correct, incorrect, partial, spurious, missed, precision, recall, f1 over all documents."""
+    return sum_results(event_counts(greedy_events(gold, predicted, least)))
 
-    Documents are matched apart from one another, so a document's spans meet in one group and no more.
-    """
-    spans = gold.select("filename", "label", "start_span", "end_span", F.lit(0).alias("side")).unionByName(predicted.select("filename", "label", "start_span", "end_span", F.lit(1).alias("side")))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["start_span", "end_span", "label"], kind="stable")
-        sides = [list(pdf.loc[pdf.side == s, ["label", "start_span", "end_span"]].itertuples(index=False, name=None)) for s in (0, 1)]
-        found = match_document(*sides, least)
-        return pd.DataFrame([{"scenario": s, **{k: v for k, v in c.items() if k != "pairs"}} for s, c in found.items()])
+def event_counts(events: DataFrame, *by: str) -> DataFrame:
+    """by, scenario and the number of each kind of event."""
+    return events.groupBy(*by, "scenario").agg(*(F.count_if(F.col("kind") == k).alias(k) for k in ("correct", "incorrect", "partial", "spurious", "missed")))
 
-    counts = spans.groupBy("filename").applyInPandas(run, "scenario string, correct long, incorrect long, partial long, spurious long, missed long")
-    return sum_results(counts)
 
-
-def sum_results(counts: DataFrame) -> DataFrame:
-    """Counts of several results added, with precision, recall and f1; half credit for partial in partial and ent_type."""
+def head_scores(gold: DataFrame, predicted: DataFrame, labels: list[str], least: float = 40.0) -> DataFrame:
+    """head, scenario, counts, precision, recall, f1: each label scored alone, then `micro` with the counts added and
+    `macro` with the labels' means (its counts are null). Spans of other labels are left out."""
+    g, p = (df.filter(F.col("label").isin(*labels)) for df in (gold, predicted))
+    counts = event_counts(greedy_events(g, p, least, KEY), "label")
+    spark = gold.sparkSession
     names = ("correct", "incorrect", "partial", "spurious", "missed")
-    sums = counts.groupBy("scenario").agg(*(F.sum(n).alias(n) for n in names))
+    # a row for each label and scenario
+    grid = spark.createDataFrame([(x, s) for x in labels for s in SCENARIOS], "label string, scenario string")
+    full = grid.join(counts, ["label", "scenario"], "left").na.fill(0, list(names))
+    heads = _with_ratios(full).withColumnRenamed("label", "head")
+    micro = sum_results(full).withColumn("head", F.lit("micro"))
+    mean = heads.groupBy("scenario").agg(*(F.avg(c).alias(c) for c in ("precision", "recall", "f1"))).withColumn("head", F.lit("macro"))
+    return heads.unionByName(micro).unionByName(mean, allowMissingColumns=True)
+
+
+def _with_ratios(counts: DataFrame) -> DataFrame:
     half = F.when(F.col("scenario").isin("partial", "ent_type"), 0.5).otherwise(0.0)
     tp = F.col("correct") + half * F.col("partial")
     common = F.col("correct") + F.col("incorrect") + F.col("partial")
-    sums = sums.withColumns({"precision": ratio(tp, common + F.col("spurious")), "recall": ratio(tp, common + F.col("missed"))})
+    sums = counts.withColumns({"precision": ratio(tp, common + F.col("spurious")), "recall": ratio(tp, common + F.col("missed"))})
     return sums.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
+def sum_results(counts: DataFrame) -> DataFrame:
+    """Counts of several results added, with precision, recall and f1; half credit for partial in partial and ent_type."""
+    return _with_ratios(counts.groupBy("scenario").agg(*(F.sum(n).alias(n) for n in ("correct", "incorrect", "partial", "spurious", "missed"))))
+
+
 def flatten(results: DataFrame) -> DataFrame:
     """Long form (metric, value) of `sum_results`: span_<scenario>_<name>, to four decimals."""
     names = ("precision", "recall", "f1", "correct", "incorrect", "partial", "missed", "spurious")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .intervals import overlap_clusters
+from .intervals import overlap_clusters, overlap_join
 
 KEY = ["filename", "label", "start_span", "end_span"]
 ENTITY = "id string, start int, end int, label string, text string, code string"
@@ -64,9 +64,10 @@ def span_relations(spans: DataFrame) -> DataFrame:
     """relation, n: how many spans stand in an identical, nested or crossing pair; each counts once for a relation."""
     order = W.partitionBy("filename").orderBy("start_span", "end_span", "label")
     n = spans.select("filename", "start_span", "end_span", F.row_number().over(order).alias("i"))
-    a, b = (n.select("filename", F.col("i").alias(f"{x}i"), F.col("start_span").alias(f"{x}s"), F.col("end_span").alias(f"{x}e")) for x in "ab")
-    pairs = a.join(b, "filename").filter("ai < bi AND `as` < be AND bs < ae")
-    relation = F.expr("CASE WHEN `as` = bs AND ae = be THEN 'identical' WHEN (`as` <= bs AND be <= ae) OR (bs <= `as` AND ae <= be) THEN 'nested' ELSE 'crossing' END")
+    a = n.select("filename", F.col("i").alias("ai"), "start_span", "end_span")
+    b = n.select("filename", F.col("i").alias("bi"), F.col("start_span").alias("_s"), F.col("end_span").alias("_e"))
+    pairs = overlap_join(a, b, ["filename"]).filter("ai < bi")
+    relation = F.expr("CASE WHEN start_span = _s AND end_span = _e THEN 'identical' WHEN (start_span <= _s AND _e <= end_span) OR (_s <= start_span AND end_span <= _e) THEN 'nested' ELSE 'crossing' END")
     each = pairs.select("filename", relation.alias("relation"), F.explode(F.array("ai", "bi")).alias("i")).distinct()
     return each.groupBy("relation").agg(F.count(F.lit(1)).alias("n"))
 

@@ -6,8 +6,10 @@ gold, predicted: filename, label, start_span, end_span (half-open code points);
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import table
@@ -17,11 +19,24 @@ DETERMINERS = ("the", "of", "and", "der", "die", "de", "la", "el", "le", "en")
 
 
 def words(spark: SparkSession, sf: str) -> DataFrame:
-    tokens = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("i", "token"))
-    order = W.partitionBy("doc_id").orderBy("i")
-    before = F.coalesce(F.sum(F.length("token") + 1).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    placed = tokens.withColumn("start_span", before.cast("long")).withColumn("end_span", F.col("start_span") + F.length("token")).withColumn("next_end", F.lead("end_span").over(order))
-    return placed.select("doc_id", (F.col("i") + 1).cast("long").alias("word_no"), "token", "start_span", "end_span", "next_end")
+    """Offsets are running sums within a text, so no row leaves its task."""
+
+    def run(batches):
+        for batch in batches:
+            tokens = pc.split_pattern(batch.column(1), " ")
+            size = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(len(size)), size)
+            flat = tokens.flatten()
+            length = pc.utf8_length(flat).to_numpy(zero_copy_only=False).astype(np.int64)
+            first = np.concatenate([[0], size.cumsum()])[:-1]
+            before = np.concatenate([[0], (length + 1).cumsum()])[:-1]
+            start = before - before[first[row]] if len(row) else before
+            end = start + length
+            last = np.append(row[1:] != row[:-1], True)[: len(row)]
+            next_end = pa.array(np.append(end[1:], 0)[: len(row)], mask=last)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(np.arange(len(row)) - first[row] + 1), flat, pa.array(start), pa.array(end), next_end], ["doc_id", "word_no", "token", "start_span", "end_span", "next_end"])
+
+    return table(spark, sf, "documents").select("doc_id", "text").mapInArrow(run, "doc_id long, word_no long, token string, start_span long, end_span long, next_end long")
 
 
 def gold(spark: SparkSession, sf: str, from_words: DataFrame | None = None) -> DataFrame:

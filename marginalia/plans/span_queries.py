@@ -11,9 +11,12 @@ _PRF = "CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp) ELSE 0 END AS precisio
 
 
 def _islands(name: str, source: str, compare: str) -> str:
+    """`source` with islands; ranges are made distinct first, so that no two rows tie in a window."""
     return f"""
-    {name}0 AS (SELECT *, max(end_span) OVER (PARTITION BY filename, label ORDER BY start_span, end_span ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM {source}),
-    {name} AS (SELECT * EXCLUDE (reach), sum(CASE WHEN reach IS NULL OR start_span {compare} reach THEN 1 ELSE 0 END) OVER (PARTITION BY filename, label ORDER BY start_span, end_span ROWS UNBOUNDED PRECEDING)::BIGINT AS island FROM {name}0)"""
+    {name}d AS (SELECT DISTINCT filename, label, start_span, end_span FROM {source}),
+    {name}0 AS (SELECT *, max(end_span) OVER (PARTITION BY filename, label ORDER BY start_span, end_span ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM {name}d),
+    {name}1 AS (SELECT * EXCLUDE (reach), sum(CASE WHEN reach IS NULL OR start_span {compare} reach THEN 1 ELSE 0 END) OVER (PARTITION BY filename, label ORDER BY start_span, end_span ROWS UNBOUNDED PRECEDING)::BIGINT AS island FROM {name}0),
+    {name} AS (SELECT s.*, island FROM {source} s JOIN {name}1 USING (filename, label, start_span, end_span))"""
 
 
 _UNIONS = f"""{_islands('gi', 'gold', '>')}, gu AS (SELECT filename, label, min(start_span) AS s, max(end_span) AS e FROM gi GROUP BY filename, label, island),
@@ -24,6 +27,39 @@ _CHARS = f"""WITH {SPANS_SQL}, {_UNIONS},
     j AS (SELECT filename, label, coalesce(gt.n, 0) AS g, coalesce(pt.n, 0) AS p, coalesce(tp, 0) AS tp FROM gt FULL JOIN pt USING (filename, label) LEFT JOIN hit USING (filename, label))"""
 
 
+def greedy_sql(key: str, scenarios: tuple[str, ...] = ("strict", "exact", "partial", "ent_type"), least: float = 40.0) -> str:
+    """Greedy matching in SQL: the clusters of `key` (filename, or filename and label), and a step for each prediction.
+
+    Ends in `events` (filename, label, scenario, kind, gold_at, pred_at, island); label is empty where the key has none."""
+    label = "label" if "label" in key else "''"
+    names = ", ".join(f"('{s}')" for s in scenarios)
+    return f"""{SPANS_SQL}, gn AS (SELECT *, row_number() OVER (PARTITION BY filename ORDER BY start_span, end_span, label) AS ord FROM gold),
+    pn AS (SELECT *, row_number() OVER (PARTITION BY filename ORDER BY start_span, end_span, label, score) AS ord FROM pred),
+    both_sides AS (SELECT filename, {label} AS label, start_span, end_span FROM gn UNION SELECT filename, {label}, start_span, end_span FROM pn), {_islands('ci', 'both_sides', '>=')},
+    gl AS (SELECT c.filename, c.label, island, list({{'ord': ord, 'label': g.label, 's': g.start_span, 'e': g.end_span}} ORDER BY ord) AS g FROM gn g JOIN ci c ON c.filename = g.filename AND c.label = {label.replace('label', 'g.label')} AND c.start_span = g.start_span AND c.end_span = g.end_span GROUP BY ALL),
+    pl AS (SELECT c.filename, c.label, island, list({{'ord': ord, 'label': p.label, 's': p.start_span, 'e': p.end_span}} ORDER BY ord) AS p FROM pn p JOIN ci c ON c.filename = p.filename AND c.label = {label.replace('label', 'p.label')} AND c.start_span = p.start_span AND c.end_span = p.end_span GROUP BY ALL),
+    cl AS (SELECT filename, label, island, coalesce(g, []) AS g, coalesce(p, []) AS p FROM gl FULL JOIN pl USING (filename, label, island)),
+    run AS (SELECT filename, label, island, scenario, 0 AS i, g AS free, p, NULL::VARCHAR AS kind, NULL::BIGINT AS gold_at, NULL::BIGINT AS pred_at FROM cl, (VALUES {names}) v(scenario)
+        UNION ALL SELECT filename, label, island, scenario, i, CASE WHEN hit IS NULL THEN free ELSE list_filter(free, lambda x: x.ord <> hit.ord) END, p,
+            CASE WHEN hit IS NULL THEN 'spurious' WHEN scenario = 'ent_type' THEN CASE WHEN hit.label = now.label THEN 'correct' ELSE 'incorrect' END
+                 WHEN hit.s = now.s AND hit.e = now.e AND (scenario <> 'strict' OR hit.label = now.label) THEN 'correct' WHEN scenario = 'partial' THEN 'partial' ELSE 'incorrect' END, hit.ord, now.ord
+        FROM (SELECT *, list_filter(free, lambda x: least(x.e, now.e) > greatest(x.s, now.s) AND (scenario IN ('strict', 'exact') OR 100 * (least(x.e, now.e) - greatest(x.s, now.s)) >= {least} * (x.e - x.s)))[1] AS hit
+              FROM (SELECT filename, label, island, scenario, i + 1 AS i, free, p, p[i + 1] AS now FROM run WHERE i < len(p)))),
+    events AS (SELECT filename, label, island, scenario, kind, gold_at, pred_at FROM run WHERE kind IS NOT NULL
+        UNION ALL SELECT filename, label, island, scenario, 'missed', (unnest(free)).ord, NULL FROM run WHERE i = len(p))"""
+
+
+_COUNTS = "count_if(kind = 'correct') AS correct, count_if(kind = 'incorrect') AS incorrect, count_if(kind = 'partial') AS partial, count_if(kind = 'spurious') AS spurious, count_if(kind = 'missed') AS missed"
+_RATIOS = """pr AS (SELECT *, CASE WHEN scenario IN ('partial', 'ent_type') THEN 0.5::DOUBLE ELSE 0 END * partial + correct AS tp, correct + incorrect + partial + spurious AS np, correct + incorrect + partial + missed AS ng FROM sums),
+    rt AS (SELECT * EXCLUDE (tp, np, ng), CASE WHEN np > 0 THEN tp / np ELSE 0 END AS precision, CASE WHEN ng > 0 THEN tp / ng ELSE 0 END AS recall FROM pr),
+    scored AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM rt)"""
+_ROUNDED = "round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1"
+
+
+def _rounded(df):
+    return df.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
+
+
 def character_scores(spark, sf):
     return scoring.character_scores(gold(spark, sf), predicted(spark, sf))
 
@@ -72,7 +108,16 @@ def overlap_policy_merge(spark, sf):
 
 
 def greedy_scores(spark, sf):
-    return scoring.greedy_scores(gold(spark, sf), predicted(spark, sf))
+    return _rounded(scoring.greedy_scores(gold(spark, sf), predicted(spark, sf)))
+
+
+def flat_metrics(spark, sf):
+    """The long form, as the reports name the metrics."""
+    return scoring.flatten(scoring.greedy_scores(gold(spark, sf), predicted(spark, sf))).withColumn("value", F.round("value", 3))
+
+
+def head_scores(spark, sf):
+    return _rounded(scoring.head_scores(gold(spark, sf), predicted(spark, sf), ["DET", "LONG", "PHRASE", "NONE"]))
 
 
 def spans_with_text(spark, sf):
@@ -82,9 +127,17 @@ def spans_with_text(spark, sf):
     return spans.with_text(gold(spark, sf).drop("doc_id"), docs).groupBy("label", F.lower("text").alias("surface")).agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (character_scores, document_character_scores, merged_intervals, overlap_clusters, entity_character_scores, strict_scores, span_dedupe, covered_characters, span_relations, overlap_policy_longest, overlap_policy_merge, greedy_scores, spans_with_text)}
+QUERIES = {f.__name__: f for f in (character_scores, document_character_scores, merged_intervals, overlap_clusters, entity_character_scores, strict_scores, span_dedupe, covered_characters, span_relations, overlap_policy_longest, overlap_policy_merge, greedy_scores, flat_metrics, head_scores, spans_with_text)}
 
 ORACLES = {
+    "greedy_scores": f"WITH RECURSIVE {greedy_sql('filename')}, sums AS (SELECT scenario, {_COUNTS} FROM events GROUP BY scenario), {_RATIOS} SELECT scenario, correct, incorrect, partial, spurious, missed, {_ROUNDED} FROM scored",
+    "flat_metrics": f"""WITH RECURSIVE {greedy_sql('filename')}, sums AS (SELECT scenario, {_COUNTS} FROM events GROUP BY scenario), {_RATIOS}
+        SELECT 'span_' || scenario || '_' || name AS metric, round(round(value, 4), 3) AS value FROM (UNPIVOT (SELECT scenario, precision::DOUBLE AS precision, recall::DOUBLE AS recall, f1::DOUBLE AS f1, correct::DOUBLE AS correct, incorrect::DOUBLE AS incorrect, partial::DOUBLE AS partial, missed::DOUBLE AS missed, spurious::DOUBLE AS spurious FROM scored) ON precision, recall, f1, correct, incorrect, partial, missed, spurious INTO NAME name VALUE value)""",
+    "head_scores": f"""WITH RECURSIVE {greedy_sql('filename, label')}, hs AS (SELECT l AS head, s AS scenario, coalesce(c.correct, 0) AS correct, coalesce(c.incorrect, 0) AS incorrect, coalesce(c.partial, 0) AS partial, coalesce(c.spurious, 0) AS spurious, coalesce(c.missed, 0) AS missed
+            FROM (VALUES ('DET'), ('LONG'), ('PHRASE'), ('NONE')) a(l), (VALUES ('strict'), ('exact'), ('partial'), ('ent_type')) b(s) LEFT JOIN (SELECT label, scenario, {_COUNTS} FROM events GROUP BY label, scenario) c ON c.label = l AND c.scenario = s),
+        sums AS (SELECT head, scenario, correct, incorrect, partial, spurious, missed FROM hs UNION ALL SELECT 'micro', scenario, sum(correct)::BIGINT, sum(incorrect)::BIGINT, sum(partial)::BIGINT, sum(spurious)::BIGINT, sum(missed)::BIGINT FROM hs GROUP BY scenario), {_RATIOS}
+        SELECT head, scenario, correct, incorrect, partial, spurious, missed, {_ROUNDED} FROM scored
+        UNION ALL SELECT 'macro', scenario, NULL, NULL, NULL, NULL, NULL, round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6) FROM scored WHERE head <> 'micro' GROUP BY scenario""",
     "character_scores": f"{_CHARS}, s AS (SELECT label, sum(tp)::BIGINT AS tp, sum(p - tp)::BIGINT AS fp, sum(g - tp)::BIGINT AS fn FROM j GROUP BY label) SELECT *, {_PRF} FROM s",
     "document_character_scores": f"{_CHARS}, s AS (SELECT filename, sum(tp)::BIGINT AS tp, sum(p - tp)::BIGINT AS fp, sum(g - tp)::BIGINT AS fn FROM j GROUP BY filename) SELECT *, {_PRF} FROM s",
     "merged_intervals": f"WITH {GOLD_SQL}, {_islands('gi', 'gold', '>')} SELECT filename, label, min(start_span) AS start_span, max(end_span) AS end_span FROM gi GROUP BY filename, label, island",
