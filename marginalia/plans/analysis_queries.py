@@ -8,15 +8,18 @@ from ..operators import analysis, corpus, encoding, scoring, spans, split, stats
 from ..session import table
 from .derive import GOLD_SQL, SPANS_SQL, WORDS_SQL, gold, predicted, words
 from .link_queries import _BASE, mentions
+from .span_queries import _UNIONS, EVENTS_SQL, _islands, units_sql
 
-_STRICT = f"""WITH {SPANS_SQL}, gn AS (SELECT filename, label, start_span, end_span, doc_id, row_number() OVER (PARTITION BY filename, label, start_span, end_span) AS nth FROM gold),
-    pn AS (SELECT filename, label, start_span, end_span, row_number() OVER (PARTITION BY filename, label, start_span, end_span) AS nth FROM pred),
-    ev AS (SELECT filename, label, start_span, end_span, CASE WHEN g.doc_id IS NOT NULL AND p.label IS NOT NULL THEN 'TP' WHEN g.doc_id IS NOT NULL THEN 'FN' ELSE 'FP' END AS outcome
-           FROM gn g FULL JOIN pn p USING (filename, label, start_span, end_span, nth))"""
+_STRICT = EVENTS_SQL
 
 
 def strict_events(spark, sf):
-    return analysis.strict_events(gold(spark, sf), predicted(spark, sf)).groupBy("label", "outcome").agg(F.count(F.lit(1)).alias("n"))
+    e = analysis.strict_events(gold(spark, sf), predicted(spark, sf))
+    return e.select("filename", "label", F.coalesce("gold_start", "pred_start").alias("start_span"), F.coalesce("gold_end", "pred_end").alias("end_span"), "outcome")
+
+
+def exact_events(spark, sf):
+    return analysis.exact_events(gold(spark, sf), predicted(spark, sf)).groupBy("label", "outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _scored(spark, sf):
@@ -37,16 +40,90 @@ def confidence_by_outcome(spark, sf):
     return analysis.confidence_by_outcome(s).select("outcome", "n", *(F.round(c, 6).alias(c) for c in ("mean", "q10", "q50", "q90")))
 
 
+def _sides(spark, sf):
+    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("filename"), F.col("text").alias("document"))
+    return spans.with_text(gold(spark, sf).drop("doc_id"), docs), spans.with_text(predicted(spark, sf).drop("doc_id"), docs)
+
+
+def _units(spark, sf):
+    return analysis.pair_errors(analysis.strict_events(gold(spark, sf), predicted(spark, sf)))
+
+
+def error_units(spark, sf):
+    """Every unit, with the ids of its spans."""
+    u = _units(spark, sf)
+    return u.select("filename", "label", "error_type", "boundary_kind", "matched_edge", F.array_join("gold_ids", " ").alias("gold_ids"), F.array_join("pred_ids", " ").alias("pred_ids"), F.round("dice", 6).alias("dice"), "start_offset", "end_offset")
+
+
 def error_taxonomy(spark, sf):
-    return analysis.error_taxonomy(analysis.pair_errors(gold(spark, sf), predicted(spark, sf)))
+    t = analysis.error_taxonomy(_units(spark, sf))
+    return t.select("error_type", "count", *(F.round(c, 6).alias(c) for c in ("share", "error_share", "cumulative_error_share")))
+
+
+def attached_units(spark, sf):
+    events = analysis.strict_events(gold(spark, sf), predicted(spark, sf))
+    return analysis.attach_units(events, analysis.pair_errors(events)).groupBy("label", "outcome", "error_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def boundary_errors(spark, sf):
+    g, p = _sides(spark, sf)
+    b = analysis.boundary_errors(analysis.pair_errors(analysis.strict_events(g, p)), g, p)
+    return b.select("filename", "label", "boundary_kind", "matched_edge", "n_gold", "n_predicted", "gold_text", "pred_text", F.round("dice", 6).alias("dice"), "start_offset", "end_offset", "off_by_one", "whitespace_edge", "punctuation_only")
 
 
 def boundary_summary(spark, sf):
-    return analysis.boundary_summary(analysis.pair_errors(gold(spark, sf), predicted(spark, sf)))
+    g, p = _sides(spark, sf)
+    found = analysis.boundary_summary(analysis.boundary_errors(analysis.pair_errors(analysis.strict_events(g, p)), g, p))
+    return found.select("boundary_kind", "matched_edge", "count", F.round("share", 6).alias("share"), "median_abs_start_offset", "median_abs_end_offset", F.round("off_by_one_share", 6).alias("off_by_one_share"), F.round("punctuation_only_share", 6).alias("punctuation_only_share"))
 
 
 def oracle_budget(spark, sf):
-    return analysis.oracle_budget(analysis.pair_errors(gold(spark, sf), predicted(spark, sf)))
+    return analysis.oracle_budget(_units(spark, sf)).drop("gain").withColumns({c: F.round(c, 3) for c in ("observed_f1", "oracle_f1")})
+
+
+def overlap_sensitivity(spark, sf):
+    return analysis.overlap_sensitivity(analysis.strict_events(gold(spark, sf), predicted(spark, sf)), [0.4, 0.8])
+
+
+def error_surfaces(spark, sf):
+    g, p = _sides(spark, sf)
+    return analysis.error_surfaces(analysis.pair_errors(analysis.strict_events(g, p)), g, p)
+
+
+def document_scores(spark, sf):
+    g, p = gold(spark, sf), predicted(spark, sf)
+    d = analysis.document_scores(analysis.strict_events(g, p), g, p)
+    return d.select("filename", "n_gold", "n_predicted", "strict_tp", "strict_fp", "strict_fn", F.round("strict_f1", 6).alias("strict_f1"), "char_correct", "char_spurious", "char_missed", F.round("entity_char_gold_credit", 6).alias("entity_char_gold_credit"), F.round("entity_char_predicted_credit", 6).alias("entity_char_predicted_credit"))
+
+
+def _described(spark, sf, side):
+    g, p = _sides(spark, sf)
+    events = analysis.strict_events(g, p)
+    own, other = (g, p) if side == "gold" else (p, g)
+    return analysis.describe_mentions(own, analysis.attach_units(events, analysis.pair_errors(events)), side, other)
+
+
+def described_mentions(spark, sf):
+    """Gold mentions with outcome, coverage, credit, structure and traits that SQL can name too."""
+    m = _described(spark, sf, "gold")
+    return m.groupBy("label", "outcome", "overlapping", "nested", "has_digit", "has_slash").agg(F.count(F.lit(1)).alias("n"), F.sum("characters").alias("characters"), F.sum("covered_characters").alias("covered"), F.round(F.sum("entity_char_credit"), 4).alias("credit"))
+
+
+def gold_subgroups(spark, sf):
+    found = analysis.subgroups(_described(spark, sf, "gold"), ["label", "has_digit", "overlapping", "nested"])
+    return found.select("family", "value", "support", "correct", "boundary_error", "missed", "uncredited_exact", *(F.round(f"{k}_recall", 6).alias(f"{k}_recall") for k in ("strict", "char", "entity_char")))
+
+
+def predicted_subgroups(spark, sf):
+    draws = _draws(spark, sf)
+    found = analysis.subgroups(_described(spark, sf, "pred"), ["label", "has_digit"], "precision", draws)
+    return found.select("family", "value", "support", "correct", "boundary_error", "spurious", "uncredited_exact", *(F.round(c, 6).alias(c) for k in ("strict", "char", "entity_char") for c in (f"{k}_precision", f"{k}_precision_low", f"{k}_precision_high")))
+
+
+def exposure_bins(spark, sf):
+    training = table(spark, sf, "part").filter("p_partkey % 2 = 0").select(F.col("p_name").alias("text"))
+    e = analysis.exposure(mentions(spark, sf), training)
+    return e.groupBy("exposure", analysis.similarity_bin(F.col("similarity")).alias("similarity_bin"), analysis.frequency_bin(F.col("frequency")).alias("frequency_bin"), analysis.word_count_bin(F.size(F.split("text", " "))).alias("word_count_bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def exposure(spark, sf):
@@ -71,7 +148,7 @@ def bootstrap_interval(spark, sf):
 
 def surface_features(spark, sf):
     f = analysis.mention_features(F.col("token"))
-    return words(spark, sf).filter("token <> ''").groupBy(*(f[k].alias(k) for k in ("digit", "slash"))).agg(F.count(F.lit(1)).alias("n"))
+    return words(spark, sf).filter("token <> ''").groupBy(*(f[k].alias(k) for k in ("has_digit", "has_slash", "casing"))).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _annotations(spark, sf):
@@ -220,12 +297,85 @@ def fold_metrics(spark, sf):
     return split.aggregate_metrics(o, ["p"], ["o_orderstatus"]).select("o_orderstatus", F.round("p_mean", 4).alias("p_mean"), F.round("p_std", 4).alias("p_std"))
 
 
-QUERIES = {f.__name__: f for f in (strict_events, calibration, confidence_by_outcome, error_taxonomy, boundary_summary, oracle_budget, exposure, gold_structure, bootstrap_interval, surface_features, corpus_labels, corpus_sizes, corpus_violations, corpus_spans, fingerprints, resolved_codes, resolved_mismatch, resolved_conflicts, balance_report, stratified_split, text_statistics, annotation_statistics, label_shares, uax_words, sentences, iob2_tags, encoded_windows, token_metrics, token_confusion, decoded_spans, trial_rank_effects, trial_category_effects, trial_top_k, trial_best_epochs, fold_metrics)}
-
+QUERIES = {f.__name__: f for f in (strict_events, exact_events, calibration, confidence_by_outcome, error_units, error_taxonomy, attached_units, boundary_errors, boundary_summary, oracle_budget, overlap_sensitivity, error_surfaces, document_scores, described_mentions, gold_subgroups, predicted_subgroups, exposure, exposure_bins, gold_structure, bootstrap_interval, surface_features, corpus_labels, corpus_sizes, corpus_violations, corpus_spans, fingerprints, resolved_codes, resolved_mismatch, resolved_conflicts, balance_report, stratified_split, text_statistics, annotation_statistics, label_shares, uax_words, sentences, iob2_tags, encoded_windows, token_metrics, token_confusion, decoded_spans, trial_rank_effects, trial_category_effects, trial_top_k, trial_best_epochs, fold_metrics)}
+
+#: Texts of the numbered spans; boundary errors as the operator lists them; credits; described mentions.
+_SURFACES = "gt AS (SELECT g.filename, g.ord, substring(d.text, g.start_span + 1, g.end_span - g.start_span) AS text FROM gn g JOIN documents d USING (doc_id)), pt AS (SELECT p.filename, p.ord, substring(d.text, p.start_span + 1, p.end_span - p.start_span) AS text FROM pn p JOIN documents d USING (doc_id))"
+_EDGE = "'[\\s\\p{P}]+'"
+_STRIPPED = lambda x: f"regexp_replace(regexp_replace({x}, '^' || {_EDGE}, ''), {_EDGE} || '$', '')"
+_BOUNDARY = f"""{_SURFACES}, bu AS (SELECT *, row_number() OVER () AS u FROM units WHERE error_type = 'BOUNDARY_ERROR'),
+    bg AS (SELECT u, list(gt.text ORDER BY gt.ord) AS ts FROM (SELECT u, filename, unnest(g) AS ord FROM bu) JOIN gt USING (filename, ord) GROUP BY u), bp AS (SELECT u, list(pt.text ORDER BY pt.ord) AS ts FROM (SELECT u, filename, unnest(p) AS ord FROM bu) JOIN pt USING (filename, ord) GROUP BY u),
+    boundary AS (SELECT filename, label, boundary_kind, matched_edge, len(g)::INTEGER AS n_gold, len(p)::INTEGER AS n_predicted, array_to_string(bg.ts, ' | ') AS gold_text, array_to_string(bp.ts, ' | ') AS pred_text, round(dice, 6) AS dice, ds::BIGINT AS start_offset, de::BIGINT AS end_offset,
+        boundary_kind NOT IN ('FRAGMENTED', 'MERGED') AND abs(ds) + abs(de) = 1 AS off_by_one, len(list_filter(bp.ts, lambda x: regexp_matches(x, '^\\s|\\s$'))) > 0 AS whitespace_edge,
+        boundary_kind NOT IN ('FRAGMENTED', 'MERGED') AND {_STRIPPED('bg.ts[1]')} = {_STRIPPED('bp.ts[1]')} AS punctuation_only FROM bu JOIN bg USING (u) JOIN bp USING (u))"""
+_DICE = "2.0::DOUBLE * (least(g.end_span, p.end_span) - greatest(g.start_span, p.start_span)) / (g.end_span - g.start_span + p.end_span - p.start_span)"
+_CREDITS = f"""gc0 AS (SELECT g.filename, g.ord, max({_DICE}) AS c FROM gn g JOIN pn p USING (filename, label) WHERE p.start_span < g.end_span AND g.start_span < p.end_span GROUP BY ALL), gcr AS (SELECT g.filename, g.ord, coalesce(c, 0) AS credit FROM gn g LEFT JOIN gc0 USING (filename, ord)),
+    dp AS (SELECT DISTINCT filename, label, start_span, end_span FROM pred), pc0 AS (SELECT p.filename, p.label, p.start_span, p.end_span, max({_DICE}) AS c FROM dp p JOIN gold g USING (filename, label) WHERE p.start_span < g.end_span AND g.start_span < p.end_span GROUP BY ALL),
+    pcr AS (SELECT dp.*, coalesce(c, 0) AS credit FROM dp LEFT JOIN pc0 USING (filename, label, start_span, end_span))"""
+
+
+def _covered_sql(name: str, spans: str, other: str) -> str:
+    """Characters of each numbered span that the union of the other side covers, whatever the labels."""
+    return f"""{name}x AS (SELECT filename, '' AS label, start_span, end_span FROM {other}), {_islands(f'{name}i', f'{name}x', '>')}, {name}u AS (SELECT filename, min(start_span) AS s, max(end_span) AS e FROM {name}i GROUP BY filename, island),
+    {name} AS (SELECT a.filename, a.ord, sum(least(a.end_span, u.e) - greatest(a.start_span, u.s)) AS covered FROM {spans} a JOIN {name}u u USING (filename) WHERE u.s < a.end_span AND a.start_span < u.e GROUP BY ALL)"""
+
+
+_MENTIONS = f"""{_SURFACES}, {_CREDITS}, {_covered_sql('gcov', 'gn', 'pred')}, {_covered_sql('pcov', 'pn', 'gold')},
+    near AS (SELECT a.filename, a.ord, bool_or((b.start_span <= a.start_span AND a.end_span <= b.end_span) OR (a.start_span <= b.start_span AND b.end_span <= a.end_span)) AS nested FROM gn a JOIN gn b ON a.filename = b.filename AND a.ord <> b.ord AND b.start_span < a.end_span AND a.start_span < b.end_span GROUP BY ALL),
+    go AS (SELECT filename, unnest(g) AS ord, error_type FROM units), po AS (SELECT filename, unnest(p) AS ord, error_type FROM units),
+    gold_mentions AS (SELECT g.filename, g.label, go.error_type AS outcome, near.ord IS NOT NULL AS overlapping, coalesce(near.nested, false) AS nested, regexp_matches(gt.text, '\\p{{Nd}}') AS has_digit, contains(gt.text, '/') AS has_slash, g.end_span - g.start_span AS characters, coalesce(covered, 0) AS covered, credit
+        FROM gn g JOIN go USING (filename, ord) JOIN gt USING (filename, ord) JOIN gcr USING (filename, ord) LEFT JOIN gcov USING (filename, ord) LEFT JOIN near USING (filename, ord)),
+    pred_mentions AS (SELECT p.filename, p.label, po.error_type AS outcome, regexp_matches(pt.text, '\\p{{Nd}}') AS has_digit, p.end_span - p.start_span AS characters, coalesce(covered, 0) AS covered, credit
+        FROM pn p JOIN po USING (filename, ord) JOIN pt USING (filename, ord) JOIN pcr USING (filename, label, start_span, end_span) LEFT JOIN pcov USING (filename, ord))"""
 _ANN = f"WITH {GOLD_SQL}, ann AS (SELECT g.filename, g.label, g.start_span, g.end_span, substring(d.text, g.start_span + 1, g.end_span - g.start_span) AS text FROM gold g JOIN documents d USING (doc_id) WHERE label <> 'PHRASE')"
 _TOK = f"WITH {WORDS_SQL}, t AS (SELECT doc_id::VARCHAR AS filename, word_no AS position, start_span, end_span, CASE (word_no + doc_id) % 5 WHEN 0 THEN 'B-X' WHEN 1 THEN 'I-X' ELSE 'O' END AS gold, CASE (word_no * 3 + doc_id) % 5 WHEN 0 THEN 'B-X' WHEN 1 THEN 'I-X' ELSE 'O' END AS predicted FROM words)"
 ORACLES = {
-    "strict_events": f"{_STRICT} SELECT label, outcome, count(*) AS n FROM ev GROUP BY ALL",
+    "strict_events": f"{_STRICT} SELECT * FROM ev",
+    "exact_events": f"""WITH {SPANS_SQL}, g AS (SELECT filename, label, start_span, end_span, count(*) AS n FROM gold GROUP BY ALL), p AS (SELECT filename, label, start_span, end_span, count(*) AS m FROM pred GROUP BY ALL),
+        j AS (SELECT label, coalesce(n, 0) AS n, coalesce(m, 0) AS m FROM g FULL JOIN p USING (filename, label, start_span, end_span)), c AS (SELECT label, 'TP' AS outcome, least(n, m) AS k FROM j UNION ALL SELECT label, 'FN', n - least(n, m) FROM j UNION ALL SELECT label, 'FP', m - least(n, m) FROM j)
+        SELECT label, outcome, sum(k)::BIGINT AS n FROM c GROUP BY ALL HAVING sum(k) > 0""",
+    "error_units": f"{units_sql()} SELECT filename, label, error_type, boundary_kind, matched_edge, array_to_string(g, ' ') AS gold_ids, array_to_string(p, ' ') AS pred_ids, round(dice, 6) AS dice, ds::BIGINT AS start_offset, de::BIGINT AS end_offset FROM units",
+    "error_taxonomy": f"""{units_sql()}, n AS (SELECT k.place, k.name AS error_type, count(u.error_type) AS c FROM (VALUES (0, 'CORRECT'), (1, 'BOUNDARY_ERROR'), (2, 'MISSED'), (3, 'SPURIOUS'), (4, 'UNCREDITED_EXACT')) k(place, name) LEFT JOIN units u ON u.error_type = k.name GROUP BY ALL),
+        e AS (SELECT error_type, c, sum(c) OVER (ORDER BY c DESC, place) AS upto, (SELECT sum(c) FROM n WHERE error_type <> 'CORRECT') AS wrong FROM n WHERE error_type <> 'CORRECT')
+        SELECT n.error_type, n.c AS count, round(n.c::DOUBLE / (SELECT sum(c) FROM n), 6) AS share, round(e.c::DOUBLE / wrong, 6) AS error_share, round(upto::DOUBLE / wrong, 6) AS cumulative_error_share FROM n LEFT JOIN e USING (error_type)""",
+    "attached_units": f"""{units_sql()}, s AS (SELECT label, unnest(g) AS id, error_type, CASE WHEN error_type = 'CORRECT' THEN 'TP' ELSE 'FN' END AS outcome FROM units UNION ALL SELECT label, unnest(p), error_type, 'FP' FROM units WHERE error_type <> 'CORRECT')
+        SELECT label, outcome, error_type, count(*) AS n FROM s GROUP BY ALL""",
+    "boundary_errors": f"{units_sql()}, {_BOUNDARY} SELECT * FROM boundary",
+    "boundary_summary": f"""{units_sql()}, {_BOUNDARY}, one AS (SELECT *, boundary_kind NOT IN ('FRAGMENTED', 'MERGED') AS single FROM boundary)
+        SELECT boundary_kind, matched_edge, count(*) AS count, round(count(*)::DOUBLE / (SELECT count(*) FROM boundary), 6) AS share, median(CASE WHEN single THEN abs(start_offset) END)::DOUBLE AS median_abs_start_offset, median(CASE WHEN single THEN abs(end_offset) END)::DOUBLE AS median_abs_end_offset,
+            round(avg(CASE WHEN single THEN off_by_one::INT END), 6) AS off_by_one_share, round(avg(CASE WHEN single THEN punctuation_only::INT END), 6) AS punctuation_only_share FROM one GROUP BY boundary_kind, matched_edge""",
+    "oracle_budget": f"""{units_sql()}, s AS (SELECT count_if(error_type = 'CORRECT') AS tp, sum(CASE WHEN error_type <> 'CORRECT' THEN len(p) ELSE 0 END) AS fp, sum(CASE WHEN error_type <> 'CORRECT' THEN len(g) ELSE 0 END) AS fn FROM units),
+        sc AS (SELECT * FROM (VALUES ('fix_boundary_errors', ['BOUNDARY_ERROR']), ('recover_missed', ['MISSED']), ('remove_spurious', ['SPURIOUS']), ('fix_uncredited_exact', ['UNCREDITED_EXACT']), ('fix_all', ['BOUNDARY_ERROR', 'MISSED', 'SPURIOUS', 'UNCREDITED_EXACT'])) v(scenario, kinds)),
+        r AS (SELECT scenario, count(u.error_type) AS units, coalesce(sum(len(g)), 0) AS dg, coalesce(sum(len(p)), 0) AS dp FROM sc LEFT JOIN units u ON list_contains(kinds, u.error_type) GROUP BY scenario),
+        a AS (SELECT scenario, units, (tp + dg)::BIGINT AS tp, (fp - dp)::BIGINT AS fp, (fn - dg)::BIGINT AS fn, 2.0::DOUBLE * s.tp / (2 * s.tp + s.fp + s.fn) AS f FROM r, s)
+        SELECT scenario, units, tp, fp, fn, round(round(f, 4), 3) AS observed_f1, round(round(2.0::DOUBLE * tp / (2 * tp + fp + fn), 4), 3) AS oracle_f1 FROM a""",
+    "overlap_sensitivity": f"""{units_sql('(0.4), (0.6), (0.8)')} SELECT t AS threshold, t = 0.6 AS chosen, count_if(error_type = 'CORRECT') AS correct, count_if(error_type = 'BOUNDARY_ERROR') AS boundary_error, count_if(error_type = 'MISSED') AS missed, count_if(error_type = 'SPURIOUS') AS spurious, count_if(error_type = 'UNCREDITED_EXACT') AS uncredited_exact,
+        count_if(boundary_kind = 'FRAGMENTED') AS fragmented, count_if(boundary_kind = 'MERGED') AS merged FROM units GROUP BY t""",
+    "error_surfaces": f"""{units_sql()}, {_SURFACES}, f AS (SELECT error_type, lower(trim(regexp_replace(CASE WHEN len(g) > 0 THEN gt.text ELSE pt.text END, '\\s+', ' ', 'g'))) AS surface FROM units u LEFT JOIN gt ON gt.filename = u.filename AND gt.ord = u.g[1] LEFT JOIN pt ON pt.filename = u.filename AND pt.ord = u.p[1] WHERE error_type <> 'CORRECT')
+        SELECT replace(surface, 'ß', 'ss') AS surface, count(*) AS total, count_if(error_type = 'BOUNDARY_ERROR') AS boundary_error, count_if(error_type = 'MISSED') AS missed, count_if(error_type = 'SPURIOUS') AS spurious, count_if(error_type = 'UNCREDITED_EXACT') AS uncredited_exact FROM f GROUP BY 1""",
+    "document_scores": f"""{EVENTS_SQL}, {_UNIONS}, st AS (SELECT filename, count_if(outcome = 'TP') AS strict_tp, count_if(outcome = 'FP') AS strict_fp, count_if(outcome = 'FN') AS strict_fn FROM ev GROUP BY filename),
+        gt AS (SELECT filename, sum(e - s) AS n FROM gu GROUP BY ALL), pt AS (SELECT filename, sum(e - s) AS n FROM pu GROUP BY ALL), hit AS (SELECT g.filename, sum(least(g.e, p.e) - greatest(g.s, p.s)) AS tp FROM gu g JOIN pu p USING (filename, label) WHERE p.s < g.e AND g.s < p.e GROUP BY ALL),
+        {_CREDITS}, gs AS (SELECT filename, count(*) AS n, sum(credit) AS c FROM gcr GROUP BY ALL), ps AS (SELECT filename, sum(credit) AS c FROM pcr GROUP BY ALL), pc AS (SELECT filename, count(*) AS n FROM pred GROUP BY ALL)
+        SELECT filename, coalesce(gs.n, 0) AS n_gold, coalesce(pc.n, 0) AS n_predicted, strict_tp, strict_fp, strict_fn, round(CASE WHEN 2 * strict_tp + strict_fp + strict_fn > 0 THEN 2.0::DOUBLE * strict_tp / (2 * strict_tp + strict_fp + strict_fn) ELSE 0 END, 6) AS strict_f1,
+            coalesce(hit.tp, 0)::BIGINT AS char_correct, (coalesce(pt.n, 0) - coalesce(hit.tp, 0))::BIGINT AS char_spurious, (coalesce(gt.n, 0) - coalesce(hit.tp, 0))::BIGINT AS char_missed, round(coalesce(gs.c, 0), 6) AS entity_char_gold_credit, round(coalesce(ps.c, 0), 6) AS entity_char_predicted_credit
+        FROM st LEFT JOIN gs USING (filename) LEFT JOIN pc USING (filename) LEFT JOIN gt USING (filename) LEFT JOIN pt USING (filename) LEFT JOIN hit USING (filename) LEFT JOIN ps USING (filename)""",
+    "described_mentions": f"""{units_sql()}, {_MENTIONS} SELECT label, outcome, overlapping, nested, has_digit, has_slash, count(*) AS n, sum(characters)::BIGINT AS characters, sum(covered)::BIGINT AS covered, round(sum(credit), 4) AS credit FROM gold_mentions GROUP BY ALL""",
+    "gold_subgroups": f"""{units_sql()}, {_MENTIONS}, f AS (SELECT *, unnest(['label', 'has_digit', 'overlapping', 'nested']) AS family, unnest([label, CASE WHEN has_digit THEN 'present' ELSE 'absent' END, CASE WHEN overlapping THEN 'present' ELSE 'absent' END, CASE WHEN nested THEN 'present' ELSE 'absent' END]) AS value FROM gold_mentions)
+        SELECT family, value, count(*) AS support, count_if(outcome = 'CORRECT') AS correct, count_if(outcome = 'BOUNDARY_ERROR') AS boundary_error, count_if(outcome = 'MISSED') AS missed, count_if(outcome = 'UNCREDITED_EXACT') AS uncredited_exact,
+            round(count_if(outcome = 'CORRECT')::DOUBLE / count(*), 6) AS strict_recall, round(sum(covered)::DOUBLE / sum(characters), 6) AS char_recall, round(sum(credit) / count(*), 6) AS entity_char_recall FROM f GROUP BY family, value""",
+    "predicted_subgroups": f"""{units_sql()}, {_MENTIONS}, f AS (SELECT *, unnest(['label', 'has_digit']) AS family, unnest([label, CASE WHEN has_digit THEN 'present' ELSE 'absent' END]) AS value FROM pred_mentions),
+        dr AS (SELECT doc_id::VARCHAR AS filename, s AS sample, (doc_id * 7 + s * 13) % 4 AS weight FROM documents, range(40) r(s)),
+        w AS (SELECT family, value, sample, sum(weight * (outcome = 'CORRECT')::INT) AS a, sum(weight) AS n, sum(weight * covered) AS c, sum(weight * characters) AS m, sum(weight * credit) AS k FROM f JOIN dr USING (filename) GROUP BY ALL),
+        q AS (SELECT family, value, quantile_cont(CASE WHEN n > 0 THEN a::DOUBLE / n END, [0.025, 0.975]) AS s, quantile_cont(CASE WHEN m > 0 THEN c::DOUBLE / m END, [0.025, 0.975]) AS c, quantile_cont(CASE WHEN n > 0 THEN k / n END, [0.025, 0.975]) AS e FROM w GROUP BY ALL)
+        SELECT family, value, count(*) AS support, count_if(outcome = 'CORRECT') AS correct, count_if(outcome = 'BOUNDARY_ERROR') AS boundary_error, count_if(outcome = 'SPURIOUS') AS spurious, count_if(outcome = 'UNCREDITED_EXACT') AS uncredited_exact,
+            round(count_if(outcome = 'CORRECT')::DOUBLE / count(*), 6) AS strict_precision, round(any_value(q.s[1]), 6) AS strict_precision_low, round(any_value(q.s[2]), 6) AS strict_precision_high,
+            round(sum(covered)::DOUBLE / sum(characters), 6) AS char_precision, round(any_value(q.c[1]), 6) AS char_precision_low, round(any_value(q.c[2]), 6) AS char_precision_high,
+            round(sum(credit) / count(*), 6) AS entity_char_precision, round(any_value(q.e[1]), 6) AS entity_char_precision_low, round(any_value(q.e[2]), 6) AS entity_char_precision_high FROM f JOIN q USING (family, value) GROUP BY family, value""",
+    "exposure_bins": f"""WITH {_BASE}, f AS (SELECT lower(p_name) AS form, count(*) AS frequency FROM part WHERE p_partkey % 2 = 0 GROUP BY 1), t AS (SELECT DISTINCT norm AS text FROM mt),
+        b AS (SELECT text, max(1 - levenshtein(text, form)::DOUBLE / greatest(length(text), length(form))) AS s FROM t JOIN f ON 1 - levenshtein(text, form)::DOUBLE / greatest(length(text), length(form)) >= 0.8::DOUBLE - 1e-12 GROUP BY text)
+        SELECT CASE WHEN s = 1 THEN 'SEEN' WHEN s IS NOT NULL THEN 'LEXICALLY_SIMILAR' ELSE 'NOVEL' END AS exposure, CASE WHEN s >= 1 THEN '1.00' WHEN s >= 0.95::DOUBLE THEN '[0.95, 1)' WHEN s >= 0.9::DOUBLE THEN '[0.90, 0.95)' WHEN s >= 0.85::DOUBLE THEN '[0.85, 0.90)' WHEN s >= 0.8::DOUBLE THEN '[0.80, 0.85)' ELSE '< 0.80' END AS similarity_bin,
+            CASE WHEN coalesce(frequency, 0) = 0 THEN '0' WHEN frequency = 1 THEN '1' WHEN frequency <= 5 THEN '2-5' WHEN frequency <= 10 THEN '6-10' WHEN frequency <= 20 THEN '11-20' ELSE '>20' END AS frequency_bin, CASE WHEN len(string_split(t.text, ' ')) >= 5 THEN '5+' ELSE len(string_split(t.text, ' '))::VARCHAR END AS word_count_bin, count(*) AS n
+        FROM t LEFT JOIN b USING (text) LEFT JOIN f ON f.form = t.text GROUP BY ALL""",
     "calibration": f"""{_SCORED}, q AS (SELECT list_sort(list_distinct(quantile_cont(score, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1]))) AS e FROM sc),
         b AS (SELECT len(list_filter((SELECT e[2:len(e) - 1] FROM q), lambda c: score > c))::INTEGER AS bin, score, correct FROM sc) SELECT bin, count(*) AS n, round(avg(score), 6) AS mean_score, round(avg(correct::INT), 6) AS exact_share FROM b GROUP BY bin""",
     "confidence_by_outcome": f"{_SCORED} SELECT CASE WHEN correct THEN 'CORRECT' ELSE 'WRONG' END AS outcome, count(*) AS n, round(avg(score), 6) AS mean, round(quantile_cont(score, 0.1), 6) AS q10, round(quantile_cont(score, 0.5), 6) AS q50, round(quantile_cont(score, 0.9), 6) AS q90 FROM sc GROUP BY 1",
@@ -238,7 +388,8 @@ ORACLES = {
         SELECT h.i IS NOT NULL AS overlapping, coalesce(nested, false) AS nested, count(*) AS n FROM n LEFT JOIN h USING (filename, i) GROUP BY 1, 2""",
     "bootstrap_interval": f"""{_STRICT}, pd AS (SELECT filename, count_if(outcome = 'TP') AS tp, count_if(outcome = 'FN') AS fn FROM ev GROUP BY ALL), dr AS (SELECT doc_id::VARCHAR AS filename, s AS sample, (doc_id * 7 + s * 13) % 4 AS weight FROM documents, range(40) r(s)),
         v AS (SELECT sample, sum(weight * tp)::DOUBLE / sum(weight * (tp + fn)) AS value FROM pd JOIN dr USING (filename) GROUP BY sample HAVING sum(weight * (tp + fn)) > 0) SELECT round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high, count(*) AS samples FROM v""",
-    "surface_features": f"WITH {WORDS_SQL} SELECT regexp_matches(token, '\\p{{Nd}}') AS digit, contains(token, '/') AS slash, count(*) AS n FROM words WHERE token <> '' GROUP BY 1, 2",
+    "surface_features": f"""WITH {WORDS_SQL} SELECT regexp_matches(token, '\\p{{Nd}}') AS has_digit, contains(token, '/') AS has_slash, CASE WHEN NOT regexp_matches(token, '\\p{{L}}') THEN 'UNCASED' WHEN token = upper(token) THEN 'UPPERCASE' WHEN token = lower(token) THEN 'LOWERCASE'
+        WHEN regexp_matches(token, '^([^\\p{{Lu}}\\p{{Ll}}]*\\p{{Lu}}\\p{{Ll}}*([^\\p{{Lu}}\\p{{Ll}}]|$))+[^\\p{{Lu}}\\p{{Ll}}]*$') THEN 'TITLECASE' ELSE 'MIXEDCASE' END AS casing, count(*) AS n FROM words WHERE token <> '' GROUP BY ALL""",
     "corpus_labels": f"{_ANN} SELECT label, count(*) AS n FROM (SELECT DISTINCT * FROM ann) GROUP BY label",
     "corpus_sizes": f"{_ANN} SELECT doc_id::VARCHAR AS doc_id, count(a.filename) AS n_entities FROM documents d LEFT JOIN (SELECT DISTINCT * FROM ann) a ON a.filename = d.doc_id::VARCHAR GROUP BY d.doc_id",
     "corpus_violations": "SELECT 'n_entities differs' AS problem, count(*) AS n FROM documents WHERE doc_id % 10 = 3",

@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import analysis, linking, spans
-from ..session import table
-from .analysis_queries import _STRICT
+from ..operators import analysis, linking
 from .derive import SPANS_SQL, gold, predicted
 from .link_queries import _BASE, _TOP, gazetteer, mentions
 
@@ -16,31 +14,6 @@ def confidence_sweep(spark, sf):
     return found.select(F.round("threshold", 6).alias("threshold"), "n_pred", "tp", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"), F.round("f1", 6).alias("f1"))
 
 
-def overlap_sensitivity(spark, sf):
-    return analysis.overlap_sensitivity(gold(spark, sf), predicted(spark, sf), [0.4, 0.8])
-
-
-def _events(spark, sf):
-    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("filename"), F.col("text").alias("document"))
-    return spans.with_text(analysis.strict_events(gold(spark, sf), predicted(spark, sf)), docs)
-
-
-def error_surfaces(spark, sf):
-    return analysis.error_surfaces(_events(spark, sf).filter("label = 'DET'"))
-
-
-def subgroup_recall(spark, sf):
-    m = analysis.strict_events(gold(spark, sf), predicted(spark, sf)).filter("outcome <> 'FP'")
-    found = analysis.subgroup_recall(m, {"label": F.col("label"), "length": F.least(F.col("end_span") - F.col("start_span"), F.lit(10))})
-    return found.select("family", "value", "support", "found", F.round("recall", 6).alias("recall"))
-
-
-def boundary_errors(spark, sf):
-    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("filename"), F.col("text").alias("document"))
-    g, p = spans.with_text(gold(spark, sf), docs), spans.with_text(predicted(spark, sf), docs)
-    return analysis.boundary_errors(analysis.pair_errors(g, p), g, p).groupBy("error_type", "off_by_one").agg(F.count(F.lit(1)).alias("n"))
-
-
 def link_sparse(spark, sf):
     return linking.sparse(mentions(spark, sf), gazetteer(spark, sf), 5).select("mention_id", "code", F.round("score", 6).alias("score"), "rank")
 
@@ -64,17 +37,13 @@ def training_pairs(spark, sf):
     return linking.labelled_pairs(t)
 
 
-QUERIES = {f.__name__: f for f in (confidence_sweep, overlap_sensitivity, error_surfaces, subgroup_recall, boundary_errors, link_sparse, link_filled, link_jaro_winkler, link_token_set, training_pairs)}
+QUERIES = {f.__name__: f for f in (confidence_sweep, link_sparse, link_filled, link_jaro_winkler, link_token_set, training_pairs)}
 
 ORACLES = {
     "confidence_sweep": f"""WITH {SPANS_SQL}, q AS (SELECT unnest(list_distinct(quantile_cont(score, [0, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95, 1]))) AS t FROM pred),
         g AS (SELECT filename, label, start_span, end_span, count(*) AS n FROM gold GROUP BY ALL), p AS (SELECT filename, label, start_span, end_span, t, count(*) AS n FROM pred, q WHERE score >= t GROUP BY ALL),
         s AS (SELECT t AS threshold, sum(p.n)::BIGINT AS n_pred, sum(least(p.n, coalesce(g.n, 0)))::BIGINT AS tp FROM p LEFT JOIN g USING (filename, label, start_span, end_span) GROUP BY t)
         SELECT round(threshold, 6) AS threshold, n_pred, tp, round(tp::DOUBLE / n_pred, 6) AS precision, round(tp::DOUBLE / (SELECT count(*) FROM gold), 6) AS recall, round(2.0::DOUBLE * tp / (n_pred + (SELECT count(*) FROM gold)), 6) AS f1 FROM s""",
-    "error_surfaces": f"""{_STRICT}, x AS (SELECT lower(trim(substring(d.text, start_span + 1, end_span - start_span))) AS surface, outcome FROM ev JOIN documents d ON d.doc_id::VARCHAR = ev.filename WHERE label = 'DET')
-        SELECT surface, count_if(outcome = 'TP')::BIGINT AS "TP", count_if(outcome = 'FN')::BIGINT AS "FN", count_if(outcome = 'FP')::BIGINT AS "FP" FROM x GROUP BY surface HAVING count_if(outcome <> 'TP') > 0""",
-    "subgroup_recall": f"""{_STRICT}, m AS (SELECT * FROM ev WHERE outcome <> 'FP'), f AS (SELECT 'label' AS family, label AS value, outcome FROM m UNION ALL SELECT 'length', least(end_span - start_span, 10)::VARCHAR, outcome FROM m)
-        SELECT family, value, count(*) AS support, count_if(outcome = 'TP')::BIGINT AS found, round(count_if(outcome = 'TP')::DOUBLE / count(*), 6) AS recall FROM f GROUP BY family, value""",
     "link_filled": f"""WITH {_BASE}, scored AS (SELECT mention_id, code, term, 1.0::DOUBLE AS score, entry_id FROM mt JOIN gaz ON norm = lower(term) UNION ALL SELECT mention_id, code, term, 0.0::DOUBLE, entry_id FROM mt, gaz WHERE norm <> lower(term)), {_TOP}
         SELECT mention_id, code, score, rank FROM top WHERE rank <= 3""",
     "link_jaro_winkler": f"""WITH {_BASE}, scored AS (SELECT mention_id, code, term, entry_id, jaro_winkler_similarity(norm, lower(term)) AS score FROM mt, gaz WHERE jaro_winkler_similarity(norm, lower(term)) >= 0.9), {_TOP} SELECT mention_id, code, round(score, 6) AS score, rank FROM top WHERE rank <= 25""",

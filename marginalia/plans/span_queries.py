@@ -49,6 +49,13 @@ def greedy_sql(key: str, scenarios: tuple[str, ...] = ("strict", "exact", "parti
         UNION ALL SELECT filename, label, island, scenario, 'missed', (unnest(free)).ord, NULL FROM run WHERE i = len(p))"""
 
 
+#: Strict events of the greedy matcher, as `ev`; starts a statement.
+EVENTS_SQL = f"""WITH RECURSIVE {greedy_sql('filename, label', ('strict',))},
+    hits AS (SELECT filename, gold_at, pred_at FROM events WHERE kind = 'correct'),
+    evg AS (SELECT g.filename, g.label, g.start_span, g.end_span, g.ord, h.pred_at FROM gn g LEFT JOIN hits h ON h.filename = g.filename AND h.gold_at = g.ord),
+    evp AS (SELECT p.filename, p.label, p.start_span, p.end_span, p.ord, p.score, h.gold_at FROM pn p LEFT JOIN hits h ON h.filename = p.filename AND h.pred_at = p.ord),
+    ev AS (SELECT filename, label, start_span, end_span, CASE WHEN pred_at IS NULL THEN 'FN' ELSE 'TP' END AS outcome FROM evg UNION ALL SELECT filename, label, start_span, end_span, 'FP' FROM evp WHERE gold_at IS NULL)"""
+
 _COUNTS = "count_if(kind = 'correct') AS correct, count_if(kind = 'incorrect') AS incorrect, count_if(kind = 'partial') AS partial, count_if(kind = 'spurious') AS spurious, count_if(kind = 'missed') AS missed"
 _RATIOS = """pr AS (SELECT *, CASE WHEN scenario IN ('partial', 'ent_type') THEN 0.5::DOUBLE ELSE 0 END * partial + correct AS tp, correct + incorrect + partial + spurious AS np, correct + incorrect + partial + missed AS ng FROM sums),
     rt AS (SELECT * EXCLUDE (tp, np, ng), CASE WHEN np > 0 THEN tp / np ELSE 0 END AS precision, CASE WHEN ng > 0 THEN tp / ng ELSE 0 END AS recall FROM pr),
@@ -56,6 +63,52 @@ _RATIOS = """pr AS (SELECT *, CASE WHEN scenario IN ('partial', 'ent_type') THEN
 _ROUNDED = "round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1"
 
 
+def _groups_sql(name: str, source: str, outer: str, inner: str, kind: str, threshold: str) -> str:
+    """One pass over the outer spans of each cluster of `source` (..., g, p, units), the shortest first; ends in `name`."""
+    unit = "{'kind': '%s', 'g': [now.ord], 'p': ids, 'dice': dice, 'ds': lo - now.s, 'de': hi - now.e}" if outer == "g" else "{'kind': '%s', 'g': ids, 'p': [now.ord], 'dice': dice, 'ds': now.s - lo, 'de': now.e - hi}"
+    return f"""
+    {name}r AS (SELECT key, list_sort(list_transform({outer}, lambda x: {{'n': x.e - x.s, 'ord': x.ord, 's': x.s, 'e': x.e}})) AS todo, 0 AS i, {inner} AS free, {outer} AS kept, units FROM {source}
+        UNION ALL SELECT key, todo, i, CASE WHEN ok THEN list_filter(free, lambda x: NOT list_contains(ids, x.ord)) ELSE free END, CASE WHEN ok THEN list_filter(kept, lambda x: x.ord <> now.ord) ELSE kept END, CASE WHEN ok THEN list_append(units, {unit % kind}) ELSE units END
+        FROM (SELECT *, len(inside) >= 2 AND dice >= {threshold} AS ok, list_transform(inside, lambda x: x.ord) AS ids, list_min(list_transform(inside, lambda x: x.s)) AS lo, list_max(list_transform(inside, lambda x: x.e)) AS hi FROM (
+            SELECT *, 2.0::DOUBLE * n / (now.e - now.s + n) AS dice FROM (
+            SELECT *, list_reduce(list_prepend({{'s': -1::BIGINT, 'e': -1::BIGINT, 't': 0::BIGINT}}, list_sort(list_transform(inside, lambda x: {{'s': x.s, 'e': x.e, 't': 0::BIGINT}}))), lambda a, x: {{'s': a.s, 'e': greatest(a.e, x.e), 't': a.t + greatest(0, x.e - greatest(x.s, a.e))}}).t AS n FROM (
+            SELECT *, list_filter(free, lambda x: x.s >= now.s AND x.e <= now.e) AS inside FROM (SELECT key, todo, i + 1 AS i, free, kept, units, todo[i + 1] AS now FROM {name}r WHERE i < len(todo))))))),
+    {name} AS (SELECT key, {'kept' if outer == 'g' else 'free'} AS g, {'free' if outer == 'g' else 'kept'} AS p, units FROM {name}r WHERE i = len(todo))"""
+
+
+def units_sql(thresholds: str = "(0.6)") -> str:
+    """EVENTS_SQL and the diagnostic units of each threshold, as `units` (t, filename, label, error_type, boundary_kind,
+    matched_edge, g, p, dice, ds, de); one-to-one pairs by trying every matching of a cluster."""
+    empty = "[]::STRUCT(kind VARCHAR, g BIGINT[], p BIGINT[], dice DOUBLE, ds BIGINT, de BIGINT)[]"
+    return f"""{EVENTS_SQL},
+    th AS (SELECT t::DOUBLE AS t FROM (VALUES {thresholds}) v(t)),
+    lg AS (SELECT filename, label, start_span, end_span, ord, row_number() OVER (PARTITION BY filename, label, start_span, end_span ORDER BY ord) AS nth FROM evg WHERE pred_at IS NULL),
+    lp AS (SELECT filename, label, start_span, end_span, ord, row_number() OVER (PARTITION BY filename, label, start_span, end_span ORDER BY ord) AS nth FROM evp WHERE gold_at IS NULL),
+    same AS (SELECT lg.filename, lg.label, lg.ord AS g, lp.ord AS p FROM lg JOIN lp USING (filename, label, start_span, end_span, nth)),
+    rg AS (SELECT * FROM lg WHERE (filename, ord) NOT IN (SELECT (filename, g) FROM same)), rp AS (SELECT * FROM lp WHERE (filename, ord) NOT IN (SELECT (filename, p) FROM same)),
+    rest AS (SELECT filename, label, start_span, end_span FROM rg UNION ALL SELECT filename, label, start_span, end_span FROM rp), {_islands('ri', 'rest', '>=')}, rk AS (SELECT DISTINCT * FROM ri),
+    cg AS (SELECT filename, label, island, list({{'ord': ord, 's': start_span, 'e': end_span}} ORDER BY ord) AS g FROM rg JOIN rk USING (filename, label, start_span, end_span) GROUP BY ALL),
+    cp AS (SELECT filename, label, island, list({{'ord': ord, 's': start_span, 'e': end_span}} ORDER BY ord) AS p FROM rp JOIN rk USING (filename, label, start_span, end_span) GROUP BY ALL),
+    st0 AS (SELECT {{'t': t, 'filename': filename, 'label': label, 'island': island}} AS key, coalesce(g, []) AS g, coalesce(p, []) AS p, {empty} AS units FROM cg FULL JOIN cp USING (filename, label, island), th),
+    {_groups_sql('st1', 'st0', 'g', 'p', 'FRAGMENTED', 'key.t')}, {_groups_sql('st2', 'st1', 'p', 'g', 'MERGED', 'key.t')},
+    el AS (SELECT key, gs.ord AS go, gs.s AS gs, gs.e AS ge, ps.ord AS po, ps.s AS ps, ps.e AS pe, 2.0::DOUBLE * greatest(0, least(gs.e, ps.e) - greatest(gs.s, ps.s)) / (gs.e - gs.s + ps.e - ps.s) AS dice
+           FROM (SELECT key, gs, unnest(p) AS ps FROM (SELECT key, unnest(g) AS gs, p FROM st2))),
+    ok AS (SELECT key, list({{'go': go, 'po': po, 'dice': dice, 'ds': ps - gs, 'de': pe - ge}} ORDER BY go, po) AS edges FROM el WHERE dice >= key.t GROUP BY key),
+    tries AS (SELECT key, edges, 0 AS i, 0.0::DOUBLE AS total, []::INTEGER[] AS taken FROM (SELECT key, edges::STRUCT(go BIGINT, po BIGINT, dice DOUBLE, ds BIGINT, de BIGINT)[] AS edges FROM ok)
+        UNION ALL SELECT key, edges, i + 1, total + CASE WHEN take THEN edges[i + 1].dice ELSE 0 END, CASE WHEN take THEN list_append(taken, i + 1) ELSE taken END FROM tries, (VALUES (true), (false)) v(take)
+        WHERE i < len(edges) AND (NOT take OR len(list_filter(taken, lambda k: edges[k].go = edges[i + 1].go OR edges[k].po = edges[i + 1].po)) = 0)),
+    chosen AS (SELECT key, unnest(list_transform(pick, lambda k: edges[k])) AS u FROM (SELECT key, any_value(edges) AS edges, arg_max(taken, total) AS pick FROM tries WHERE i = len(edges) GROUP BY key)),
+    gone AS (SELECT key, u.go AS g, u.po AS p FROM chosen),
+    units0 AS (
+        SELECT t, filename, label, 'CORRECT' AS error_type, NULL AS boundary_kind, [gold_at] AS g, [pred_at] AS p, 1.0::DOUBLE AS dice, 0 AS ds, 0 AS de FROM events, th WHERE kind = 'correct'
+        UNION ALL SELECT t, filename, label, 'UNCREDITED_EXACT', NULL, [g], [p], 1.0, 0, 0 FROM same, th
+        UNION ALL SELECT key.t, key.filename, key.label, 'BOUNDARY_ERROR', u.kind, u.g, u.p, u.dice, u.ds, u.de FROM (SELECT key, unnest(units) AS u FROM st2)
+        UNION ALL SELECT key.t, key.filename, key.label, 'BOUNDARY_ERROR', CASE WHEN u.ds <= 0 AND u.de >= 0 THEN 'TOO_LONG' WHEN u.ds >= 0 AND u.de <= 0 THEN 'TOO_SHORT' WHEN u.ds < 0 THEN 'SHIFTED_LEFT' ELSE 'SHIFTED_RIGHT' END, [u.go], [u.po], u.dice, u.ds, u.de FROM chosen
+        UNION ALL SELECT key.t, key.filename, key.label, 'MISSED', NULL, [x.ord], [], NULL, NULL, NULL FROM (SELECT key, unnest(g) AS x FROM st2) WHERE (key, x.ord) NOT IN (SELECT (key, g) FROM gone)
+        UNION ALL SELECT key.t, key.filename, key.label, 'SPURIOUS', NULL, [], [x.ord], NULL, NULL, NULL FROM (SELECT key, unnest(p) AS x FROM st2) WHERE (key, x.ord) NOT IN (SELECT (key, p) FROM gone)),
+    units AS (SELECT *, CASE WHEN boundary_kind IS NULL OR boundary_kind IN ('FRAGMENTED', 'MERGED') THEN NULL WHEN ds = 0 THEN 'START' WHEN de = 0 THEN 'END' ELSE 'NEITHER' END AS matched_edge FROM units0)"""
+
+
 def _rounded(df):
     return df.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
 
