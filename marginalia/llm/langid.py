@@ -139,12 +139,13 @@ def sample(documents: DataFrame, learn: Column, per_language: int = PER_LANGUAGE
     """
     named = documents.select("text", F.col("lang").alias("y"), F.xxhash64(F.col("doc_id").cast("string"), "text").alias("h"), "doc_id", "lang")
     named = named.filter(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & F.col("text").isNotNull() & learn).select("y", "h", "text")
-    counts = named.groupBy("y").agg(F.count(F.lit(1)).alias("n"))
+    # `most` languages at most, the most frequent: a bounded table
+    counts = named.groupBy("y").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "y").limit(most)
     languages = counts.count()
     share = max(1, min(per_language, most // max(languages, 1)))
     # a part of all hashes, so that some `share` rows of a language lie in it; all of them where there are few
     part = F.least(F.lit(1.0), F.lit(float(share)) / F.col("n"))
-    below = named.join(counts, "y").filter((F.pmod(F.col("h"), F.lit(1 << 40)).cast("double") < part * float(1 << 40)))
+    below = named.join(F.broadcast(counts), "y").filter((F.pmod(F.col("h"), F.lit(1 << 40)).cast("double") < part * float(1 << 40)))
     # a bounded number of rows without their texts: twice the share of each language at most, the least by the hash
     sizes = below.groupBy("h", "y").agg(F.max(F.octet_length("text")).alias("size")).orderBy("h", "y").limit(2 * share * max(languages, 1)).collect()
     used: dict[str, int] = {}
