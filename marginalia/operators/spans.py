@@ -72,15 +72,16 @@ def span_relations(spans: DataFrame) -> DataFrame:
     return each.groupBy("relation").agg(F.count(F.lit(1)).alias("n"))
 
 
-def decode_bio(tokens: DataFrame, outside: str = "O") -> DataFrame:
-    """filename, label, start_span, end_span, score of tagged tokens (filename, position, tag, start_span, end_span, score).
+def decode_bio(tokens: DataFrame, outside: str = "O", key: list[str] | None = None) -> DataFrame:
+    """key (the filename), label, start_span, end_span, score of tagged tokens (filename, position, tag, start_span, end_span, score).
 
     B opens a span, I of the same label goes on with it, and any other I opens one; the score is the tokens' mean.
     """
-    order = W.partitionBy("filename").orderBy("position")
+    key = key or ["filename"]
+    order = W.partitionBy(*key).orderBy("position")
     label, kind = F.regexp_replace("tag", "^[BI]-", ""), F.substring("tag", 1, 1)
     tagged = tokens.withColumns({"label": label, "_kind": kind, "_last": F.lag("tag").over(order)})
     goes_on = (F.col("_kind") == "I") & (F.col("_last") != outside) & (F.regexp_replace("_last", "^[BI]-", "") == F.col("label"))
     opens = F.when(F.col("tag") == outside, 0).when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)
     marked = tagged.withColumn("_n", F.sum(opens).over(order.rowsBetween(W.unboundedPreceding, 0))).filter(F.col("tag") != outside)
-    return marked.groupBy("filename", "label", "_n").agg(F.min("start_span").alias("start_span"), F.max("end_span").alias("end_span"), F.avg("score").alias("score")).drop("_n")
+    return marked.groupBy(*key, "label", "_n").agg(F.min("start_span").alias("start_span"), F.max("end_span").alias("end_span"), F.avg("score").alias("score")).drop("_n")

@@ -49,6 +49,17 @@ def sentences(text: Column) -> Column:
     return F.arrow_udf(lambda c: pa.array([sentence_spans(t.as_py()) for t in c], type=_ARROW), SPAN)(text)
 
 
+def sentences_by(starts):
+    """A function of a text column: the sentences that a segmenter (text to the starts of its sentences) gives, which tile the
+    text from the first one on; a text of spaces alone has none."""
+
+    def tile(text: str | None) -> list[dict]:
+        at = [int(a) for a in starts(text)] if text and not text.isspace() else []
+        return [{"start": a, "end": b, "text": text[a:b]} for a, b in zip(at, [*at[1:], len(text or "")], strict=True)]
+
+    return F.arrow_udf(lambda c: pa.array([tile(t.as_py()) for t in c], type=_ARROW), SPAN)
+
+
 _ARROW = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("text", pa.string())]))
 
 

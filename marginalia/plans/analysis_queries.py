@@ -249,12 +249,6 @@ def iob2_tags(spark, sf):
     return encoding.tag_words(named, gold(spark, sf, w)).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
 
 
-def encoded_windows(spark, sf):
-    c = _corpus(spark, sf).select("doc_id", "text", F.from_json("entities_json", corpus.ENTITIES).alias("entities"))
-    e = encoding.encode(c, "DET")
-    return e.select("doc_id", "window", F.size("tokens").alias("n_tokens"), F.size(F.filter("tags", lambda t: t == "B")).alias("n_entities"))
-
-
 def _tokens(spark, sf):
     w = words(spark, sf)
     rule = lambda k: F.when((F.col("word_no") * k + F.col("doc_id")) % 5 == 0, "B-X").when((F.col("word_no") * k + F.col("doc_id")) % 5 == 1, "I-X").otherwise("O")
@@ -297,7 +291,7 @@ def fold_metrics(spark, sf):
     return split.aggregate_metrics(o, ["p"], ["o_orderstatus"]).select("o_orderstatus", F.round("p_mean", 4).alias("p_mean"), F.round("p_std", 4).alias("p_std"))
 
 
-QUERIES = {f.__name__: f for f in (strict_events, exact_events, calibration, confidence_by_outcome, error_units, error_taxonomy, attached_units, boundary_errors, boundary_summary, oracle_budget, overlap_sensitivity, error_surfaces, document_scores, described_mentions, gold_subgroups, predicted_subgroups, exposure, exposure_bins, gold_structure, bootstrap_interval, surface_features, corpus_labels, corpus_sizes, corpus_violations, corpus_spans, fingerprints, resolved_codes, resolved_mismatch, resolved_conflicts, balance_report, stratified_split, text_statistics, annotation_statistics, label_shares, uax_words, sentences, iob2_tags, encoded_windows, token_metrics, token_confusion, decoded_spans, trial_rank_effects, trial_category_effects, trial_top_k, trial_best_epochs, fold_metrics)}
+QUERIES = {f.__name__: f for f in (strict_events, exact_events, calibration, confidence_by_outcome, error_units, error_taxonomy, attached_units, boundary_errors, boundary_summary, oracle_budget, overlap_sensitivity, error_surfaces, document_scores, described_mentions, gold_subgroups, predicted_subgroups, exposure, exposure_bins, gold_structure, bootstrap_interval, surface_features, corpus_labels, corpus_sizes, corpus_violations, corpus_spans, fingerprints, resolved_codes, resolved_mismatch, resolved_conflicts, balance_report, stratified_split, text_statistics, annotation_statistics, label_shares, uax_words, sentences, iob2_tags, token_metrics, token_confusion, decoded_spans, trial_rank_effects, trial_category_effects, trial_top_k, trial_best_epochs, fold_metrics)}
 
 #: Texts of the numbered spans; boundary errors as the operator lists them; credits; described mentions.
 _SURFACES = "gt AS (SELECT g.filename, g.ord, substring(d.text, g.start_span + 1, g.end_span - g.start_span) AS text FROM gn g JOIN documents d USING (doc_id)), pt AS (SELECT p.filename, p.ord, substring(d.text, p.start_span + 1, p.end_span - p.start_span) AS text FROM pn p JOIN documents d USING (doc_id))"
