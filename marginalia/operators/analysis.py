@@ -330,14 +330,11 @@ def error_surfaces(units: DataFrame, gold: DataFrame, predicted: DataFrame) -> D
 def exposure(texts: DataFrame, training: DataFrame, threshold: float = 0.8) -> DataFrame:
     """text, nearest, similarity, exposure (SEEN, LEXICALLY_SIMILAR, NOVEL), frequency of distinct normalised `texts` (text)
     among the normalised forms of `training` (text). Forms below the threshold are NOVEL with a null nearest form."""
-    from .linking import _grams, normalize
+    from .linking import normalize, similar_texts
 
     forms = training.select(normalize(F.col("text")).alias("form")).groupBy("form").agg(F.count(F.lit(1)).alias("frequency"))
     t = texts.select(normalize(F.col("text")).alias("text")).distinct()
-    key = lambda c: F.when(F.length(c) < 3, F.array(c)).otherwise(F.array_distinct(_grams(c, 2)))
-    near = t.select("text", F.explode(key(F.col("text"))).alias("g")).join(forms.select("form", F.explode(key(F.col("form"))).alias("g")), "g")
-    near = near.filter(F.least(F.length("text"), F.length("form")) >= threshold * F.greatest(F.length("text"), F.length("form"))).select("text", "form").distinct()
-    scored = near.withColumn("similarity", 1 - F.levenshtein("text", "form").cast("double") / F.greatest(F.length("text"), F.length("form"), F.lit(1))).filter(F.col("similarity") >= threshold - 1e-12)
+    scored = similar_texts(t, forms.select(F.col("form").alias("norm")), threshold).withColumnsRenamed({"norm": "form", "score": "similarity"})
     first = F.row_number().over(W.partitionBy("text").orderBy(F.desc("similarity"), "form"))
     best = scored.withColumn("n", first).filter("n = 1").select("text", F.col("form").alias("nearest"), "similarity")
     out = t.join(best, "text", "left").join(forms.withColumnRenamed("form", "text"), "text", "left").na.fill(0, ["frequency"])
@@ -375,9 +372,9 @@ def calibration(scored: DataFrame, bins: int = 10) -> DataFrame:
 
 
 def confidence_by_outcome(scored: DataFrame) -> DataFrame:
-    q = F.percentile("score", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    found = scored.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean"), q.alias("q"))
-    return found.select("outcome", "n", "mean", F.col("q")[0].alias("q10"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q90"))
+    points = (0.1, 0.25, 0.5, 0.75, 0.9)
+    found = scored.groupBy("outcome").agg(F.count("score").alias("n"), F.avg("score").alias("mean"), F.percentile("score", F.array(*map(F.lit, points))).alias("q"))
+    return found.select("outcome", "n", "mean", *(F.col("q")[i].alias(f"q{round(100 * p):02}") for i, p in enumerate(points)))
 
 
 def resampled_ratio(documents: DataFrame, draws: DataFrame, num: Column, den: Column) -> DataFrame:

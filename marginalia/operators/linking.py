@@ -41,10 +41,26 @@ def top_candidates(scored: DataFrame, k: int, decimals: int = 9) -> DataFrame:
     return scored.withColumn("b", best).filter("b = 1").withColumn("rank", rank).filter(F.col("rank") <= k).select("mention_id", "code", "term", "score", "rank")
 
 
+def _label(df: DataFrame) -> Column:
+    return (F.col("label") if "label" in df.columns else F.lit(None)).cast("string")
+
+
+def _entries(gazetteer: DataFrame, *columns: Column) -> DataFrame:
+    """entry_id, term, code, entry_label and more columns of the entries."""
+    return gazetteer.select("entry_id", "term", "code", _label(gazetteer).alias("entry_label"), *columns)
+
+
+def _ranked(mentions: DataFrame, scored: DataFrame, k: int, normalized: bool = True) -> DataFrame:
+    """The candidates of each mention from scores of distinct texts (text, entry_id, entry_label, code, term, score), of
+    entries whose label doesn't differ from the mention's."""
+    text = normalize(F.col("text")) if normalized else F.col("text")
+    m = mentions.select("mention_id", text.alias("text"), _label(mentions).alias("mention_label"))
+    return top_candidates(m.join(scored, "text").filter(labels_compatible(F.col("mention_label"), F.col("entry_label"))), k)
+
+
 def exact(mentions: DataFrame, gazetteer: DataFrame, k: int = 25) -> DataFrame:
     """Equality of normalised texts, by an equi-join."""
-    m, g = mentions.select("mention_id", normalize(F.col("text")).alias("key")), gazetteer.withColumn("key", normalize(F.col("term")))
-    return top_candidates(m.join(g, "key").withColumn("score", F.lit(1.0)), k)
+    return _ranked(mentions, _entries(gazetteer, normalize(F.col("term")).alias("text"), F.lit(1.0).alias("score")), k)
 
 
 def _grams(text: Column, n: int) -> Column:
@@ -60,14 +76,38 @@ def levenshtein(mentions: DataFrame, gazetteer: DataFrame, threshold: float = 0.
     if threshold < 0.75:
         raise ValueError("a bigram index finds every pair from a similarity of 0.75 up")
     texts = mentions.select(normalize(F.col("text")).alias("text")).distinct()
-    terms = gazetteer.select("entry_id", "term", "code", normalize(F.col("term")).alias("norm"))
-    key = lambda c: F.when(F.length(c) < 3, F.array(c)).otherwise(F.array_distinct(_grams(c, 2)))
-    t = texts.select("text", F.explode(key(F.col("text"))).alias("gram"))
-    g = terms.select("entry_id", F.col("norm"), F.explode(key(F.col("norm"))).alias("gram"))
-    near = t.join(g, "gram").filter(F.least(F.length("text"), F.length("norm")) >= threshold * F.greatest(F.length("text"), F.length("norm"))).select("text", "entry_id").distinct()
-    scored = near.join(terms, "entry_id").withColumn("score", 1 - F.levenshtein("text", "norm").cast("double") / F.greatest(F.length("text"), F.length("norm"), F.lit(1))).filter(F.col("score") >= threshold - 1e-12)
-    found = scored.select("text", "entry_id", "code", "term", "score")
-    return top_candidates(mentions.select("mention_id", normalize(F.col("text")).alias("text")).join(found, "text").drop("text"), k)
+    terms = _entries(gazetteer, normalize(F.col("term")).alias("norm"))
+    near = similar_texts(texts, terms.select("norm").distinct(), threshold)
+    return _ranked(mentions, near.join(terms, "norm").drop("norm"), k)
+
+
+def _numbered_grams(text: Column) -> Column:
+    """Bigrams with their numbers among the equal ones: as a set they are the text's bag of bigrams."""
+    grams = _grams(text, 2)
+    return F.transform(grams, lambda g, i: F.concat(g, F.size(F.filter(F.slice(grams, F.lit(1), i + 1), lambda x: x == g)).cast("string")))
+
+
+def similar_texts(texts: DataFrame, norms: DataFrame, threshold: float) -> DataFrame:
+    """text, norm, score of the pairs of distinct texts (text) and (norm) whose edit similarity reaches the threshold.
+
+    Of two texts of lengths up to L, at most (1 - threshold) L edits apart, two bags of bigrams share all but two for each
+    edit. So if both keep only their rarest bigrams, as many as may be lost and one, they still share one: a common bigram
+    of many texts is rarely anyone's key. Texts of under three characters meet by equality.
+    """
+    if threshold < 0.75:
+        raise ValueError("a bigram index finds every pair from a similarity of 0.75 up")
+    bags = [rows.select(F.col(c).alias("value"), F.when(F.length(c) < 3, F.array(F.col(c))).otherwise(_numbered_grams(F.col(c))).alias("bag")) for rows, c in ((texts, "text"), (norms, "norm"))]
+    rarity = bags[1].select(F.explode("bag").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+
+    def keys(rows: DataFrame, name: str) -> DataFrame:
+        ranked = rows.select("value", F.explode("bag").alias("g")).join(rarity, "g", "left").groupBy("value").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g"))).alias("bag"))
+        size = F.length("value")
+        lost = F.array_max(F.transform(F.sequence(size, F.greatest(size, F.floor(size / threshold + 1e-9).cast("int"))), lambda n: size - n + 2 * F.floor((1 - threshold) * n + 1e-9).cast("int")))
+        return ranked.select(F.col("value").alias(name), F.explode(F.transform(F.slice("bag", F.lit(1), lost + 1), lambda x: x["g"])).alias("g"))
+
+    longer = F.greatest(F.length("text"), F.length("norm"), F.lit(1))
+    near = keys(bags[0], "text").join(keys(bags[1], "norm"), "g").filter(F.least(F.length("text"), F.length("norm")) >= threshold * longer - 1e-9).select("text", "norm").distinct()
+    return near.withColumn("score", 1 - F.levenshtein("text", "norm").cast("double") / longer).filter(F.col("score") >= threshold - 1e-12)
 
 
 def tokens(text: Column) -> Column:
@@ -87,8 +127,7 @@ def bm25(mentions: DataFrame, gazetteer: DataFrame, k: int = 25, k1: float = 1.5
     texts = mentions.select("text").distinct()
     query = texts.select("text", F.explode(F.array_distinct(tokens(F.col("text")))).alias("tok"))
     scored = query.join(weighted, "tok").groupBy("text", "entry_id").agg(F.sum("w").alias("score"))
-    scored = scored.join(gazetteer.select("entry_id", "term", "code"), "entry_id")
-    return top_candidates(mentions.select("mention_id", "text").join(scored, "text").drop("text"), k)
+    return _ranked(mentions, scored.join(_entries(gazetteer), "entry_id"), k, False)
 
 
 def char_wb(text: Column, low: int = 3, high: int = 5) -> Column:
@@ -107,8 +146,7 @@ def tfidf(mentions: DataFrame, gazetteer: DataFrame, k: int = 25) -> DataFrame:
     texts = mentions.select("text").distinct()
     q = texts.select("text", F.explode(char_wb(F.col("text"))).alias("g")).groupBy("text", "g").agg(F.count(F.lit(1)).alias("tf")).join(idf, "g").select("text", "g", (F.col("tf") * F.col("idf")).alias("w"))
     scored = unit(q, "text").withColumnRenamed("w", "qw").join(entries, "g").groupBy("text", "entry_id").agg(F.sum(F.col("qw") * F.col("w")).alias("score"))
-    scored = scored.join(gazetteer.select("entry_id", "term", "code"), "entry_id")
-    return top_candidates(mentions.select("mention_id", "text").join(scored, "text").drop("text"), k)
+    return _ranked(mentions, scored.join(_entries(gazetteer), "entry_id"), k, False)
 
 
 def reciprocal_rank_fusion(rankings: dict[str, DataFrame], k: int = 60, top_k: int | None = None) -> DataFrame:
@@ -174,8 +212,8 @@ def sparse(mentions: DataFrame, gazetteer: DataFrame, k: int = 25, word_weight:
     entries, idf = vectors(gazetteer, "entry_id", "term", None)
     q, _ = vectors(mentions.select("text").distinct(), "text", "text", idf)
     part = F.when(F.col("kind") == "w", word_weight).otherwise(1.0) * F.col("qw") * F.col("w")
-    scored = q.select("text", "g", F.col("w").alias("qw")).join(entries, "g").groupBy("text", "entry_id").agg(F.sum(part).alias("score")).join(gazetteer.select("entry_id", "term", "code"), "entry_id")
-    return top_candidates(mentions.select("mention_id", "text").join(scored, "text").drop("text"), k)
+    scored = q.select("text", "g", F.col("w").alias("qw")).join(entries, "g").groupBy("text", "entry_id").agg(F.sum(part).alias("score")).join(_entries(gazetteer), "entry_id")
+    return _ranked(mentions, scored, k, False)
 
 
 def fill_zero(candidates: DataFrame, mentions: DataFrame, gazetteer: DataFrame, k: int) -> DataFrame:
@@ -234,7 +272,7 @@ def fuzzy(mentions: DataFrame, gazetteer: DataFrame, method: str = "jaro_winkler
     from ..functions.text import similarity
 
     texts = mentions.select(normalize(F.col("text")).alias("text")).distinct()
-    terms = gazetteer.select("entry_id", "term", "code", normalize(F.col("term")).alias("norm"))
+    terms = _entries(gazetteer, normalize(F.col("term")).alias("norm"))
     norms = terms.select("norm").distinct()
     grams = lambda c: F.when(F.length(c) < 3, F.array(c)).otherwise(F.array_distinct(_grams(c, 2)))
     words = lambda c: F.array_distinct(F.transform(tokens(c), lambda t: F.concat(F.lit(" "), t, F.lit(" "))))
@@ -242,7 +280,65 @@ def fuzzy(mentions: DataFrame, gazetteer: DataFrame, method: str = "jaro_winkler
     near = texts.select("text", F.explode(key(F.col("text"))).alias("g")).join(norms.select("norm", F.explode(key(F.col("norm"))).alias("g")), "g").select("text", "norm")
     near = near.unionByName(_pairs_by_characters(texts, norms, method, threshold)).distinct()
     scored = near.withColumn("score", similarity(F.col("text"), F.col("norm"), method)).filter(F.col("score") >= threshold).join(terms, "norm")
-    return top_candidates(mentions.select("mention_id", normalize(F.col("text")).alias("text")).join(scored.drop("norm"), "text").drop("text"), k)
+    return _ranked(mentions, scored.drop("norm"), k)
+
+
+def ranked_lists(candidates: DataFrame, mentions: DataFrame, top_k: int = 200, min_score: float = 0.0) -> DataFrame:
+    """`mentions` with aligned lists `codes`, `candidates`, `scores` of their rankings (mention_id, code, term, score), best
+    first, ties by code and term, one entry for each code; empty lists where there is no candidate."""
+    kept = candidates.filter(F.col("score") >= min_score)
+    best = kept.groupBy("mention_id", "code").agg(F.min(F.struct((-F.col("score")).alias("s"), "term")).alias("b"))
+    lists = best.groupBy("mention_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("b.s", "code", "b.term"))), 1, top_k).alias("l"))
+    out = mentions.join(lists, "mention_id", "left")
+    pick = lambda make, t: F.coalesce(F.transform("l", make), F.array().cast(f"array<{t}>"))
+    return out.withColumns({"codes": pick(lambda x: x["code"], "string"), "candidates": pick(lambda x: x["term"], "string"), "scores": pick(lambda x: -x["s"], "double")}).drop("l")
+
+
+def rerank(candidates: DataFrame, scores: DataFrame, k: int = 10) -> DataFrame:
+    """The rankings again by a scorer's (mention_id, code, similarity): the k best codes, ties by the old rank.
+
+    Of several candidates of one code the last counts, as in a look-up by code."""
+    by_code = candidates.groupBy("mention_id", "code").agg(F.max_by("term", "rank").alias("term"), F.max("rank").alias("old"))
+    joined = by_code.join(scores.groupBy("mention_id", "code").agg(F.max("similarity").alias("score")), ["mention_id", "code"])
+    rank = F.row_number().over(W.partitionBy("mention_id").orderBy(F.desc("score"), "old", "code"))
+    return joined.withColumn("rank", rank).filter(F.col("rank") <= k).select("mention_id", "code", "term", "score", "rank")
+
+
+def word_patterns(text: Column) -> Column:
+    """Lower-cased words, with those that hyphens, underscores and slashes hold together as one."""
+    return F.regexp_extract_all(normalize(text), F.lit(r"(?U)\w+(?:[-_/]\w+)*"), F.lit(0))
+
+
+def parse_codes(value: Column) -> Column:
+    """A list of codes of a text: a JSON list, a list with single quotes, or one code; blank texts give an empty list."""
+    text = F.trim(value)
+    listed = F.coalesce(F.from_json(text, "array<string>"), F.from_json(F.translate(text, "'()", '"[]'), "array<string>"))
+    codes = F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).when(text.rlike(r"^[\[(].*[\])]$"), F.coalesce(listed, F.array(text))).otherwise(F.array(text))
+    return F.filter(codes, lambda c: c.isNotNull() & (c != ""))
+
+
+def unique_codes(codes: Column) -> Column:
+    """The distinct codes that aren't blank, in the order in which they come first."""
+    return F.filter(F.array_distinct(codes), lambda c: c.isNotNull() & (c != ""))
+
+
+def list_metrics(rows: DataFrame, k_values: tuple[int, ...] = (1, 5, 25), gold: str = "gold_code", codes: str = "codes", by: str | None = None) -> DataFrame:
+    """n, recall_at_k, mrr, coverage, mean_candidates of rows with a gold code and a list of codes; with `by` one row for each
+    of its values. Rows without a gold code are counted in n_without_gold and left out of the rest."""
+    has = F.coalesce(F.trim(F.col(gold).cast("string")), F.lit("")) != ""
+    ranked = rows.withColumn("_codes", unique_codes(F.col(codes))).withColumn("_hit", F.array_position("_codes", F.col(gold).cast("string")))
+    over = lambda c: F.coalesce(F.avg(F.when(has, c)), F.lit(0.0))
+    at = lambda k: over(F.when((F.col("_hit") > 0) & (F.col("_hit") <= k), 1.0).otherwise(0.0)).alias(f"recall_at_{k}")
+    grouped = ranked.groupBy(by) if by else ranked.groupBy()
+    return grouped.agg(F.count_if(has).alias("n"), F.count_if(~has).alias("n_without_gold"), *map(at, k_values), over(F.when(F.col("_hit") > 0, 1.0 / F.col("_hit")).otherwise(0.0)).alias("mrr"), over(F.when(F.size("_codes") > 0, 1.0).otherwise(0.0)).alias("coverage"), over(F.size("_codes").cast("double")).alias("mean_candidates"))
+
+
+def graph_pairs(triplets: DataFrame) -> DataFrame:
+    """anchor, candidate, label: distinct positives (1.0) and negatives (0.0) of triplets; a negative that is its row's
+    positive goes."""
+    clean = triplets.select(*(F.coalesce(F.trim(c), F.lit("")).alias(c) for c in ("anchor", "positive", "negative"))).filter("anchor <> ''")
+    positive = clean.filter("positive <> ''").select("anchor", F.col("positive").alias("candidate"), F.lit(1.0).alias("label")).distinct()
+    return positive.unionByName(clean.filter("negative <> '' AND negative <> positive").select("anchor", F.col("negative").alias("candidate"), F.lit(0.0).alias("label")).distinct())
 
 
 def ranking_examples(triplets: DataFrame) -> DataFrame:

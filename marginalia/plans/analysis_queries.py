@@ -37,7 +37,7 @@ def calibration(spark, sf):
 
 def confidence_by_outcome(spark, sf):
     s = _scored(spark, sf).withColumn("outcome", F.when(F.col("correct"), "CORRECT").otherwise("WRONG"))
-    return analysis.confidence_by_outcome(s).select("outcome", "n", *(F.round(c, 6).alias(c) for c in ("mean", "q10", "q50", "q90")))
+    return analysis.confidence_by_outcome(s).select("outcome", "n", *(F.round(c, 6).alias(c) for c in ("mean", "q10", "q25", "q50", "q75", "q90")))
 
 
 def _sides(spark, sf):
@@ -372,7 +372,7 @@ ORACLES = {
         FROM t LEFT JOIN b USING (text) LEFT JOIN f ON f.form = t.text GROUP BY ALL""",
     "calibration": f"""{_SCORED}, q AS (SELECT list_sort(list_distinct(quantile_cont(score, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1]))) AS e FROM sc),
         b AS (SELECT len(list_filter((SELECT e[2:len(e) - 1] FROM q), lambda c: score > c))::INTEGER AS bin, score, correct FROM sc) SELECT bin, count(*) AS n, round(avg(score), 6) AS mean_score, round(avg(correct::INT), 6) AS exact_share FROM b GROUP BY bin""",
-    "confidence_by_outcome": f"{_SCORED} SELECT CASE WHEN correct THEN 'CORRECT' ELSE 'WRONG' END AS outcome, count(*) AS n, round(avg(score), 6) AS mean, round(quantile_cont(score, 0.1), 6) AS q10, round(quantile_cont(score, 0.5), 6) AS q50, round(quantile_cont(score, 0.9), 6) AS q90 FROM sc GROUP BY 1",
+    "confidence_by_outcome": f"{_SCORED} SELECT CASE WHEN correct THEN 'CORRECT' ELSE 'WRONG' END AS outcome, count(*) AS n, round(avg(score), 6) AS mean, round(quantile_cont(score, 0.1), 6) AS q10, round(quantile_cont(score, 0.25), 6) AS q25, round(quantile_cont(score, 0.5), 6) AS q50, round(quantile_cont(score, 0.75), 6) AS q75, round(quantile_cont(score, 0.9), 6) AS q90 FROM sc GROUP BY 1",
     "exposure": f"""WITH {_BASE}, f AS (SELECT lower(p_name) AS form, count(*) AS frequency FROM part WHERE p_partkey % 2 = 0 GROUP BY 1), t AS (SELECT DISTINCT norm AS text FROM mt),
         p AS (SELECT text, form, 1 - levenshtein(text, form)::DOUBLE / greatest(length(text), length(form)) AS s FROM t JOIN f ON 1 - levenshtein(text, form)::DOUBLE / greatest(length(text), length(form)) >= 0.8::DOUBLE - 1e-12),
         b AS (SELECT text, form AS nearest, s, row_number() OVER (PARTITION BY text ORDER BY s DESC, form) AS n FROM p)
