@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..naming import partition_names
 from .corpus import entities, fingerprints
 
 
@@ -39,7 +40,7 @@ def assign_once(counts: np.ndarray, ratios: list[float], rng: np.random.Generato
     totals, sizes = counts.sum(0), counts.sum(1)
     rarity = (counts / np.maximum(totals, 1)).sum(1)
     feature = np.column_stack([counts, sizes, np.ones(n)]).astype(float)
-    goal = np.outer(ratios, feature.sum(0))
+    goal = np.outer(room / max(n, 1), feature.sum(0))
     scale = np.sqrt(np.maximum(goal, 1) * np.maximum(feature.sum(0) / k, 1))
     weight = np.array([1.0] * counts.shape[1] + [0.25, 0.1])
     state, out = np.zeros_like(goal), np.empty(n, int)
@@ -62,6 +63,8 @@ def stratify(corpus: DataFrame, ratios: list[float], random_state: int = 42, n_r
     """
     ratios = normalize_ratios(ratios)
     long = label_counts(corpus).toPandas()
+    if long.doc_id.nunique() < len(ratios):
+        raise ValueError(f"{len(ratios)} partitions need as many documents at least, not {long.doc_id.nunique()}")
     wide = long.pivot_table(index="doc_id", columns="label", values="n", fill_value=0, aggfunc="sum", dropna=True)
     ids = sorted(long.doc_id.unique())
     matrix = wide.reindex(ids, fill_value=0).to_numpy(float) if len(wide.columns) else np.zeros((len(ids), 1))
@@ -79,7 +82,7 @@ def stratify(corpus: DataFrame, ratios: list[float], random_state: int = 42, n_r
 
 def assign_partitions(corpus: DataFrame, ratios: list[float], names: list[str] | None = None, random_state: int = 42, n_restarts: int = 64, holdout: int | None = None) -> DataFrame:
     """The manifest of a split: a fingerprinted row for each document."""
-    names = names or (["train", "validation", "test"][: len(ratios)] if len(ratios) <= 3 else [f"fold_{i}" for i in range(len(ratios))])
+    names = partition_names(len(ratios), holdout, names)
     found = stratify(corpus, ratios, random_state, n_restarts)
     rows = found.join(fingerprints(corpus), "doc_id").join(corpus.select("doc_id", "n_entities"), "doc_id")
     named = F.element_at(F.array(*map(F.lit, names)), F.col("partition") + 1)
@@ -127,3 +130,20 @@ def best_epochs(epochs: DataFrame, run: str, epoch: str, metric: str, greater: b
     """The best row of each run, the earliest among equals."""
     order = F.desc(metric) if greater else F.asc(metric)
     return epochs.withColumn("_n", F.row_number().over(W.partitionBy(run).orderBy(order, epoch))).filter("_n = 1").drop("_n")
+
+
+def integrity(manifest: DataFrame) -> DataFrame:
+    """problem, n: documents in several partitions, partitions without documents, names with several folds; no row is right."""
+    twice = manifest.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").agg(F.count(F.lit(1)).alias("n")).select(F.lit("repeated document").alias("problem"), "n")
+    folds = manifest.agg(F.count_distinct("fold").alias("k"), F.max("n_partitions").alias("p")).select(F.lit("empty partition").alias("problem"), (F.col("p") - F.col("k")).cast("long").alias("n"))
+    names = manifest.groupBy("partition_name").agg(F.count_distinct("fold").alias("k")).filter("k > 1").agg(F.count(F.lit(1)).alias("n")).select(F.lit("name of several folds").alias("problem"), "n")
+    return twice.unionByName(folds).unionByName(names).filter("n > 0")
+
+
+def manifest_settings(manifest: DataFrame) -> dict:
+    """ratios, n_partitions, holdout_index, partition names by fold, of a manifest whose rows agree; others raise."""
+    found = manifest.select("ratios", "n_partitions", "holdout_index").distinct().limit(2).collect()
+    if len(found) != 1:
+        raise ValueError("the rows of the manifest don't agree on their split")
+    names = {r["fold"]: r["partition_name"] for r in manifest.select("fold", "partition_name").distinct().collect()}
+    return {"ratios": json.loads(found[0]["ratios"]), "n_partitions": found[0]["n_partitions"], "holdout_index": found[0]["holdout_index"], "partition_names": [names[i] for i in sorted(names)]}

@@ -93,7 +93,132 @@ def _ontology(spark, sf):
 
 
 def ontology_relations(spark, sf):
-    return ontology.relations(*_ontology(spark, sf)).groupBy("relation").agg(F.count(F.lit(1)).alias("n"))
+    return ontology.relations(*_ontology(spark, sf)).groupBy(F.col("direction").alias("relation"), "distance", "same_tag").agg(F.count(F.lit(1)).alias("n"))
+
+
+def ontology_summary(spark, sf):
+    found = ontology.summary(ontology.relations(*_ontology(spark, sf)))
+    return found.select("n", *(c for d in ("exact", "narrow", "broad", "non_rel") for c in (f"{d}_count", F.round(f"{d}_rate", 6).alias(f"{d}_rate"))), F.round("mean_distance", 6).alias("mean_distance"))
+
+
+def graph_metrics(spark, sf):
+    """By the parity of the customer: the codes of a list of three, and where the first of them stands."""
+    pairs, edges, tags = _ontology(spark, sf)
+    rows = pairs.select(F.col("gold").alias("gold_code"), F.array("pred", F.lit("N3"), "gold").alias("codes"), F.substring("pred", 1, 1).alias("label"))
+    found = ontology.graph_metrics(rows, edges, tags, (1, 2, 3), "label")
+    return found.select("label", "n", "exact_count", "narrow_count", "broad_count", "non_rel_count", *(F.round(c, 6).alias(c) for c in ("mean_distance", "recall_at_1", "recall_at_2", "recall_at_3", "mrr", "coverage", "mean_candidates")))
+
+
+def direction_table(spark, sf):
+    found = ontology.direction_table(ontology.relations(*_ontology(spark, sf)))
+    return found.select("direction", "count", F.round("mean_distance", 6).alias("mean_distance"), F.round("normalized", 6).alias("normalized"))
+
+
+def _vocabulary(spark, sf):
+    from ..operators.retrieval import build_vocabulary
+
+    named = lambda df: df.select(F.col("p_name").alias("term"), F.col("p_partkey").alias("code"))
+    part = table(spark, sf, "part")
+    extra = part.filter("p_partkey % 3 = 0").select(F.concat(F.lit("«"), "p_name", F.lit("»")).alias("mention"), F.col("p_partkey").cast("string").alias("concept_id"))
+    return build_vocabulary(named(part), [extra])
+
+
+def vocabulary(spark, sf):
+    v = _vocabulary(spark, sf)
+    return v.select("term", "code", F.substring("row_id", 1, 3).cast("int").alias("source"))
+
+
+def candidate_lists(spark, sf):
+    """Rows with aligned lists of the three best by BM25, and the first of them."""
+    from ..operators.retrieval import candidate_pipeline
+
+    m, g = mentions(spark, sf).withColumnRenamed("gold_code", "code"), gazetteer(spark, sf)
+    rows, _ = candidate_pipeline(m, g, "bm25", 3, (1, 3))
+    return rows.select("mention_id", F.array_join("codes", " ").alias("codes"), F.array_join("candidates", "|").alias("candidates"), "predicted_code", F.round("predicted_score", 5).alias("predicted_score"), "retrieval_method")
+
+
+def candidate_metrics(spark, sf):
+    from ..operators.retrieval import candidate_pipeline
+
+    m = mentions(spark, sf).withColumn("code", F.when(F.col("mention_id") % 4 == 0, "").otherwise(F.col("gold_code"))).drop("gold_code")
+    _, metrics = candidate_pipeline(m, gazetteer(spark, sf), "bm25", 5, (1, 5))
+    return metrics.select("method", "n", "n_input_rows", "n_without_gold", *(F.round(c, 6).alias(c) for c in ("recall_at_1", "recall_at_5", "mrr", "coverage", "mean_candidates")))
+
+
+def labelled_links(spark, sf):
+    """Exact links where mentions and entries have labels: equal, blank or other ones."""
+    kind = lambda c: F.element_at(F.array(F.lit("A"), F.lit("B"), F.lit("")), (F.col(c) % 3 + 1).cast("int"))
+    names = table(spark, sf, "part").select(F.col("p_partkey").alias("entry_id"), F.col("p_name").alias("term"), F.col("p_partkey").cast("string").alias("code"), kind("p_partkey").alias("label"))
+    m = table(spark, sf, "part").select(F.col("p_partkey").alias("mention_id"), F.upper("p_name").alias("text"), kind("p_size").alias("label"))
+    return linking.exact(m, names).select("mention_id", "code", "rank")
+
+
+def reranked(spark, sf):
+    c = linking.bm25(mentions(spark, sf), gazetteer(spark, sf), 5)
+    scores = c.select("mention_id", "code", ((F.col("mention_id") * 13 + F.col("code").cast("long") * 7) % 101).cast("double").alias("similarity"))
+    return linking.rerank(c, scores, 3).select("mention_id", "code", "score", "rank")
+
+
+def parsed_codes(spark, sf):
+    """Lists as JSON, with single quotes, and bare codes."""
+    text = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit('["A1", "'), "p_brand", F.lit('", "A1"]'))).when(F.col("p_partkey") % 4 == 1, F.concat(F.lit("['B2', '"), "p_brand", F.lit("']"))).when(F.col("p_partkey") % 4 == 2, F.col("p_brand")).otherwise(F.lit(" "))
+    codes = linking.unique_codes(linking.parse_codes(text))
+    return table(spark, sf, "part").select("p_partkey", F.array_join(codes, " ").alias("codes"))
+
+
+def _triplets(spark, sf):
+    part = table(spark, sf, "part")
+    return part.select(F.col("p_brand").alias("anchor"), F.when(F.col("p_partkey") % 7 == 0, " ").otherwise(F.col("p_type")).alias("positive"), F.when(F.col("p_size") % 2 == 0, F.col("p_type")).otherwise(F.col("p_name")).alias("negative"))
+
+
+def graph_pairs(spark, sf):
+    return linking.graph_pairs(_triplets(spark, sf))
+
+
+def ranking_examples(spark, sf):
+    r = linking.ranking_examples(_triplets(spark, sf))
+    return r.select("query", F.array_join("positives", "|").alias("positives"), F.array_join("negatives", "|").alias("negatives"))
+
+
+def hashed_links(spark, sf):
+    """Of each mention, the best entries by hashed n-grams: their cosines, whatever the buckets are."""
+    from ..operators.retrieval import hashed_search
+
+    found = hashed_search(mentions(spark, sf), gazetteer(spark, sf), 1, 0.5, features=1 << 30)
+    return found.select("mention_id", "code", F.round("score", 6).alias("score"))
+
+
+def _vectors(spark, sf):
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+
+
+def vector_ip(spark, sf):
+    from ..operators.retrieval import index_search
+
+    v = _vectors(spark, sf)
+    return index_search(v.filter("id % 25 = 0"), v, 5, "Flat-IP").select("query_id", "id", "rank", F.round("score", 4).alias("score"))
+
+
+def vector_l2(spark, sf):
+    from ..operators.retrieval import index_search
+
+    v = _vectors(spark, sf)
+    return index_search(v.filter("id % 25 = 0"), v, 5, "L2").select("query_id", "id", "rank", F.round("score", 4).alias("score"))
+
+
+def vector_all_cells(spark, sf):
+    """The clustered index with every cell probed finds what the flat one does."""
+    from ..operators.retrieval import clustered_search
+
+    v = _vectors(spark, sf)
+    return clustered_search(v.filter("id % 25 = 0"), v, 5, "ip", 12, 12).select("query_id", "id", "rank", F.round("score", 4).alias("score"))
+
+
+def normalized_vectors(spark, sf):
+    from ..operators.retrieval import norm, normalize_vector
+
+    v = _vectors(spark, sf).withColumn("u", normalize_vector(F.col("vector"), 1.0))
+    return v.select("id", F.round(norm(F.col("vector")), 5).alias("l2"), F.round(norm(F.col("u"), 1.0), 5).alias("l1_after"), F.round(F.col("u")[0], 6).alias("first"))
 
 
 def ontology_ancestors(spark, sf):
@@ -131,12 +256,21 @@ def dense_topk(spark, sf):
     return cosine_top_k(table(spark, sf, "embeddings"), 10).select("query_id", "rank", "vec_id")
 
 
-QUERIES = {f.__name__: f for f in (link_exact, link_levenshtein, link_bm25, link_tfidf, link_fused, retrieval_metrics, linked_spans, ontology_relations, ontology_ancestors, ensemble_spans, ensemble_hard_votes, dense_topk)}
+QUERIES = {f.__name__: f for f in (link_exact, link_levenshtein, link_bm25, link_tfidf, link_fused, retrieval_metrics, linked_spans, ontology_relations, ontology_ancestors, ontology_summary, graph_metrics, direction_table, vocabulary, candidate_lists, candidate_metrics, labelled_links, reranked, parsed_codes, graph_pairs, ranking_examples, hashed_links, vector_ip, vector_l2, vector_all_cells, normalized_vectors, ensemble_spans, ensemble_hard_votes, dense_topk)}
 
 _LEV = "scored AS (SELECT mention_id, code, term, entry_id, 1 - levenshtein(norm, lower(term))::DOUBLE / greatest(length(norm), length(term)) AS score FROM mt JOIN gaz ON 1 - levenshtein(norm, lower(term))::DOUBLE / greatest(length(norm), length(term)) >= 0.8::DOUBLE - 1e-12)"
 _ONTO = """edges AS (SELECT 'R' || n_regionkey AS parent, 'N' || n_nationkey AS child FROM nation UNION ALL SELECT 'N' || s_nationkey, 'S' || s_suppkey FROM supplier),
     up AS (SELECT code, code AS ancestor, 0 AS distance FROM (SELECT parent AS code FROM edges UNION SELECT child FROM edges) UNION SELECT up.code, e.parent, up.distance + 1 FROM up JOIN edges e ON e.child = up.ancestor),
     anc AS (SELECT code, ancestor, min(distance) AS distance FROM up GROUP BY ALL)"""
+_RELATED = """p AS (SELECT CASE WHEN c_custkey % 2 = 0 THEN 'N' || c_nationkey ELSE 'R' || (c_custkey % 5) END AS gold, CASE WHEN c_custkey % 3 = 0 THEN 'N' || (c_custkey % 27) ELSE 'S' || (c_custkey % 100 + 1) END AS pred FROM customer),
+    ways AS (SELECT parent AS x, child AS y FROM edges UNION SELECT child, parent FROM edges), hop AS (SELECT code, code AS at_code, 0 AS d FROM (SELECT DISTINCT gold AS code FROM p WHERE gold IN (SELECT code FROM anc)) UNION SELECT hop.code, ways.y, d + 1 FROM hop JOIN ways ON ways.x = hop.at_code WHERE d < 6), near AS (SELECT code, at_code, min(d) AS d FROM hop GROUP BY ALL),
+    related AS (SELECT p.*, gold[1] = pred[1] AND gold IN (SELECT code FROM anc) AND pred IN (SELECT code FROM anc) AS same_tag,
+        CASE WHEN gold = pred THEN 'exact' WHEN dn.distance IS NOT NULL THEN 'narrow' WHEN u.distance IS NOT NULL THEN 'broad' WHEN gold[1] = pred[1] AND EXISTS (SELECT 1 FROM anc a JOIN anc b ON a.ancestor = b.ancestor WHERE a.code = p.gold AND b.code = p.pred) THEN 'broad' ELSE 'unrelated' END AS relation,
+        CASE WHEN gold = pred THEN 0 ELSE coalesce(dn.distance, u.distance, near.d) END::INTEGER AS distance
+        FROM p LEFT JOIN anc dn ON dn.code = p.pred AND dn.ancestor = p.gold LEFT JOIN anc u ON u.code = p.gold AND u.ancestor = p.pred LEFT JOIN near ON near.code = p.gold AND near.at_code = p.pred)"""
+_TRIPLETS = "t AS (SELECT p_brand AS anchor, CASE WHEN p_partkey % 7 = 0 THEN '' ELSE p_type END AS positive, CASE WHEN p_size % 2 = 0 THEN p_type ELSE p_name END AS negative FROM part)"
+_VECTORS = """SELECT query_id, id, rank, round(score, 4) AS score FROM (SELECT q.vec_id AS query_id, c.vec_id AS id, round({score}, 9) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({score}, 9) DESC, c.vec_id)::INTEGER AS rank
+        FROM embeddings q JOIN embeddings c ON q.vec_id % 25 = 0) WHERE rank <= 5"""
 ORACLES = {
     "link_exact": f"WITH {_BASE}, scored AS (SELECT mention_id, code, term, 1.0::DOUBLE AS score, entry_id FROM mt JOIN gaz ON norm = lower(term)), {_TOP} SELECT * FROM top WHERE rank <= 25",
     "link_levenshtein": f"WITH {_BASE}, {_LEV}, {_TOP} SELECT mention_id, code, round(score, 6) AS score, rank FROM top WHERE rank <= 25",
@@ -151,10 +285,37 @@ ORACLES = {
         FROM m LEFT JOIN c USING (mention_id) LEFT JOIN h USING (mention_id)""",
     "linked_spans": f"WITH {_BASE}, {_LEV}, {_TOP} SELECT m.mention_id, m.text, code, term AS code_term, round(score, 6) AS code_score FROM m LEFT JOIN (SELECT * FROM top WHERE rank = 1) t USING (mention_id)",
     "ontology_ancestors": f"WITH RECURSIVE {_ONTO} SELECT * FROM anc",
-    "ontology_relations": f"""WITH RECURSIVE {_ONTO}, p AS (SELECT CASE WHEN c_custkey % 2 = 0 THEN 'N' || c_nationkey ELSE 'R' || (c_custkey % 5) END AS gold, CASE WHEN c_custkey % 3 = 0 THEN 'N' || (c_custkey % 27) ELSE 'S' || (c_custkey % 100 + 1) END AS pred FROM customer),
-        known AS (SELECT DISTINCT code FROM anc)
-        SELECT CASE WHEN gold = pred THEN 'exact' WHEN EXISTS (SELECT 1 FROM anc a WHERE a.code = p.pred AND a.ancestor = p.gold) THEN 'narrow' WHEN EXISTS (SELECT 1 FROM anc a WHERE a.code = p.gold AND a.ancestor = p.pred) THEN 'broad'
-                    WHEN gold[1] = pred[1] AND EXISTS (SELECT 1 FROM anc a JOIN anc b ON a.ancestor = b.ancestor WHERE a.code = p.gold AND b.code = p.pred) THEN 'broad' ELSE 'unrelated' END AS relation, count(*) AS n FROM p GROUP BY 1""",
+    "ontology_relations": f"WITH RECURSIVE {_ONTO}, {_RELATED} SELECT relation, distance, same_tag, count(*) AS n FROM related GROUP BY ALL",
+    "ontology_summary": f"""WITH RECURSIVE {_ONTO}, {_RELATED} SELECT count(*) AS n, count_if(relation = 'exact') AS exact_count, round(avg((relation = 'exact')::INT), 6) AS exact_rate, count_if(relation = 'narrow') AS narrow_count, round(avg((relation = 'narrow')::INT), 6) AS narrow_rate,
+        count_if(relation = 'broad') AS broad_count, round(avg((relation = 'broad')::INT), 6) AS broad_rate, count_if(relation = 'unrelated') AS non_rel_count, round(avg((relation = 'unrelated')::INT), 6) AS non_rel_rate, round(coalesce(avg(distance), 0), 6) AS mean_distance FROM related""",
+    "direction_table": f"WITH RECURSIVE {_ONTO}, {_RELATED} SELECT relation AS direction, count(*) AS count, round(avg(distance), 6) AS mean_distance, round(count(*)::DOUBLE / (SELECT count(*) FROM related), 6) AS normalized FROM related GROUP BY relation",
+    "graph_metrics": f"""WITH RECURSIVE {_ONTO}, {_RELATED}, l AS (SELECT pred[1] AS label, relation, distance, gold, list_distinct([pred]) AS one, pred, CASE WHEN pred = 'N3' OR pred = gold OR gold = 'N3' THEN CASE WHEN pred = gold AND gold = 'N3' THEN 1 ELSE 2 END ELSE 3 END AS size, CASE WHEN pred = gold THEN 1 WHEN gold = 'N3' THEN 2 WHEN pred = 'N3' THEN 2 ELSE 3 END AS hit FROM related)
+        SELECT label, count(*) AS n, count_if(relation = 'exact') AS exact_count, count_if(relation = 'narrow') AS narrow_count, count_if(relation = 'broad') AS broad_count, count_if(relation = 'unrelated') AS non_rel_count, round(coalesce(avg(distance), 0), 6) AS mean_distance,
+            round(avg((hit <= 1)::INT), 6) AS recall_at_1, round(avg((hit <= 2)::INT), 6) AS recall_at_2, round(avg((hit <= 3)::INT), 6) AS recall_at_3, round(avg(1.0::DOUBLE / hit), 6) AS mrr, 1.0::DOUBLE AS coverage, round(avg(size), 6) AS mean_candidates FROM l GROUP BY label""",
+    "vocabulary": "SELECT term, code, min(source)::INTEGER AS source FROM (SELECT p_name AS term, p_partkey::VARCHAR AS code, 1 AS source FROM part UNION ALL SELECT p_name, p_partkey::VARCHAR, 0 FROM part WHERE p_partkey % 3 = 0) GROUP BY term, code",
+    "candidate_lists": f"""WITH {_BASE}, {_BM25}, {_TOP}, t AS (SELECT mention_id, code, term, score, row_number() OVER (PARTITION BY mention_id ORDER BY score DESC, code, term) AS k FROM top WHERE rank <= 3)
+        SELECT m.mention_id, coalesce(string_agg(t.code, ' ' ORDER BY k), '') AS codes, coalesce(string_agg(term, '|' ORDER BY k), '') AS candidates, arg_min(t.code, k) AS predicted_code, round(arg_min(t.score, k), 5) AS predicted_score, 'bm25' AS retrieval_method FROM m LEFT JOIN t USING (mention_id) GROUP BY m.mention_id""",
+    "candidate_metrics": f"""WITH {_BASE}, {_BM25}, {_TOP}, t AS (SELECT mention_id, code, row_number() OVER (PARTITION BY mention_id ORDER BY score DESC, code, term) AS k FROM top WHERE rank <= 5), c AS (SELECT mention_id, count(*) AS n FROM t GROUP BY ALL), h AS (SELECT mention_id, min(k) AS hit FROM t JOIN m USING (mention_id) WHERE code = gold_code GROUP BY ALL),
+        g AS (SELECT hit, coalesce(c.n, 0) AS n FROM m LEFT JOIN c USING (mention_id) LEFT JOIN h USING (mention_id) WHERE mention_id % 4 <> 0)
+        SELECT 'bm25' AS method, count(*) AS n, (SELECT count(*) FROM m) AS n_input_rows, (SELECT count(*) FROM m) - count(*) AS n_without_gold, round(avg(coalesce(hit <= 1, false)::INT), 6) AS recall_at_1, round(avg(coalesce(hit <= 5, false)::INT), 6) AS recall_at_5, round(avg(coalesce(1.0::DOUBLE / hit, 0)), 6) AS mrr, round(avg((n > 0)::INT), 6) AS coverage, round(avg(n), 6) AS mean_candidates FROM g""",
+    "labelled_links": """WITH k AS (SELECT p_partkey AS id, lower(p_name) AS name, ['A', 'B', ''][(p_partkey % 3 + 1)::INT] AS el, ['A', 'B', ''][(p_size % 3 + 1)::INT] AS ml FROM part),
+        c AS (SELECT m.id AS mention_id, e.id FROM k m JOIN k e USING (name) WHERE m.ml = '' OR e.el = '' OR m.ml = e.el) SELECT mention_id, id::VARCHAR AS code, row_number() OVER (PARTITION BY mention_id ORDER BY id)::INTEGER AS rank FROM c QUALIFY rank <= 25""",
+    "reranked": f"""WITH {_BASE}, {_BM25}, {_TOP}, s AS (SELECT mention_id, code, rank AS old, ((mention_id * 13 + code::BIGINT * 7) % 101)::DOUBLE AS score FROM top WHERE rank <= 5)
+        SELECT mention_id, code, score, row_number() OVER (PARTITION BY mention_id ORDER BY score DESC, old, code)::INTEGER AS rank FROM s QUALIFY rank <= 3""",
+    "parsed_codes": "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'A1 ' || p_brand WHEN 1 THEN 'B2 ' || p_brand WHEN 2 THEN p_brand ELSE '' END AS codes FROM part",
+    "graph_pairs": f"WITH {_TRIPLETS} SELECT DISTINCT anchor, positive AS candidate, 1.0::DOUBLE AS label FROM t WHERE positive <> '' UNION ALL SELECT DISTINCT anchor, negative, 0.0 FROM t WHERE negative <> '' AND negative <> positive",
+    "ranking_examples": f"""WITH {_TRIPLETS}, p AS (SELECT anchor, string_agg(positive, '|' ORDER BY positive) AS positives FROM (SELECT DISTINCT anchor, positive FROM t WHERE positive <> '') GROUP BY anchor),
+        n AS (SELECT anchor, string_agg(negative, '|' ORDER BY negative) AS negatives FROM (SELECT DISTINCT anchor, negative FROM t WHERE (anchor, negative) NOT IN (SELECT (anchor, positive) FROM t)) GROUP BY anchor)
+        SELECT a.anchor AS query, coalesce(positives, '') AS positives, coalesce(negatives, '') AS negatives FROM (SELECT DISTINCT anchor FROM t) a LEFT JOIN p USING (anchor) LEFT JOIN n USING (anchor)""",
+    "hashed_links": f"""WITH {_BASE}, eg AS (SELECT entry_id, substring(lower(term), i::INT, n) AS g FROM gaz, (VALUES (3), (4), (5)) v(n), range(1, 100) r(i) WHERE i + n - 1 <= length(term)), et AS (SELECT entry_id, g, count(*)::DOUBLE AS w FROM eg GROUP BY ALL),
+        qg AS (SELECT mention_id, substring(norm, i::INT, n) AS g FROM mt, (VALUES (3), (4), (5)) v(n), range(1, 100) r(i) WHERE i + n - 1 <= length(norm)), qt AS (SELECT mention_id, g, count(*)::DOUBLE AS w FROM qg GROUP BY ALL),
+        es AS (SELECT entry_id, sqrt(sum(w * w)) AS s FROM et GROUP BY ALL), qs AS (SELECT mention_id, sqrt(sum(w * w)) AS s FROM qt GROUP BY ALL),
+        d AS (SELECT mention_id, entry_id, sum(q.w * e.w) / (any_value(qs.s) * any_value(es.s)) AS score FROM qt q JOIN et e USING (g) JOIN es USING (entry_id) JOIN qs USING (mention_id) GROUP BY ALL),
+        scored AS (SELECT mention_id, code, term, score, entry_id FROM d JOIN gaz USING (entry_id) WHERE score >= 0.5), {_TOP} SELECT mention_id, code, round(score, 6) AS score FROM top WHERE rank = 1""",
+    "vector_ip": _VECTORS.format(score="list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[])"),
+    "vector_l2": _VECTORS.format(score="-pow(list_distance(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 2)"),
+    "vector_all_cells": _VECTORS.format(score="list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[])"),
+    "normalized_vectors": "SELECT vec_id AS id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 5) AS l2, 1.0::DOUBLE AS l1_after, round(embedding[1]::DOUBLE / list_sum(list_transform(embedding, lambda x: abs(x::DOUBLE))), 6) AS first FROM embeddings",
     "ensemble_spans": f"{_VOTES} SELECT doc_id, min(word_id) AS first_word, max(word_id) AS last_word, round(avg(CASE WHEN opens = 1 THEN p_B ELSE p_I END), 6) AS score FROM n WHERE isin = 1 GROUP BY doc_id, g",
     "ensemble_hard_votes": f"""{_VOTES}, t AS (SELECT doc_id, word_id, CASE WHEN p_B >= p_O AND p_B >= p_I THEN 'B' WHEN p_I >= p_O THEN 'I' ELSE 'O' END AS tag FROM v),
         s AS (SELECT doc_id, word_id, round(avg(CASE WHEN tag = 'B' THEN 1.0::DOUBLE ELSE 0 END), 4) AS begin, round(avg(CASE WHEN tag = 'I' THEN 1.0::DOUBLE ELSE 0 END), 4) AS inside FROM t GROUP BY ALL) SELECT begin, inside, count(*) AS n FROM s GROUP BY ALL""",

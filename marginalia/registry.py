@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def modules() -> list:
-    from .plans import analysis_queries, encoding_queries, link_queries, more_queries, span_queries
+    from .plans import analysis_queries, encoding_queries, io_queries, link_queries, more_queries, span_queries
 
-    return [span_queries, link_queries, analysis_queries, encoding_queries, more_queries]
+    return [span_queries, link_queries, analysis_queries, encoding_queries, io_queries, more_queries]
 
 
 def queries() -> dict:

@@ -22,7 +22,7 @@ def write_table(df: DataFrame, path: str, overwrite: bool = False) -> None:
     """TSV, JSON lines or Parquet by suffix; an existing path raises unless `overwrite`."""
     writer = lambda d: d.write.mode("overwrite" if overwrite else "errorifexists")
     if path.endswith((".tsv", ".txt")):
-        writer(flat(df)).csv(path, sep="\t", header=True, quote='"', escape='"', emptyValue="")
+        writer(flat(df)).csv(path, sep="\t", header=True, quote='"', escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     elif path.endswith((".jsonl", ".ndjson")):
         writer(df).json(path)
     elif path.endswith(".parquet"):
@@ -47,3 +47,46 @@ def write_split(corpus: DataFrame, manifest: DataFrame, path: str, overwrite: bo
 def read_split(spark: SparkSession, path: str, names: list[str] | None = None) -> DataFrame:
     rows = spark.read.parquet(f"{path}/corpus")
     return rows if names is None else rows.filter(F.col("partition_name").isin(names))
+
+
+def write_by_file(lines: DataFrame, path: str, overwrite: bool = False) -> None:
+    """One folder `filename=...` with one text file for each filename of (filename, value), in any order of rows: what
+    `tables.read_documents` and `tables.read_ann` read again. Files are written by the tasks that hold them."""
+    lines.select("filename", "value").repartition("filename").write.mode("overwrite" if overwrite else "errorifexists").partitionBy("filename").text(path)
+
+
+def write_documents(documents: DataFrame, path: str, overwrite: bool = False) -> None:
+    """Texts of (filename, text), a file each; a line end follows the text."""
+    write_by_file(documents.select("filename", F.col("text").alias("value")), path, overwrite)
+
+
+def ann_lines(spans: DataFrame) -> DataFrame:
+    """filename, value: the stand-off lines of spans (filename, label, start_span, end_span, text[, code]) as one text.
+
+    Spans are T1..Tn by their offsets; a code stands in a line N of the same number. Line ends and tabs in a text are spaces.
+    """
+    code = F.col("code") if "code" in spans.columns else F.lit(None).cast("string")
+    item = F.struct(F.col("start_span").cast("int").alias("s"), F.col("end_span").cast("int").alias("e"), "label", F.translate("text", "\n\r\t", "   ").alias("text"), code.alias("code"))
+    lists = spans.groupBy("filename").agg(F.array_sort(F.collect_list(item)).alias("l"))
+    number = lambda i: (i + 1).cast("string")
+    t = F.transform("l", lambda x, i: F.concat(F.lit("T"), number(i), F.lit("\t"), x["label"], F.lit(" "), x["s"].cast("string"), F.lit(" "), x["e"].cast("string"), F.lit("\t"), x["text"]))
+    n = F.filter(F.transform("l", lambda x, i: F.concat(F.lit("N"), number(i), F.lit("\tReference T"), number(i), F.lit(" "), x["code"], F.lit("\t"), x["text"])), lambda x: x.isNotNull())
+    return lists.select("filename", F.array_join(F.concat(t, n), "\n").alias("value"))
+
+
+def write_ann(spans: DataFrame, path: str, overwrite: bool = False) -> None:
+    write_by_file(ann_lines(spans), path, overwrite)
+
+
+def write_stats(frame: DataFrame, output_dir: str, stem: str, overwrite: bool = False) -> None:
+    """The same rows as JSON lines and as Parquet."""
+    for suffix in ("jsonl", "parquet"):
+        write_table(frame, f"{output_dir}/{stem}.{suffix}", overwrite)
+
+
+def write_tables(tables: dict[str, DataFrame], output_dir: str, overwrite: bool = False) -> dict[str, str]:
+    """Each table as Parquet under `tables`; returns their paths."""
+    paths = {name: f"{output_dir}/tables/{name}.parquet" for name in tables}
+    for name, df in tables.items():
+        write_table(df, paths[name], overwrite)
+    return paths

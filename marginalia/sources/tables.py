@@ -11,7 +11,17 @@ SPAN = "filename string, label string, start_span string, end_span string, text
 
 
 def _stem() -> Column:
-    return F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
+    """A file's name without its ending, or the filename that its folder `filename=...` names."""
+    path = F.col("_metadata.file_path")
+    folder = F.regexp_extract(path, r"/filename=([^/]+)/[^/]+$", 1)
+    return F.when(folder != "", F.url_decode(folder)).otherwise(F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", ""))
+
+
+def _texts(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """filename, value: whole files. Folders by filename are read as `sinks.write_by_file` wrote them, without the last line end."""
+    files = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").text(path, wholetext=True)
+    by_folder = F.col("_metadata.file_path").rlike(r"/filename=[^/]+/[^/]+$")
+    return files.select(_stem().alias("filename"), F.when(by_folder, F.regexp_replace("value", "\n\\z", "")).otherwise(F.col("value")).alias("value"))
 
 
 def _lines_fixed(value: Column) -> Column:
@@ -23,13 +33,13 @@ def read_documents(spark: SparkSession, documents: str | dict[str, str], pattern
     """filename, text of a folder of texts or of a dictionary."""
     if isinstance(documents, dict):
         return spark.createDataFrame(sorted(documents.items()), "filename string, text string")
-    files = spark.read.option("pathGlobFilter", pattern).text(documents, wholetext=True)
-    return files.select(_stem().alias("filename"), _lines_fixed(F.col("value")).alias("text"))
+    return _texts(spark, documents, pattern).select("filename", _lines_fixed(F.col("value")).alias("text"))
 
 
 def read_tsv(spark: SparkSession, path: str, required: list[str] | None = None) -> DataFrame:
-    """A TSV with a header: every column text, empty fields empty, NA a text like any other."""
-    df = spark.read.csv(path, sep="\t", header=True, quote='"', escape='"', inferSchema=False, nullValue="\0")
+    """A TSV with a header: every column text, empty fields empty, NA a text like any other; a quoted field may hold line ends
+    (a file is then one task's: large tables belong in Parquet)."""
+    df = spark.read.csv(path, sep="\t", header=True, quote='"', escape='"', inferSchema=False, nullValue="\0", multiLine=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     if missing := set(required or ()) - set(df.columns):
         raise ValueError(f"{path} lacks the columns {sorted(missing)}")
     return df.select(*(F.coalesce(F.col(c), F.lit("")).alias(c) for c in df.columns))
@@ -46,22 +56,22 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     raise ValueError(f"no reader for {path}")
 
 
-def canonical(annotations: DataFrame) -> DataFrame:
+def canonical(annotations: DataFrame, *more: str) -> DataFrame:
     """Typed annotations; an end that isn't behind its start raises."""
     start, end = F.col("start_span").cast("int"), F.col("end_span").cast("int")
     bad = F.raise_error(F.concat(F.lit("empty or reversed annotation in "), F.col("filename"))).cast("int")
     code = [F.col("code")] if "code" in annotations.columns else []
-    return annotations.select("filename", "label", start.alias("start_span"), F.when(end > start, end).otherwise(bad).alias("end_span"), "text", *code)
+    return annotations.select("filename", "label", start.alias("start_span"), F.when(end > start, end).otherwise(bad).alias("end_span"), "text", *code, *more)
 
 
 def read_annotation_tsv(spark: SparkSession, path: str) -> DataFrame:
     return canonical(read_tsv(spark, path, ["filename", "label", "start_span", "end_span", "text"]))
 
 
-def read_ann(spark: SparkSession, path: str, pattern: str = "*.ann") -> DataFrame:
+def read_ann(spark: SparkSession, path: str, pattern: str = "{*.ann,part-*.txt}") -> DataFrame:
     """filename, label, start_span, end_span, text, code of stand-off files. A discontinuous annotation gives a row for each
     fragment; its text must be the fragments joined by spaces. Codes come from the N lines that name the annotation."""
-    files = spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True).select(_stem().alias("filename"), F.posexplode(F.split(_lines_fixed(F.col("value")), "\n")).alias("line_no", "line"))
+    files = _texts(spark, path, pattern).select("filename", F.posexplode(F.split(_lines_fixed(F.col("value")), "\n")).alias("line_no", "line"))
     parts = files.withColumn("f", F.split("line", "\t"))
     t = parts.filter(F.col("line").startswith("T")).select("filename", "line_no", F.col("f")[0].alias("id"), F.split(F.col("f")[1], " ", 2)[0].alias("label"), F.split(F.split(F.col("f")[1], " ", 2)[1], ";").alias("ranges"), F.col("f")[2].alias("whole"))
     size = lambda r: F.split(r, " ")[1].cast("int") - F.split(r, " ")[0].cast("int")
@@ -99,13 +109,100 @@ def read_corpus(spark: SparkSession, path: str, validate: bool = True) -> DataFr
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """A span table by suffix; a score that isn't a number is null."""
-    df = canonical(read_table(spark, path)).drop("code")
+    """A span table by suffix, checked as annotations are; a score that isn't a number is null."""
     raw = read_table(spark, path)
-    if "score" not in raw.columns:
+    found = canonical(raw, *(["score"] if "score" in raw.columns else [])).drop("code")
+    return found.withColumn("score", F.expr("try_cast(score AS double)")) if "score" in raw.columns else found
+
+
+def read_reference(spark: SparkSession, reference: str, target_label: str | None = None) -> DataFrame:
+    """Gold spans of a Parquet corpus or an annotation table, of one label if named."""
+    from ..operators.spans import spans_from_corpus
+
+    if reference.rstrip("/").endswith(".parquet"):
+        found = spans_from_corpus(read_corpus(spark, reference, validate=False)).drop("code")
+    else:
+        found = read_annotations(spark, reference)
+    return found if target_label is None else found.filter(F.col("label") == target_label)
+
+
+def read_labelled(spark: SparkSession, source: str | DataFrame, target_label: str, name: str) -> DataFrame:
+    """The spans of one label that an analysis works on; none raises."""
+    df = source if isinstance(source, DataFrame) else read_reference(spark, source)
+    found = df.filter(F.col("label") == target_label)
+    if found.isEmpty():
+        raise ValueError(f"{name} has no span of {target_label}")
+    return found
+
+
+def read_predicted(spark: SparkSession, source: str | DataFrame, target_label: str) -> DataFrame:
+    """Predictions of one label; one of another label raises."""
+    df = source if isinstance(source, DataFrame) else read_predictions(spark, source)
+    if others := [r["label"] for r in df.filter(~F.col("label").eqNullSafe(F.lit(target_label))).select("label").distinct().limit(5).collect()]:
+        raise ValueError(f"predictions of other labels than {target_label}: {others}")
+    return df
+
+
+def read_mentions(spark: SparkSession, path: str) -> DataFrame:
+    """Mentions with a code: filename, label, offsets, text, code, is_abbreviation and is_composite as booleans, and all other
+    columns as a map. A blank code raises."""
+    from ..functions.text import parse_bool
+
+    df = read_tsv(spark, path, ["text", "code"])
+    flags = ("is_abbreviation", "is_composite")
+    known = {"filename", "label", "start_span", "end_span", "text", "code", *flags}
+    rest = [c for c in df.columns if c not in known]
+    code = F.when(F.trim("code") == "", F.raise_error(F.concat(F.lit("a mention without a code: "), F.col("text"))).cast("string")).otherwise(F.trim("code"))
+    optional = lambda c, t: (F.expr(f"try_cast(nullif({c}, '') AS {t})") if c in df.columns else F.lit(None).cast(t)).alias(c)
+    metadata = F.create_map(*[x for c in rest for x in (F.lit(c), F.col(c))]) if rest else F.create_map().cast("map<string,string>")
+    return df.select(optional("filename", "string"), optional("label", "string"), optional("start_span", "int"), optional("end_span", "int"), "text", code.alias("code"), *((parse_bool(F.col(c)) if c in df.columns else F.lit(None).cast("boolean")).alias(c) for c in flags), metadata.alias("metadata"))
+
+
+#: Columns that linking adds. Fixed values.
+LINKED = ("code", "code_term", "code_score", "candidates_json", "code_source")
+
+
+def read_spans(spark: SparkSession, source: str | DataFrame) -> DataFrame:
+    """Spans to link: a code is a gold code, and what an earlier linking added goes."""
+    df = source if isinstance(source, DataFrame) else read_table(spark, source)
+    linked = {"code_term", "code_score", "candidates_json"} <= set(df.columns)
+    if linked:
+        return df.drop(*LINKED)
+    if "code" not in df.columns:
         return df
-    typed = raw.select("filename", "label", F.col("start_span").cast("int"), F.col("end_span").cast("int"), "text", F.expr("try_cast(score AS double)").alias("score"))
-    return typed
+    return df.withColumn("gold_code", F.nullif(F.trim("code"), F.lit(""))).drop("code")
+
+
+def optional_text(value: Column) -> Column:
+    """Trimmed, blank as null."""
+    return F.nullif(F.trim(value.cast("string")), F.lit(""))
+
+
+def has_gold(corpus: DataFrame) -> bool:
+    """Whether any document of a corpus has an entity."""
+    return not corpus.filter(F.col("n_entities") > 0).isEmpty()
+
+
+def resolve_gold(spark: SparkSession, reference: str | DataFrame | None, corpus: DataFrame, target_label: str) -> DataFrame | None:
+    """Gold spans: the reference's, else the corpus's own, else None."""
+    from ..operators.spans import spans_from_corpus
+
+    if reference is not None:
+        return reference.filter(F.col("label") == target_label) if isinstance(reference, DataFrame) else read_reference(spark, reference, target_label)
+    return spans_from_corpus(corpus, target_label) if has_gold(corpus) else None
+
+
+def read_metadata(spark: SparkSession, parquet: str) -> dict | None:
+    """metadata.json beside a Parquet table, None where there is none."""
+    beside = parquet.rstrip("/").rpartition("/")[0]
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{beside}/metadata.json")
+    return json.loads(spark.read.text(f"{beside}/metadata.json", wholetext=True).first()["value"]) if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path) else None
+
+
+def split_metadata(metadata: dict | None, filename: str) -> dict | None:
+    """The entry of a metadata's splits that names a file."""
+    return next((s for s in (metadata or {}).get("splits", []) if isinstance(s, dict) and s.get("file") == filename), None)
 
 
 def read_gazetteer(spark: SparkSession, source: str | DataFrame) -> DataFrame:
