@@ -36,9 +36,9 @@ def _ints(values) -> np.ndarray:
 
 
 def word_tokens(text: str) -> Arrays:
-    """(ids, starts, ends) of the UAX #29 words; an id is a checksum of the word."""
+    """(ids, starts, ends) of the UAX #29 words; an id is 31 bits of a checksum of the word."""
     found = word_spans(text)
-    return _ints(crc32(w["text"].encode()) for w in found), _ints(w["start"] for w in found), _ints(w["end"] for w in found)
+    return _ints(crc32(w["text"].encode()) & 0x7FFFFFFF for w in found), _ints(w["start"] for w in found), _ints(w["end"] for w in found)
 
 
 def piece_tokens(size: int, words: Callable[[str], Arrays] = word_tokens) -> Callable[[str], Arrays]:

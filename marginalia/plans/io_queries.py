@@ -242,7 +242,7 @@ def trial_outcomes(spark, sf):
 def trial_standing(spark, sf):
     done = trials.with_outcome(_trials(spark, sf), "f1").filter("outcome = 'completed'")
     found = trials.standing(done, "f1", False).select(*(F.round(c, 4).alias(c) for c in ("best", "runner_up", "gap", "noise")), "tied")
-    return found.withColumn("trial_id", F.lit(trials.best_trial(done, "f1", False).first()["trial_id"]))
+    return found.withColumn("trial_id", F.lit(trials.best_trial(done, "f1", False).first()["trial_id"]).cast("long"))
 
 
 def trial_effects(spark, sf):

@@ -34,16 +34,17 @@ def prepare_dataset(spark: SparkSession, output_dir: str, documents: str, annota
     return manifest
 
 
-def link_entities(spark: SparkSession, output_dir: str, spans: str, gazetteer: str, method: str | list[str] = "tfidf", top_k: int = 25, keep_gold: bool = False, overwrite: bool = False) -> dict:
-    """Spans with a text to linked spans; several methods are fused by reciprocal ranks. Spans with a gold code are scored."""
-    from .operators import linking
-
-    rows = tables.read_table(spark, spans).withColumn("mention_id", F.xxhash64("filename", "label", "start_span", "end_span"))
-    rows = rows.withColumnRenamed("code", "gold_code") if "code" in rows.columns else rows.withColumn("gold_code", F.lit(None).cast("string"))
-    rows = rows.withColumn("gold_code", F.nullif(F.trim("gold_code"), F.lit("")))
+def link_entities(spark: SparkSession, output_dir: str, spans: str, gazetteer: str, method: str | list[str] = "tfidf", top_k: int = 25, keep_gold: bool = False, hierarchy: str | None = None, concepts: str | None = None, overwrite: bool = False) -> dict:
+    """Spans with a text to linked spans; several methods are fused by reciprocal ranks. Spans with a gold code are scored, and
+    with a hierarchy also by where their first code stands in it."""
+    from .operators import linking, ontology
+    from .operators.retrieval import matcher
+
+    rows = tables.read_spans(spark, spans).withColumn("mention_id", F.xxhash64("filename", "label", "start_span", "end_span"))
+    rows = rows if "gold_code" in rows.columns else rows.withColumn("gold_code", F.lit(None).cast("string"))
     g = tables.read_gazetteer(spark, gazetteer)
     names = [method] if isinstance(method, str) else method
-    found = {m: METHODS[m](rows, g, k=top_k) for m in names}
+    found = {m: matcher(m)(rows, g, k=top_k) for m in names}
     candidates = next(iter(found.values()))
     if len(found) > 1:
         terms = g.groupBy("code").agg(F.min("term").alias("term"))
@@ -53,34 +54,51 @@ def link_entities(spark: SparkSession, output_dir: str, spans: str, gazetteer: s
     sinks.write_table(out, f"{output_dir}/linked.parquet", overwrite)
     scored = rows.filter("gold_code IS NOT NULL")
     report = {} if keep_gold or scored.isEmpty() else linking.retrieval_metrics(candidates, scored).first().asDict()
+    if report and hierarchy:
+        nodes, edges = ontology.graph(tables.read_hierarchy(spark, hierarchy), tables.read_concepts(spark, concepts) if concepts else None)
+        tops = scored.select("mention_id", F.col("gold_code").alias("gold")).join(candidates.filter("rank = 1").select("mention_id", F.col("code").alias("pred")), "mention_id", "left")
+        report |= ontology.summary(ontology.relations(tops, edges, nodes.withColumnRenamed("semantic_tag", "tag"))).drop("n").first().asDict()
     sinks.write_manifest(spark, report, f"{output_dir}/metrics")
     return report
 
 
-def analyze_predictions(spark: SparkSession, output_dir: str, predictions: str, reference: str, target_label: str | None = None, threshold: float = 0.6, overwrite: bool = False) -> dict:
-    """Predictions against gold spans: units, taxonomy, boundaries, budget and scores as tables."""
+def analyze_predictions(spark: SparkSession, output_dir: str, predictions: str, reference: str, training: str | None = None, target_label: str | None = None, overlap_threshold: float = 0.6, similarity_threshold: float = 0.8, sensitivity: list[float] | None = None, bootstrap_samples: int = 2000, random_state: int = 42, overwrite: bool = False) -> dict:
+    """Predictions against gold spans as tables: events, units, mentions, taxonomy, boundaries, budget, surfaces, scores by
+    document with intervals, subgroups, and where scores vary, confidence. Returns the rows of each table."""
     from .operators import analysis, scoring
+    from .session import written
 
-    gold, pred = tables.read_annotations(spark, reference), tables.read_predictions(spark, predictions)
+    gold, pred = tables.read_reference(spark, reference), tables.read_predictions(spark, predictions)
     if target_label:
-        gold, pred = gold.filter(F.col("label") == target_label), pred.filter(F.col("label") == target_label)
-    if gold.isEmpty():
-        raise ValueError("the reference has no span of the label")
-    sinks.write_table(analysis.pair_errors(gold, pred, threshold), f"{output_dir}/units.parquet", overwrite)
-    units = spark.read.parquet(f"{output_dir}/units.parquet")
-    made = {"taxonomy": analysis.error_taxonomy(units), "boundaries": analysis.boundary_summary(units), "budget": analysis.oracle_budget(units), "characters": scoring.character_scores(gold, pred), "strict": scoring.strict_scores(gold, pred), "scenarios": scoring.greedy_scores(gold, pred)}
-    for name, table in made.items():
-        sinks.write_table(table, f"{output_dir}/{name}.parquet", overwrite)
-    return {name: spark.read.parquet(f"{output_dir}/{name}.parquet").count() for name in made}
-
-
-def _methods() -> dict:
-    from .operators import linking
-
-    return {"exact": linking.exact, "levenshtein": linking.levenshtein, "bm25": linking.bm25, "tfidf": linking.tfidf}
+        gold, pred = tables.read_labelled(spark, gold, target_label, "the reference"), tables.read_predicted(spark, pred, target_label)
+    elif gold.isEmpty():
+        raise ValueError("the reference has no span")
+    events = written(analysis.strict_events(gold, pred))
+    units = written(analysis.pair_errors(events, overlap_threshold))
+    attached = written(analysis.attach_units(events, units))
+    exposures = None
+    if training:
+        known = tables.read_labelled(spark, training, target_label, "the training data") if target_label else tables.read_reference(spark, training)
+        exposures = written(analysis.exposure(gold.select("text").union(pred.select("text")), known.select("text"), similarity_threshold))
+    mentions = {side: written(analysis.describe_mentions(own, attached, side, other, exposures)) for side, own, other in (("gold", gold, pred), ("pred", pred, gold))}
+    documents = written(analysis.document_scores(events, gold, pred))
+    draws = written(analysis.bootstrap_draws(documents, bootstrap_samples, random_state))
+    families = ["word_count_bin", "casing", *analysis.TRAITS, *(["exposure", "similarity_bin", "frequency_bin"] if training else [])]
+    boundary = written(analysis.boundary_errors(units, gold, pred, exposures))
+    made = {
+        "events": attached, "units": units, "gold_mentions": mentions["gold"], "predicted_mentions": mentions["pred"], "documents": documents,
+        "gold_subgroups": analysis.subgroups(mentions["gold"], [*families, "overlapping", "nested"], "recall", draws), "predicted_subgroups": analysis.subgroups(mentions["pred"], families, "precision", draws),
+        "error_taxonomy": analysis.error_taxonomy(units), "boundary_errors": boundary, "boundary_summary": analysis.boundary_summary(boundary), "oracle_error_budget": analysis.oracle_budget(units),
+        "overlap_sensitivity": analysis.overlap_sensitivity(events, sensitivity or [0.4, 0.5, 0.7, 0.8], overlap_threshold), "error_surfaces": analysis.error_surfaces(units, gold, pred),
+        "bootstrap_intervals": analysis.bootstrap_intervals(documents, draws), "characters": scoring.character_scores(gold, pred), "scenarios": scoring.greedy_scores(gold, pred),
+    }
+    if analysis.has_varying_scores(pred):
+        scored = mentions["pred"].filter("score IS NOT NULL").withColumn("correct", F.col("outcome") == "CORRECT")
+        made |= {"confidence_by_outcome": analysis.confidence_by_outcome(scored), "calibration": analysis.calibration(scored), "confidence_sweep": analysis.confidence_sweep(gold, pred.filter("score IS NOT NULL"))}
+    paths = sinks.write_tables(made, output_dir, overwrite)
+    return {name: spark.read.parquet(path).count() for name, path in paths.items()}
 
 
-METHODS = _methods()
 TASKS = {"core.prepare_dataset": prepare_dataset, "nel.link_entities": link_entities, "ner.analyze_predictions": analyze_predictions}
 
 
