@@ -7,6 +7,7 @@ import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -17,18 +18,18 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 1 << 18
 #: Rows and bytes of an Arrow batch at most: a Python worker never holds more texts at once, but for a single longer one.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
-#: Words of 64 bits in the fixed-size id filter (512 KB): its size doesn't depend on the data.
-FILTER_WORDS = 1 << 16
+#: Words of 64 bits in an id filter: a bit for each FILTER_SHARE-th of an id, between the least (512 KB) and the most (16 MB).
+FILTER_WORDS, MOST_FILTER_WORDS, FILTER_SHARE = 1 << 16, 1 << 21, 16
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only a local session that has none gets a temporary one; on a cluster a missing setting is an error.
+    Only a session of one process that has none gets a temporary one; on a cluster a missing setting is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="marginalia-")
         spark.sparkContext.setCheckpointDir(folder)
@@ -38,7 +39,8 @@ def shared_folder(spark: SparkSession) -> str:
 class Workspace:
     """Tables written to the shared folder: they cut lineage and outlive a lost executor.
 
-    `put` writes a frame as Parquet and rereads it; `drop` deletes tables that nothing reads any more.
+    `put` writes a frame as Parquet and rereads it; `drop` deletes tables that nothing reads any more. What is left goes when
+    the driver ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -46,6 +48,10 @@ class Workspace:
         self.root = f"{shared_folder(spark)}/marginalia-{name}-{uuid.uuid4().hex[:12]}"
         self.count = 0
         self.paths: dict[int, str] = {}
+        target = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(target)
+        fs.deleteOnExit(target)
 
     def put(self, df: DataFrame, name: str = "t") -> DataFrame:
         self.count += 1
@@ -68,28 +74,38 @@ class Workspace:
         target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def id_filter(ids: DataFrame) -> DataFrame:
-    """(word, bits) of a fixed-size bitmap over the hashed ids in the only column of `ids`."""
-    key = _slot(F.col(ids.columns[0]))
-    return (
-        ids.select((key / 64).cast("int").alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), (key % 64).cast("int")).alias("_bit"))
-        .groupBy("_word")
-        .agg(F.bit_or("_bit").alias("_bits"))
-    )
+@dataclass
+class IdFilter:
+    """A bitmap over hashed ids: rows (_word, _bits), of `words` words of 64 bits at most."""
 
+    table: DataFrame
+    words: int
 
-def _slot(column: Column) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(FILTER_WORDS * 64))
+    def slot(self, column: Column) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(self.words * 64))
 
 
-def maybe_in(df: DataFrame, key: str, bitmap: DataFrame, negate: bool = False) -> DataFrame:
+def id_filter(ids: DataFrame) -> IdFilter:
+    """The bitmap of the ids in the only column of `ids`, sized by their number, up to MOST_FILTER_WORDS."""
+    words = FILTER_WORDS
+    wanted = min(ids.count() * FILTER_SHARE // 64, MOST_FILTER_WORDS)
+    while words < wanted:
+        words *= 2
+    found = IdFilter(ids, words)
+    key = found.slot(F.col(ids.columns[0]))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (key % 64).cast("int"))
+    found.table = ids.select((key / 64).cast("int").alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    return found
+
+
+def maybe_in(df: DataFrame, key: str, bitmap: IdFilter, negate: bool = False) -> DataFrame:
     """Rows whose key may be among the filtered ids (or surely isn't), without a shuffle of `df`.
 
-    The bitmap has at most FILTER_WORDS rows of 12 bytes, whatever the input: its broadcast is bounded.
+    The bitmap has at most MOST_FILTER_WORDS rows of 12 bytes, whatever the input: its broadcast is bounded.
     """
-    slot = _slot(df[key])
+    slot = bitmap.slot(df[key])
     hit = ((slot / 64).cast("int") == F.col("_word")) & (F.call_function("shiftright", F.col("_bits"), (slot % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1)
-    return df.join(F.broadcast(bitmap), hit, "left_anti" if negate else "left_semi")
+    return df.join(F.broadcast(bitmap.table), hit, "left_anti" if negate else "left_semi")
 
 
 def keep_ids(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
