@@ -33,6 +33,10 @@ ads-server.example.com/en/click www.ads-network.example.net/de/41 m.click-track.
 www.payday-loans.example.org/en/apply fast-loans.example.com/en/47 m.quick-cash.example.net/de/8 lottery-win.example.org/es/23 www.win-prize.example.com/en/18
 xxx-tube.example.net/en/watch m.hot-singles.example.org/fr/29 www.adult-cams.example.com/de/3 porn-free.example.net/en/222 replica-watches.example.org/en/14
 phish-login.example.com/en/26 www.malware-download.example.net/en/55 m.crack-keygen.example.org/de/6 seo-spam.example.com/es/81 www.cheap-seo.example.net/en/310
+roulette-online.example.org/en/3 www.jackpot-slots.example.com/en/18 m.blackjack-gamble.example.net/de/2 texas-poker.example.org/es/7 www.escort-singles.example.com/fr/15
+date-tonight.example.net/en/44 www.webcam-girls.example.org/en/9 sexy-dating.example.com/de/31 pharma-discount.example.net/es/6 www.weight-loss-miracle.example.com/en/20
+bitcoin-doubler.example.org/en/77 www.get-rich-quick.example.net/en/4 m.debt-relief.example.com/es/12 cash-advance.example.org/en/58 trojan-download.example.net/de/3
+www.keylogger-free.example.com/en/8 torrent-warez.example.org/fr/22 spyware-popunder.example.net/en/14 fake-rolex.example.com/en/63 www.hacked-accounts.example.org/en/5
 """.split()
 ALLOWED = """
 www.library.example.org/en/41 garden.example.com/en/7 news.harbour.example.net/de/120 m.theatre.example.org/fr/9 history.example.com/es/88
@@ -43,6 +47,12 @@ union.example.net/en/6 www.bridge.example.org/es/5.html station.example.com/de/3
 photos.island.example.com/fr/19 council.example.net/en/4 data.census.example.org/en/2020 health.example.com/es/11 www.string.example.net/en/640
 theory.example.org/de/8 m.thinner.example.com/en/91 nation.example.net/en/45 www.hand.example.org/fr/3 thousand.example.com/en/18
 reader.example.net/es/27 blog.thing.example.org/en/5 wheat.example.com/de/70 www.ether.example.net/en/9?page=2 rather.example.org/fr/14
+journal.example.com/es/8 www.chemistry.example.net/en/31 biology.example.org/fr/6 bakery.example.com/de/19 m.football.example.net/en/72
+cinema.example.org/en/4 www.gallery.example.com/fr/55 lecture.example.net/de/9 hospital.example.org/es/23 clinic.example.com/en/16
+castle.example.net/fr/2 novel.example.com/es/41 www.grammar.example.org/en/80 climate.example.net/en/13 harvest.example.com/de/7
+violin.example.org/es/5 bookshop.example.com/en/29 www.tennis.example.net/fr/34 software.example.org/en/61 statistics.example.com/de/10
+economics.example.net/es/3 culture.example.org/fr/47 traffic.example.com/en/88 www.cooking.example.net/es/11 cellar.example.org/de/36
+motorcycle.example.com/en/92 insects.example.net/en/17 medieval.example.org/en/6 minerals.example.com/fr/21 registry.example.net/en/50
 """.split()
 
 

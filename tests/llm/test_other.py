@@ -183,6 +183,23 @@ def test_urls(spark):
     assert url_filter.url_filter(spark, spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+#: Hosts that the labelled table doesn't hold.
+UNWANTED = "online-poker mega-casino poker-bets viagra-pills cheap-drugs adult-dating xxx-videos porn-tube quick-loans payday-cash free-malware-scan download-crack phishing-bank-login ad-click-network banner-track win-lottery-prize spam-seo-links link-farm-directory replica-bags hot-cams"
+WANTED = "physics opera poetry village school archive geology forest recipes railway astronomy painting parliament gardening bicycle sculpture sailing cathedral medicine festival"
+
+
+def test_url_model_on_hosts_it_has_not_seen(spark):
+    known = url_filter.BLOCKED + url_filter.ALLOWED
+    names = [(n, 1) for n in UNWANTED.split()] + [(n, 0) for n in WANTED.split()]
+    assert not any(u.removeprefix("www.").removeprefix("m.").startswith(f"{n}.") for u in known for n, _ in names) and len(known) <= 200
+    tlds, paths = ("com", "net", "org"), ("en/4", "es/77", "de/3", "fr/9")
+    urls = [(f"http://{n}.example.{tlds[i % 3]}/{paths[i % 4]}", y) for i, (n, y) in enumerate(names)]
+    weights = url_filter.fit(url_filter.labelled_urls(spark))
+    host, path = url_filter.split_url(url_filter.F.col("url"))
+    got = spark.createDataFrame(urls, "url string, y int").select("y", url_filter.unwanted(weights, host, path).alias("s")).collect()
+    assert sum((r.s >= 0.5) == bool(r.y) for r in got) / len(got) >= 0.85
+
+
 def test_url_model_matches_brute_force(spark):
     rows_ = [("http://a.b/c", 1), ("http://d.e/f", 0), ("http://a.x/c", 1), (None, 1)]
     df = spark.createDataFrame(rows_, "url string, label int")
