@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from .intervals import clusters, covered, overlap_join, shared_length
 from .scoring import entity_credits, greedy_events, numbered, ratio, span_dice, with_prf, with_span_id
+from .stats import quantile_edges
 
 #: Names of tables and columns that others read. Fixed values.
 ERROR_TYPES = ("CORRECT", "BOUNDARY_ERROR", "MISSED", "SPURIOUS", "UNCREDITED_EXACT")
@@ -363,8 +364,7 @@ def word_count_bin(words: Column) -> Column:
 
 def calibration(scored: DataFrame, bins: int = 10) -> DataFrame:
     """bin, n, mean_score, exact_share of (score, correct): right-closed bins between distinct quantiles."""
-    edges = scored.agg(F.percentile("score", F.array(*(F.lit(i / bins) for i in range(bins + 1)))).alias("e")).first()["e"]
-    cuts = sorted(set(edges or []))
+    cuts = sorted(set(quantile_edges(scored, "score", [i / bins for i in range(bins + 1)])))
     bucket = F.lit(0)
     for i, cut in enumerate(cuts[1:-1], 1):
         bucket = F.when(F.col("score") > cut, F.lit(i)).otherwise(bucket)
@@ -527,13 +527,13 @@ def confidence_sweep(gold: DataFrame, predicted: DataFrame, points: int = 20) ->
 
     Each equal span pairs off one to one, best scores first, so one pass of matching serves every threshold.
     """
-    cuts = predicted.agg(F.percentile("score", F.array(*(F.lit(i / points) for i in range(points + 1)))).alias("e")).first()["e"]
+    cuts = quantile_edges(predicted, "score", [i / points for i in range(points + 1)])
     n_gold = gold.count()
     g = gold.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_gold"))
     nth = F.row_number().over(W.partitionBy(*KEY).orderBy(F.desc("score")))
     p = predicted.withColumn("nth", nth).join(g, KEY, "left").select("score", (F.col("nth") <= F.coalesce("n_gold", F.lit(0))).cast("int").alias("hit"))
     # a row for each score and threshold that it reaches
-    at = p.groupBy("score").agg(F.count(F.lit(1)).alias("n"), F.sum("hit").alias("hit")).select("n", "hit", F.explode(F.filter(F.array(*map(F.lit, sorted(set(cuts or [])))), lambda c: F.col("score") >= c)).alias("threshold"))
+    at = p.groupBy("score").agg(F.count(F.lit(1)).alias("n"), F.sum("hit").alias("hit")).select("n", "hit", F.explode(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: F.col("score") >= c)).alias("threshold"))
     sums = at.groupBy("threshold").agg(F.sum("n").alias("n_pred"), F.sum("hit").alias("tp"))
     return sums.select("threshold", "n_pred", "tp", ratio(F.col("tp"), F.col("n_pred")).alias("precision"), ratio(F.col("tp"), F.lit(n_gold)).alias("recall"), ratio(2 * F.col("tp"), F.col("n_pred") + F.lit(n_gold)).alias("f1"))
 

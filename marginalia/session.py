@@ -20,6 +20,7 @@ def build_session(app: str = "marginalia", cores: str | None = None) -> SparkSes
         .config("spark.driver.memory", os.environ.get("MARGINALIA_DRIVER_MEMORY", "8g"))
         .config("spark.sql.shuffle.partitions", cores)
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", os.environ.get("MARGINALIA_SHARED") or f"file://{tempfile.mkdtemp(prefix='marginalia-')}")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

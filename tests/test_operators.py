@@ -512,3 +512,33 @@ def test_text_statistics_equal_plain_counts(spark):
     assert got.n_documents == len(texts) and got.n_chars == sum(len(t or "") for t in texts) and got.n_words == sum(map(len, words_))
     assert got.words_mean == pytest.approx(np.mean([len(w) for w in words_])) and got.words_q50 == np.quantile([len(w) for w in words_], 0.5)
     assert got.mattr == pytest.approx(sum(m * len(w) for m, w in zip(plain, words_) if m is not None) / sum(len(w) for w in words_ if w))
+
+
+def test_words_of_the_standard():
+    t = "δυσπνοια-ορθοπνοια, (ΑΥ) 12.5 mg can't Ιστορικό:ΧΚΜ\n\nΣΝ: 3:4"
+    assert [w["text"] for w in stats.word_spans(t)] == ["δυσπνοια", "-", "ορθοπνοια", ",", "(", "ΑΥ", ")", "12.5", "mg", "can't", "Ιστορικό:ΧΚΜ", "ΣΝ", ":", "3", ":", "4"]
+    assert stats.content_words("Can't stop: 12.5 mg, ΑΥ!") == ["can't", "stop", "12.5", "mg", "αυ"] and stats.word_spans("") == []
+
+
+def test_sentences_by_language(spark):
+    def cut(code, t):
+        at = stats.sentence_segmenter(code)[0](t)
+        return [t[a:b] for a, b in zip(at, [*at, len(t)][1:], strict=True)]
+
+    assert cut("en", "Dr. Smith came. He left. J. Doe, e.g. him, stayed.") == ["Dr. Smith came. ", "He left. ", "J. Doe, e.g. him, stayed."]
+    assert cut("de", "Es ist z.B. so. Dr. Maier ging.") == ["Es ist z.B. so. ", "Dr. Maier ging."] and cut("ja", "Dr. A. B") == ["Dr. ", "A. B"]
+    assert stats.sentence_segmenter("el")[1]["language"] == "el" and cut("en", "") == []
+    for bad in ("english", "", None):
+        with pytest.raises(ValueError):
+            stats.sentence_segmenter(bad)
+    df = spark.createDataFrame([(1, "Dr. A came. B.", "en"), (2, "Dr. A came. B.", None), (3, None, "en")], "doc_id int, text string, lang string")
+    assert {r.doc_id: len(r.sentences) for r in stats.language_sentences(df).collect()} == {1: 2, 2: 3, 3: 0}
+
+
+def test_quantiles_need_no_single_task(spark):
+    rng = np.random.default_rng(2)
+    for values in (rng.normal(size=5000), np.repeat([1.0, 2.0, 7.0], [3, 4000, 5]), np.array([4.0])):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "x double")
+        points = [0.0, 0.01, 0.5, 0.777, 1.0]
+        assert stats.quantile_edges(df, "x", points, 1000) == pytest.approx(np.quantile(values, points).tolist())
+    assert stats.quantile_edges(df.limit(0), "x", [0.5]) == []
