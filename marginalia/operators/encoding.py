@@ -13,7 +13,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -310,6 +310,12 @@ class Encoder:
         """The same with the labels of every head at each position."""
         return self._encode(corpus, True)
 
+    def encode_parquet(self, spark: SparkSession, *paths: str) -> DataFrame:
+        """The rows of stored corpora (doc_id, text, entities_json), of which only these columns are read."""
+        from .corpus import ENTITIES
+
+        return self.encode(spark.read.parquet(*paths).select("doc_id", "text", F.from_json("entities_json", ENTITIES).alias("entities")))
+
     def _encode(self, corpus: DataFrame, many: bool) -> DataFrame:
         id_type = corpus.schema["doc_id"].dataType.simpleString()
         pad = lambda x: np.concatenate([np.full(len(self.prefix), IGNORED), x, np.full(len(self.suffix), IGNORED)])

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -156,20 +155,18 @@ _ARROW = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("text"
 
 def mattr(sequence: list[str], window: int = 100) -> float:
     """Mean share of distinct items over every window; the plain share of a shorter sequence, NaN of an empty one."""
-    n = len(sequence)
+    n, w = len(sequence), min(window, len(sequence))
     if not n:
         return float("nan")
-    if n <= window:
-        return len(set(sequence)) / n
-    counts = Counter(sequence[:window])
-    total = kinds = len(counts)
-    for old, new in zip(sequence, sequence[window:]):
-        counts[old] -= 1
-        kinds -= not counts[old]
-        kinds += not counts[new]
-        counts[new] += 1
-        total += kinds
-    return total / window / (n - window + 1)
+    # a place counts in the windows that hold it but not the last place of the same item before it
+    kinds = np.unique(np.array(sequence, object).astype(str), return_inverse=True)[1].ravel()
+    order = np.argsort(kinds, kind="stable")
+    again = np.concatenate([[False], kinds[order][1:] == kinds[order][:-1]])
+    before = np.full(n, -1)
+    before[order[again]] = order[np.flatnonzero(again) - 1]
+    place = np.arange(n)
+    first, last = np.maximum(np.maximum(before, place - w) + 1, 0), np.minimum(place, n - w)
+    return float(np.maximum(last - first + 1, 0).sum()) / w / (n - w + 1)
 
 
 def document_measures(documents: DataFrame, window: int = 100) -> DataFrame:

@@ -8,9 +8,10 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import encoding, ensemble, scoring, stats
+from ..operators import encoding, ensemble, evaluation, scoring, stats
 from ..session import table
-from .derive import GOLD_SQL, gold, words
+from .derive import GOLD_SQL, gold, predicted, words
+from .span_queries import _COUNTS, _RATIOS, _UNIONS, greedy_sql
 
 _STOP = re.compile(r"(?<=\.) +(?=[^ ])")
 BUDGET, PREFIX, SUFFIX = 48, (1, 2), (3,)
@@ -114,7 +115,28 @@ def plain_sentences(spark, sf):
     return d.select("doc_id", F.inline(stats.sentences_by(stops)(F.col("text")))).select("doc_id", "start", "end")
 
 
-QUERIES = {f.__name__: f for f in (encoded_rows, context_rows, head_labels, decoded_gold, head_gold_spans, predicted_rows, row_diagnostics, word_votes, word_spans_found, broken_tags, mention_token_lengths, plain_sentences)}
+def row_report(spark, sf):
+    """Every metric of rows with logits."""
+    encoder = _encoder()
+    found = evaluation.evaluate_rows(_logits(encoder.encode(_corpus(spark, sf, "PHRASE"))), encoder, confusion=True)
+    return found.filter("metric LIKE 'token%'").select("metric", F.round("value", 5).alias("value"))
+
+
+def span_report(spark, sf):
+    """Every metric of spans: scenarios, characters, entities."""
+    found = evaluation.span_metrics(gold(spark, sf), predicted(spark, sf), ["DET", "LONG"])
+    return found.select("metric", F.round("value", 3).alias("value"))
+
+
+def head_reports(spark, sf):
+    """Scores of two heads, rebuilt from rows with logits by rule."""
+    encoder = _encoder(labels=("PHRASE", "DET"), budget=1 << 24, policy="keep_longest")
+    rows = _logits(encoder.encode_heads(_corpus(spark, sf, "PHRASE", "DET")))
+    rows = rows.withColumn("logits", F.transform("logits", lambda x: F.array(x, F.reverse(x))))
+    return evaluation.head_token_reports(rows, encoder, by_entity=False).filter("metric LIKE '%micro%' OR metric LIKE '%accuracy'").select("head", "metric", F.round("value", 5).alias("value"))
+
+
+QUERIES = {f.__name__: f for f in (encoded_rows, context_rows, head_labels, decoded_gold, head_gold_spans, predicted_rows, row_diagnostics, word_votes, word_spans_found, row_report, span_report, head_reports, broken_tags, mention_token_lengths, plain_sentences)}
 
 
 def _tokens_sql(entities: str) -> str:
@@ -173,6 +195,20 @@ _PRED = f"""{_MODEL}, piece_end AS (SELECT w."window", g.doc_id, g.w, max(g.e) A
     op AS (SELECT pb.*, q.e AS reach, k.s AS first, CASE WHEN tag = 1 OR (tag = 2 AND coalesce(lag(tag) OVER (PARTITION BY pb.doc_id, pb."window" ORDER BY pb.t), 0) = 0) THEN 1 ELSE 0 END AS opens FROM pb JOIN piece_end q ON q.doc_id = pb.doc_id AND q."window" = pb."window" AND q.w = pb.w JOIN tk k ON k.doc_id = pb.doc_id AND k.t = pb.t),
     ru AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id, "window" ORDER BY t ROWS UNBOUNDED PRECEDING) AS r FROM op),
     sp AS (SELECT doc_id, min(first) AS s, max(reach) AS e, avg(p[tag + 1]) AS score FROM ru WHERE tag > 0 GROUP BY doc_id, "window", r)"""
+#: The token report of tag pairs `nm` (g, p).
+_REPORT = """kinds AS (SELECT DISTINCT tag FROM (SELECT g AS tag FROM nm UNION ALL SELECT p FROM nm) WHERE tag <> 'O'),
+    ct AS (SELECT tag, count_if(g = tag AND p = tag)::DOUBLE AS tp, count_if(p = tag AND g <> tag)::DOUBLE AS fp, count_if(g = tag AND p <> tag)::DOUBLE AS fn FROM nm, kinds GROUP BY tag),
+    cf AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS pr, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS rc, CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END AS f FROM ct),
+    mi AS (SELECT sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM ct),
+    et AS (SELECT count_if(g <> 'O' AND p <> 'O')::DOUBLE AS tp, count_if(g = 'O' AND p <> 'O')::DOUBLE AS fp, count_if(g <> 'O' AND p = 'O')::DOUBLE AS fn FROM nm),
+    report AS (SELECT 'token_accuracy' AS metric, avg((g = p)::INT) AS value FROM nm
+        UNION ALL SELECT unnest(['token_micro_precision', 'token_micro_recall', 'token_micro_f1']), unnest([tp / (tp + fp), tp / (tp + fn), 2 * tp / (2 * tp + fp + fn)]) FROM mi
+        UNION ALL SELECT unnest(['token_macro_precision', 'token_macro_recall', 'token_macro_f1']), unnest([avg(pr), avg(rc), avg(f)]) FROM cf
+        UNION ALL SELECT 'token_tag_' || tag || '_' || unnest(['tp', 'fp', 'fn', 'precision', 'recall', 'f1']), unnest([tp, fp, fn, pr, rc, f]) FROM cf
+        UNION ALL SELECT 'token_entity_PHRASE_' || unnest(['tp', 'fp', 'fn', 'precision', 'recall', 'f1']), unnest([tp, fp, fn, tp / (tp + fp), tp / (tp + fn), 2 * tp / (2 * tp + fp + fn)]) FROM et)"""
+_ONLY = greedy_sql("filename").replace("FROM gold)", "FROM gold WHERE label IN ('DET', 'LONG'))", 1).replace("FROM pred)", "FROM pred WHERE label IN ('DET', 'LONG'))", 1)
+_DICE = "2.0::DOUBLE * (least(g.end_span, p.end_span) - greatest(g.start_span, p.start_span)) / (g.end_span - g.start_span + p.end_span - p.start_span)"
+_UNIONS = _UNIONS.replace("FROM gold)", "FROM gn)").replace("FROM pred)", "FROM pn)").replace("FROM gold s", "FROM gn s").replace("FROM pred s", "FROM pn s")
 ORACLES = {
     "encoded_rows": f"WITH RECURSIVE {_tokens_sql(_PHRASES)}, {_GREEDY}, {_ROWS}",
     "context_rows": f"WITH RECURSIVE {_tokens_sql(_PHRASES)}, {_CONTEXT}, {_ROWS}",
@@ -186,6 +222,19 @@ ORACLES = {
     "word_spans_found": f"""WITH RECURSIVE {_tokens_sql(_PHRASES)}, {_MODEL}, f AS (SELECT doc_id, w, p[2] AS b, p[3] AS i FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, w ORDER BY "window", t) AS k FROM pb) WHERE k = 1),
         k AS (SELECT *, CASE WHEN b + i - 0.5::DOUBLE > 1e-9 THEN 1 ELSE 0 END AS isin FROM f), o AS (SELECT *, CASE WHEN isin = 1 AND (coalesce(lag(isin) OVER (PARTITION BY doc_id ORDER BY w), 0) = 0 OR b - i > 1e-9) THEN 1 ELSE 0 END AS opens FROM k),
         n AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY w ROWS UNBOUNDED PRECEDING) AS r FROM o) SELECT doc_id, min(w)::INTEGER AS first_word, max(w)::INTEGER AS last_word, round(avg(CASE WHEN opens = 1 THEN b ELSE i END), 6) AS score FROM n WHERE isin = 1 GROUP BY doc_id, r""",
+    "row_report": f"""WITH RECURSIVE {_tokens_sql(_PHRASES)}, {_MODEL}, nm AS (SELECT ['O', 'B-PHRASE', 'I-PHRASE'][gold + 1] AS g, ['O', 'B-PHRASE', 'I-PHRASE'][tag + 1] AS p FROM pb), {_REPORT}
+        SELECT metric, round(value, 5) AS value FROM report UNION ALL SELECT 'token_confusion_' || g || '_' || p, count(*)::DOUBLE FROM nm GROUP BY g, p""",
+    "head_reports": " UNION ALL ".join(f"""SELECT '{label}' AS head, metric, value FROM (WITH {_tokens_sql(_longest(label))}, pr AS (SELECT tag AS gold, [((doc_id * 7 + s * 2) % 5)::DOUBLE, ((doc_id * 7 + s * 3) % 5)::DOUBLE, ((doc_id * 7 + s * 4) % 5)::DOUBLE] AS l0 FROM tg WHERE opens),
+        ps AS (SELECT gold, {'l0' if label == 'PHRASE' else 'list_reverse(l0)'} AS l FROM pr), nm AS (SELECT ['O', 'B', 'I'][gold + 1] AS g, ['O', 'B', 'I'][list_position(l, list_max(l))] AS p FROM ps), {_REPORT} SELECT metric, round(value, 5) AS value FROM report WHERE metric LIKE '%micro%' OR metric LIKE '%accuracy')""" for label in ("PHRASE", "DET")),
+    "span_report": f"""WITH RECURSIVE {_ONLY}, sums AS (SELECT scenario, {_COUNTS} FROM events GROUP BY scenario), {_RATIOS}, {_UNIONS},
+        hit AS (SELECT sum(least(g.e, p.e) - greatest(g.s, p.s)) AS tp FROM gu g JOIN pu p USING (filename, label) WHERE p.s < g.e AND g.s < p.e), ch AS (SELECT tp::DOUBLE AS tp, ((SELECT sum(e - s) FROM pu) - tp)::DOUBLE AS fp, ((SELECT sum(e - s) FROM gu) - tp)::DOUBLE AS fn FROM hit),
+        dp AS (SELECT DISTINCT filename, label, start_span, end_span FROM pn), dg AS (SELECT *, row_number() OVER () AS k FROM gn), dd AS (SELECT *, row_number() OVER () AS k FROM dp),
+        gc AS (SELECT g.k, max({_DICE}) AS c FROM dg g JOIN dp p USING (filename, label) WHERE p.start_span < g.end_span AND g.start_span < p.end_span GROUP BY ALL), pc AS (SELECT p.k, max({_DICE}) AS c FROM dd p JOIN gn g USING (filename, label) WHERE p.start_span < g.end_span AND g.start_span < p.end_span GROUP BY ALL),
+        ec AS (SELECT (SELECT count(*) FROM gn)::DOUBLE AS ng, (SELECT count(*) FROM dp)::DOUBLE AS np, (SELECT sum(c) FROM gc) / (SELECT count(*) FROM gn) AS r, (SELECT sum(c) FROM pc) / (SELECT count(*) FROM dp) AS p),
+        rep AS (SELECT 'span_' || scenario || '_' || name AS metric, round(value, 4) AS value FROM (UNPIVOT (SELECT scenario, precision::DOUBLE AS precision, recall::DOUBLE AS recall, f1::DOUBLE AS f1, correct::DOUBLE AS correct, incorrect::DOUBLE AS incorrect, partial::DOUBLE AS partial, missed::DOUBLE AS missed, spurious::DOUBLE AS spurious FROM scored) ON precision, recall, f1, correct, incorrect, partial, missed, spurious INTO NAME name VALUE value)
+            UNION ALL SELECT unnest(['char_correct', 'char_spurious', 'char_missed', 'char_precision', 'char_recall', 'char_f1']), unnest([tp, fp, fn, tp / (tp + fp), tp / (tp + fn), 2 * tp / (2 * tp + fp + fn)]) FROM ch
+            UNION ALL SELECT unnest(['entity_char_gold', 'entity_char_predicted', 'entity_char_precision', 'entity_char_recall', 'entity_char_f1']), unnest([ng, np, p, r, 2 * p * r / (p + r)]) FROM ec)
+        SELECT metric, round(value, 3) AS value FROM rep""",
     "broken_tags": f"""WITH {GOLD_SQL}, t AS (SELECT doc_id::VARCHAR AS filename, word_no AS position, ['O', 'B-X', 'I-X', 'I-Y'][((word_no * 5 + doc_id) % 7 % 4 + 1)::INT] AS tag FROM words), p AS (SELECT *, coalesce(lag(tag) OVER (PARTITION BY filename ORDER BY position), 'O') AS prev FROM t)
         SELECT filename, position, tag FROM p WHERE tag[1] = 'I' AND (prev = 'O' OR prev[3] <> tag[3])""",
     "mention_token_lengths": f"WITH {GOLD_SQL}, d AS (SELECT DISTINCT doc_id, start_span, end_span FROM gold), w AS (SELECT * FROM words WHERE token <> ''), c AS (SELECT d.doc_id, d.start_span, d.end_span, count(w.doc_id) AS n_tokens FROM d LEFT JOIN w ON w.doc_id = d.doc_id AND w.start_span < d.end_span AND d.start_span < w.end_span GROUP BY ALL) SELECT n_tokens, count(*) AS n FROM c GROUP BY n_tokens",

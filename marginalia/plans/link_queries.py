@@ -250,18 +250,73 @@ def ensemble_hard_votes(spark, sf):
     return ensemble.combine_votes(_votes(spark, sf), {"a": 1.0, "b": 1.0, "c": 1.0}, True).groupBy(F.round("begin", 4).alias("begin"), F.round("inside", 4).alias("inside")).agg(F.count(F.lit(1)).alias("n"))
 
 
+_SEARCHED = [{"threshold": 0.5, "a": 1.0, "b": 1.0, "c": 1.0}, {"threshold": 0.3, "a": 2.0, "b": 1.0, "c": 1.0}, {"threshold": 0.6, "a": 0.0, "b": 1.0, "c": 3.0}]
+
+
+def ensemble_search(spark, sf):
+    """Three trials of weights and a threshold, against every tenth word as an entity of its own or with the next."""
+    w = words(spark, sf)
+    gold_ = w.filter("word_no % 10 = 3").select("doc_id", F.col("word_no").alias("first_word"), (F.col("word_no") + F.col("doc_id") % 2).alias("last_word"))
+    return ensemble.search(_votes(spark, sf), gold_, _SEARCHED).select("trial", "threshold", "tp", "n_pred", "n_gold", F.round("f1", 6).alias("f1"))
+
+
+def aligned_votes(spark, sf):
+    """Members that lack some words, and a word that one has twice."""
+    v = _votes(spark, sf).drop("len")
+    tables_ = {m: v.filter(F.col("member") == m).filter((F.col("word_id") + F.ascii("member")) % 5 != 0).drop("member") for m in "abc"}
+    tables_["a"] = tables_["a"].unionByName(tables_["a"].filter("word_id % 7 = 1"))
+    votes = ensemble.align_votes(tables_)
+    return ensemble.combine_votes(votes, _WEIGHTS, False).select("doc_id", "word_id", *(F.round(c, 6).alias(c) for c in ("begin", "inside", "p_B", "p_I")))
+
+
+def _emissions(spark, sf):
+    li = table(spark, sf, "lineitem")
+    e = F.array(*(((F.col("l_orderkey") * (7 + k) + F.col("l_linenumber") * (3 + 5 * k) + k) % 11).cast("double") / 4 for k in range(3)))
+    return li.select(F.col("l_orderkey").alias("sequence_id"), F.col("l_linenumber").alias("position"), e.alias("emission")).dropDuplicates(["sequence_id", "position"])
+
+
+_TRANSITIONS, _FIRST, _LAST = [[0.3, 0.11, -1.07], [0.02, -0.6, 0.71], [0.13, 0.17, 0.4]], [0.5, 0.23, -2.0], [0.1, 0.0, 0.29]
+
+
+def tag_sequences(spark, sf):
+    """The best path and the marginals of short sequences."""
+    import numpy as np
+
+    from ..operators import sequence
+
+    found = sequence.decode(_emissions(spark, sf), np.array(_TRANSITIONS), np.array(_FIRST), np.array(_LAST))
+    return found.select("sequence_id", "position", "tag", F.round("probability", 5).alias("probability"))
+
+
 def dense_topk(spark, sf):
     from ..operators.dense import cosine_top_k
 
     return cosine_top_k(table(spark, sf, "embeddings"), 10).select("query_id", "rank", "vec_id")
 
 
-QUERIES = {f.__name__: f for f in (link_exact, link_levenshtein, link_bm25, link_tfidf, link_fused, retrieval_metrics, linked_spans, ontology_relations, ontology_ancestors, ontology_summary, graph_metrics, direction_table, vocabulary, candidate_lists, candidate_metrics, labelled_links, reranked, parsed_codes, graph_pairs, ranking_examples, hashed_links, vector_ip, vector_l2, vector_all_cells, normalized_vectors, ensemble_spans, ensemble_hard_votes, dense_topk)}
+QUERIES = {f.__name__: f for f in (link_exact, link_levenshtein, link_bm25, link_tfidf, link_fused, retrieval_metrics, linked_spans, ontology_relations, ontology_ancestors, ontology_summary, graph_metrics, direction_table, vocabulary, candidate_lists, candidate_metrics, labelled_links, reranked, parsed_codes, graph_pairs, ranking_examples, hashed_links, vector_ip, vector_l2, vector_all_cells, normalized_vectors, ensemble_spans, ensemble_hard_votes, ensemble_search, aligned_votes, tag_sequences, dense_topk)}
 
 _LEV = "scored AS (SELECT mention_id, code, term, entry_id, 1 - levenshtein(norm, lower(term))::DOUBLE / greatest(length(norm), length(term)) AS score FROM mt JOIN gaz ON 1 - levenshtein(norm, lower(term))::DOUBLE / greatest(length(norm), length(term)) >= 0.8::DOUBLE - 1e-12)"
 _ONTO = """edges AS (SELECT 'R' || n_regionkey AS parent, 'N' || n_nationkey AS child FROM nation UNION ALL SELECT 'N' || s_nationkey, 'S' || s_suppkey FROM supplier),
     up AS (SELECT code, code AS ancestor, 0 AS distance FROM (SELECT parent AS code FROM edges UNION SELECT child FROM edges) UNION SELECT up.code, e.parent, up.distance + 1 FROM up JOIN edges e ON e.child = up.ancestor),
     anc AS (SELECT code, ancestor, min(distance) AS distance FROM up GROUP BY ALL)"""
+def _sequences_sql() -> str:
+    """Every path of each short sequence with its score: the best one, and the shares of the tags in all."""
+    e = ", ".join(f"((l_orderkey * {7 + k} + l_linenumber * {3 + 5 * k} + {k}) % 11)::DOUBLE / 4" for k in range(3))
+    pick = lambda values: "[" + ", ".join(f"{v}::DOUBLE" for v in values) + "]"
+    moves = "[" + ", ".join(pick(r) for r in _TRANSITIONS) + "]"
+    return f"""WITH RECURSIVE em AS (SELECT l_orderkey AS sid, l_linenumber AS pos, [{e}] AS e, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)),
+        ahead AS (SELECT sid, i, n, t AS tag, {pick(_FIRST)}[t + 1] + e[t + 1] AS a, {pick(_FIRST)}[t + 1] + e[t + 1] AS best, [t] AS path FROM em, (VALUES (0), (1), (2)) v(t) WHERE i = 1
+            UNION ALL SELECT sid, i, n, tag, ln(sum(exp(a + move))) + any_value(e[tag + 1]) AS a, max(best + move) + any_value(e[tag + 1]), list_append(arg_max(path, best + move), tag) FROM (
+                SELECT p.sid, p.i + 1 AS i, p.n, v.t AS tag, p.a, p.best, p.path, {moves}[p.tag + 1][v.t + 1] AS move, m.e FROM ahead p JOIN em m ON m.sid = p.sid AND m.i = p.i + 1, (VALUES (0), (1), (2)) v(t)) GROUP BY sid, i, n, tag),
+        behind AS (SELECT sid, i, t AS tag, {pick(_LAST)}[t + 1] AS b FROM em, (VALUES (0), (1), (2)) v(t) WHERE i = n
+            UNION ALL SELECT sid, i, tag, ln(sum(exp(b + move))) AS b FROM (SELECT p.sid, p.i - 1 AS i, v.t AS tag, p.b + m.e[p.tag + 1] AS b, {moves}[v.t + 1][p.tag + 1] AS move FROM behind p JOIN em m ON m.sid = p.sid AND m.i = p.i, (VALUES (0), (1), (2)) v(t) WHERE p.i > 1) GROUP BY sid, i, tag),
+        path AS (SELECT sid, arg_max(path, best + {pick(_LAST)}[tag + 1]) AS path FROM ahead WHERE i = n GROUP BY sid),
+        marg AS (SELECT a.sid, a.i, a.tag, exp(a.a + b.b) / sum(exp(a.a + b.b)) OVER (PARTITION BY a.sid, a.i) AS p FROM ahead a JOIN behind b USING (sid, i, tag))
+        SELECT em.sid AS sequence_id, em.pos AS position, path[em.i]::INTEGER AS tag, round(p, 5) AS probability FROM em JOIN path USING (sid) JOIN marg ON marg.sid = em.sid AND marg.i = em.i AND marg.tag = path[em.i]"""
+
+
+_SEQUENCES = _sequences_sql()
 _RELATED = """p AS (SELECT CASE WHEN c_custkey % 2 = 0 THEN 'N' || c_nationkey ELSE 'R' || (c_custkey % 5) END AS gold, CASE WHEN c_custkey % 3 = 0 THEN 'N' || (c_custkey % 27) ELSE 'S' || (c_custkey % 100 + 1) END AS pred FROM customer),
     ways AS (SELECT parent AS x, child AS y FROM edges UNION SELECT child, parent FROM edges), hop AS (SELECT code, code AS at_code, 0 AS d FROM (SELECT DISTINCT gold AS code FROM p WHERE gold IN (SELECT code FROM anc)) UNION SELECT hop.code, ways.y, d + 1 FROM hop JOIN ways ON ways.x = hop.at_code WHERE d < 6), near AS (SELECT code, at_code, min(d) AS d FROM hop GROUP BY ALL),
     related AS (SELECT p.*, gold[1] = pred[1] AND gold IN (SELECT code FROM anc) AND pred IN (SELECT code FROM anc) AS same_tag,
@@ -319,6 +374,14 @@ ORACLES = {
     "ensemble_spans": f"{_VOTES} SELECT doc_id, min(word_id) AS first_word, max(word_id) AS last_word, round(avg(CASE WHEN opens = 1 THEN p_B ELSE p_I END), 6) AS score FROM n WHERE isin = 1 GROUP BY doc_id, g",
     "ensemble_hard_votes": f"""{_VOTES}, t AS (SELECT doc_id, word_id, CASE WHEN p_B >= p_O AND p_B >= p_I THEN 'B' WHEN p_I >= p_O THEN 'I' ELSE 'O' END AS tag FROM v),
         s AS (SELECT doc_id, word_id, round(avg(CASE WHEN tag = 'B' THEN 1.0::DOUBLE ELSE 0 END), 4) AS begin, round(avg(CASE WHEN tag = 'I' THEN 1.0::DOUBLE ELSE 0 END), 4) AS inside FROM t GROUP BY ALL) SELECT begin, inside, count(*) AS n FROM s GROUP BY ALL""",
+    "ensemble_search": " UNION ALL ".join(f"""SELECT {i}::INTEGER AS trial, {t['threshold']}::DOUBLE AS threshold, tp, n_pred, n_gold, round(2.0::DOUBLE * tp / (n_pred + n_gold), 6) AS f1 FROM ({_VOTES
+        .replace("CASE member WHEN 'a' THEN 0.5::DOUBLE ELSE 0.25::DOUBLE END", f"CASE member WHEN 'a' THEN {t['a']}::DOUBLE WHEN 'b' THEN {t['b']}::DOUBLE ELSE {t['c']}::DOUBLE END").replace('0.5::DOUBLE > 1e-9', f"{t['threshold']}::DOUBLE > 1e-9")},
+        sp AS (SELECT doc_id, min(word_id) AS first_word, max(word_id) AS last_word FROM n WHERE isin = 1 GROUP BY doc_id, g), gd AS (SELECT DISTINCT doc_id, word_no AS first_word, word_no + doc_id % 2 AS last_word FROM words WHERE word_no % 10 = 3)
+        SELECT (SELECT count(*) FROM sp JOIN gd USING (doc_id, first_word, last_word)) AS tp, (SELECT count(*) FROM sp) AS n_pred, (SELECT count(*) FROM gd) AS n_gold)""" for i, t in enumerate(_SEARCHED)),
+    "aligned_votes": f"""WITH {WORDS_SQL}, v0 AS (SELECT doc_id, word_no AS word_id, length(token) AS len, unnest(['a', 'b', 'c']) AS member, unnest([1, 2, 3]) AS mi FROM words),
+        v AS (SELECT doc_id, word_id, ((doc_id * 7 + word_id * 13 + mi * 29) % 10)::DOUBLE / 20 AS b, ((doc_id * 3 + word_id * 11 + len + mi * 17) % 10)::DOUBLE / 20 AS i, CASE member WHEN 'a' THEN 0.5::DOUBLE ELSE 0.25::DOUBLE END AS w FROM v0 WHERE (word_id + 96 + mi) % 5 <> 0)
+        SELECT doc_id, word_id, round(sum(w * b) / sum(w), 6) AS begin, round(sum(w * i) / sum(w), 6) AS inside, round(sum(w * b) / sum(w), 6) AS "p_B", round(sum(w * i) / sum(w), 6) AS "p_I" FROM v GROUP BY doc_id, word_id""",
+    "tag_sequences": _SEQUENCES,
     "dense_topk": """SELECT query_id, rank, vec_id FROM (SELECT q.vec_id AS query_id, c.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 9) DESC, c.vec_id)::INTEGER AS rank
         FROM embeddings q JOIN embeddings c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id) WHERE rank <= 10""",
 }

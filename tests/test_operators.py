@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from marginalia import tasks
 from marginalia.functions import text
-from marginalia.operators import analysis, corpus, encoding, intervals, linking, ontology, retrieval, scoring, sequence, spans, split, stats, trials
+from marginalia.operators import analysis, corpus, encoding, ensemble, intervals, linking, ontology, retrieval, scoring, sequence, spans, split, stats, trials
 from marginalia.sources import sinks, tables
 from marginalia.streaming import ingest
 
@@ -542,3 +542,31 @@ def test_quantiles_need_no_single_task(spark):
         points = [0.0, 0.01, 0.5, 0.777, 1.0]
         assert stats.quantile_edges(df, "x", points, 1000) == pytest.approx(np.quantile(values, points).tolist())
     assert stats.quantile_edges(df.limit(0), "x", [0.5]) == []
+
+
+def test_ensembles(spark, tmp_path):
+    for name in "ab":
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "model.safetensors").write_bytes(name.encode())
+    dirs = [str(tmp_path / n) for n in "ab"]
+    members = [ensemble.describe_member(spark, d, {"labels": ["X"]}) for d in dirs]
+    assert ensemble.shared_label(members) == "X" and members[0]["weights_sha256"] != members[1]["weights_sha256"]
+    rows = [(1, w, "B" if w % 3 == 0 else "O", 0.1 if w % 3 == 0 else 0.8, 0.8 if w % 3 == 0 else 0.1, 0.1) for w in range(12)]
+    bad = [(1, w, "O", 0.9, 0.05, 0.05) for w in range(12)]
+    schema = "doc_id int, word_id int, tag string, p_O double, p_B double, p_I double"
+    votes = ensemble.align_votes({dirs[0]: spark.createDataFrame(rows, schema), dirs[1]: spark.createDataFrame(bad, schema)})
+    gold = spark.createDataFrame([(1, w, w) for w in range(0, 12, 3)], "doc_id int, first_word int, last_word int")
+    plain = ensemble.fit_ensemble(votes, gold, members)
+    tuned = ensemble.fit_ensemble(votes, gold, members, "soft", True, True, 25)
+    assert plain["threshold"] == 0.5 and plain["weights"] == {d: 0.5 for d in dirs} and tuned["fitted"]["f1"] == 1.0
+    assert tuned == ensemble.fit_ensemble(votes, gold, members, "soft", True, True, 25)
+    assert {(r.first_word, r.last_word, r.label) for r in ensemble.predict_ensemble(tuned, votes).collect()} == {(w, w, "X") for w in range(0, 12, 3)}
+    ensemble.write_ensemble(spark, tuned, str(tmp_path / "e"))
+    assert ensemble.read_ensemble(spark, str(tmp_path / "e")) == tuned
+    (tmp_path / "a/model.safetensors").write_bytes(b"changed")
+    with pytest.raises(ValueError, match="changed"):
+        ensemble.read_ensemble(spark, str(tmp_path / "e"))
+    with pytest.raises(FileNotFoundError):
+        ensemble.member_digest(spark, str(tmp_path / "e"))
+    with pytest.raises(ValueError):
+        ensemble.shared_label([{"encoding": {"labels": ["X"]}}, {"encoding": {"labels": ["Y"]}}])
