@@ -1,8 +1,11 @@
 import re
 
+import pyarrow as pa
+
 import corpus_pipeline
 from marginalia.llm import pieces, quality
 
+from .fixtures import frame, rows
 from .test_dedup import UPPER, brute_components
 
 SF = "/root/testdata/sf0.001"
@@ -35,3 +38,30 @@ def test_stages_and_run(spark):
     assert abs(words - 1.5 * total) < 25 and {r.doc_id for r in got} <= left
     for r in back:
         assert (rows[r.doc_id].text or "").startswith(r.text)
+
+
+def test_pipeline_of_awkward_and_empty_tables(spark, tmp_path):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    good = [r for r in rows() if r[0] is not None]
+    for name, data in (("some", good), ("none", [])):
+        frame(spark, data).write.parquet(str(tmp_path / name / "documents.parquet"))
+        labels.write.parquet(str(tmp_path / name / "labels.parquet"))
+    texts = {r[0]: r[1] for r in good}
+    out = corpus_pipeline.run(spark, str(tmp_path / "some"))
+    back = pieces.decode_documents(spark, out).collect()
+    assert back and all((texts[r.doc_id] or "").startswith(r.text or "") for r in back)
+    none = corpus_pipeline.run(spark, str(tmp_path / "none"))
+    assert none.columns == out.columns and none.count() == 0
+
+
+def test_good_documents_of_awkward_tables(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality.train(docs, labels, quality.learnable())
+    odd = frame(spark)
+    kept = quality.keep_good(spark, docs.select(docs.columns).unionByName(odd.select(docs.columns)), labels)
+    assert kept.columns == docs.columns and kept.count() <= docs.count() + len(rows())
+    scores = model.score(quality.features(pa.array([r[1] for r in rows()])))
+    want = sorted(str(r[0]) for r, s in zip(rows(), scores, strict=True) if s >= quality.THRESHOLD)
+    alone = quality.scorer(model)
+    assert sorted(str(r.doc_id) for r in odd.filter(alone("text") >= quality.THRESHOLD).collect()) == want
+    assert quality.keep_good(spark, docs.limit(0), labels).count() == 0
