@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Mapping, Sequence
 from datetime import datetime
@@ -108,6 +109,20 @@ def variants(models: Sequence[str], strategies: Sequence[str] = ("greedy",), con
     return out
 
 
+def yaml_text(value, indent: int = 0) -> str:
+    """A configuration of mappings, lists, texts, numbers, booleans and None as YAML; texts are quoted as JSON is."""
+    pad = "  " * indent
+
+    def plain(x) -> str:
+        return json.dumps(x, ensure_ascii=False)
+
+    if isinstance(value, Mapping) and value:
+        return "".join(f"{pad}{plain(str(k))}:" + (f"\n{yaml_text(v, indent + 1)}" if isinstance(v, (Mapping, list, tuple)) and v else f" {plain(v)}\n") for k, v in value.items())
+    if isinstance(value, (list, tuple)) and value:
+        return "".join(f"{pad}-" + (f"\n{yaml_text(v, indent + 1)}" if isinstance(v, (Mapping, list, tuple)) and v else f" {plain(v)}\n") for v in value)
+    return f"{pad}{plain(value)}\n"
+
+
 def range_position(value: float, spec: Mapping) -> float | None:
     """Where a value lies in its range, 0 to 1, on the scale that it was drawn on."""
     low, high = spec.get("low"), spec.get("high")

@@ -44,15 +44,22 @@ def _representative(spans: DataFrame, longest: bool) -> DataFrame:
     return spans.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n", "island")
 
 
-def resolve_overlaps(spans: DataFrame, policy: str = "none") -> DataFrame:
-    """One span of each overlap cluster of a document, by policy; `error` raises at the first overlap."""
+def inclusive(spans: DataFrame) -> DataFrame:
+    """Spans as scorers of inclusive ends take them: filename, label, start, end."""
+    return spans.select("filename", "label", F.col("start_span").alias("start"), (F.col("end_span") - 1).alias("end"))
+
+
+def resolve_overlaps(spans: DataFrame, policy: str = "none", documents: DataFrame | None = None) -> DataFrame:
+    """One span of each overlap cluster of a document, by policy; `error` raises at the first overlap. Merged spans have no
+    text of their own: with documents (filename, document) it is read again."""
     if policy not in POLICIES:
         raise ValueError(f"unknown overlap policy {policy!r}")
     if policy == "none":
         return spans
     if policy == "merge_same_label_then_keep_longest":
         merged = overlap_clusters(spans, ["filename", "label"]).groupBy("filename", "label", "island").agg(F.min("start_span").alias("start_span"), F.max("end_span").alias("end_span")).drop("island")
-        return _representative(overlap_clusters(merged, ["filename"]), True)
+        kept = _representative(overlap_clusters(merged, ["filename"]), True)
+        return kept if documents is None else with_text(kept, documents)
     found = overlap_clusters(spans, ["filename"])
     if policy == "error":
         many = F.count(F.lit(1)).over(W.partitionBy("filename", "island")) > 1

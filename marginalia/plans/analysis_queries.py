@@ -146,6 +146,15 @@ def bootstrap_interval(spark, sf):
     return analysis.interval(values).select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "samples")
 
 
+def bootstrap_metrics(spark, sf):
+    """Estimates and intervals of all nine metrics over draws by a rule."""
+    g, p = gold(spark, sf), predicted(spark, sf)
+    d = analysis.document_scores(analysis.strict_events(g, p), g, p)
+    n = F.col("doc_id")
+    draws = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("filename"), F.explode(F.sequence(F.lit(0), F.lit(59))).alias("sample"), n).withColumn("weight", (n * 31 + F.col("sample") * 17 + n * F.col("sample")) % 5 % 3)
+    return analysis.bootstrap_intervals(d, draws.drop("doc_id")).select("metric", *(F.round(c, 6).alias(c) for c in ("estimate", "low", "high")))
+
+
 def surface_features(spark, sf):
     f = analysis.mention_features(F.col("token"))
     return words(spark, sf).filter("token <> ''").groupBy(*(f[k].alias(k) for k in ("has_digit", "has_slash", "casing"))).agg(F.count(F.lit(1)).alias("n"))
@@ -291,7 +300,7 @@ def fold_metrics(spark, sf):
     return split.aggregate_metrics(o, ["p"], ["o_orderstatus"]).select("o_orderstatus", F.round("p_mean", 4).alias("p_mean"), F.round("p_std", 4).alias("p_std"))
 
 
-QUERIES = {f.__name__: f for f in (strict_events, exact_events, calibration, confidence_by_outcome, error_units, error_taxonomy, attached_units, boundary_errors, boundary_summary, oracle_budget, overlap_sensitivity, error_surfaces, document_scores, described_mentions, gold_subgroups, predicted_subgroups, exposure, exposure_bins, gold_structure, bootstrap_interval, surface_features, corpus_labels, corpus_sizes, corpus_violations, corpus_spans, fingerprints, resolved_codes, resolved_mismatch, resolved_conflicts, balance_report, stratified_split, text_statistics, annotation_statistics, label_shares, uax_words, sentences, iob2_tags, token_metrics, token_confusion, decoded_spans, trial_rank_effects, trial_category_effects, trial_top_k, trial_best_epochs, fold_metrics)}
+QUERIES = {f.__name__: f for f in (strict_events, exact_events, calibration, confidence_by_outcome, error_units, error_taxonomy, attached_units, boundary_errors, boundary_summary, oracle_budget, overlap_sensitivity, error_surfaces, document_scores, described_mentions, gold_subgroups, predicted_subgroups, exposure, exposure_bins, gold_structure, bootstrap_interval, bootstrap_metrics, surface_features, corpus_labels, corpus_sizes, corpus_violations, corpus_spans, fingerprints, resolved_codes, resolved_mismatch, resolved_conflicts, balance_report, stratified_split, text_statistics, annotation_statistics, label_shares, uax_words, sentences, iob2_tags, token_metrics, token_confusion, decoded_spans, trial_rank_effects, trial_category_effects, trial_top_k, trial_best_epochs, fold_metrics)}
 
 #: Texts of the numbered spans; boundary errors as the operator lists them; credits; described mentions.
 _SURFACES = "gt AS (SELECT g.filename, g.ord, substring(d.text, g.start_span + 1, g.end_span - g.start_span) AS text FROM gn g JOIN documents d USING (doc_id)), pt AS (SELECT p.filename, p.ord, substring(d.text, p.start_span + 1, p.end_span - p.start_span) AS text FROM pn p JOIN documents d USING (doc_id))"
@@ -308,6 +317,17 @@ _CREDITS = f"""gc0 AS (SELECT g.filename, g.ord, max({_DICE}) AS c FROM gn g JOI
     pcr AS (SELECT dp.*, coalesce(c, 0) AS credit FROM dp LEFT JOIN pc0 USING (filename, label, start_span, end_span))"""
 
 
+_DOCUMENTS_PARTS = f"""{_UNIONS}, st AS (SELECT filename, count_if(outcome = 'TP') AS strict_tp, count_if(outcome = 'FP') AS strict_fp, count_if(outcome = 'FN') AS strict_fn FROM ev GROUP BY filename),
+        gt AS (SELECT filename, sum(e - s) AS n FROM gu GROUP BY ALL), pt AS (SELECT filename, sum(e - s) AS n FROM pu GROUP BY ALL), hit AS (SELECT g.filename, sum(least(g.e, p.e) - greatest(g.s, p.s)) AS tp FROM gu g JOIN pu p USING (filename, label) WHERE p.s < g.e AND g.s < p.e GROUP BY ALL),
+        {_CREDITS}, gs AS (SELECT filename, count(*) AS n, sum(credit) AS c FROM gcr GROUP BY ALL), ps AS (SELECT filename, sum(credit) AS c, count(*) AS n FROM pcr GROUP BY ALL), pc AS (SELECT filename, count(*) AS n FROM pred GROUP BY ALL)"""
+_DOCUMENTS = f"""{_DOCUMENTS_PARTS} SELECT filename, coalesce(gs.n, 0) AS n_gold, coalesce(pc.n, 0) AS n_predicted, strict_tp, strict_fp, strict_fn, round(CASE WHEN 2 * strict_tp + strict_fp + strict_fn > 0 THEN 2.0::DOUBLE * strict_tp / (2 * strict_tp + strict_fp + strict_fn) ELSE 0 END, 6) AS strict_f1,
+            coalesce(hit.tp, 0)::BIGINT AS char_correct, (coalesce(pt.n, 0) - coalesce(hit.tp, 0))::BIGINT AS char_spurious, (coalesce(gt.n, 0) - coalesce(hit.tp, 0))::BIGINT AS char_missed, round(coalesce(gs.c, 0), 6) AS entity_char_gold_credit, round(coalesce(ps.c, 0), 6) AS entity_char_predicted_credit
+        FROM st LEFT JOIN gs USING (filename) LEFT JOIN pc USING (filename) LEFT JOIN gt USING (filename) LEFT JOIN pt USING (filename) LEFT JOIN hit USING (filename) LEFT JOIN ps USING (filename)"""
+_DOCUMENTS_SELECT = """SELECT filename, coalesce(gs.n, 0) AS n_gold, coalesce(pc.n, 0) AS n_predicted, strict_tp, strict_fp, strict_fn, round(CASE WHEN 2 * strict_tp + strict_fp + strict_fn > 0 THEN 2.0::DOUBLE * strict_tp / (2 * strict_tp + strict_fp + strict_fn) ELSE 0 END, 6) AS strict_f1,
+            coalesce(hit.tp, 0)::BIGINT AS char_correct, (coalesce(pt.n, 0) - coalesce(hit.tp, 0))::BIGINT AS char_spurious, (coalesce(gt.n, 0) - coalesce(hit.tp, 0))::BIGINT AS char_missed, coalesce(gs.c, 0) AS gcredit, coalesce(ps.c, 0) AS pcredit, coalesce(ps.n, 0) AS n_dp
+        FROM st LEFT JOIN gs USING (filename) LEFT JOIN pc USING (filename) LEFT JOIN gt USING (filename) LEFT JOIN pt USING (filename) LEFT JOIN hit USING (filename) LEFT JOIN ps USING (filename)"""
+
+
 def _covered_sql(name: str, spans: str, other: str) -> str:
     """Characters of each numbered span that the union of the other side covers, whatever the labels."""
     return f"""{name}x AS (SELECT filename, '' AS label, start_span, end_span FROM {other}), {_islands(f'{name}i', f'{name}x', '>')}, {name}u AS (SELECT filename, min(start_span) AS s, max(end_span) AS e FROM {name}i GROUP BY filename, island),
@@ -347,12 +367,14 @@ ORACLES = {
         count_if(boundary_kind = 'FRAGMENTED') AS fragmented, count_if(boundary_kind = 'MERGED') AS merged FROM units GROUP BY t""",
     "error_surfaces": f"""{units_sql()}, {_SURFACES}, f AS (SELECT error_type, lower(trim(regexp_replace(CASE WHEN len(g) > 0 THEN gt.text ELSE pt.text END, '\\s+', ' ', 'g'))) AS surface FROM units u LEFT JOIN gt ON gt.filename = u.filename AND gt.ord = u.g[1] LEFT JOIN pt ON pt.filename = u.filename AND pt.ord = u.p[1] WHERE error_type <> 'CORRECT')
         SELECT replace(surface, 'ß', 'ss') AS surface, count(*) AS total, count_if(error_type = 'BOUNDARY_ERROR') AS boundary_error, count_if(error_type = 'MISSED') AS missed, count_if(error_type = 'SPURIOUS') AS spurious, count_if(error_type = 'UNCREDITED_EXACT') AS uncredited_exact FROM f GROUP BY 1""",
-    "document_scores": f"""{EVENTS_SQL}, {_UNIONS}, st AS (SELECT filename, count_if(outcome = 'TP') AS strict_tp, count_if(outcome = 'FP') AS strict_fp, count_if(outcome = 'FN') AS strict_fn FROM ev GROUP BY filename),
-        gt AS (SELECT filename, sum(e - s) AS n FROM gu GROUP BY ALL), pt AS (SELECT filename, sum(e - s) AS n FROM pu GROUP BY ALL), hit AS (SELECT g.filename, sum(least(g.e, p.e) - greatest(g.s, p.s)) AS tp FROM gu g JOIN pu p USING (filename, label) WHERE p.s < g.e AND g.s < p.e GROUP BY ALL),
-        {_CREDITS}, gs AS (SELECT filename, count(*) AS n, sum(credit) AS c FROM gcr GROUP BY ALL), ps AS (SELECT filename, sum(credit) AS c FROM pcr GROUP BY ALL), pc AS (SELECT filename, count(*) AS n FROM pred GROUP BY ALL)
-        SELECT filename, coalesce(gs.n, 0) AS n_gold, coalesce(pc.n, 0) AS n_predicted, strict_tp, strict_fp, strict_fn, round(CASE WHEN 2 * strict_tp + strict_fp + strict_fn > 0 THEN 2.0::DOUBLE * strict_tp / (2 * strict_tp + strict_fp + strict_fn) ELSE 0 END, 6) AS strict_f1,
-            coalesce(hit.tp, 0)::BIGINT AS char_correct, (coalesce(pt.n, 0) - coalesce(hit.tp, 0))::BIGINT AS char_spurious, (coalesce(gt.n, 0) - coalesce(hit.tp, 0))::BIGINT AS char_missed, round(coalesce(gs.c, 0), 6) AS entity_char_gold_credit, round(coalesce(ps.c, 0), 6) AS entity_char_predicted_credit
-        FROM st LEFT JOIN gs USING (filename) LEFT JOIN pc USING (filename) LEFT JOIN gt USING (filename) LEFT JOIN pt USING (filename) LEFT JOIN hit USING (filename) LEFT JOIN ps USING (filename)""",
+    "document_scores": f"{EVENTS_SQL}, {_DOCUMENTS}",
+    "bootstrap_metrics": f"""{EVENTS_SQL}, d AS (SELECT * FROM (WITH {_DOCUMENTS_PARTS} {_DOCUMENTS_SELECT})), dr AS (SELECT doc_id::VARCHAR AS filename, s AS sample, (doc_id * 31 + s * 17 + doc_id * s) % 5 % 3 AS weight FROM documents, range(60) r(s)),
+        x AS (SELECT NULL::BIGINT AS sample, d.*, 1 AS weight FROM d UNION ALL SELECT sample, d.*, weight FROM d JOIN dr USING (filename)),
+        t AS (SELECT sample, sum(weight * strict_tp)::DOUBLE AS tp, sum(weight * strict_fp)::DOUBLE AS fp, sum(weight * strict_fn)::DOUBLE AS fn, sum(weight * char_correct)::DOUBLE AS cc, sum(weight * char_spurious)::DOUBLE AS cs, sum(weight * char_missed)::DOUBLE AS cm,
+            sum(weight * gcredit) AS gc, sum(weight * n_gold)::DOUBLE AS gn, sum(weight * pcredit) AS pc, sum(weight * n_dp)::DOUBLE AS pn FROM x GROUP BY sample),
+        m AS (SELECT sample, unnest(['span_strict_precision', 'span_strict_recall', 'span_strict_f1', 'char_precision', 'char_recall', 'char_f1', 'entity_char_precision', 'entity_char_recall', 'entity_char_f1']) AS metric,
+            unnest([tp / (tp + fp), tp / (tp + fn), 2 * tp / (2 * tp + fp + fn), cc / (cc + cs), cc / (cc + cm), 2 * cc / (2 * cc + cs + cm), pc / pn, gc / gn, 2 * (pc / pn) * (gc / gn) / (pc / pn + gc / gn)]) AS value FROM t)
+        SELECT metric, round(max(CASE WHEN sample IS NULL THEN value END), 6) AS estimate, round(quantile_cont(CASE WHEN sample IS NOT NULL THEN value END, 0.025), 6) AS low, round(quantile_cont(CASE WHEN sample IS NOT NULL THEN value END, 0.975), 6) AS high FROM m WHERE NOT isnan(value) GROUP BY metric""",
     "described_mentions": f"""{units_sql()}, {_MENTIONS} SELECT label, outcome, overlapping, nested, has_digit, has_slash, count(*) AS n, sum(characters)::BIGINT AS characters, sum(covered)::BIGINT AS covered, round(sum(credit), 4) AS credit FROM gold_mentions GROUP BY ALL""",
     "gold_subgroups": f"""{units_sql()}, {_MENTIONS}, f AS (SELECT *, unnest(['label', 'has_digit', 'overlapping', 'nested']) AS family, unnest([label, CASE WHEN has_digit THEN 'present' ELSE 'absent' END, CASE WHEN overlapping THEN 'present' ELSE 'absent' END, CASE WHEN nested THEN 'present' ELSE 'absent' END]) AS value FROM gold_mentions)
         SELECT family, value, count(*) AS support, count_if(outcome = 'CORRECT') AS correct, count_if(outcome = 'BOUNDARY_ERROR') AS boundary_error, count_if(outcome = 'MISSED') AS missed, count_if(outcome = 'UNCREDITED_EXACT') AS uncredited_exact,

@@ -136,7 +136,26 @@ def head_reports(spark, sf):
     return evaluation.head_token_reports(rows, encoder, by_entity=False).filter("metric LIKE '%micro%' OR metric LIKE '%accuracy'").select("head", "metric", F.round("value", 5).alias("value"))
 
 
-QUERIES = {f.__name__: f for f in (encoded_rows, context_rows, head_labels, decoded_gold, head_gold_spans, predicted_rows, row_diagnostics, word_votes, word_spans_found, row_report, span_report, head_reports, broken_tags, mention_token_lengths, plain_sentences)}
+def encoded_file(spark, sf):
+    """The rows of a stored corpus."""
+    from ..operators import corpus, spans
+    from ..session import run_id, shared_folder
+    from ..sources import sinks
+
+    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("filename"), "text")
+    a = spans.with_text(gold(spark, sf).filter("label = 'PHRASE'").drop("doc_id"), docs.withColumnRenamed("text", "document"))
+    path = f"{shared_folder(spark)}/marginalia-io-{run_id()}/corpus.parquet"
+    sinks.write_corpus(corpus.build_corpus(docs, a, validate=False), path)
+    return _flat(_encoder().encode_parquet(spark, path)).withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+def corpus_heads(spark, sf):
+    """The labels of two corpora: the heads of a model for both."""
+    found = encoding.entity_labels([_corpus(spark, sf, "PHRASE"), _corpus(spark, sf, "LONG", "PHRASE")])
+    return spark.createDataFrame(list(enumerate(found)), "place int, label string")
+
+
+QUERIES = {f.__name__: f for f in (encoded_rows, context_rows, head_labels, decoded_gold, head_gold_spans, predicted_rows, row_diagnostics, word_votes, word_spans_found, encoded_file, corpus_heads, row_report, span_report, head_reports, broken_tags, mention_token_lengths, plain_sentences)}
 
 
 def _tokens_sql(entities: str) -> str:
@@ -222,6 +241,8 @@ ORACLES = {
     "word_spans_found": f"""WITH RECURSIVE {_tokens_sql(_PHRASES)}, {_MODEL}, f AS (SELECT doc_id, w, p[2] AS b, p[3] AS i FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, w ORDER BY "window", t) AS k FROM pb) WHERE k = 1),
         k AS (SELECT *, CASE WHEN b + i - 0.5::DOUBLE > 1e-9 THEN 1 ELSE 0 END AS isin FROM f), o AS (SELECT *, CASE WHEN isin = 1 AND (coalesce(lag(isin) OVER (PARTITION BY doc_id ORDER BY w), 0) = 0 OR b - i > 1e-9) THEN 1 ELSE 0 END AS opens FROM k),
         n AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY w ROWS UNBOUNDED PRECEDING) AS r FROM o) SELECT doc_id, min(w)::INTEGER AS first_word, max(w)::INTEGER AS last_word, round(avg(CASE WHEN opens = 1 THEN b ELSE i END), 6) AS score FROM n WHERE isin = 1 GROUP BY doc_id, r""",
+    "encoded_file": f"WITH RECURSIVE {_tokens_sql(_PHRASES)}, {_GREEDY}, {_ROWS}",
+    "corpus_heads": f"WITH {GOLD_SQL} SELECT (row_number() OVER (ORDER BY label) - 1)::INTEGER AS place, label FROM (SELECT DISTINCT label FROM gold WHERE label IN ('PHRASE', 'LONG'))",
     "row_report": f"""WITH RECURSIVE {_tokens_sql(_PHRASES)}, {_MODEL}, nm AS (SELECT ['O', 'B-PHRASE', 'I-PHRASE'][gold + 1] AS g, ['O', 'B-PHRASE', 'I-PHRASE'][tag + 1] AS p FROM pb), {_REPORT}
         SELECT metric, round(value, 5) AS value FROM report UNION ALL SELECT 'token_confusion_' || g || '_' || p, count(*)::DOUBLE FROM nm GROUP BY g, p""",
     "head_reports": " UNION ALL ".join(f"""SELECT '{label}' AS head, metric, value FROM (WITH {_tokens_sql(_longest(label))}, pr AS (SELECT tag AS gold, [((doc_id * 7 + s * 2) % 5)::DOUBLE, ((doc_id * 7 + s * 3) % 5)::DOUBLE, ((doc_id * 7 + s * 4) % 5)::DOUBLE] AS l0 FROM tg WHERE opens),

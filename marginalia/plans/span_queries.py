@@ -160,6 +160,27 @@ def overlap_policy_merge(spark, sf):
     return spans.resolve_overlaps(gold(spark, sf), "merge_same_label_then_keep_longest").select("filename", "label", "start_span", "end_span")
 
 
+def merged_entities(spark, sf):
+    """Merged spans with the texts that they cover now."""
+    from ..session import table
+
+    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("filename"), F.col("text").alias("document"))
+    found = spans.resolve_overlaps(gold(spark, sf), "merge_same_label_then_keep_longest", docs)
+    return found.select("filename", "label", "start_span", "end_span", F.md5("text").alias("text"))
+
+
+def inclusive_spans(spark, sf):
+    return spans.inclusive(predicted(spark, sf))
+
+
+def varying_scores(spark, sf):
+    from ..operators.analysis import has_varying_scores
+
+    p = predicted(spark, sf)
+    one = p.withColumn("score", F.lit(0.5))
+    return spark.createDataFrame([("rule", has_varying_scores(p)), ("constant", has_varying_scores(one)), ("none", has_varying_scores(p.drop("score")))], "name string, varies boolean")
+
+
 def greedy_scores(spark, sf):
     return _rounded(scoring.greedy_scores(gold(spark, sf), predicted(spark, sf)))
 
@@ -180,7 +201,7 @@ def spans_with_text(spark, sf):
     return spans.with_text(gold(spark, sf).drop("doc_id"), docs).groupBy("label", F.lower("text").alias("surface")).agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (character_scores, document_character_scores, merged_intervals, overlap_clusters, entity_character_scores, strict_scores, span_dedupe, covered_characters, span_relations, overlap_policy_longest, overlap_policy_merge, greedy_scores, flat_metrics, head_scores, spans_with_text)}
+QUERIES = {f.__name__: f for f in (character_scores, document_character_scores, merged_intervals, overlap_clusters, entity_character_scores, strict_scores, span_dedupe, covered_characters, span_relations, overlap_policy_longest, overlap_policy_merge, greedy_scores, flat_metrics, head_scores, merged_entities, inclusive_spans, varying_scores, spans_with_text)}
 
 ORACLES = {
     "greedy_scores": f"WITH RECURSIVE {greedy_sql('filename')}, sums AS (SELECT scenario, {_COUNTS} FROM events GROUP BY scenario), {_RATIOS} SELECT scenario, correct, incorrect, partial, spurious, missed, {_ROUNDED} FROM scored",
@@ -218,5 +239,9 @@ ORACLES = {
         r AS (SELECT *, row_number() OVER (PARTITION BY filename, island ORDER BY end_span - start_span DESC, start_span, lab) AS rn FROM gi) SELECT filename, lab AS label, start_span, end_span FROM r WHERE rn = 1""",
     "overlap_policy_merge": f"""WITH {GOLD_SQL}, {_islands('a', 'gold', '>=')}, h AS (SELECT filename, label AS lab, '' AS label, min(start_span) AS start_span, max(end_span) AS end_span FROM a GROUP BY filename, a.label, island), {_islands('gi', 'h', '>=')},
         r AS (SELECT *, row_number() OVER (PARTITION BY filename, island ORDER BY end_span - start_span DESC, start_span, lab) AS rn FROM gi) SELECT filename, lab AS label, start_span, end_span FROM r WHERE rn = 1""",
+    "merged_entities": f"""WITH {GOLD_SQL}, {_islands('a', 'gold', '>=')}, h AS (SELECT filename, label AS lab, '' AS label, min(start_span) AS start_span, max(end_span) AS end_span FROM a GROUP BY filename, a.label, island), {_islands('gi', 'h', '>=')},
+        r AS (SELECT *, row_number() OVER (PARTITION BY filename, island ORDER BY end_span - start_span DESC, start_span, lab) AS rn FROM gi) SELECT filename, lab AS label, start_span, end_span, md5(substring(text, start_span + 1, end_span - start_span)) AS text FROM r JOIN documents ON doc_id::VARCHAR = filename WHERE rn = 1""",
+    "inclusive_spans": f'WITH {SPANS_SQL} SELECT filename, label, start_span AS start, end_span - 1 AS "end" FROM pred',
+    "varying_scores": f"WITH {SPANS_SQL} SELECT 'rule' AS name, max(score) - min(score) >= 0.01 AS varies FROM pred UNION ALL SELECT unnest(['constant', 'none']), false",
     "spans_with_text": f"WITH {GOLD_SQL} SELECT label, lower(substring(text, start_span + 1, end_span - start_span)) AS surface, count(*) AS n FROM gold JOIN documents USING (doc_id) GROUP BY 1, 2",
 }

@@ -90,3 +90,22 @@ def write_tables(tables: dict[str, DataFrame], output_dir: str, overwrite: bool
     for name, df in tables.items():
         write_table(df, paths[name], overwrite)
     return paths
+
+
+def claim_folder(spark: SparkSession, path: str, overwrite: bool = False) -> str:
+    """Makes a run's folder; one that holds files raises, or is emptied with `overwrite`."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(target) and len(fs.listStatus(target)):
+        if not overwrite:
+            raise ValueError(f"{path} holds files: pass overwrite, or another folder")
+        fs.delete(target, True)
+    fs.mkdirs(target)
+    return path
+
+
+def write_configuration(spark: SparkSession, configuration: dict, path: str, overwrite: bool = True) -> None:
+    """A configuration as YAML."""
+    from ..naming import yaml_text
+
+    spark.createDataFrame([(yaml_text(configuration).rstrip("\n"),)], "value string").coalesce(1).write.mode("overwrite" if overwrite else "errorifexists").text(path)

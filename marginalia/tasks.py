@@ -27,13 +27,35 @@ def prepare_dataset(spark: SparkSession, output_dir: str, documents: str, annota
     built = spark.read.parquet(f"{output_dir}/corpus.parquet")
     manifest = {"documents": built.count(), "labels": {r["label"]: r["n"] for r in corpus.count_labels(built).collect()}}
     if ratios:
-        found = split.assign_partitions(built, ratios, random_state=random_state, n_restarts=n_restarts)
-        sinks.write_split(built, found, f"{output_dir}/split", overwrite)
-        manifest["partitions"] = {r["partition_name"]: r["count"] for r in found.groupBy("partition_name").count().collect()}
+        manifest["partitions"] = create_split(spark, built, f"{output_dir}/split", ratios, random_state=random_state, n_restarts=n_restarts, overwrite=overwrite)
     sinks.write_manifest(spark, manifest, f"{output_dir}/manifest")
     return manifest
 
 
+def create_split(spark: SparkSession, corpus, output_dir: str, ratios: list[float], holdout: int | None = None, names: list[str] | None = None, random_state: int = 42, n_restarts: int = 64, reuse: bool = True, overwrite: bool = False) -> dict:
+    """A stratified split of a corpus, written, with the number of documents in each partition.
+
+    With `reuse` a stored manifest is taken again if it fits the corpus and the settings; one that doesn't raises.
+    """
+    from .operators import split
+    from .session import written
+
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{output_dir}/manifest/_SUCCESS")
+    stored = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    if reuse and stored:
+        found = written(spark.read.parquet(f"{output_dir}/manifest"))
+        if problems := split.check_assignments(corpus, found).limit(3).collect() + split.integrity(found).collect():
+            raise ValueError(f"the stored split doesn't fit the corpus: {[tuple(p) for p in problems]}")
+        settings = split.manifest_settings(found)
+        if settings["n_partitions"] != len(ratios) or settings["holdout_index"] != holdout or max(abs(a - b) for a, b in zip(settings["ratios"], split.normalize_ratios(ratios), strict=True)) > 1e-9:
+            raise ValueError(f"the stored split has other settings: {settings}")
+        overwrite = True
+    else:
+        found = written(split.assign_partitions(corpus, ratios, names, random_state, n_restarts, holdout))
+    sinks.write_split(corpus, found, output_dir, overwrite)
+    return {r["partition_name"]: r["count"] for r in found.groupBy("partition_name").count().collect()}
+
+
 def link_entities(spark: SparkSession, output_dir: str, spans: str, gazetteer: str, method: str | list[str] = "tfidf", top_k: int = 25, keep_gold: bool = False, hierarchy: str | None = None, concepts: str | None = None, overwrite: bool = False) -> dict:
     """Spans with a text to linked spans; several methods are fused by reciprocal ranks. Spans with a gold code are scored, and
     with a hierarchy also by where their first code stands in it."""

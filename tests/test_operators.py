@@ -570,3 +570,28 @@ def test_ensembles(spark, tmp_path):
         ensemble.member_digest(spark, str(tmp_path / "e"))
     with pytest.raises(ValueError):
         ensemble.shared_label([{"encoding": {"labels": ["X"]}}, {"encoding": {"labels": ["Y"]}}])
+
+
+def test_run_folders_and_configurations(spark, tmp_path):
+    from marginalia import naming
+
+    path = sinks.claim_folder(spark, str(tmp_path / "run"))
+    sinks.write_configuration(spark, {"lr": 1e-5, "names": ["a: b", 2], "deep": {"x": None, "y": [{"z": True}], "e": []}}, f"{path}/winner")
+    with pytest.raises(ValueError):
+        sinks.claim_folder(spark, path)
+    lines = spark.read.text(f"{path}/winner", wholetext=True).first()["value"].splitlines()
+    assert lines == ['"lr": 1e-05', '"names":', '  - "a: b"', "  - 2", '"deep":', '  "x": null', '  "y":', "    -", '      "z": true', '  "e": []']
+    assert sinks.claim_folder(spark, path, overwrite=True) and not list((tmp_path / "run").iterdir()) and naming.yaml_text(3) == "3\n"
+
+
+def test_splits_are_used_again(spark, tmp_path):
+    built = corpus.build_corpus(*_corpus(spark, 12))
+    made = tasks.create_split(spark, built, str(tmp_path / "s"), [0.5, 0.5], n_restarts=2)
+    before = sorted(map(tuple, spark.read.parquet(str(tmp_path / "s/manifest")).collect()))
+    assert made == tasks.create_split(spark, built, str(tmp_path / "s"), [1, 1], random_state=7) and sorted(map(tuple, spark.read.parquet(str(tmp_path / "s/manifest")).collect())) == before
+    with pytest.raises(ValueError, match="settings"):
+        tasks.create_split(spark, built, str(tmp_path / "s"), [0.7, 0.3])
+    with pytest.raises(ValueError, match="fit"):
+        tasks.create_split(spark, built.filter("doc_id <> 'd01'"), str(tmp_path / "s"), [0.5, 0.5])
+    with pytest.raises(ValueError, match="as many documents"):
+        split.stratify(built.limit(1), [0.5, 0.5])
