@@ -153,7 +153,7 @@ def _verified(ws: Workspace, docs: DataFrame, nodes: DataFrame, pairs: DataFrame
     the words themselves. A text with many partners, as a pivot has, is copied to one task for every PARTNERS of them."""
     pairs = ws.put(pairs.select("a", "b"), "pairs")
     texts = ws.put(_texts(ws, docs, nodes, pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()), "texts")
-    fan = pairs.groupBy(F.col("b").alias("row")).agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("parts"))
+    fan = ws.put(pairs.groupBy(F.col("b").alias("row")).agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("parts")), "fan")
     dealt = pairs.join(fan.withColumnRenamed("row", "b"), "b").withColumn("part", F.pmod(F.xxhash64("a"), "parts")).select("a", "b", "part")
     x, y = (texts.select(F.col("row").alias(side), F.col("f1").alias(f"f_{side}"), F.col("text").alias(f"text_{side}")) for side in ("a", "b"))
     copies = y.join(fan.withColumnRenamed("row", "b"), "b").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
@@ -305,7 +305,8 @@ def near_dedup(spark: SparkSession, documents: DataFrame, id_col: str = "doc_id"
         if last:
             break
     placed = nodes.select("row", "rep", "f1", "f2").join(comps, "row", "left").withColumn("comp", F.coalesce("comp", "row"))
-    named = placed.groupBy("comp").agg(F.min("rep").alias("component_id"))
+    # written, so that the join has plain exchanges on both sides and a large component can be split
+    named = ws.put(placed.groupBy("comp").agg(F.min("rep").alias("component_id")), "named")
     classes = ws.put(placed.join(named, "comp").select("f1", "f2", "component_id"), "classes")
     out = signed.select("doc_id", "n", "f1", "f2").join(classes, ["f1", "f2"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
