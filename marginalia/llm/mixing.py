@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from .common import Workspace
 
 WEIGHTS, SHARE, EPOCHS, SEED = (5, 2, 1), 1.5, 2, "mix-1"
-#: Hexadecimal digits of the hash that name a bucket: 4,096 buckets.
-DIGITS = 3
+#: Hexadecimal digits of the hash that name a bucket: 4,096 buckets. Rows of a large group that are made in one run.
+DIGITS, RUN = 3, 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -62,14 +62,21 @@ def _plan(ws: Workspace, documents: DataFrame, seed: str) -> tuple[DataFrame, Da
     return rows, ws.put(plan.withColumnsRenamed({"source": "plan_source"}), "plan")
 
 
-def _placed(ws: Workspace, rows: DataFrame, plan: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows outside the cut bucket of their source, rows inside it), each with the words taken beyond `base` repetitions."""
+def _placed(rows: DataFrame, plan: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows outside the cut bucket of their source, with the words taken beyond `base` repetitions; groups of equal rows
+    inside it, with their number n, how many are taken whole and the words of the next one).
+
+    Equal rows are counted before they are put in order, so that an id that very many rows share is one row here.
+    """
     joined = rows.join(plan, rows["source"].eqNullSafe(plan["plan_source"]))
     bucket, inside = F.substring("h", 1, DIGITS), F.coalesce(F.substring("h", 1, DIGITS) == F.col("cut"), F.lit(False))
     easy = joined.filter(~inside).withColumn("more", F.when(bucket < F.col("cut"), F.col("size")).otherwise(0))
-    ahead = F.sum("size").over(W.partitionBy("source").orderBy("h", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1))
-    hard = joined.filter(inside).withColumn("more", F.greatest(F.lit(0).cast("long"), F.least("size", F.col("extra") - F.col("before") - F.coalesce(ahead, F.lit(0)))))
-    return easy, hard
+    alike = joined.filter(inside).groupBy("source", "h", "doc_id", "size", "source_size", "target", "base", "extra", "before").agg(F.count(F.lit(1)).alias("n"))
+    ahead = F.coalesce(F.sum(F.col("size") * F.col("n")).over(W.partitionBy("source").orderBy("h", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    groups = alike.withColumn("room", F.greatest(F.lit(0).cast("long"), F.col("extra") - F.col("before") - ahead))
+    whole = F.when(F.col("size") > 0, F.least(F.col("n"), F.expr("room div greatest(size, 1)"))).otherwise(0)
+    groups = groups.withColumn("whole", whole.cast("long"))
+    return easy, groups.withColumn("part", F.when((F.col("whole") < F.col("n")) & (F.col("size") > 0), F.col("room") - F.col("whole") * F.col("size")).otherwise(0).cast("long"))
 
 
 def mix(spark: SparkSession, documents: DataFrame, seed: str = SEED) -> DataFrame:
@@ -80,8 +87,14 @@ def mix(spark: SparkSession, documents: DataFrame, seed: str = SEED) -> DataFram
     """
     ws = Workspace(spark, "mix")
     rows, plan = _plan(ws, documents, seed)
-    easy, hard = _placed(ws, rows, plan)
+    easy, groups = _placed(rows, plan)
     columns = "doc_id", "size", "source_size", "target", (F.col("base") * F.col("size") + F.col("more")).cast("long").alias("taken")
+    some = (F.col("part") > 0).cast("long")
+    kinds = F.array(*(F.struct(m.cast("long").alias("more"), k.cast("long").alias("k")) for m, k in ((F.col("size"), F.col("whole")), (F.col("part"), some), (F.lit(0), F.col("n") - F.col("whole") - some))))
+    each = groups.select("doc_id", "size", "source_size", "target", "base", F.inline(kinds)).filter("k > 0")
+    # a group's rows are made again in runs, so that a large group isn't one task's
+    runs = each.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(k - 1) div {RUN}")))).withColumn("k", F.least(F.lit(RUN).cast("long"), F.col("k") - F.col("run") * RUN))
+    hard = runs.repartition(F.col("run"), F.col("doc_id")).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("k"))))
     return easy.select(*columns).unionByName(hard.select(*columns))
 
 
@@ -99,10 +112,8 @@ def mixed_documents(spark: SparkSession, documents: DataFrame, seed: str = SEED)
     joined = documents.join(small, documents["source"].eqNullSafe(small["_plan_source"])).withColumn("_bucket", F.substring(order_of(F.col("doc_id"), seed), 1, DIGITS))
     inside = F.coalesce(F.col("_bucket") == F.col("_cut"), F.lit(False))
     easy = joined.filter(~inside).withColumn("_copies", F.col("_base") + F.when(F.col("_bucket") < F.col("_cut"), 1).otherwise(0))
-    _, hard = _placed(ws, rows, plan)
-    whole, some = (F.col("more") >= F.col("size")) & (F.col("size") > 0), (F.col("more") > 0) & (F.col("more") < F.col("size"))
-    alike = hard.groupBy(F.col("source").alias("_source"), F.col("doc_id").alias("_id"), F.col("size").alias("_size"))
-    hard = ws.put(alike.agg(F.count(F.lit(1)).alias("_n"), F.count_if(whole).alias("_whole"), F.max(F.when(some, F.col("more")).otherwise(0)).alias("_more")), "hard")
+    _, groups = _placed(rows, plan)
+    hard = ws.put(groups.select(F.col("source").alias("_source"), F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("n").alias("_n"), F.col("whole").alias("_whole"), F.col("part").alias("_more")), "hard")
     near = joined.filter(inside).withColumn("_words", words_of(F.col("text")))
     near = near.join(hard, near["source"].eqNullSafe(hard["_source"]) & near["doc_id"].eqNullSafe(hard["_id"]) & (near["_words"] == hard["_size"]))
     mixed = (F.col("_n") > 1) & ((F.col("_whole") > 0) | (F.col("_more") > 0)) & (F.col("_whole") < F.col("_n"))

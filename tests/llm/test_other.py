@@ -289,3 +289,19 @@ def test_mixed_documents_place_rows_of_equal_ids_singly(spark):
     for (source, doc_id), texts in per.items():
         rows = [t for d, t, s in data if (d, s) == (doc_id, source) and t]
         assert all(any(t.startswith(x) for t in rows) for x in texts)
+
+
+def test_mix_of_an_id_that_most_rows_share(spark, monkeypatch):
+    from marginalia.llm import mixing
+
+    monkeypatch.setattr(mixing, "RUN", 7)
+    data = [(None, "a b c", "s")] * 200 + [(5, "a b", "s")] * 30 + [(i, "x " * (i % 4), "t") for i in range(40)] + [(9, "q", "u")] * 50
+    got = mix(spark, spark.createDataFrame(data, "doc_id long, text string, source string")).collect()
+    sizes = {"s": 660, "t": sum(i % 4 for i in range(40)), "u": 50}
+    want, by_size = brute_targets(sizes), {v: k for k, v in sizes.items()}
+    assert len(got) == len(data) and sorted((str(r.doc_id), r.size) for r in got) == sorted((str(d), len(t.split())) for d, t, _ in data)
+    taken = {}
+    for r in got:
+        assert 0 <= r.taken <= 2 * r.size
+        taken[by_size[r.source_size]] = taken.get(by_size[r.source_size], 0) + r.taken
+    assert all(abs(taken[k] - want[k]) <= 0.5 for k in sizes)
