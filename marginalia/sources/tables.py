@@ -18,10 +18,12 @@ def _stem() -> Column:
 
 
 def _texts(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    """filename, value: whole files. Folders by filename are read as `sinks.write_by_file` wrote them, without the last line end."""
-    files = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").text(path, wholetext=True)
-    by_folder = F.col("_metadata.file_path").rlike(r"/filename=[^/]+/[^/]+$")
-    return files.select(_stem().alias("filename"), F.when(by_folder, F.regexp_replace("value", "\n\\z", "")).otherwise(F.col("value")).alias("value"))
+    """filename, value: the whole files of a folder. A folder of folders by filename is read as `sinks.write_by_file` wrote it,
+    without the last line end of each file; other folders in a folder aren't read."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    by_folder = len(target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/filename=*")) or []) > 0
+    files = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", str(by_folder).lower()).text(path, wholetext=True)
+    return files.select(_stem().alias("filename"), F.regexp_replace("value", "\n\\z", "").alias("value") if by_folder else F.col("value"))
 
 
 def _lines_fixed(value: Column) -> Column:
