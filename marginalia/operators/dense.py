@@ -2,50 +2,21 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BLOCK, QUERIES = 16384, 1024
-
-
-def normalize(x: np.ndarray) -> np.ndarray:
-    """Rows of length 1; rows of zeros stay."""
-    size = np.linalg.norm(x, axis=1, keepdims=True)
-    return x / np.where(size > 0, size, 1)
+from .retrieval import normalize_vector, usable, vector_search
 
 
 def cosine_top_k(vectors: DataFrame, k: int, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score of the rows whose id is divisible by `every`, among all others; ties to smaller ids.
 
-    Vectors are dealt to blocks by a hash; each block of queries visits each block of vectors in one task.
+    Null ids and vectors, and vectors with a number that isn't finite, take no part; a vector of zeros scores 0 with all;
+    vectors of several lengths raise.
     """
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).filter("id IS NOT NULL AND v IS NOT NULL")
-    total = rows.count()
-    blocks, parts = max(1, -(-total // BLOCK)), max(1, -(-total // (every * QUERIES)))
-    c = rows.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("p"), "id", "v")
-    q = rows.filter(F.col("id") % every == 0).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("qb"), F.pmod(F.xxhash64("id"), F.lit(parts)).alias("qp"), F.col("id").alias("qid"), F.col("v").alias("qv"))
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-        if not left.num_rows or not right.num_rows:
-            return schema.empty_table()
-        mat = lambda t, col: normalize(t[col].combine_chunks().flatten().to_numpy().astype(float).reshape(t.num_rows, -1))
-        qi, ci = left["qid"].to_numpy(), right["id"].to_numpy()
-        order = np.argsort(ci, kind="stable")
-        ci, score = ci[order], np.round(mat(left, "qv") @ mat(right, "v")[order].T, 9)
-        out = [[], [], []]
-        for i, s in zip(qi, score, strict=True):
-            s = np.where(ci == i, -np.inf, s)
-            best = np.argsort(-s, kind="stable")[:k]
-            best = best[s[best] > -np.inf]
-            out[0] += [i] * len(best)
-            out[1] += ci[best].tolist()
-            out[2] += s[best].tolist()
-        return pa.table([pa.array(o, t.type) for o, t in zip(out, schema, strict=True)], schema=schema)
-
-    found = q.groupBy("qb", "qp").cogroup(c.groupBy("b", "p")).applyInArrow(run, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    rows = usable(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).filter("id IS NOT NULL"))
+    unit = rows.select("id", normalize_vector(F.col("vector")).alias("vector"))
+    found = vector_search(unit.filter(F.col("id") % every == 0), unit, k + 1).filter("query_id <> id")
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias("vec_id"), "score")

@@ -175,10 +175,11 @@ def _nearest(metric: str, k: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
+        sizes = {n for t, c in ((left, "qv"), (right, "vector")) for n in t[c].combine_chunks().value_lengths().unique().to_pylist()}
+        if len(sizes) > 1:
+            raise ValueError(f"vectors of {sorted(sizes)} numbers don't compare")
         mat = lambda t, c: t[c].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(t.num_rows, -1)
         x, y, ids = mat(left, "qv"), mat(right, "vector"), right["id"].to_numpy()
-        if x.shape[1] != y.shape[1]:
-            raise ValueError(f"vectors of {x.shape[1]} and {y.shape[1]} numbers don't compare")
         score = x @ y.T if metric == "ip" else -((x**2).sum(1)[:, None] + (y**2).sum(1)[None, :] - 2 * x @ y.T)
         score = np.round(score, 9)
         n = min(k, len(ids))

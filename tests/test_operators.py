@@ -595,3 +595,17 @@ def test_splits_are_used_again(spark, tmp_path):
         tasks.create_split(spark, built.filter("doc_id <> 'd01'"), str(tmp_path / "s"), [0.5, 0.5])
     with pytest.raises(ValueError, match="as many documents"):
         split.stratify(built.limit(1), [0.5, 0.5])
+
+
+def test_dense_vectors_that_take_no_part(spark):
+    from marginalia.operators import dense
+
+    rng = np.random.default_rng(4)
+    x = {i: rng.normal(size=4) for i in range(60)} | {60: np.zeros(4)}
+    data = [(i, v.tolist()) for i, v in x.items()] + [(61, None), (80, [float("nan")] * 4), (None, [1.0] * 4), (100, [None] * 4)]
+    got = [tuple(r)[:3] for r in dense.cosine_top_k(spark.createDataFrame(data, "vec_id long, embedding array<double>"), 5).orderBy("query_id", "rank").collect()]
+    unit = {i: v / max(np.linalg.norm(v), 1e-300) for i, v in x.items()}
+    want = [(q, r + 1, i) for q in (0, 20, 40, 60) for r, (_, i) in enumerate(sorted((-round(float(unit[q] @ unit[i]), 9), i) for i in x if i != q)[:5])]
+    assert got == want
+    with pytest.raises(Exception, match="compare"):
+        dense.cosine_top_k(spark.createDataFrame([(0, [1.0, 2.0]), (20, [1.0])], "vec_id long, embedding array<double>"), 2).collect()
