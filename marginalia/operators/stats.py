@@ -99,13 +99,13 @@ def quantile_edges(df: DataFrame, column: str, points: list[float], accuracy: in
     """
     x = F.col(column).cast("double")
     rows = df.filter(x.isNotNull()).select(x.alias("x"))
-    n = rows.count()
-    if not n:
-        return []
     slack = 4.0 / accuracy
     while True:
         shares = sorted({min(max(p + d, 0.0), 1.0) for p in points for d in (-slack, slack)})
-        ends = dict(zip(shares, rows.agg(F.percentile_approx("x", list(shares), accuracy).alias("q")).first()["q"], strict=True))
+        first_pass = rows.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("x", list(shares), accuracy).alias("q")).first()
+        if not (n := first_pass["n"]):
+            return []
+        ends = dict(zip(shares, first_pass["q"], strict=True))
         spans = []
         for p in points:
             low, high = ends[min(max(p - slack, 0.0), 1.0)], ends[min(max(p + slack, 0.0), 1.0)]
@@ -113,11 +113,15 @@ def quantile_edges(df: DataFrame, column: str, points: list[float], accuracy: in
         held = F.lit(False)
         for low, high in sorted(set(spans)):
             held = held | F.col("x").between(low, high)
-        below = rows.agg(*(F.count_if(F.col("x") < low).alias(f"b{i}") for i, (low, _) in enumerate(spans))).first()
-        values = sorted((r["x"], r["c"]) for r in rows.filter(held).groupBy("x").agg(F.count(F.lit(1)).alias("c")).collect())
+        # values in brackets by themselves, all others by the number of brackets that begin at or below them
+        lows = sorted({low for low, _ in spans})
+        gap = sum((F.when(F.col("x") >= low, 1).otherwise(0) for low in lows), F.lit(0))
+        counts = rows.groupBy(F.when(held, F.col("x")).alias("x"), gap.alias("gap")).agg(F.count(F.lit(1)).alias("c")).collect()
+        values = sorted((r["x"], r["c"]) for r in counts if r["x"] is not None)
+        below = [sum(r["c"] for r in counts if r["gap"] <= lows.index(low)) for low, _ in spans]
         out = []
         for i, (p, (low, high)) in enumerate(zip(points, spans, strict=True)):
-            rank, at, found = p * (n - 1), below[f"b{i}"], []
+            rank, at, found = p * (n - 1), below[i], []
             for v, c in values:
                 if low <= v <= high:
                     found.append((at, at + c - 1, v))
