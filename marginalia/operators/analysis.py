@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import written
 from .intervals import clusters, covered, overlap_join, shared_length
 from .scoring import entity_credits, greedy_events, numbered, ratio, span_dice, with_prf, with_span_id
 from .stats import quantile_edges
@@ -364,6 +365,8 @@ def word_count_bin(words: Column) -> Column:
 
 def calibration(scored: DataFrame, bins: int = 10) -> DataFrame:
     """bin, n, mean_score, exact_share of (score, correct): right-closed bins between distinct quantiles."""
+    # three passes over two columns: what they derive from is computed once
+    scored = written(scored.select("score", "correct"))
     cuts = sorted(set(quantile_edges(scored, "score", [i / bins for i in range(bins + 1)])))
     bucket = F.lit(0)
     for i, cut in enumerate(cuts[1:-1], 1):
