@@ -57,7 +57,7 @@ def test_documents_are_never_cut_between_batches():
         assert sum(len(set(t["filename"])) for t in found) == 4
 
 
-@pytest.mark.parametrize("name, most", [("document_scores", 1), ("bootstrap_metrics", 4), ("described_mentions", 2), ("gold_subgroups", 2)])
+@pytest.mark.parametrize("name, most", [("document_scores", 1), ("bootstrap_metrics", 4), ("described_mentions", 2), ("gold_subgroups", 2), ("predicted_subgroups", 6)])
 def test_queries_deal_the_spans_once(spark, name, most):
     assert shuffles(getattr(analysis_queries, name)(spark, SF)) <= most
 
