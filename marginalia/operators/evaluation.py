@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
 from . import encoding, scoring
 
 
@@ -27,28 +28,36 @@ def span_metrics(gold: DataFrame, predicted: DataFrame, labels: list[str] | None
 
 def token_report(pairs: DataFrame, by_entity: bool = True, confusion: bool = False, outside: str = "O") -> DataFrame:
     """metric, value of tags (gold, predicted): accuracy, micro and macro scores, counts of each tag, and of each type with
-    its prefixes as one; with `confusion` the counts of pairs too."""
+    its prefixes as one; with `confusion` the counts of pairs too. Counted pairs have a column `n`."""
+    # every table below is made from these few rows
+    pairs = written(scoring.pair_numbers(pairs))
     per = scoring.token_metrics(pairs, outside)
     total = scoring.with_prf(per.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "fp", "fn"))))
     same = F.when(F.col("gold") == F.col("predicted"), 1.0).otherwise(0.0)
-    out = _long(pairs.agg(F.coalesce(F.avg(same), F.lit(0.0)).alias("a")), {"a": "token_accuracy"})
+    out = _long(pairs.agg(F.coalesce(F.sum(same * F.col("n")) / F.sum("n"), F.lit(0.0)).alias("a")), {"a": "token_accuracy"})
     out = out.unionByName(_long(total, {c: f"token_micro_{c}" for c in ("precision", "recall", "f1")}))
     out = out.unionByName(_long(per.agg(*(F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in ("precision", "recall", "f1"))), {c: f"token_macro_{c}" for c in ("precision", "recall", "f1")}))
     each = lambda df, name: df.select(F.inline(F.array(*(F.struct(F.concat(F.lit(f"token_{name}_"), "tag", F.lit(f"_{c}")).alias("metric"), F.col(c).cast("double").alias("value")) for c in ("tp", "fp", "fn", "precision", "recall", "f1")))))
     out = out.unionByName(each(per, "tag"))
     if by_entity:
-        plain = pairs.select(*(F.regexp_replace(c, "^[BI]-", "").alias(c) for c in ("gold", "predicted")))
+        plain = pairs.select(*(F.regexp_replace(c, "^[BI]-", "").alias(c) for c in ("gold", "predicted")), "n")
         out = out.unionByName(each(scoring.token_metrics(plain, outside), "entity"))
     if confusion:
-        counts = pairs.groupBy("gold", "predicted").agg(F.count(F.lit(1)).cast("double").alias("value"))
-        out = out.unionByName(counts.select(F.concat(F.lit("token_confusion_"), "gold", F.lit("_"), "predicted").alias("metric"), "value"))
+        out = out.unionByName(pairs.select(F.concat(F.lit("token_confusion_"), "gold", F.lit("_"), "predicted").alias("metric"), F.col("n").cast("double").alias("value")))
     return out
 
 
-def evaluate_rows(rows: DataFrame, encoder: encoding.Encoder, logits: str = "logits", least: float = 40.0, tokens: bool = True, by_entity: bool = True, confusion: bool = False) -> DataFrame:
-    """metric, value of model rows with logits: gold and predicted spans are rebuilt from the rows, and their tags compared."""
-    out = span_metrics(encoding.gold_spans(rows, encoder), encoding.predicted_spans(rows, encoder, logits), None, least)
-    return out.unionByName(token_report(encoding.token_pairs(rows, encoder, logits), by_entity, confusion)) if tokens else out
+def evaluate_rows(rows: DataFrame, encoder: encoding.Encoder, logits: str = "logits", least: float = 40.0, tokens: bool = True, by_entity: bool = True, confusion: bool = False, spans: bool = True) -> DataFrame:
+    """metric, value of model rows with logits: gold and predicted spans are rebuilt from the rows, and their tags compared;
+    without `spans` or `tokens` the metrics of the others alone."""
+    if not (spans or tokens):
+        raise ValueError("a report needs spans or tokens")
+    parts = []
+    if spans:
+        parts.append(span_metrics(encoding.gold_spans(rows, encoder), encoding.predicted_spans(rows, encoder, logits), None, least))
+    if tokens:
+        parts.append(token_report(encoding.pair_counts(rows, encoder, logits), by_entity, confusion))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def evaluate_heads(rows: DataFrame, encoder: encoding.Encoder, logits: str = "logits", least: float = 40.0) -> DataFrame:
@@ -61,6 +70,6 @@ def head_token_reports(rows: DataFrame, encoder: encoding.Encoder, logits: str =
     out = None
     for i, label in enumerate(encoder.labels):
         one = encoding.head_rows(rows, i).withColumn(logits, F.transform(logits, lambda p: p[i]))  # noqa: B023
-        report = token_report(encoding.token_pairs(one, encoder, logits, label), by_entity).select(F.lit(label).alias("head"), "metric", "value")
+        report = token_report(encoding.pair_counts(one, encoder, logits, label), by_entity).select(F.lit(label).alias("head"), "metric", "value")
         out = report if out is None else out.unionByName(report)
     return out
