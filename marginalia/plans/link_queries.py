@@ -265,8 +265,7 @@ def aligned_votes(spark, sf):
     v = _votes(spark, sf).drop("len")
     tables_ = {m: v.filter(F.col("member") == m).filter((F.col("word_id") + F.ascii("member")) % 5 != 0).drop("member") for m in "abc"}
     tables_["a"] = tables_["a"].unionByName(tables_["a"].filter("word_id % 7 = 1"))
-    votes = ensemble.align_votes(tables_)
-    return ensemble.combine_votes(votes, _WEIGHTS, False).select("doc_id", "word_id", *(F.round(c, 6).alias(c) for c in ("begin", "inside", "p_B", "p_I")))
+    return ensemble.combine_tables(tables_, _WEIGHTS, False).select("doc_id", "word_id", *(F.round(c, 6).alias(c) for c in ("begin", "inside", "p_B", "p_I")))
 
 
 def _emissions(spark, sf):
