@@ -67,3 +67,30 @@ def test_one_sided_and_empty_documents(spark):
     for a, b in ((g, p), (g, p.limit(0)), (g.limit(0), p), (g.limit(0), p.limit(0))):
         want = analysis.document_scores(analysis.strict_events(a, b), a, b)
         assert close(documents.document_scores(a, b).select(want.columns).collect()) == close(want.collect())
+
+
+def test_pieces_hold_every_row_once():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(["abc", None, "", "x" * 50, "de", "f"])], ["key", "text"])
+    for size in (1, 4, 60, 1000):
+        found = list(documents.pieces(batch, size))
+        assert pa.Table.from_batches(found).to_pydict() == pa.Table.from_batches([batch]).to_pydict()
+        assert all(b.num_rows == 1 or sum(len(t or "") for t in b.column(1).to_pylist()) <= size for b in found)
+    assert not list(documents.pieces(batch.slice(0, 0)))
+
+
+@pytest.mark.parametrize("side", ["gold", "pred"])
+def test_mentions_of_rows_equal_those_of_dealt_spans(spark, side):
+    from marginalia.plans.derive import gold, predicted
+    from marginalia.session import table
+
+    docs = table(spark, SF, "documents").select(F.col("doc_id").cast("string").alias("filename"), F.col("text").alias("document"))
+    want = documents.described_mentions(gold(spark, SF), predicted(spark, SF), docs, side)
+    got = analysis_queries._described(spark, SF, side).select(want.columns)
+    assert shuffles(got) == 0
+    assert close(got.collect()) == close(want.collect())
+
+
+def test_gold_subgroups_sum_equal_mentions_before_their_families(spark):
+    assert shuffles(analysis_queries.gold_subgroups(spark, SF)) <= 2
+    plan = analysis_queries.gold_subgroups(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate") < plan.rindex("HashAggregate") and plan.count("MapInArrow") == 1
