@@ -94,3 +94,17 @@ def test_gold_subgroups_sum_equal_mentions_before_their_families(spark):
     assert shuffles(analysis_queries.gold_subgroups(spark, SF)) <= 2
     plan = analysis_queries.gold_subgroups(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.index("Generate") < plan.rindex("HashAggregate") and plan.count("MapInArrow") == 1
+
+
+def test_predicted_subgroups_score_the_mentions_once(spark):
+    plan = analysis_queries.predicted_subgroups(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def test_subgroups_of_documents_without_draws(spark):
+    m = spark.createDataFrame([("a", "X", "CORRECT", 4, 4, 1.0), ("b", "X", "SPURIOUS", 1, 3, 0.5), ("b", None, "SPURIOUS", 0, 2, 0.0)], "filename string, label string, outcome string, covered_characters long, characters long, entity_char_credit double")
+    draws = spark.createDataFrame([(0, "a", 2), (1, "a", 0), (1, "c", 3)], "sample int, filename string, weight int")
+    got = {r.value: r.asDict() for r in analysis.subgroups(m, ["label"], "precision", draws).collect()}
+    assert (got["X"]["support"], got["X"]["correct"], got["X"]["spurious"], got["X"]["strict_precision"], got["X"]["char_precision"]) == (2, 1, 1, 0.5, 5 / 7)
+    assert (got["X"]["strict_precision_low"], got["X"]["strict_precision_high"]) == (1.0, 1.0)
+    assert got[None]["support"] == 1 and got[None]["strict_precision_low"] is None
