@@ -108,3 +108,45 @@ def test_subgroups_of_documents_without_draws(spark):
     assert (got["X"]["support"], got["X"]["correct"], got["X"]["spurious"], got["X"]["strict_precision"], got["X"]["char_precision"]) == (2, 1, 1, 0.5, 5 / 7)
     assert (got["X"]["strict_precision_low"], got["X"]["strict_precision_high"]) == (1.0, 1.0)
     assert got[None]["support"] == 1 and got[None]["strict_precision_low"] is None
+
+
+def test_predicted_subgroups_shuffle_neither_mentions_nor_draws(spark):
+    plan = analysis_queries.predicted_subgroups(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan and "collect_list" not in plan
+    dealt = plan.index("Exchange hashpartitioning(key")  # a file of one row group isn't one task
+    assert plan.index("MapInArrow") < dealt and plan.count("Exchange hashpartitioning") == 3
+
+
+@pytest.mark.parametrize("side, measure", [("gold", "recall"), ("pred", "precision")])
+def test_subgroup_sums_equal_subgroups_of_mentions_and_draws(spark, side, measure):
+    from marginalia.plans.derive import LABELS, spans_of
+
+    rows = [(0, "1 a the ٣x the y\u0663 grüße12 wörterbücher of 𝟗𝟗𝟗𝟗𝟗𝟗𝟗𝟗 the"), (1, None), (2, ""), (3, "the of"), (-8, " ".join(["the", "a1", "straßenbahn7"] * 40)), (9, "x"), (10, " ".join(["é", "of", "dé4", "longwords"] * 30))]
+    docs = spark.createDataFrame(rows, "key long, text string").withColumn("filename", F.col("key").cast("string"))
+    draws = docs.select("filename", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("sample"), "key").withColumn("weight", (F.col("key") * 7 + F.col("sample") * 13) % 4)
+    want = analysis.subgroups(documents.described_in_rows(docs, spans_of, LABELS, side), ["label", "has_digit"], measure, draws.drop("key"))
+    sums = documents.subgroup_sums(docs, spans_of, LABELS, side, {"has_digit": documents.digits_within}, analysis_queries._weights, list(range(40)))
+    got = analysis.subgroup_measures(sums, measure)
+    assert got.columns == want.columns and close(got.collect()) == close(want.collect())
+    assert want.filter("value = 'present'").count() == 1
+    none = documents.subgroup_sums(docs.limit(0), spans_of, LABELS, side, {}, analysis_queries._weights, list(range(40)))
+    assert analysis.subgroup_measures(none, measure).count() == 0
+
+
+def test_digits_within_are_those_of_the_oracle(spark):
+    import duckdb
+    import numpy as np
+
+    points = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    want = {r[0] for r in duckdb.sql(r"SELECT c FROM range(1, 1114112) t(c) WHERE c NOT BETWEEN 55296 AND 57343 AND regexp_matches(chr(c::INT), '\p{Nd}')").fetchall()}
+    texts = pa.array(["skipped 1", "", None, *("é" + chr(c) + "z" for c in points)]).slice(1)
+    n = len(points)
+    row = np.arange(n) + 2
+    within = lambda s, e: documents.digits_within(texts, row, np.full(n, s), np.full(n, e))
+    assert {points[i] for i in np.flatnonzero(within(1, 2)).tolist()} == want and len(want) > 600
+    assert not within(0, 1).any() and not within(2, 9).any()
+    assert not len(documents.digits_within(texts.slice(0, 0), row[:0], row[:0], row[:0]))
+    # those of mention_features, but for digits that Java's Unicode doesn't have
+    known = spark.createDataFrame(pa.table({"c": points, "text": [chr(c) for c in points]}))
+    digits = {r.c for r in known.filter(analysis.mention_features(F.col("text"))["has_digit"]).collect()}
+    assert digits <= want and all(c > 0xFFFF for c in want - digits)
